@@ -123,3 +123,16 @@ def batches_of_bytes(texts, most: int = 2 << 20):
             start, size = i + 1, 0
     if start < len(texts):
         yield start, len(texts)
+
+
+def byte_bpe() -> str:
+    """Where the public byte-level vocabulary lies; the file is the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def bound_batches(spark: SparkSession, size: str = "16m") -> None:
+    """Bounds the bytes of texts that a Python worker gets at once, so that very long texts don't pile up."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from skein.llm import mixing, sharding, url_filter
+from skein.llm import mixing, packing, sharding, token_files, url_filter
 
 QUERIES = {
     "op2_url_filter": url_filter.op2,
+    "op3_sum_of_squares_packing": packing.op3,
     "op5_poisson_mixture": mixing.op5,
+    "op9_token_files": token_files.op9,
     "op10_hypergeometric_shards": sharding.op10,
 }
 ORACLES = {"op5_poisson_mixture": mixing.ORACLE}
