@@ -69,14 +69,16 @@ def utf8(text: str | None) -> bytes:
 # --- tokenizer -----------------------------------------------------------------------------------------------------
 
 _BEFORE_WORD = re.compile(r" (?=\S)")
+#: Inside a piece: between a letter and punctuation or a line's end, and between one line's end and a letter.
+_INSIDE = re.compile(r"(?<=[^\W\d_])(?=[.,\n])|(?<=[.,\w]\n)(?=[^\W\d_])")
 #: Words whose ids a worker remembers; when full, it starts anew (results don't depend on it).
-MEMORY_WORDS = 600_000
+MEMORY_WORDS = 900_000
 
 
 class CachedTokenizer:
     """Ids of whole texts by a byte-level BPE of the tokenizers library.
 
-    Such a vocabulary splits a text before every single space that a non-space character follows, before it merges
+    Such a vocabulary splits a text before every single space that a non-space character follows (and at the places of _INSIDE) before it merges
     anything, so the pieces between those places can be encoded one by one, and each distinct piece once.
     """
 
@@ -99,11 +101,15 @@ class CachedTokenizer:
         for text in texts:
             first, *rest = _BEFORE_WORD.split(text or "")
             pieces.append([first, *(" " + x for x in rest)] if first else [" " + x for x in rest])
-        new = list({x for p in pieces for x in p} - self.known.keys())
-        for k in range(0, len(new), 50_000):
-            part = new[k : k + 50_000]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+        new = {x: _INSIDE.split(x) for x in {x for p in pieces for x in p} - self.known.keys()}
+        parts = list({y for x in new.values() for y in x} - self.known.keys())
+        for k in range(0, len(parts), 50_000):
+            some = parts[k : k + 50_000]
+            for word, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 self.known[word] = np.array(e.ids, dtype=self.dtype).tobytes()
+        for x, y in new.items():
+            if len(y) > 1:
+                self.known[x] = b"".join(map(self.known.__getitem__, y))
         get = self.known.__getitem__
         return [np.frombuffer(b"".join(map(get, p)), self.dtype) for p in pieces]
 

@@ -2,13 +2,26 @@
 
 from __future__ import annotations
 
-from skein.llm import mixing, packing, sharding, token_files, url_filter
+from skein.llm import imatch, jaccard_join, language, mixing, multi_index, packing, sharding, token_files, toxicity, url_filter
+
+
+def pipeline(spark, sf_dir: str):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
 
 QUERIES = {
+    "op1_mixture_language": language.op1,
     "op2_url_filter": url_filter.op2,
     "op3_sum_of_squares_packing": packing.op3,
+    "op4_inverted_multi_index": multi_index.op4,
     "op5_poisson_mixture": mixing.op5,
+    "op6_toxic_spans": toxicity.op6,
+    "op7_jaccard_join": jaccard_join.op7,
+    "op8_imatch": imatch.op8,
     "op9_token_files": token_files.op9,
     "op10_hypergeometric_shards": sharding.op10,
+    "pipeline": pipeline,
 }
 ORACLES = {"op5_poisson_mixture": mixing.ORACLE}
