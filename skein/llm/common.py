@@ -11,6 +11,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.shipping import ship
+
 #: Where Spark takes the place of shared files from; every executor and the driver see this folder.
 SHARED = "spark.checkpoint.dir"
 
@@ -140,5 +142,6 @@ def byte_bpe() -> str:
 
 def bound_batches(spark: SparkSession, size: str = "16m") -> None:
     """Bounds the bytes of texts that a Python worker gets at once, so that very long texts don't pile up."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")

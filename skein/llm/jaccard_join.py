@@ -13,7 +13,7 @@ Documents with equal sets form a class; everything below handles one member of e
    If x and y link, the one whose prefix ends first has a signature within both prefixes.
 3. Verification. In each group of equal signatures a centre is verified against the members that are not yet known to
    be in its component; components are updated and the next round takes other centres, in groups that still hold
-   several components. Once a round finds no new link, the pairs that are left (members of different components) are
+   several components. Once a round finds few new links, all pairs that are left (members of different components) are
    verified one by one. So no link between components is lost, and large groups of copies cost a few rounds.
 
 Defined results: documents without words (null, empty, white space) have n_shingles 0 and are their own component; fewer
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +35,10 @@ from skein.llm.hashing import mix, shingle_sets
 WORDS = 5
 #: A shingle of at most so many sets is rare.
 RARE = 8
+#: Sets of a block in verification.
+BLOCK = 512
+#: Rounds of centres end once one finds less than this share of the links that the best one found.
+FEW = 0.1
 
 
 def misses(n: int) -> int:
@@ -118,10 +123,39 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) that link. sets: key, n, shared (the shingles that some other set has, too)."""
-    one, two = (sets.select(F.col("key").alias(x), F.col("n").alias(f"n_{x}"), F.col("shared").alias(f"s_{x}")) for x in "ab")
-    both = pairs.join(one, "a").join(two, "b").withColumn("i", F.size(F.array_intersect("s_a", "s_b")))
-    return both.where(F.col("i") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("i")) * 80).select("a", "b")
+    """Those of the pairs (a, b) that link. sets: key, n, shared (the shingles that some other set has, too).
+
+    Keys fall into blocks by hash; the pairs of two blocks are verified together, so a set moves once for each block that
+    its partners lie in, not once for each partner."""
+    blocks = max(1, -(-sets.count() // BLOCK))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    dealt = common.written(pairs.select("a", "b", F.least(block("a"), block("b")).alias("p"), F.greatest(block("a"), block("b")).alias("q")), "pairs")
+    needed = dealt.select("p", "q", F.col("a").alias("key")).union(dealt.select("p", "q", F.col("b").alias("key"))).distinct()
+    needed = needed.join(sets, "key").select(F.col("p").alias("u"), F.col("q").alias("v"), "key", "n", "shared")
+
+    def verify(pairs_: pa.Table, sets_: pa.Table) -> pa.Table:
+        place = {k: i for i, k in enumerate(sets_["key"].to_pylist())}
+        one, two = (np.array([place[k] for k in pairs_[c].to_pylist()], np.int64) for c in "ab")
+        n, shared = sets_["n"].to_numpy(), sets_["shared"].combine_chunks()
+        size = shared.value_lengths().to_numpy().astype(np.int64)
+        _, tokens = np.unique(shared.flatten().to_numpy(), return_inverse=True)
+        begin, mark, linked = np.cumsum(size) - size, np.zeros(int(tokens.max(initial=0)) + 1, bool), np.zeros(len(one), bool)
+        order = np.argsort(one, kind="stable")
+        for run in np.split(order, np.flatnonzero(np.diff(one[order])) + 1):
+            a = one[run[0]]
+            mine = tokens[begin[a] : begin[a] + size[a]]
+            mark[mine] = True
+            for some in np.array_split(run, max(1, int(size[two[run]].sum()) >> 22)):
+                b = two[some]
+                ends = np.cumsum(size[b])
+                at = np.arange(ends[-1]) + np.repeat(begin[b] - ends + size[b], size[b])
+                inside = np.concatenate(([0], np.cumsum(mark[tokens[at]])))
+                i = inside[ends] - inside[ends - size[b]]
+                linked[some] = i * 100 >= (n[a] + n[b] - i) * 80
+            mark[mine] = False
+        return pairs_.select(["a", "b"]).filter(pa.array(linked))
+
+    return dealt.groupBy("p", "q").cogroup(needed.groupBy("u", "v")).applyInArrow(verify, "a binary, b binary")
 
 
 def jaccard_components(docs: DataFrame, text: str = "text", rare: int = RARE) -> DataFrame:
@@ -165,24 +199,25 @@ def jaccard_components(docs: DataFrame, text: str = "text", rare: int = RARE) ->
     signed = common.written(sets.select("key", "n", F.explode(signing("n", "counts", "shared")).alias("signature")), "signatures")
     sets = sets.select("key", "n", "shared")
 
-    # 3. rounds of centres
+    # 3. rounds of centres; a group of one component stays one, so each round only has the groups that are open
     near = F.least(F.col("n"), F.col("m")) * 5 >= F.greatest(F.col("n"), F.col("m")) * 4
-    links, labels, groups, round_ = None, None, signed.withColumn("label", F.col("key")), 0
-    while True:
-        open_ = groups.groupBy("signature").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct(F.xxhash64(F.lit(round_), "key").alias("h"), "key", "n", "label")).alias("c")).where("lo <> hi")
-        open_ = open_.select("signature", F.col("c.key").alias("b"), F.col("c.n").alias("m"), F.col("c.label").alias("centre_label"))
-        pairs = groups.join(open_, "signature").where((F.col("label") != F.col("centre_label")) & near).select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b")).distinct()
+    links, labels, round_, most_found = None, None, 0, 0
+    groups = _open_groups(signed.withColumn("label", F.col("key")))
+    while not groups.isEmpty():
+        centre = groups.groupBy("signature").agg(F.min(F.struct(F.xxhash64(F.lit(round_), "key").alias("h"), "key", "n", "label")).alias("c"))
+        centre = centre.select("signature", F.col("c.key").alias("b"), F.col("c.n").alias("m"), F.col("c.label").alias("centre_label"))
+        pairs = groups.join(centre, "signature").where((F.col("label") != F.col("centre_label")) & near).select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b")).distinct()
         found = common.written(verified(pairs, sets), "found")
-        if found.isEmpty():
+        n_found = found.count()
+        if not n_found:
             break
+        most_found = max(most_found, n_found)
         links = found if links is None else links.union(found)
         labels = components(links)
-        groups = _labelled(signed, labels)
-        still = groups.groupBy("signature").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("signature")
-        groups = common.written(groups.join(still, "signature"), "groups")
-        if groups.isEmpty():
-            break
+        groups = _open_groups(_labelled(groups.drop("label"), labels))
         round_ += 1
+        if n_found < FEW * most_found:
+            break
     rest = groups.select("signature", F.col("key").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
     pairs = groups.join(rest, "signature").where((F.col("key") < F.col("b")) & (F.col("label") != F.col("other")) & near).select(F.col("key").alias("a"), "b").distinct()
     found = common.written(verified(pairs, sets), "found")
@@ -204,6 +239,12 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
 
 
+def _open_groups(groups: DataFrame) -> DataFrame:
+    """The rows of signatures whose members are in several components."""
+    still = groups.groupBy("signature").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("signature")
+    return common.written(groups.join(still, "signature"), "groups")
+
+
 def first_of_each(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents whose id names their component, one row of each: near duplicates go, as do repeated ids."""
     found = jaccard_components(docs, text)

@@ -69,6 +69,7 @@ def split_url(url):
 def judge_urls(pages: DataFrame, url: str = "url", rules: dict[str, str] = RULES, labelled=LABELLED) -> DataFrame:
     """pages with host, path, rule, verdict and score (the model's probability of block)."""
     w, b = fit(tuple(labelled))
+    common.bound_batches(pages.sparkSession)
 
     @F.pandas_udf(T.DoubleType())
     def score(hosts: pd.Series, paths: pd.Series) -> pd.Series:
