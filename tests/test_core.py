@@ -55,7 +55,7 @@ def test_retrieval(spark):
     c = spark.createDataFrame([(0, "alpha beta"), (1, "alpha"), (2, "beta alpha alpha"), (9, "gamma")], "chunk_id long, text string")
     assert [r.chunk_id for r in retrieval.lexical_top(c, [["alpha"], ["beta", "delta"]], 5).orderBy("lexical_rank").collect()] == [2, 0]
     top = retrieval.hybrid_top(c, e, [1.0, 0.0], [["alpha"], ["beta"]], 4).orderBy("final_rank").collect()
-    assert [r.chunk_id for r in top][:2] == [2, 0] and top[-1].lexical_rank is None
+    assert [r.chunk_id for r in top][:2] == [0, 2] and top[-1].lexical_rank is None
     old, new = (spark.createDataFrame(x, "k long, v long") for x in ([(1, 1), (2, 2)], [(2, None), (3, 30)]))
     assert sorted((r.k, r.v) for r in retrieval.upsert(old, new, "k", ["v"]).collect()) == [(1, 1), (2, None), (3, 30)]
 
