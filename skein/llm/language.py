@@ -24,7 +24,7 @@ from skein.llm.hashing import mix
 BUCKETS = 1 << 15
 #: At most so many labelled rows of each language are counted, those with the smallest hash of their id, and no text
 #: longer than SAMPLE_CHARS, which bounds the sample's bytes.
-SAMPLE_ROWS = 1500
+SAMPLE_ROWS = 1000
 SAMPLE_CHARS = 50_000
 SMOOTHING = 0.1
 #: Trigrams overlap, so a third of their number counts; each further language costs this times the log of that.
