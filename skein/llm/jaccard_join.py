@@ -13,8 +13,11 @@ Documents with equal sets form a class; everything below handles one member of e
    If x and y link, the one whose prefix ends first has a signature within both prefixes.
 3. Verification. In each group of equal signatures a centre is verified against the members that are not yet known to
    be in its component; components are updated and the next round takes other centres, in groups that still hold
-   several components. Once a round finds few new links, all pairs that are left (members of different components) are
-   verified one by one. So no link between components is lost, and large groups of copies cost a few rounds.
+   several components. Once a round finds few new links, the pairs that are left (members of different components) are
+   verified one by one, unless their sketches prove that they don't link: bit b of a sketch is the parity of the number
+   of shingles that fall on b, so two sketches differ in at most as many bits as the sets differ in shingles, and linked
+   sets of n and m differ in at most (n + m) / 9. So no link between components is lost, and large groups of copies cost
+   a few rounds.
 
 Defined results: documents without words (null, empty, white space) have n_shingles 0 and are their own component; fewer
 than five words are one shingle; a repeated doc_id is one document for the components; a null doc_id is a value like
@@ -37,6 +40,8 @@ WORDS = 5
 RARE = 8
 #: Sets of a block in verification.
 BLOCK = 512
+#: Bits of a set's sketch.
+SKETCH = 1024
 #: Rounds of centres end once one finds less than this share of the links that the best one found.
 FEW = 0.1
 
@@ -73,13 +78,20 @@ def _screened(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"n": n, "key": keys, "prefix": prefixes})
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """SKETCH bits, each the parity of the number of shingles whose hash falls on it."""
+    ones = np.bincount((mix(s) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(ones.astype(np.uint8)).view(np.int64)
+
+
 def _whole(texts: pd.Series) -> pd.DataFrame:
-    keys, sets, texts = [], [], texts.tolist()
+    keys, sets, sketches, texts = [], [], [], texts.tolist()
     for a, b in common.batches_of_bytes(texts):
         for s in shingle_sets(texts[a:b], WORDS):
             keys.append(set_key(s))
             sets.append(s.view(np.int64))
-    return pd.DataFrame({"key": keys, "shingles": sets})
+            sketches.append(sketch(s))
+    return pd.DataFrame({"key": keys, "shingles": sets, "sketch": sketches})
 
 
 def signatures(n: int, counts: np.ndarray, shingles: np.ndarray, rare: int = RARE) -> np.ndarray:
@@ -165,7 +177,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", rare: int = RARE) ->
         return pd.Series([signatures(int(a), np.asarray(b), np.asarray(c), rare) for a, b, c in zip(n, counts, shingles, strict=True)], dtype=object)
 
     screened = F.pandas_udf(_screened, "struct<n:bigint,key:binary,prefix:array<bigint>>")
-    whole_sets = F.pandas_udf(_whole, "struct<key:binary,shingles:array<bigint>>")
+    whole_sets = F.pandas_udf(_whole, "struct<key:binary,shingles:array<bigint>,sketch:array<bigint>>")
     signing = F.pandas_udf(signed_by, "array<bigint>")
     spark = docs.sparkSession
     common.tidy_shuffles(spark)
@@ -189,7 +201,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", rare: int = RARE) ->
     # 2. whole sets of what is left, document frequencies, signatures
     wanted = left.select(F.col("key").alias("rep_key"), "n", "rep")
     texts = bare.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("rep_key", "n", "text")
-    whole = texts.select("rep_key", "n", whole_sets("text").alias("w")).where("w.key = rep_key").select(F.col("rep_key").alias("key"), "n", "w.shingles")
+    whole = texts.select("rep_key", "n", whole_sets("text").alias("w")).where("w.key = rep_key").select(F.col("rep_key").alias("key"), "n", "w.shingles", "w.sketch")
     whole = common.written(whole, "whole")
     each = whole.select("key", "n", F.explode("shingles").alias("token"))
     counts = each.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
@@ -218,8 +230,10 @@ def jaccard_components(docs: DataFrame, text: str = "text", rare: int = RARE) ->
         round_ += 1
         if n_found < FEW * most_found:
             break
-    rest = groups.select("signature", F.col("key").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
-    pairs = groups.join(rest, "signature").where((F.col("key") < F.col("b")) & (F.col("label") != F.col("other")) & near).select(F.col("key").alias("a"), "b").distinct()
+    groups = groups.join(whole.select("key", "sketch"), "key")
+    rest = groups.select("signature", F.col("key").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"), F.col("sketch").alias("sketch_b"))
+    apart = sum(F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("sketch_b")[i])) for i in range(SKETCH // 64))
+    pairs = groups.join(rest, "signature").where((F.col("key") < F.col("b")) & (F.col("label") != F.col("other")) & near & (apart * 9 <= F.col("n") + F.col("m"))).select(F.col("key").alias("a"), "b").distinct()
     found = common.written(verified(pairs, sets), "found")
     if not found.isEmpty():
         labels = components(found if links is None else links.union(found))
