@@ -177,7 +177,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", rare: int = RARE) ->
         return pd.Series([signatures(int(a), np.asarray(b), np.asarray(c), rare) for a, b, c in zip(n, counts, shingles, strict=True)], dtype=object)
 
     screened = F.pandas_udf(_screened, "struct<n:bigint,key:binary,prefix:array<bigint>>")
-    whole_sets = F.pandas_udf(_whole, "struct<key:binary,shingles:array<bigint>,sketch:array<bigint>>")
+    whole_sets = F.pandas_udf(_whole, "struct<key:binary,shingles:array<bigint>,sketch:array<bigint>>").asNondeterministic()  # else Spark computes it once more for the filter on its key
     signing = F.pandas_udf(signed_by, "array<bigint>")
     spark = docs.sparkSession
     common.tidy_shuffles(spark)
