@@ -16,8 +16,9 @@ Documents with equal sets form a class; everything below handles one member of e
    several components. Once a round finds few new links, the pairs that are left (members of different components) are
    verified one by one, unless their sketches prove that they don't link: bit b of a sketch is the parity of the number
    of shingles that fall on b, so two sketches differ in at most as many bits as the sets differ in shingles, and linked
-   sets of n and m differ in at most (n + m) / 9. So no link between components is lost, and large groups of copies cost
-   a few rounds.
+   sets of n and m differ in at most (n + m) / 9. A pair comes up in every signature that it shares; where the smallest
+   signatures of both have some in common, it is taken in the smallest of these only. So no link between components is
+   lost, and large groups of copies cost a few rounds.
 
 Defined results: documents without words (null, empty, white space) have n_shingles 0 and are their own component; fewer
 than five words are one shingle; a repeated doc_id is one document for the components; a null doc_id is a value like
@@ -42,6 +43,8 @@ RARE = 8
 BLOCK = 512
 #: Bits of a set's sketch.
 SKETCH = 1024
+#: A set carries so many of its smallest signatures.
+LOWEST = 16
 #: Rounds of centres end once one finds less than this share of the links that the best one found.
 FEW = 0.1
 
@@ -230,10 +233,11 @@ def jaccard_components(docs: DataFrame, text: str = "text", rare: int = RARE) ->
         round_ += 1
         if n_found < FEW * most_found:
             break
-    groups = groups.join(whole.select("key", "sketch"), "key")
-    rest = groups.select("signature", F.col("key").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"), F.col("sketch").alias("sketch_b"))
+    lowest = groups.select("key").distinct().join(signed, "key").groupBy("key").agg(F.slice(F.array_sort(F.collect_list("signature")), 1, LOWEST).alias("low"))
+    groups = groups.join(whole.select("key", "sketch"), "key").join(lowest, "key")
+    rest = groups.select("signature", F.col("key").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"), F.col("sketch").alias("sketch_b"), F.col("low").alias("low_b"))
     apart = sum(F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("sketch_b")[i])) for i in range(SKETCH // 64))
-    pairs = groups.join(rest, "signature").where((F.col("key") < F.col("b")) & (F.col("label") != F.col("other")) & near & (apart * 9 <= F.col("n") + F.col("m"))).select(F.col("key").alias("a"), "b").distinct()
+    pairs = groups.join(rest, "signature").where((F.col("key") < F.col("b")) & (F.col("label") != F.col("other")) & near & (apart * 9 <= F.col("n") + F.col("m")) & (F.coalesce(F.array_min(F.array_intersect("low", "low_b")), "signature") == F.col("signature"))).select(F.col("key").alias("a"), "b").distinct()
     found = common.written(verified(pairs, sets), "found")
     if not found.isEmpty():
         labels = components(found if links is None else links.union(found))
