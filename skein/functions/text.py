@@ -79,3 +79,63 @@ def sentences(c: Column) -> Column:
 def prefix_context(c: Column, most: int) -> Column:
     """The first characters without blanks at their end."""
     return F.rtrim(F.substring(c, 1, most))
+
+
+def clean_context(c: Column) -> Column:
+    """No control characters, single blanks, at most one empty line in a row, trimmed."""
+    c = F.regexp_replace(c, r"[\x00-\x08\x0b-\x1f]", "")
+    c = F.regexp_replace(F.regexp_replace(c, r"[ \t]+", " "), r"\n{3,}", "\n\n")
+    return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
+
+
+def clean_document(c: Column) -> Column:
+    """No control characters, at most two empty lines in a row, trimmed."""
+    c = F.regexp_replace(F.regexp_replace(c, r"[\x00-\x08\x0b-\x1f]", ""), r"\n{4,}", "\n\n\n")
+    return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
+
+
+FRAGMENT_ENDS = r"[,;]|\s(?:et|and)\s"
+
+
+def question_fragments(c: Column, least: int = 3) -> Column:
+    """The parts of a question behind its first colon, cut at commas, semicolons and conjunctions; short ones go."""
+    parts = F.transform(F.split(F.regexp_replace(c, "^[^:]*:", ""), FRAGMENT_ENDS), lambda x: F.trim(x))
+    return F.filter(parts, lambda x: F.length(x) >= least)
+
+
+CLAIM_PATTERNS = {
+    "percentage": r"(\d+(?:[.,]\d+)?)\s*%",
+    "time": r"\b(\d{1,2})\s*[h:]\s*(\d{2})\b",
+    "date": r"\b(\d{1,2})[/-](\d{1,2})[/-](\d{4}|\d{2})\b",
+    "duration": r"\b(\d+)\s*(jour|day|semaine|week|mois|month)",
+}
+
+
+def claims(c: Column) -> Column:
+    """Distinct claims of the text as kind=value: decimal points, HH:MM, YYYY-MM-DD (years of two digits are 20yy), n:unit."""
+    def each(kind: str, f) -> Column:
+        p = CLAIM_PATTERNS[kind]
+        found = F.regexp_extract_all(c, F.lit(p), F.lit(0))
+        return F.transform(found, lambda m: F.concat(F.lit(f"{kind}="), f(lambda i: F.regexp_extract(m, p, i))))
+
+    unit = lambda u: F.when(u.isin("jour", "day"), "day").when(u.isin("semaine", "week"), "week").otherwise("month")
+    two = lambda x: F.lpad(x, 2, "0")
+    year = lambda y: F.when(F.length(y) == 2, F.concat(F.lit("20"), y)).otherwise(y)
+    return F.array_distinct(F.concat(
+        each("percentage", lambda g: F.replace(g(1), F.lit(","), F.lit("."))),
+        each("time", lambda g: F.concat(two(g(1)), F.lit(":"), g(2))),
+        each("date", lambda g: F.concat_ws("-", year(g(3)), two(g(2)), two(g(1)))),
+        each("duration", lambda g: F.concat(g(1), F.lit(":"), unit(g(2)))),
+    ))
+
+
+def bounded_fold(blocks: Column, most: int, least: int = 20) -> Column:
+    """Blocks joined by empty lines within a budget of characters: the first that doesn't fit is cut if more than `least`
+    characters are left, else skipped; later shorter ones may still follow."""
+    def add(done: Column, block: Column) -> Column:
+        gap = F.when(F.length(done) > 0, F.lit("\n\n")).otherwise(F.lit(""))
+        room = F.lit(most) - F.length(done) - F.length(gap)
+        cut = F.when(F.length(block) <= room, block).when(room > least, F.rtrim(F.substring(block, F.lit(1), F.greatest(room, F.lit(1)))))
+        return F.coalesce(F.concat(done, gap, cut), done)
+
+    return F.aggregate(blocks, F.lit(""), add)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import text as tx
 from skein.functions import vectors as vx
-from skein.operators import chunking, evaluation, retrieval
+from skein.operators import answers, chunking, evaluation, fuzzy, hierarchy, retrieval
 from skein.shipping import ship
 from skein.sources import table
 
@@ -244,3 +244,115 @@ def _(t):
 @query("fil_status", "SELECT user_id, CASE WHEN bool_or(event_type = 'error') THEN 'failed' WHEN count(*) >= 10 THEN 'ready' ELSE 'preparing' END AS status FROM events GROUP BY user_id")
 def _(t):
     return t("events").groupBy("user_id").agg(F.when(F.bool_or(F.col("event_type") == "error"), "failed").when(F.count(F.lit(1)) >= 10, "ready").otherwise("preparing").alias("status"))
+
+
+_CONTROL = r"regexp_replace(text, '[\x00-\x08\x0b-\x1f]', '', 'g')"
+_CLAIM_SQL = {
+    "percentage": "replace(regexp_extract(m, '{p}', 1), ',', '.')",
+    "time": "lpad(regexp_extract(m, '{p}', 1), 2, '0') || ':' || regexp_extract(m, '{p}', 2)",
+    "date": "CASE WHEN length(regexp_extract(m, '{p}', 3)) = 2 THEN '20' ELSE '' END || regexp_extract(m, '{p}', 3) || '-' || lpad(regexp_extract(m, '{p}', 2), 2, '0') || '-' || lpad(regexp_extract(m, '{p}', 1), 2, '0')",
+    "duration": "regexp_extract(m, '{p}', 1) || ':' || CASE WHEN regexp_extract(m, '{p}', 2) IN ('jour', 'day') THEN 'day' WHEN regexp_extract(m, '{p}', 2) IN ('semaine', 'week') THEN 'week' ELSE 'month' END",
+}
+_CLAIMS = " || ".join(f"list_transform(regexp_extract_all(text, '{tx.CLAIM_PATTERNS[k]}'), lambda m: '{k}=' || {v.replace('{p}', tx.CLAIM_PATTERNS[k])})" for k, v in _CLAIM_SQL.items())
+_CLOSE = "(CASE WHEN coalesce(list_max(list_transform(range(1, len(tk) + 1), lambda i: len(list_intersect(list_distinct(tk[i:i + 9]), {terms})))), 0) >= 3 THEN 0.012 ELSE 0 END)".replace("{terms}", str(_ALL_TERMS))
+_QUERY_RANKS = " UNION ALL ".join(f"(SELECT {q} AS query, vec_id AS chunk_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = {q})::DOUBLE[]), 6) AS score FROM embeddings ORDER BY score DESC, chunk_id LIMIT 20)" for q in range(3))
+_NODES = "SELECT vec_id, label, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = 0)::DOUBLE[]), 6) AS similarity FROM embeddings"
+
+
+@query("str_context", rf"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace({_CONTROL}, '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+\z', '', 'g')) AS context FROM documents")
+def _(t):
+    return t("documents").select("doc_id", F.md5(tx.clean_context(F.col("text"))).alias("context"))
+
+
+@query("str_document", rf"SELECT doc_id, md5(regexp_replace(regexp_replace({_CONTROL}, '\n{{4,}}', repeat(chr(10), 3), 'g'), '^\s+|\s+\z', '', 'g')) AS document FROM documents")
+def _(t):
+    return t("documents").select("doc_id", F.md5(tx.clean_document(F.col("text"))).alias("document"))
+
+
+@query("rag_fragments", rf"SELECT item_id, array_to_string(list_filter(list_transform(string_split_regex(regexp_replace(text, '^[^:]*:', ''), '{tx.FRAGMENT_ENDS}'), lambda x: trim(x)), lambda x: length(x) >= 3), '|') AS fragments FROM benchmark")
+def _(t):
+    return t("benchmark").select("item_id", F.concat_ws("|", tx.question_fragments(F.col("text"))).alias("fragments"))
+
+
+@query("clm_claims", f"SELECT doc_id, array_to_string(list_sort(list_distinct({_CLAIMS})), ',') AS claims FROM documents")
+def _(t):
+    return t("documents").select("doc_id", F.concat_ws(",", F.array_sort(tx.claims(F.col("text")))).alias("claims"))
+
+
+@query("pe_token_estimate", "SELECT doc_id, ceil((100 + length(text)) / 3.0)::BIGINT AS n_tokens FROM documents")
+def _(t):
+    return t("documents").select("doc_id", F.ceil((F.length("text") + 100) / F.lit(3.0)).alias("n_tokens"))
+
+
+@query("ctx_fold")
+def _(t):
+    turns = t("conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("blocks"))
+    return turns.select("conv_id", tx.bounded_fold(F.col("blocks"), 600).alias("context"))
+
+
+@query("ret_fuzzy")
+def _(t):
+    return fuzzy.fuzzy_scores(chunk_table(t), ["eshaing", "anderning", "thtionel"])
+
+
+@query("rrk_scores", f"SELECT doc_id, round(len(list_intersect(list_distinct(tk), {_ALL_TERMS})) * 0.004 + regexp_matches(text, '(?i){tx.VALUE_PATTERNS['date']}')::INT * 0.018 + regexp_matches(text, '(?i){tx.VALUE_PATTERNS['time']}')::INT * 0.018 + {_CLOSE}, 6)::DOUBLE AS score FROM (SELECT doc_id, text, {_TOKENS} AS tk FROM documents)")
+def _(t):
+    return t("documents").select("doc_id", answers.rerank_score(F.col("text"), _ALL_TERMS, ["date", "time"]).alias("score"))
+
+
+def query_results(t) -> DataFrame:
+    vectors = {r["vec_id"]: r["embedding"] for r in t("embeddings").where("vec_id < 3").collect()}
+    each = [retrieval.vector_top(vector_table(t), v, 20).select(F.lit(q).alias("query"), "chunk_id", F.col("vector_rank").alias("rank"), F.col("similarity").alias("score")) for q, v in sorted(vectors.items())]
+    return each[0].union(each[1]).union(each[2])
+
+
+@query("rag_merge", f"SELECT chunk_id, count(DISTINCT query)::INT AS n_matched, max(score) AS best_score, round(max(score) + 0.006 * (count(DISTINCT query) - 1), 6)::DOUBLE AS merged_score FROM ({_QUERY_RANKS}) GROUP BY chunk_id")
+def _(t):
+    return answers.merge_queries(query_results(t))
+
+
+@query("rag_select")
+def _(t):
+    return answers.select_merged(query_results(t), 8, 3)
+
+
+@query("rap_level_top", f"SELECT label AS level, vec_id AS node_id, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY similarity DESC, vec_id) AS rank FROM ({_NODES})) WHERE rank <= 4")
+def _(t):
+    return retrieval.best_per_key(node_table(t), "level", [F.desc("similarity"), F.col("node_id")], 4).select("level", "node_id", "rank")
+
+
+def node_table(t) -> DataFrame:
+    q = F.array(*[F.lit(float(x)) for x in query_vector(t)])
+    return t("embeddings").select(F.col("label").alias("level"), F.col("vec_id").alias("node_id"), F.round(vx.cosine(F.col("embedding"), q), 6).alias("similarity"))
+
+
+@query("rap_diverse", f"WITH n AS ({_NODES}), h AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY similarity DESC, vec_id) AS r, max(similarity) OVER () AS best FROM n) SELECT label AS level, vec_id AS node_id, similarity FROM h WHERE r = 1 AND similarity >= greatest(0.05, best * 0.75, best - 0.25)")
+def _(t):
+    return hierarchy.diverse(node_table(t))
+
+
+@query("rap_beam")
+def _(t):
+    n = node_table(t)  # each label's vectors lie below the one with the smallest id
+    edges = n.groupBy("level").agg(F.min("node_id").alias("parent")).join(n.select("level", F.col("node_id").alias("child")), "level").where("parent <> child").select("parent", "child")
+    return hierarchy.beam_search(n, edges)
+
+
+@query("rap_roots", "SELECT vec_id AS node_id FROM embeddings WHERE vec_id IN (SELECT min(vec_id) FROM embeddings GROUP BY label)")
+def _(t):
+    n = node_table(t)
+    edges = n.groupBy("level").agg(F.min("node_id").alias("parent")).join(n.select("level", F.col("node_id").alias("child")), "level").where("parent <> child").select("parent", "child")
+    return hierarchy.roots(n, edges).select("node_id")
+
+
+@query("src_sample_class", "SELECT source, sum(solid)::BIGINT AS total, sum(solid) >= 100 OR avg(solid) >= 30 AS is_text FROM (SELECT source, length(regexp_replace(text, '\\s', '', 'g')) AS solid, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page FROM documents) WHERE page <= 5 GROUP BY source")
+def _(t):
+    pages = retrieval.best_per_key(t("documents").select("source", "doc_id", "text"), "source", [F.col("doc_id")], 5, "page")
+    solid = tx.usability(F.col("text"))["solid"]
+    return pages.groupBy("source").agg(F.sum(solid).alias("total"), ((F.sum(solid) >= 100) | (F.avg(solid) >= 30)).alias("is_text"))
+
+
+@query("evl_inclusion", "SELECT source, count(*) FILTER (toxic = 0) = count(*) AS complete FROM documents JOIN labels USING (doc_id) WHERE quality = 1 GROUP BY source")
+def _(t):
+    expected = t("documents").join(t("labels").where("quality = 1"), "doc_id")
+    return expected.groupBy("source").agg(F.bool_and(F.col("toxic") == 0).alias("complete"))

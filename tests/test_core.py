@@ -4,7 +4,7 @@ import pytest
 
 from skein.functions import text as tx
 from skein.functions import vectors as vx
-from skein.operators import chunking, evaluation, retrieval
+from skein.operators import answers, chunking, evaluation, fuzzy, hierarchy, retrieval
 
 F = tx.F
 
@@ -65,3 +65,32 @@ def test_metrics(spark):
     expected = spark.createDataFrame([("q", 7), ("q", 8), ("r", 1)], "question string, item long")
     got = {r.question: (r.recall, r.reciprocal_rank) for r in evaluation.recall_and_reciprocal_rank(ranking, expected, 5).collect()}
     assert got == {"q": (0.5, 0.5), "r": (0.0, 0.0)}
+
+
+def test_claims_fragments_and_folds(spark):
+    text = "5,5 % le 3/7/18 a 9h05 pour 2 semaines et 1 mois, 9:05"
+    assert one(spark, text, tx.claims) == ["percentage=5.5", "time=09:05", "date=2018-07-03", "duration=2:week", "duration=1:month"]
+    assert one(spark, "Give: dates, amounts and places; ok", tx.question_fragments) == ["dates", "amounts", "places"]
+    fold = lambda n: lambda c: tx.bounded_fold(F.split(c, r"\|"), n, 3)
+    assert one(spark, "aaaa|bbbbbbbb|cc", fold(100)) == "aaaa\n\nbbbbbbbb\n\ncc"
+    assert one(spark, "aaaa|bbbbbbbb|cc", fold(10)) == "aaaa\n\nbbbb" and one(spark, "aaaa|bbbbbbbb|cc", fold(9)) == "aaaa\n\ncc"
+
+
+def test_fuzzy_scores(spark):
+    c = spark.createDataFrame([(0, "the guarantees"), (1, "garantie"), (2, "nothing")], "chunk_id long, text string")
+    got = {r.chunk_id: (r.matched_terms, r.fuzzy_score) for r in fuzzy.fuzzy_scores(c, ["guarantee", "language"]).collect()}
+    assert got == {0: (1, round(fuzzy.ratio("guarantee", "guarantees") / 2, 6))}
+
+
+def test_merged_queries(spark):
+    rows = spark.createDataFrame([(0, 7, 1, 0.9), (0, 8, 2, 0.5), (1, 7, 1, 0.8), (1, 9, 2, 0.1)], "query int, chunk_id long, rank int, score double")
+    assert {r.chunk_id: (r.n_matched, r.merged_score) for r in answers.merge_queries(rows).collect()} == {7: (2, 0.906), 8: (1, 0.5), 9: (1, 0.1)}
+    assert [r.chunk_id for r in answers.select_merged(rows, 2, 2).orderBy("position").collect()] == [7, 9]
+
+
+def test_hierarchy(spark):
+    nodes = spark.createDataFrame([(0, 2, 0.5), (1, 1, 0.9), (2, 1, 0.4), (3, 0, 0.8), (4, 0, 0.1)], "node_id long, level int, similarity double")
+    edges = spark.createDataFrame([(0, 1), (0, 2), (1, 3), (2, 3), (2, 4)], "parent long, child long")
+    assert [r.node_id for r in hierarchy.roots(nodes, edges).collect()] == [0]
+    assert {r.node_id: r.depth for r in hierarchy.beam_search(nodes, edges, 1, 2).collect()} == {0: 0, 1: 1, 2: 1, 3: 2}
+    assert sorted(r.node_id for r in hierarchy.diverse(nodes).collect()) == [1, 3]
