@@ -118,14 +118,21 @@ class Model:
 
 
 def labelled_sample(docs: DataFrame, text: str, lang: str, rows: int = SAMPLE_ROWS) -> list[tuple[str, str]]:
-    """At most `rows` labelled texts of each language; languages are few (a window per language keeps its first rows)."""
+    """At most `rows` labelled texts of each language, those with the smallest hashes; languages are few.
+
+    A histogram of the hashes, finer towards small ones, tells how far each language's rows are needed, so the window that
+    ranks them gets little more than `rows` of each language, whatever the table's size, and no language loses any."""
     from pyspark.sql import Window
 
-    order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    rank = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & (F.length(text) <= SAMPLE_CHARS))
-    rank = rank.select("doc_id", F.col(lang).alias("lang"), F.xxhash64(F.lit(5), F.col("doc_id").cast("string")).alias("h"), F.col(text).alias("text"))
-    share = min(1.0, 40.0 * rows / max(1, docs.count()))  # a thinned table has enough rows of all but rare languages
-    thin = rank.where((F.pmod(F.col("h"), F.lit(1000)) < F.lit(int(1000 * share) + 1)))
+    known = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & (F.length(text) <= SAMPLE_CHARS))
+    h = F.xxhash64(F.lit(5), F.coalesce(F.col("doc_id").cast("string"), F.col(text)))
+    known = known.select("doc_id", F.col(lang).alias("lang"), h.alias("h"), F.col(text).alias("text"))
+    known = known.withColumn("step", F.floor(4 * F.log2(F.col("h").cast("double") + F.lit(2.0**63 + 1))))
+    steps = known.groupBy("lang", "step").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("lang").orderBy("step")) - F.col("n")
+    last = steps.select("lang", "step", before.alias("before")).where(F.col("before") < rows).groupBy("lang").agg(F.max("step").alias("last"))
+    thin = known.join(F.broadcast(last), "lang").where(F.col("step") <= F.col("last"))
+    order = Window.partitionBy("lang").orderBy("h", "doc_id", "text")
     return [(r["lang"], r["text"]) for r in thin.withColumn("k", F.row_number().over(order)).where(F.col("k") <= rows).select("lang", "text").collect()]
 
 

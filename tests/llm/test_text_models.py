@@ -26,6 +26,17 @@ def test_language_mixture_and_awkward_texts(spark):
     assert language.trained(spark.createDataFrame([], COLUMNS)).names == []
 
 
+def test_sample_keeps_rare_languages_and_the_smallest_hashes(spark):
+    """A hot language doesn't thin the others: 60,000 rows of one, 30 and 3 of two more, some without an id."""
+    lang = F.when(F.col("id") < 60_000, "hot").when(F.col("id") < 60_030, "rare").otherwise("rarest")
+    table = spark.range(60_033).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), lang.alias("lang"), F.concat(F.lit("t"), "id").alias("text"))
+    got = language.labelled_sample(table, "text", "lang", 10)
+    h = F.xxhash64(F.lit(5), F.coalesce(F.col("doc_id").cast("string"), "text"))
+    hashes = sorted((r.h, r.text, r.lang) for r in table.select("text", "lang", h.alias("h")).collect())
+    for name, n in (("hot", 10), ("rare", 10), ("rarest", 3)):
+        assert sorted(t for x, t in got if x == name) == sorted([t for _, t, x in hashes if x == name][:n]) and len([x for x, _ in got if x == name]) == n
+
+
 def test_expectation_maximisation_finds_the_likeliest_mixture():
     rng = np.random.default_rng(0)
     like, counts = rng.random((40, 2)) + 0.05, rng.integers(1, 9, 40).astype(float)
