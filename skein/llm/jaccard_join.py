@@ -21,8 +21,9 @@ Documents with equal sets form a class; everything below handles one member of e
    lost, and large groups of copies cost a few rounds.
 
 Defined results: documents without words (null, empty, white space) have n_shingles 0 and are their own component; fewer
-than five words are one shingle; a repeated doc_id is one document for the components; a null doc_id is a value like
-others; an empty table stays empty; further columns play no part. Shingles are compared by 64-bit hashes.
+than five words are one shingle; an empty table stays empty; further columns play no part. Rows are told apart by a
+number of their own, so neither null nor repeated ids are merged: a component has the smallest id of its rows, null if
+none has one. Shingles are compared by 64-bit hashes, rows are found again by 128-bit hashes of id and text.
 """
 
 from __future__ import annotations
@@ -173,8 +174,26 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return dealt.groupBy("p", "q").cogroup(needed.groupBy("u", "v")).applyInArrow(verify, "a binary, b binary")
 
 
+def _addressed(docs: DataFrame, text: str, *names: str) -> DataFrame:
+    """docs with two columns, a hash of id and text: the same whenever a row is read again."""
+    return docs.select("*", *[F.xxhash64(F.lit(k), "doc_id", text).alias(c) for k, c in enumerate(names)])
+
+
+def _one_each(docs: DataFrame, *names: str) -> DataFrame:
+    """One of the rows that have the same address; each task keeps one before rows move."""
+    (k,) = common.fresh(docs, "k")
+    return docs.withColumn(k, F.row_number().over(Window.partitionBy(*names).orderBy(names[0]))).where(F.col(k) == 1).drop(k)
+
+
 def jaccard_components(docs: DataFrame, text: str = "text", rare: int = RARE) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
+    first, heads = _components(docs, text, rare)
+    found = first.select("doc_id", F.col("n").alias("n_shingles"), "key").join(heads, "key", "left")
+    return found.select("doc_id", "n_shingles", F.coalesce("head.doc_id", "doc_id").alias("component_id"))
+
+
+def _components(docs: DataFrame, text: str, rare: int = RARE) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, at, at2, n, key) and, for each key, the head of its component: the row of the smallest id."""
 
     def signed_by(n: pd.Series, counts: pd.Series, shingles: pd.Series) -> pd.Series:
         return pd.Series([signatures(int(a), np.asarray(b), np.asarray(c), rare) for a, b, c in zip(n, counts, shingles, strict=True)], dtype=object)
@@ -185,25 +204,26 @@ def jaccard_components(docs: DataFrame, text: str = "text", rare: int = RARE) ->
     spark = docs.sparkSession
     common.tidy_shuffles(spark)
     common.bound_batches(spark)
-    bare = docs.select("doc_id", F.col(text).alias("text"))
-    first = common.written(bare.select("doc_id", screened("text").alias("s")).select("doc_id", "s.*"), "screened")
-    # classes of equal sets; a repeated doc_id may be in several
-    members = first.where("n > 0").select("key", "n", "doc_id")
-    reps = common.written(members.groupBy("key", "n").agg(F.min("doc_id").alias("rep")), "representatives")
+    bare = _addressed(docs.select("doc_id", F.col(text).alias("text")), "text", "at", "at2")
+    numbered = bare.withColumn("row", F.monotonically_increasing_id())  # fixed by being written
+    first = common.written(numbered.select("doc_id", "at", "at2", "row", screened("text").alias("s")).select("doc_id", "at", "at2", "row", "s.*"), "screened")
+    # classes of equal sets; rows without an id come last
+    members = first.where("n > 0").select("key", "n", F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "at", "at2", "row").alias("rep"))
+    reps = common.written(members.groupBy("key", "n").agg(F.min("rep").alias("rep")), "representatives")
 
     # 1. screening: a shingle counts if two different sets have it in their prefixes
     tokens = first.where("n > 0").select("key", F.explode("prefix").alias("token"))
     shared = tokens.groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("token")
-    one = first.where("n > 0").alias("f").join(reps.alias("r"), (F.col("f.key") == F.col("r.key")) & F.col("f.doc_id").eqNullSafe(F.col("r.rep")))
-    screen = one.select("f.key", "f.n", F.explode("f.prefix").alias("token"))
+    one = first.where("n > 0").join(reps.select(F.col("rep.row").alias("row")), "row")
+    screen = one.select("key", "n", F.explode("prefix").alias("token"))
     smaller = F.ceil(F.col("n") * F.lit(4) / F.lit(5))
     enough = F.floor(F.floor(smaller / 5) / 2) + 1
     hits = screen.join(shared, "token").groupBy("key", "n").agg(F.count(F.lit(1)).alias("hits")).where(F.col("hits") >= enough)
     left = common.written(hits.join(reps.select("key", "rep"), "key").select("key", "n", "rep"), "left")
 
     # 2. whole sets of what is left, document frequencies, signatures
-    wanted = left.select(F.col("key").alias("rep_key"), "n", "rep")
-    texts = bare.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("rep_key", "n", "text")
+    wanted = left.select(F.col("key").alias("rep_key"), "n", "rep.at", "rep.at2")
+    texts = _one_each(bare.drop("doc_id"), "at", "at2").join(wanted, ["at", "at2"]).select("rep_key", "n", "text")
     whole = texts.select("rep_key", "n", whole_sets("text").alias("w")).where("w.key = rep_key").select(F.col("rep_key").alias("key"), "n", "w.shingles", "w.sketch")
     whole = common.written(whole, "whole")
     each = whole.select("key", "n", F.explode("shingles").alias("token"))
@@ -244,12 +264,11 @@ def jaccard_components(docs: DataFrame, text: str = "text", rare: int = RARE) ->
 
     # components of classes, then of documents
     if labels is None:
-        classes_ = reps.select("key", F.col("rep").alias("component_id"))
+        heads = reps.select("key", F.col("rep").alias("head"))
     else:
         named = _labelled(reps.select("key", "rep"), labels)
-        classes_ = named.join(named.groupBy("label").agg(F.min("rep").alias("component_id")), "label").select("key", "component_id")
-    found = first.select("doc_id", F.col("n").alias("n_shingles"), "key").join(classes_, "key", "left")
-    return found.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+        heads = named.join(named.groupBy("label").agg(F.min("rep").alias("head")), "label").select("key", "head")
+    return first, heads
 
 
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:

@@ -53,6 +53,16 @@ def test_awkward_tables(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [0, 3] and kept.columns == df.columns
 
 
+def test_repeated_rows_add_no_links(spark):
+    """Texts of 100 shingles that share about half: a doubled table must not make links of them."""
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(104)]
+    texts = [" ".join(base), " ".join(base[:52] + [f"x{k}" for k in range(52)]), " ".join([f"y{k}" for k in range(40)] + base[40:]), " ".join(edited(rng, base, 1))]
+    df = docs(spark, texts)
+    got = sorted(tuple(r) for r in j.jaccard_components(df.union(df)).collect())
+    assert got == sorted(brute(texts) * 2) and len({c for _, _, c in got}) == 3
+
+
 def test_linked_sets_share_a_signature():
     rng = np.random.default_rng(0)
     for _ in range(400):
