@@ -283,12 +283,15 @@ def _open_groups(groups: DataFrame) -> DataFrame:
 
 
 def first_of_each(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The documents whose id names their component, one row of each: near duplicates go, as do repeated ids."""
-    found = jaccard_components(docs, text)
-    heads = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    (k,) = common.fresh(docs, "k")
-    kept = docs.alias("d").join(heads.alias("h"), F.col("d.doc_id").eqNullSafe(F.col("h.doc_id"))).select("d.*")
-    return kept.withColumn(k, F.row_number().over(Window.partitionBy("doc_id").orderBy(text))).where(F.col(k) == 1).drop(k)
+    """One row of each component, the one of the smallest id: near duplicates go. Rows without an id stay as long as no
+    other row is like them. Of rows without words, those that repeat both an id and its text go."""
+    first, heads = _components(docs, text)
+    wordless = first.where("n = 0 and doc_id is not null").select("at", "at2")
+    at, at2 = common.fresh(docs, "at", "at2")
+    wanted = heads.select("head.at", "head.at2").union(wordless).distinct().toDF(at, at2)
+    nobody = F.col("doc_id").isNull() & ~F.coalesce(F.col(text).rlike(r"[^ \t-\r]"), F.lit(False))  # each is its own component
+    kept = _one_each(_addressed(docs.where(~nobody), text, at, at2), at, at2).join(wanted, [at, at2], "left_semi")
+    return kept.drop(at, at2).unionAll(docs.where(nobody))
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

@@ -63,6 +63,14 @@ def test_repeated_rows_add_no_links(spark):
     assert got == sorted(brute(texts) * 2) and len({c for _, _, c in got}) == 3
 
 
+def test_first_of_each_keeps_rows_without_an_id_and_texts_that_share_one(spark):
+    words = lambda k: " ".join(f"{k}w{i}" for i in range(30))
+    rows = [(None, words("a")), (None, words("b")), (None, words("b")), (None, words("c")), (7, words("c")), (7, words("d")), (7, words("d")), (8, words("e")), (8, None), (8, None), (None, None), (None, " \n")]
+    table = spark.createDataFrame([(i, t, "en", "a", 1, "r", "k") for i, t in rows], COLUMNS).repartition(3)
+    got = sorted((r.doc_id or 0, r.text or "") for r in j.first_of_each(table).collect())
+    assert got == sorted([(0, words("a")), (0, words("b")), (7, words("c")), (7, words("d")), (8, words("e")), (8, ""), (0, ""), (0, " \n")])
+
+
 def test_linked_sets_share_a_signature():
     rng = np.random.default_rng(0)
     for _ in range(400):
