@@ -109,7 +109,7 @@ def _(t):
 @query("win_terms_in_window", f"SELECT doc_id, coalesce(list_max(list_transform(range(1, len(tk) + 1), lambda i: len(list_intersect(list_distinct(tk[i:i + 11]), {_ALL_TERMS})))), 0)::INT AS most FROM (SELECT doc_id, {_TOKENS}[1:160] AS tk FROM documents)")
 def _(t):
     terms = F.array(*[F.lit(x) for x in _ALL_TERMS])
-    return t("documents").select("doc_id", tx.terms_in_window(F.slice(tx.tokens(F.col("text")), 1, 160), terms, 12).alias("most"))
+    return t("documents").select("doc_id", tx.terms_in_window(tx.tokens(F.col("text")), terms, 12).alias("most"))
 
 
 @query("fil_valid_vectors", f"SELECT vec_id, len(embedding) = {DIMENSION} AS valid FROM embeddings")

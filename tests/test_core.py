@@ -5,6 +5,7 @@ import pytest
 from skein.functions import text as tx
 from skein.functions import vectors as vx
 from skein.operators import answers, chunking, evaluation, fuzzy, hierarchy, retrieval
+from skein.plans import queries
 
 F = tx.F
 
@@ -31,6 +32,13 @@ def test_scalars(spark):
     assert one(spark, "a x x b a", lambda c: tx.terms_in_window(F.split(c, " "), terms, 2)) == 2
 
 
+def test_terms_in_window_reads_whole_texts(spark):
+    texts = ["the " + "x " * 300 + "the de la", "x " * 200 + "the and", "x " * 12 + "der", None]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    run = next(c.cell_contents for c in queries.QUERIES["win_terms_in_window"].__closure__ if getattr(c.cell_contents, "__name__", "") == "_")
+    assert [r.most for r in run(lambda _: table).orderBy("doc_id").collect()][:3] == [3, 2, 1]
+
+
 def test_vectors(spark):
     df = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0])], "a array<float>, b array<float>")
     assert math.isclose(df.select(vx.cosine(F.col("a"), F.col("b")).alias("y")).first().y, math.sqrt(0.5))
