@@ -128,7 +128,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, share: float = SH
             d1, d2, ids, c1s, masks, rows = distances(v[:, :half], one), distances(v[:, half:], two), batch.column("id").to_pylist(), [], [], []
             for q in range(len(v)):
                 cells: dict[int, list[int]] = {}
-                for i, j in visit(d1[q], d2[q], sizes, share * total):
+                for i, j in visit(d1[q], d2[q], sizes, min(total, max(share * total, k + 1))):
                     cells.setdefault(i, []).append(j)
                 rows += [q] * len(cells)
                 c1s += cells.keys()

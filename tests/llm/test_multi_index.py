@@ -44,6 +44,12 @@ def test_awkward_vectors(spark):
     assert multi_index.search(good.limit(0), good.limit(0)).count() == 0
 
 
+def test_few_distinct_vectors_are_all_found(spark):
+    for n in (4, 7):
+        df = spark.createDataFrame([(k, [float(k), 9.0 - k, float(k * k)]) for k in range(1, n + 1)], "id long, vector array<double>")
+        assert multi_index.search(df, df).count() == n * min(5, n - 1)
+
+
 def test_pairs_come_by_increasing_sum():
     rng = np.random.default_rng(2)
     one, two = rng.random(7), rng.random(5)
