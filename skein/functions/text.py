@@ -2,21 +2,30 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Letters with marks and the letters they fold to.
-_MARKED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-_PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
+from skein.functions import lexicon
+
+
 
-# Value patterns that a passage's text is tested for.
-VALUE_PATTERNS = {
-    "percentage": r"\d+(?:[.,]\d+)?\s*%",
-    "time": r"\b\d{1,2}\s*(?:h|:)\s*\d{2}\b",
-    "date": r"\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b",
-    "duration": r"\b\d+\s*(?:jours?|days?|mois|months?|semaines?|weeks?)\b",
-    "amount": r"\b\d[\d .,]*\s*(?:eur|usd|mad|dh)\b",
-}
+def _folding() -> tuple[str, str]:
+    """Characters whose compatibility decomposition, without combining marks, is one other character, and that character."""
+    blocks = ((0xA0, 0x250), (0x1E00, 0x1F00), (0x2070, 0x20A0), (0x2100, 0x2150), (0xFF01, 0xFF5F))
+    pairs = {}
+    for first, last in blocks:
+        for c in map(chr, range(first, last)):
+            plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+            if plain != c and len(plain) == 1:
+                pairs[c] = plain
+    return "".join(pairs), "".join(pairs.values())
+
+
+_MARKED, _PLAIN = _folding()
+#: Ligatures, of more than one letter each.
+_LIGATURES = {c: unicodedata.normalize("NFKD", c) for c in map(chr, (*range(0xFB00, 0xFB07), 0x132, 0x133, 0x2026))}
 
 
 def clean_text(c: Column) -> Column:
@@ -35,8 +44,17 @@ def clean_query(c: Column) -> Column:
 
 
 def fold(c: Column) -> Column:
-    """Lower case without marks on Latin letters."""
-    return F.lower(F.translate(c, _MARKED, _PLAIN))
+    """Lower case without marks; compatibility forms (ligatures, full width, superscripts) as plain characters. Plain texts
+    are only lowered."""
+    other = F.translate(F.regexp_replace(c, r"\p{Mn}", ""), _MARKED, _PLAIN)
+    for sign, plain in _LIGATURES.items():
+        other = F.replace(other, F.lit(sign), F.lit(plain))
+    return F.lower(F.when(c.rlike(r"[^\x00-\x7F]"), other).otherwise(c))
+
+
+def bound(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.transform(F.array(value), f)[0]
 
 
 def tokens(c: Column) -> Column:
@@ -56,9 +74,14 @@ def usability(c: Column) -> Column:
     return F.struct(solid.alias("solid"), alnum.alias("alnum"), ((solid >= 12) & (alnum >= 8)).alias("usable"))
 
 
+def matching(c: Column, patterns: dict[str, str]) -> Column:
+    """Names of the patterns that a text matches, in their order."""
+    return bound(c, lambda t: F.array_compact(F.array(*[F.when(t.rlike(f"(?iuU){p}"), F.lit(k)) for k, p in patterns.items()])))
+
+
 def value_types(c: Column) -> Column:
-    """Names of the value patterns that the text matches, in alphabetical order."""
-    return F.filter(F.array(*[F.when(c.rlike(f"(?i){VALUE_PATTERNS[k]}"), k) for k in sorted(VALUE_PATTERNS)]), lambda x: x.isNotNull())
+    """Kinds of values in a text, in alphabetical order."""
+    return matching(c, lexicon.VALUE_PATTERNS)
 
 
 def terms_in_window(tokens_: Column, terms: Column, size: int) -> Column:
@@ -67,9 +90,7 @@ def terms_in_window(tokens_: Column, terms: Column, size: int) -> Column:
         places = F.sequence(F.lit(1), F.greatest(F.size(t), F.lit(1)))
         return F.array_max(F.transform(places, lambda i: F.size(F.array_intersect(F.array_distinct(F.slice(t, i, size)), terms))))
 
-    return F.transform(F.array(tokens_), most)[0]  # binds the tokens, which would be computed anew for each place
-
-
+    return bound(tokens_, most)
 
 def sentences(c: Column) -> Column:
     """Parts between an end mark with white space after it."""
@@ -94,39 +115,32 @@ def clean_document(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
 
 
-FRAGMENT_ENDS = r"[,;]|\s(?:et|and)\s"
+def content_tokens(c: Column) -> Column:
+    """Distinct tokens of at least three letters or digits that carry content."""
+    found = F.array_distinct(F.regexp_extract_all(fold(c), F.lit(r"[a-z0-9]{3,}"), 0))
+    return F.array_except(found, F.array(*[F.lit(w) for w in lexicon.CONTENT_STOP_WORDS]))
+
 
+def tree_tokens(c: Column) -> Column:
+    """Tokens of at least three characters without stop words, in order, as the hierarchy's retrieval takes them."""
+    stop = F.array(*[F.lit(w) for w in lexicon.TREE_STOP_WORDS])
+    plain = F.replace(fold(c), F.lit("\ufffd"), F.lit(""))
+    found = F.regexp_extract_all(plain, F.lit(r"[0-9a-z]+"), 0)
+    return F.filter(found, lambda t: (F.length(t) >= 3) & ~F.array_contains(stop, t))
 
-def question_fragments(c: Column, least: int = 3) -> Column:
-    """The parts of a question behind its first colon, cut at commas, semicolons and conjunctions; short ones go."""
-    parts = F.transform(F.split(F.regexp_replace(c, "^[^:]*:", ""), FRAGMENT_ENDS), lambda x: F.trim(x))
-    return F.filter(parts, lambda x: F.length(x) >= least)
 
+def bare_words(c: Column) -> Column:
+    """Folded text in which everything but letters and digits is a single space."""
+    return F.trim(F.regexp_replace(fold(c), "[^0-9a-z]+", " "))
 
-CLAIM_PATTERNS = {
-    "percentage": r"(\d+(?:[.,]\d+)?)\s*%",
-    "time": r"\b(\d{1,2})\s*[h:]\s*(\d{2})\b",
-    "date": r"\b(\d{1,2})[/-](\d{1,2})[/-](\d{4}|\d{2})\b",
-    "duration": r"\b(\d+)\s*(jour|day|semaine|week|mois|month)",
-}
 
+def concept_text(c: Column) -> Column:
+    """Folded text with straight apostrophes and single spaces."""
+    return F.trim(F.regexp_replace(F.regexp_replace(fold(c), "[\u2019\u2018`\u00b4]", "'"), r"(?U)\s+", " "))
 
-def claims(c: Column) -> Column:
-    """Distinct claims of the text as kind=value: decimal points, HH:MM, YYYY-MM-DD (years of two digits are 20yy), n:unit."""
-    def each(kind: str, f) -> Column:
-        p = CLAIM_PATTERNS[kind]
-        found = F.regexp_extract_all(c, F.lit(p), F.lit(0))
-        return F.transform(found, lambda m: F.concat(F.lit(f"{kind}="), f(lambda i: F.regexp_extract(m, p, i))))
 
-    unit = lambda u: F.when(u.isin("jour", "day"), "day").when(u.isin("semaine", "week"), "week").otherwise("month")
-    two = lambda x: F.lpad(x, 2, "0")
-    year = lambda y: F.when(F.length(y) == 2, F.concat(F.lit("20"), y)).otherwise(y)
-    return F.array_distinct(F.concat(
-        each("percentage", lambda g: F.replace(g(1), F.lit(","), F.lit("."))),
-        each("time", lambda g: F.concat(two(g(1)), F.lit(":"), g(2))),
-        each("date", lambda g: F.concat_ws("-", year(g(3)), two(g(2)), two(g(1)))),
-        each("duration", lambda g: F.concat(g(1), F.lit(":"), unit(g(2)))),
-    ))
+def excerpt(c: Column, most: int = 520) -> Column:
+    return F.when(F.length(c) <= most, c).otherwise(F.concat(F.rtrim(F.substring(c, 1, most)), F.lit("...")))
 
 
 def bounded_fold(blocks: Column, most: int, least: int = 20) -> Column:

@@ -1,27 +1,14 @@
-"""Reranking, merging of several queries' results, and evidence for an answer."""
+"""Merging of several queries' results."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.functions import text as tx
-
-# Weights of the rerank signals and of a further matching query.
-EXACT_TERM, VALUE_TYPE, PHRASE = 0.004, 0.018, 0.012
+# Fixed value: what a further matching query adds.
 MATCHED_QUERY = 0.006
 
 
-def rerank_score(text: Column, terms: list[str], wanted_types: list[str], window: int = 10) -> Column:
-    """Matching terms, value types that the query asks for (two count), and terms close to each other."""
-    wanted = F.array(*[F.lit(x) for x in terms])
-    tokens = tx.tokens(text)
-    matched = F.size(F.array_intersect(F.array_distinct(tokens), wanted))
-    types = F.size(F.array_intersect(tx.value_types(text), F.array(*[F.lit(x) for x in wanted_types])))
-    phrase = F.when(tx.terms_in_window(tokens, wanted, window) >= min(3, len(terms)), PHRASE).otherwise(0.0)
-    return F.round(matched * EXACT_TERM + F.least(types, F.lit(2)) * VALUE_TYPE + phrase, 6)
-
-
 def merge_queries(results: DataFrame) -> DataFrame:
     """chunk_id, n_matched, best_score, merged_score of rows (query, chunk_id, score): one row a chunk."""
     merged = results.groupBy("chunk_id").agg(F.count_distinct("query").cast("int").alias("n_matched"), F.max("score").alias("best_score"))
@@ -42,7 +29,3 @@ def select_merged(results: DataFrame, limit: int, n_queries: int) -> DataFrame:
     order = [F.coalesce("turn", F.lit(n_queries)), F.desc("merged_score"), F.desc("n_matched"), F.col("chunk_id")]
     chosen = merged.join(taken, "chunk_id", "left").orderBy(*order).limit(limit)
     return chosen.withColumn("position", F.row_number().over(Window.orderBy(*order))).select("chunk_id", "merged_score", "position")
-
-
-def evidence_score(claims: Column, answer_overlap: Column, question_overlap: Column, score: Column, rank: Column) -> Column:
-    return F.round(12 * claims + 2 * answer_overlap + question_overlap + 0.01 * F.greatest(score, F.lit(0.0)) - 0.001 * rank, 6)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import text as tx
@@ -18,7 +18,20 @@ def ratio(term: str, token: str, least: float = 0.0) -> float:
     return difflib.SequenceMatcher(None, term, token).ratio()
 
 
-def fuzzy_scores(chunks: DataFrame, terms: list[str], threshold: float = 0.86) -> DataFrame:
+def fuzzy_candidates(chunks: DataFrame, terms: list[str], taken: DataFrame, k: int = 8, scan: int | None = 200, first_tokens: int | None = 160) -> DataFrame:
+    """chunk_id, matched_terms, fuzzy_score, fuzzy_rank of the k best chunks that aren't taken, of the first `scan` by chunk_index
+    (None: of all), by their first tokens (None: by all)."""
+    if not terms:
+        return chunks.select("chunk_id", F.lit(0).alias("matched_terms"), F.lit(0.0).alias("fuzzy_score"), F.lit(0).alias("fuzzy_rank")).limit(0)
+    rest = chunks.select("chunk_id", "chunk_index", "text").join(taken.select("chunk_id"), "chunk_id", "left_anti")
+    rest = rest.orderBy("chunk_index", "chunk_id").limit(scan) if scan is not None else rest
+    found = fuzzy_scores(rest, terms, first_tokens=first_tokens).join(rest.select("chunk_id", "chunk_index"), "chunk_id")
+    order = [F.desc("fuzzy_score"), F.desc("matched_terms"), F.col("chunk_index"), F.col("chunk_id")]
+    best = found.orderBy(*order).limit(k).withColumn("fuzzy_rank", F.row_number().over(Window.orderBy(*order)))
+    return best.select("chunk_id", "matched_terms", "fuzzy_score", "fuzzy_rank")
+
+
+def fuzzy_scores(chunks: DataFrame, terms: list[str], threshold: float = 0.86, first_tokens: int | None = None) -> DataFrame:
     """chunk_id, matched_terms, fuzzy_score: the mean over all terms of the best likeness that reaches the threshold.
 
     Likeness is computed once for each distinct token of all chunks; only tokens that match go back to their chunks."""
@@ -28,7 +41,9 @@ def fuzzy_scores(chunks: DataFrame, terms: list[str], threshold: float = 0.86) -
         return pd.Series(scores, dtype=object)
 
     compared = F.pandas_udf(compare, "array<struct<term:string,likeness:double>>")
-    tokens = chunks.select("chunk_id", F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("token"))
+    words = tx.tokens(F.col("text"))
+    words = F.slice(words, 1, first_tokens) if first_tokens else words
+    tokens = chunks.select("chunk_id", F.explode(F.array_distinct(words)).alias("token"))
     near = tokens.select("token").distinct().select("token", F.explode(compared("token")).alias("m")).select("token", "m.*")
     best = tokens.join(near, "token").groupBy("chunk_id", "term").agg(F.max("likeness").alias("best"))
     return best.groupBy("chunk_id").agg(F.count(F.lit(1)).cast("int").alias("matched_terms"), F.round(F.sum("best") / len(terms), 6).alias("fuzzy_score"))

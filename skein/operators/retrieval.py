@@ -5,11 +5,15 @@ Chunks have chunk_id, text; embeddings have chunk_id, embedding.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.functions import signals as sg
 from skein.functions import text as tx
 from skein.functions import vectors as vx
+from skein.operators import fuzzy
+from skein.plans.search_plan import SearchPlan
 
 RRF_CONSTANT = 60
 
@@ -21,16 +25,95 @@ def vector_top(embeddings: DataFrame, query: list[float], k: int) -> DataFrame:
     return _ranked(near, [F.desc("similarity"), F.col("chunk_id")], k, "vector_rank")
 
 
+def tokenised(chunks: DataFrame) -> DataFrame:
+    """chunks with `tokens`. The generator keeps filters and counts from computing them again."""
+    return chunks.select("*", F.explode(F.array(tx.tokens(F.col("text")))).alias("tokens"))
+
+
+def _strings(terms: list[str]):
+    return F.array(*[F.lit(x) for x in terms]).cast("array<string>")
+
+
+def matching(chunks: DataFrame, groups: list[list[str]]) -> DataFrame:
+    """Tokenised chunks with a term of every group."""
+    found = tokenised(chunks)
+    for g in groups:
+        found = found.where(F.arrays_overlap("tokens", _strings(g)))
+    return found
+
+
+def hits(terms: list[str]):
+    """How many tokens are one of the terms."""
+    return F.size(F.filter("tokens", lambda x: F.array_contains(_strings(terms), x)))
+
+
 def lexical_top(chunks: DataFrame, groups: list[list[str]], k: int) -> DataFrame:
     """chunk_id, hits, lexical_rank of chunks with a term of every group; more matching tokens first."""
-    t = F.col("tokens")
-    wanted = [F.array(*[F.lit(x) for x in g]) for g in groups]
-    every = F.array(*[F.lit(x) for x in dict.fromkeys(x for g in groups for x in g)])
-    found = chunks.select("chunk_id", tx.tokens(F.col("text")).alias("tokens"))
-    for g in wanted:
-        found = found.where(F.arrays_overlap(t, g))
-    hits = F.size(F.filter(t, lambda x: F.array_contains(every, x)))
-    return _ranked(found.select("chunk_id", hits.alias("hits")), [F.desc("hits"), F.col("chunk_id")], k, "lexical_rank")
+    every = list(dict.fromkeys(x for g in groups for x in g))
+    found = matching(chunks.select("chunk_id", "text"), groups).select("chunk_id", hits(every).alias("hits"))
+    return _ranked(found, [F.desc("hits"), F.col("chunk_id")], k, "lexical_rank")
+
+
+#: Weight of a position in a rank by covers.
+POSITION_WEIGHT = 0.1
+
+
+def cover_rank(tokens: list[str], groups: list[set[str]]) -> float:
+    """Cover density: each shortest run of tokens that has a term of every group adds a weight that falls with the number of
+    other tokens in it."""
+    places = [(i, {k for k, g in enumerate(groups) if t in g}) for i, t in enumerate(tokens)]
+    places = [(i, ks) for i, ks in places if ks]
+    total, begin = 0.0, 0
+    while begin < len(places):
+        open_, end = set(range(len(groups))), begin
+        while end < len(places) and open_:
+            open_ -= places[end][1]
+            end += 1
+        if open_:
+            break
+        seen, first = set(), end
+        while len(seen) < len(groups):  # back from the end: the latest place to begin at
+            first -= 1
+            seen |= places[first][1]
+        noise = (places[end - 1][0] - places[first][0]) - (end - 1 - first)
+        total += POSITION_WEIGHT / (1 + noise)
+        begin = first + 1
+    return total
+
+
+def lexical_candidates(chunks: DataFrame, plan: SearchPlan, k: int = 20) -> DataFrame:
+    """chunk_id, chunk_index, base_score, lexical_score, lexical_rank of chunks with a term of every group of the plan. Both
+    scores are cover densities; that of the base terms, any of which will do, is the weight of each of their places."""
+    groups = [set(g) for g in plan.groups]
+
+    def ranks(tokens: pd.Series) -> pd.Series:
+        return pd.Series([cover_rank(list(t), groups) for t in tokens], dtype=float)
+
+    rank = F.pandas_udf(ranks, "double")
+    found = matching(chunks.select("chunk_id", "chunk_index", "text"), plan.groups)
+    scored = found.select("chunk_id", "chunk_index", F.round(hits(plan.base) * POSITION_WEIGHT, 6).alias("base_score"), F.round(rank("tokens"), 6).alias("lexical_score"))
+    return _ranked(scored, [F.desc("base_score"), F.desc("lexical_score"), F.col("chunk_index"), F.col("chunk_id")], k, "lexical_rank")
+
+
+def hybrid_search(chunks: DataFrame, plan: SearchPlan, query: list[float], k: int = 5, candidates: int = 20, fuzzy_k: int = 8, scan: int | None = 200, rerank: bool = True) -> DataFrame:
+    """The k best of vector, lexical and fuzzy candidates by reciprocal ranks and the rerank score of their text.
+
+    chunks: chunk_id, chunk_index, text, embedding. Fuzzy candidates are looked for among the first `scan` chunks that have no
+    lexical rank (None: among all) and are ranked behind those. Missing ranks sort last."""
+    vector = vector_top(chunks, query, candidates)
+    lexical = lexical_candidates(chunks, plan, candidates)
+    near = fuzzy.fuzzy_candidates(chunks, plan.fuzzy, lexical, fuzzy_k, scan)
+    ranked = lexical.select("chunk_id", "lexical_score", "lexical_rank").unionByName(
+        near.crossJoin(lexical.agg(F.count(F.lit(1)).cast("int").alias("before")))
+        .select("chunk_id", F.col("fuzzy_score").alias("lexical_score"), (F.col("fuzzy_rank") + F.col("before")).alias("lexical_rank"))
+    )
+    fused = reciprocal_rank_fusion(vector.drop("similarity"), ranked)
+    q = F.array(*[F.lit(float(x)) for x in query])
+    rows = chunks.join(F.broadcast(fused), "chunk_id").select("*", F.round(vx.cosine(F.col("embedding"), q), 6).alias("similarity")).drop("embedding")
+    rows = rows.withColumn("signals", sg.signals(F.col("text"), plan)).withColumn("rerank_score", sg.score(F.col("signals"), rerank))
+    rows = rows.withColumn("final_score", F.round(F.col("hybrid_score") + F.col("rerank_score"), 9))
+    order = [F.desc("final_score"), F.desc("hybrid_score"), F.coalesce("lexical_rank", F.lit(10**6)), F.coalesce("vector_rank", F.lit(10**6)), F.col("chunk_index"), F.col("chunk_id")]
+    return _ranked(rows, order, k, "position")
 
 
 def _ranked(rows: DataFrame, order: list, k: int, name: str) -> DataFrame:

@@ -1,0 +1,660 @@
+"""Queries over small tables of their own, whose SQL states the rows that must come out."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from skein.functions import claims as cl
+from skein.functions import questions as qs
+from skein.functions import signals as sg
+from skein.functions import text as tx
+from skein.operators import access, clustering, contexts, embedding, evaluation, evidence, fuzzy, hierarchy, retrieval, summary_tree
+from skein.plans import search_plan
+from skein.plans.queries import query
+from skein.sources import ingest
+
+_TYPES = {"string": "VARCHAR", "int": "INTEGER", "long": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN"}
+
+
+def _literal(v) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool):
+        return str(v).upper()
+    return "'" + v.replace("'", "''") + "'" if isinstance(v, str) else repr(v)
+
+
+def values_sql(schema: str, rows: list[tuple]) -> str:
+    names = [x.split() for x in schema.split(", ")]
+    body = ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in rows)
+    casts = ", ".join(f"{n}::{_TYPES[t]} AS {n}" for n, t in names)
+    return f"SELECT {casts} FROM (VALUES {body}) v({', '.join(n for n, _ in names)})"
+
+
+def golden(name: str, schema: str, expected: list[tuple]):
+    """Registers a query whose result is the expected rows; its columns get the schema's types."""
+    def add(f):
+        @query(name, values_sql(schema, expected))
+        def _(t):
+            out = f(lambda rows, ddl: t.spark.createDataFrame(rows, ddl))
+            return out.select(*[F.col(n).cast(k).alias(n) for n, k in (x.split() for x in schema.split(", "))])
+
+        return f
+
+    return add
+
+
+def _list(c) -> Column:
+    return F.array_join(c, "|")
+
+
+def case(name: str, given: list[tuple[int, str]], expected: list[tuple[int, str]]):
+    """A golden query of a text function: (case, text) to (case, result)."""
+    def add(f):
+        golden(name, "case_id int, result string", expected)(lambda make: make(given, "case_id int, text string").select("case_id", f(F.col("text")).alias("result")))
+        return f
+
+    return add
+
+
+# --- text ----------------------------------------------------------------------------------------------------------
+
+case("str_fold_forms", [(1, "Élève"), (2, "ﬁn"), (3, "Ａ１²"), (4, "e\u0301te\u0301"), (5, "plain TEXT"), (6, "Ǆ ñ ß ø")], [(1, "eleve"), (2, "fin"), (3, "a12"), (4, "ete"), (5, "plain text"), (6, "ǆ n ß ø")])(tx.fold)
+case("str_tree_tokens", [(1, "Quelle est la durée de la Période ?"), (2, "à de 12 jours"), (3, "")], [(1, "duree|periode"), (2, "jours"), (3, "")])(lambda c: _list(tx.tree_tokens(c)))
+case("str_content_tokens", [(1, "The offer and the offre: durée 60 jours"), (2, "What is it")], [(1, "offer|duree|jours"), (2, "")])(lambda c: _list(tx.content_tokens(c)))
+case("str_concept_text", [(1, "Garantie  d’Offre\n exigée")], [(1, "garantie d'offre exigee")])(tx.concept_text)
+case("str_excerpt", [(1, "short"), (2, "abc " * 200)], [(1, "short"), (2, ("abc " * 200)[:520].rstrip() + "...")])(tx.excerpt)
+case("str_digits", [(1, "6 0 jours"), (2, "12 3"), (3, "1 2 3"), (4, "6 05"), (5, "6 0 5 12")], [(1, "60 jours"), (2, "12 3"), (3, "123"), (4, "6 05"), (5, "605 12")])(cl.compact_digits)
+case("mth_number_words", [(1, "sixty"), (2, "soixante dix"), (3, "007,50"), (4, "of the"), (5, "vingt-deux"), (6, "0")], [(1, "60"), (2, "70"), (3, "7.50"), (4, None), (5, "22"), (6, "0")])(lambda c: cl.number(tx.fold(c)))
+case(
+    "clm_claims",
+    [
+        (1, "The validity period is 60 days."), (2, "La periode de validite est de 60 jours."), (3, "La validite est de 6 0  jours."), (4, "three percent"),
+        (5, "3 %"), (6, "September 28, 2027 at 17:00"), (7, "28 septembre 2027 a 17h00"), (8, "le 3/7/18 à 9h"), (9, "31/02/20"),
+        (10, "12 400 MAD puis 5 euros"), (11, "REF-904/AB12 et af-12/x"), (12, "douze mois, 2 semaines, 12H30 et 3 Jours"), (13, "soixante pour cent"), (14, ""), (15, "7,5 % ; 7.5 per cent"),
+    ],
+    [
+        (1, "duration=60:day"), (2, "duration=60:day"), (3, "duration=60:day"), (4, "percentage=3"), (5, "percentage=3"), (6, "date=2027-09-28|time=17:00"),
+        (7, "date=2027-09-28|time=17:00"), (8, "date=2018-07-03|time=09:00"), (9, "date=2020-02-31"), (10, "amount=12400mad|amount=5euros"),
+        (11, "reference=af-12/x|reference=ref-904/ab12"), (12, "duration=12:month|duration=2:week|duration=3:day|time=12:30"), (13, "percentage=60"), (14, ""), (15, "percentage=7.5"),
+    ],
+)(lambda c: _list(cl.claims(c)))
+case("clm_labels", [(1, "duration=60:day"), (2, "percentage=3"), (3, "time=17:00"), (4, "amount=5euros")], [(1, "60 days"), (2, "3%"), (3, "17:00"), (4, "5euros")])(cl.label)
+case("clm_query_text", [(1, "duration=2:week"), (2, "date=2027-09-28")], [(1, "Q ? duration 2 weeks"), (2, "Q ? date 2027-09-28")])(lambda c: cl.query_text(F.lit("Q ?"), c))
+case(
+    "clm_no_answer",
+    [(1, "Information not found in the provided document."), (2, "The text does not specify it"), (3, "Non indiqué"), (4, "60 days"), (5, "La date n'est pas précisée")],
+    [(1, "true"), (2, "true"), (3, "true"), (4, "false"), (5, "true")],
+)(lambda c: cl.gives_no_answer(c).cast("string"))
+case(
+    "rgx_values",
+    [
+        (1, "le 28 Septembre 2018, a 17 heures precises."), (2, "Numero du Marche : AFCHPR/PTS/2018/199."), (3, "3 % est requise"), (4, "100 EUR"), (5, "100 €"),
+        (6, "12 FÉVRIER 2020"), (7, "5 pages et 3 pièces"), (8, "garantie de 12 mois"), (9, "12:30 ou 14h"), (10, "rien"), (11, "3%x"),
+    ],
+    [(1, "date|duration|time"), (2, "market_reference"), (3, "percentage"), (4, "amount"), (5, ""), (6, "date"), (7, "quantity"), (8, "duration"), (9, "time"), (10, ""), (11, "")],
+)(lambda c: _list(tx.value_types(c)))
+case("rgx_marker", [(1, "IS 15.1 Une"), (2, "Article 3"), (3, "n° 12"), (4, "this one"), (5, "ce texte"), (6, "Réf: A/12")], [(1, "true"), (2, "true"), (3, "true"), (4, "false"), (5, "false"), (6, "true")])(lambda c: sg.has_marker(c).cast("string"))
+case(
+    "rgx_deadline",
+    [(1, "date limite de depot des offres"), (2, "depot des offres avant la date limite"), (3, "date limite"), (4, "delai limite " + "x" * 90 + " depot des offres")],
+    [(1, "true"), (2, "true"), (3, "false"), (4, "false")],
+)(lambda c: sg.names_deadline(c).cast("string"))
+case(
+    "rgx_concepts",
+    [(1, "Une garantie d'offre équivalant à 3 %"), (2, "garantie de bonne exécution"), (3, "période de garantie des fournitures"), (4, "assurance et caution de soumission"), (5, "rien")],
+    [(1, "bid_guarantee"), (2, "performance_guarantee"), (3, "technical_warranty"), (4, "bid_guarantee|insurance"), (5, "")],
+)(lambda c: _list(sg.concepts(c)))
+
+# --- questions -----------------------------------------------------------------------------------------------------
+
+_DATE, _ADDRESS, _BID = "Quelle est la date limite de depot des offres ?", "Quelle est l'adresse de depot des offres ?", "Quelle garantie d'offre est exigee ?"
+_AMOUNT, _PERCENT = "Quel est le montant exige ?", "Quel pourcentage ou taux est exige ?"
+case(
+    "rag_decompose",
+    [
+        (1, "Quelles sont les conditions de depot des offres : date limite, adresse de depot et garantie exigee ?"),
+        (2, "Quelle est la date limite et quelle garantie est exigee ?"),
+        (3, "Quelle est la duree de la garantie et quel est le delai de reparation ?"),
+        (4, "Quel est le montant et quelle est la duree ?"),
+        (5, "Quelle est la date limite, et quelle est la garantie exigee ?"),
+        (6, "Quelle est la date limite ; quelle est l'adresse de depot ?"),
+        (7, "Quels sont les couts d'exploitation et de maintenance ?"),
+        (8, "Quelle est la date limite et quelle est la date limite ?"),
+        (9, "Indiquez : date limite, adresse de depot, garantie exigee, montant et pourcentage."),
+    ],
+    [
+        (1, f"{_DATE}|{_ADDRESS}|{_BID}"),
+        (2, f"{_DATE}|{_BID}"),
+        (3, "Quelle est la duree de la garantie ?|Quel est le delai de reparation ?"),
+        (4, "Quel est le montant ?|Quelle est la duree ?"),
+        (5, "Quelle est la date limite ?|Quelle est la garantie exigee ?"),
+        (6, "Quelle est la date limite ?|Quelle est l'adresse de depot ?"),
+        (7, ""),
+        (8, ""),
+        (9, f"{_DATE}|{_ADDRESS}|{_BID}|{_AMOUNT}"),
+    ],
+)(lambda c: _list(qs.decompose(c)["subqueries"]))
+case(
+    "rag_single_intent",
+    [(1, "Quelle est la date limite ?"), (2, "Quel taux ?"), (3, "Qui signe ?"), (4, "Quel est le montant et quelle est la duree ?")],
+    [(1, _DATE), (2, _PERCENT), (3, "Qui signe ?"), (4, None)],
+)(lambda c: qs.decompose(c)["search_text"])
+case(
+    "rap_sub_intents",
+    [
+        (1, "Quelle est la date et heure limite, quel est le nom et adresse du client ?"),
+        (2, "Quels sont les couts d'exploitation et de maintenance et quelle est la duree ?"),
+        (3, "Indiquez : date limite, nom et adresse, les pièces et le montant."),
+        (4, "Quel est le montant ?"),
+        (5, "  "),
+        (6, "Combien, quand, ou ?"),
+    ],
+    [
+        (1, "Quelle est la date et heure limite ?|Quel est le nom et adresse du client ?"),
+        (2, "Quels sont les couts d'exploitation et de maintenance ?|Quelle est la duree ?"),
+        (3, "Quelle est date limite ?|Quel est nom et adresse ?|Quelles sont les pièces ?|Quel est le montant ?"),
+        (4, "Quel est le montant ?"),
+        (5, ""),
+        (6, "Combien ?|Quand ?|Ou ?"),
+    ],
+)(lambda c: _list(qs.sub_intents(c)["subintents"]))
+case("fil_question", [(1, " a \n b "), (2, " \t"), (3, "x" * 1001)], [(1, "a b:ok"), (2, ":empty_query"), (3, "x" * 1001 + ":query_too_long")])(
+    lambda c: tx.bound(qs.checked(c), lambda s: F.concat_ws(":", s["text"], F.coalesce(s["error"], F.lit("ok"))))
+)
+case("fil_top_k", [(1, None), (2, ""), (3, "7"), (4, "0"), (5, "21"), (6, "x"), (7, "20"), (8, "-3")], [(1, "5"), (2, "5"), (3, "7"), (4, "invalid_top_k"), (5, "invalid_top_k"), (6, "invalid_top_k"), (7, "20"), (8, "invalid_top_k")])(
+    lambda c: tx.bound(qs.checked_top_k(c), lambda s: F.coalesce(s["error"], s["top_k"].cast("string")))
+)
+
+
+@golden(
+    "ret_plan", "question string, base string, terms string, groups string, fuzzy string, intents string, concept string",
+    [
+        ("Quelle est la durée de validité ?", "duree validite", "duree validite periode delai", "duree,durée,periode,période,delai,délai validite,validité", "duree validite", "duration", None),
+        ("Quelle est la garantie de l'offre ?", "garantie offre", "garantie offre caution soumission", "garantie,caution,offre offre,soumission", "garantie offre", "amount", "bid_guarantee"),
+        ("What is the", "is", "is", "is", "", "", None),
+    ],
+)
+def _(make):
+    rows = []
+    for q in ("Quelle est la durée de validité ?", "Quelle est la garantie de l'offre ?", "What is the"):
+        p = search_plan.plan(q)
+        rows.append((q, " ".join(p.base), " ".join(p.terms), " ".join(",".join(g) for g in p.groups), " ".join(p.fuzzy), " ".join(p.intents), p.concept))
+    return make(rows, "question string, base string, terms string, groups string, fuzzy string, intents string, concept string")
+
+
+# --- search --------------------------------------------------------------------------------------------------------
+
+_TEXTS = [
+    (1, 0, "IS 15.1 Une garantie d'offre equivalant a 3 % est requise.", [1.0, 0.0]),
+    (2, 1, "La garantie de bonne execution est de 10 %.", [0.9, 0.1]),
+    (3, 2, "Date limite de depot des offres : 28 septembre 2018 a 17h00.", [0.0, 1.0]),
+    (4, 3, "La livrasion finale sera confirmee par avis.", [0.1, 0.9]),
+    (5, 4, "Planning financier sans correspondance utile.", [-1.0, 0.0]),
+]
+_CHUNKS = "chunk_id long, chunk_index int, text string, embedding array<double>"
+
+
+@golden(
+    "rrk_signals", "chunk_id long, matched string, counting string, phrase boolean, marker boolean, concepts string, concept_match boolean, concept_mismatch boolean, score double",
+    [
+        (1, "garantie|offre", "percentage", True, True, "bid_guarantee", True, False, 0.068),
+        (2, "garantie", "", False, False, "performance_guarantee", False, True, -0.01),
+        (3, "", "date", True, False, "", False, False, 0.03),
+        (4, "", "", False, False, "", False, False, 0.0),
+        (5, "", "", False, False, "", False, False, 0.0),
+    ],
+)
+def _(make):
+    s = sg.signals(F.col("text"), search_plan.plan("Quelle est la garantie de l'offre ?"))
+    rows = make(_TEXTS, _CHUNKS).withColumn("s", s)
+    return rows.select(
+        "chunk_id", _list("s.matched_terms").alias("matched"), _list("s.counting_types").alias("counting"), F.col("s.phrase_match").alias("phrase"), F.col("s.structured_marker").alias("marker"),
+        _list("s.concepts").alias("concepts"), "s.concept_match", "s.concept_mismatch", sg.score(F.col("s")).alias("score"),
+    )
+
+
+@golden("ret_cover_density", "case_id int, score double", [(1, 0.1), (2, 0.05), (3, 0.2), (4, 0.0), (5, 0.3), (6, 0.075)])
+def _(make):
+    rows = [(1, "a b", "a b"), (2, "a x b", "a b"), (3, "a b a", "a b"), (4, "a x", "a b"), (5, "a a a", "a"), (6, "a x b y y y a", "a b")]
+    score = lambda r: retrieval.cover_rank(r[1].split(), [{g} for g in r[2].split()])
+    return make([(r[0], round(score(r), 6)) for r in rows], "case_id int, score double")
+
+
+@golden("ret_lexical_rank", "chunk_id long, base_score double, lexical_score double, lexical_rank int", [(3, 0.3, 0.15, 1), (6, 0.1, 0.2, 2)])
+def _(make):
+    more = [(6, 5, "delai remise limite offre", [0.0, 1.0])]
+    found = retrieval.lexical_candidates(make(_TEXTS + more, _CHUNKS), search_plan.plan("date limite depot"))
+    return found.withColumn("lexical_score", F.round("lexical_score", 6))
+
+
+@golden("ret_fuzzy_candidates", "chunk_id long, matched_terms int, fuzzy_score double, fuzzy_rank int", [(4, 1, 0.888889, 1)])
+def _(make):
+    chunks = make(_TEXTS, _CHUNKS)
+    return fuzzy.fuzzy_candidates(chunks, ["livraison"], chunks.where("chunk_id = 1"))
+
+
+@golden("ret_vector_order", "chunk_id long, similarity double, vector_rank int", [(0, 1.0, 1), (2, 0.707107, 2), (1, 0.0, 3)])
+def _(make):
+    rows = make([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])], "chunk_id long, embedding array<double>")
+    return retrieval.vector_top(rows, [1.0, 0.0], 3)
+
+
+@golden(
+    "ret_hybrid_reranked", "chunk_id long, vector_rank int, lexical_rank int, rerank_score double, final_score double, position int",
+    [(1, None, 1, 0.068, 0.084393443, 1), (3, 1, 3, 0.03, 0.062266459, 2), (2, 3, 2, -0.01, 0.022002048, 3)],
+)
+def _(make):
+    return retrieval.hybrid_search(make(_TEXTS, _CHUNKS), search_plan.plan("Quelle est la garantie de l'offre ?"), [0.0, 1.0], k=3, candidates=3)
+
+
+# --- filters and projections ---------------------------------------------------------------------------------------
+
+
+@golden("fil_owner", "doc_id long", [(1,), (3,)])
+def _(make):
+    return access.owned(make([(1, 7), (2, 8), (3, 7), (4, None)], "doc_id long, owner_id long"), 7).select("doc_id")
+
+
+@golden("fil_current", "chunk_id long, text string", [(1, "a")])
+def _(make):
+    rows = [(1, "completed", "p", "m", 2, [1.0, 0.0]), (2, "failed", "p", "m", 2, [1.0, 0.0]), (3, "completed", "q", "m", 2, [1.0, 0.0]), (4, "completed", "p", "m", 3, [1.0]), (5, "completed", "p", "m", 2, None)]
+    made = make(rows, "chunk_id long, status string, provider string, model string, dimension int, embedding array<double>")
+    chunks = make([(k, "abcde"[k - 1]) for k in range(1, 6)], "chunk_id long, text string")
+    return access.searchable(chunks, made, "p", "m", 2).select("chunk_id", "text")
+
+
+@golden("fil_vectors_cases", "case_id int, valid boolean", [(1, True), (2, False), (3, False), (4, False), (5, False), (6, False)])
+def _(make):
+    rows = [(1, [1.0, 2.0]), (2, [1.0]), (3, [1.0, float("nan")]), (4, [1.0, float("inf")]), (5, None), (6, [1.0, None])]
+    return make(rows, "case_id int, v array<double>").select("case_id", access.valid_vector(F.col("v"), 2).alias("valid"))
+
+
+@golden("fil_gates", "case_id int, reason string", [(1, None), (2, "extraction_not_found"), (3, "extraction_not_completed"), (4, "no_text"), (5, "chunks_not_found"), (6, "embeddings_not_found")])
+def _(make):
+    rows = [(1, "completed", True, True, True), (2, None, True, True, True), (3, "processing", True, True, True), (4, "completed", False, True, True), (5, "completed", True, None, True), (6, "completed", True, True, False)]
+    c = F.col
+    return make(rows, "case_id int, s string, t boolean, k boolean, e boolean").select("case_id", access.gate(c("s"), c("t"), c("k"), c("e")).alias("reason"))
+
+
+@golden("fil_index_gates", "case_id int, reason string", [(1, None), (2, "raptor_index_not_found"), (3, "raptor_index_not_ready"), (4, "raptor_embedding_model_mismatch")])
+def _(make):
+    rows = [(1, "completed", "p", "m", 2), (2, None, None, None, None), (3, "failed", "p", "m", 2), (4, "completed", "p", "m", 3)]
+    c = F.col
+    return make(rows, "case_id int, s string, p string, m string, d int").select("case_id", access.index_gate(c("s"), c("p"), c("m"), c("d"), ("p", "m", 2)).alias("reason"))
+
+
+@golden("fil_constraints", "rule string, violations long", [("size_positive", 1), ("known_status", 1), ("one_row_each", 2)])
+def _(make):
+    rows = make([(1, 5, "completed"), (1, 0, "completed"), (1, 2, "odd"), (2, None, "failed")], "doc_id long, size long, status string")
+    checks = {"size_positive": F.col("size") > 0, "known_status": F.col("status").isin("completed", "failed")}
+    return access.violations(rows, checks, {"one_row_each": ["doc_id"]}).withColumnRenamed("constraint", "rule")
+
+
+case("fil_contains", [(1, "Rapport ANNUEL.pdf"), (2, "autre")], [(1, "true"), (2, "false")])(lambda c: access.contains_text(c, "annuel").cast("string"))
+
+
+@golden("fil_exists", "doc_id long", [(2,)])
+def _(make):
+    return access.documents_with(make([(1,), (2,)], "doc_id long"), make([(2, 5), (2, 6)], "doc_id long, chunk_id long"))
+
+
+@golden("prj_metadata", "case_id int, page string, section string", [(1, "3", "A"), (2, "4", None), (3, None, "T")])
+def _(make):
+    rows = make([(1, {"page": "3", "section": "A"}), (2, {"page": "", "page_number": "4"}), (3, {"title": "T"})], "case_id int, m map<string,string>")
+    return rows.select("case_id", access.page_of(F.col("m")).alias("page"), access.section_of(F.col("m")).alias("section"))
+
+
+@golden("prj_nodes", "node_id long, kind string, text string, score double", [(1, "leaf", "chunk", 0.5), (2, "summary", "own", 0.0)])
+def _(make):
+    rows = make([(1, 0, "chunk", "", None, None, 0.5), (2, 1, None, "own", None, None, None)], "node_id long, level int, c string, o string, f double, h double, s double")
+    c = F.col
+    return rows.select("node_id", access.node_type(c("level")).alias("kind"), access.node_text(c("level"), c("c"), c("o")).alias("text"), access.result_score(c("f"), c("h"), c("s")).alias("score"))
+
+
+@golden("prj_sources", "source string, chunk_id long, chunk_index int, similarity double", [("source_1", 9, 4, 0.5), ("source_2", 8, 3, 0.25)])
+def _(make):
+    return access.source_payload(make([(1, 9, 4, 0.5, "t"), (2, 8, 3, 0.25, "u")], "position int, chunk_id long, chunk_index int, similarity double, text string"))
+
+
+# --- evidence ------------------------------------------------------------------------------------------------------
+
+_CANDIDATES = [
+    ("three", "Quelles valeurs ?", "60 jours, 3 % et le 28/09/2027", 0, "La garantie est de 3 %.", 0.9),
+    ("three", "Quelles valeurs ?", "60 jours, 3 % et le 28/09/2027", 1, "Validite : 60 jours.", 0.8),
+    ("three", "Quelles valeurs ?", "60 jours, 3 % et le 28/09/2027", 2, "Aucune valeur ici.", 0.7),
+    ("three", "Quelles valeurs ?", "60 jours, 3 % et le 28/09/2027", 3, "Remise le 28 septembre 2027.", 0.6),
+    ("one", "Tout ?", "60 days and 3 percent", 0, "60 jours", 0.9),
+    ("one", "Tout ?", "60 days and 3 percent", 1, "3 % pendant 60 jours", 0.5),
+    ("words", "Quel rapport mensuel ?", "Le rapport mensuel complet", 0, "Un rapport mensuel detaille", 0.4),
+    ("words", "Quel rapport mensuel ?", "Le rapport mensuel complet", 1, "Sans lien", 0.9),
+    ("none", "Quelle date ?", "Information not found in the provided document.", 0, "information document provided found", 0.9),
+    ("partly", "Quelle duree ?", "60 jours ou 90 jours", 0, "60 jours", 0.9),
+]
+_EVIDENCE = "question_id string, question string, answer string, rank int, text string, similarity double"
+
+
+@golden(
+    "evd_select", "question_id string, item int, rank int, matched string",
+    [("three", 1, 1, "duration=60:day"), ("three", 2, 3, "date=2027-09-28"), ("three", 3, 0, "percentage=3"), ("one", 1, 1, "duration=60:day|percentage=3"), ("words", 1, 0, ""), ("partly", 1, 0, "duration=60:day")],
+)
+def _(make):
+    return evidence.select_evidence(make(_CANDIDATES, _EVIDENCE)).select("question_id", "item", "rank", _list("matched").alias("matched"))
+
+
+@golden("evd_scores", "question_id string, rank int, support double", [("three", 0, 12.009), ("three", 1, 14.007), ("three", 3, 14.003), ("one", 0, 12.009), ("one", 1, 24.004), ("words", 0, 6.004), ("partly", 0, 14.009)])
+def _(make):
+    return evidence.admitted(make(_CANDIDATES, _EVIDENCE))
+
+
+@golden(
+    "evd_invariant", "question_id string, answer_claims int, matched_claims int, coverage double, blocked boolean, unsupported string",
+    [("three", 3, 3, 1.0, False, ""), ("one", 2, 2, 1.0, False, ""), ("words", 0, 0, 1.0, False, ""), ("none", 0, 0, 1.0, False, ""), ("partly", 2, 1, 0.5, True, "duration=90:day")],
+)
+def _(make):
+    rows = make(_CANDIDATES, _EVIDENCE)
+    return evidence.coverage(rows, evidence.select_evidence(rows)).withColumn("unsupported", _list("unsupported"))
+
+
+@golden("evd_recovery", "question_id string, attempt int, search_text string", [("partly", 1, "Quelle duree ? duration 90 days")])
+def _(make):
+    rows = make(_CANDIDATES, _EVIDENCE)
+    covered = evidence.coverage(rows, evidence.select_evidence(rows))
+    return evidence.recovery_queries(covered, rows.select("question_id", "question").distinct())
+
+
+@golden(
+    "evd_items", "question_id string, item int, support double, reason string, supported string, excerpt string",
+    [("one", 1, 24.004, "matched_answer_values", "3%|60 days", "3 % pendant 60 jours"), ("words", 1, 6.004, "matched_answer_terms", "", "Un rapport mensuel detaille")],
+)
+def _(make):
+    chosen = evidence.select_evidence(make([r for r in _CANDIDATES if r[0] in ("one", "words")], _EVIDENCE))
+    return evidence.items(chosen).withColumn("supported", _list("supported_claims"))
+
+
+# --- contexts ------------------------------------------------------------------------------------------------------
+
+_H1, _H2 = "[source_1; chunk_index=4]\n", "[source_2; chunk_index=7]\n"
+
+
+@golden(
+    "ctx_retrieval", "case_id int, text string, included int, omitted int, truncated boolean",
+    [
+        (1, f"{_H1}alpha\n\n{_H2}beta", 2, 0, False),
+        (2, f"{_H1}{'a' * 40}", 1, 2, True),
+        (3, f"{_H1}{'a' * 54}", 1, 0, True),
+        (4, "", 0, 1, False),
+    ],
+)
+def _(make):
+    rows = [(1, [(4, "alpha"), (7, "beta")]), (2, [(4, "a" * 40), (7, "b" * 30), (8, "c")]), (3, [(4, "a" * 90)]), (4, [(4, " \n ")])]
+    out = make(rows, "case_id int, r array<struct<chunk_index:int,text:string>>")
+    return out.select("case_id", contexts.retrieval_context(F.col("r"), 80).alias("c")).select("case_id", "c.*")
+
+
+@golden("ctx_cluster", "case_id int, text string", [(1, "[cluster_item_1; level=0]\nalpha\n\n[cluster_item_3; level=1]\nbeta"), (2, "[cluster_item_1; level=0]\n" + "x" * 94)])
+def _(make):
+    rows = [(1, [(0, "alpha"), (0, " "), (1, "beta")]), (2, [(0, "x" * 200), (0, "y")])]
+    out = make(rows, "case_id int, m array<struct<level:int,text:string>>")
+    return out.select("case_id", contexts.cluster_context(F.col("m"), 120).alias("text"))
+
+
+@golden(
+    "ctx_hierarchy", "case_id int, text string, included int, omitted int, truncated boolean",
+    [
+        (1, "[RAPTOR NODE]\nsource: raptor_source_1\nnode_id: 5\nlevel: 0\ntype: leaf\nchunk_id: 9\nchunk_index: 3\nexpanded_from_parent_id: 2\nmatched_subintents: 1, 2\nsimilarity_score: 0.500000\ntext:\nalpha", 1, 0, False),
+        (2, "[RAPTOR NODE]\nsource: raptor_source_1\nnode_id: 6\nlevel: 1\ntype: summary\nsimilarity_score: 0.250000\ntext:\nsum", 1, 1, False),
+    ],
+)
+def _(make):
+    rows = [(1, [(5, 0, 9, 3, 2, [1, 2], 0.5, "alpha")]), (2, [(6, 1, None, None, None, [], 0.25, "sum"), (7, 1, None, None, None, [], 0.1, "")])]
+    out = make(rows, "case_id int, r array<struct<node_id:long,level:int,chunk_id:long,chunk_index:int,parent:long,subintents:array<int>,similarity:double,text:string>>")
+    return out.select("case_id", contexts.hierarchy_context(F.col("r")).alias("c")).select("case_id", "c.*")
+
+
+@golden("pe_full_context", "case_id int, text string, strategy string, tokens long", [(1, "short", None, 5), (2, "x" * 20, "token_aware_document_start_truncation", 10), (3, "y" * 15, "configured_char_limit_document_start_truncation", 9)])
+def _(make):
+    rows = make([(1, "short", 0), (2, "x" * 50, 0), (3, "y" * 50, 15)], "case_id int, text string, most int")
+    parts = [rows.where(F.col("most") == m).select("case_id", contexts.full_context(F.col("text"), 10, m, 10).alias("c")) for m in (0, 15)]
+    return parts[0].union(parts[1]).select("case_id", "c.text", "c.strategy", "c.tokens")
+
+
+@golden("pe_safe_limit", "case_id int, tokens int", [(1, 70), (2, 900000), (3, 1)])
+def _(make):
+    return make([(1, contexts.safe_token_limit(120, 900_000, 30, 20)), (2, contexts.safe_token_limit()), (3, contexts.safe_token_limit(10))], "case_id int, tokens int")
+
+
+# --- ingest --------------------------------------------------------------------------------------------------------
+
+
+@golden(
+    "src_upload", "case_id int, name string, error string",
+    [
+        (1, "Mon_Rapport.pdf", None), (2, "", "invalid_filename"), (3, "x.txt", "unsupported_extension"), (4, "e.pdf", "empty_file"), (5, "h.pdf", "invalid_pdf_header"),
+        (6, "c.pdf", "encrypted_pdf"), (7, "s.pdf", "invalid_pdf_structure"), (8, "t.pdf", "unsupported_content_type"), (9, "b.pdf", "file_too_large"), (10, "a" * 251 + ".pdf", None),
+    ],
+)
+def _(make):
+    good, kind = b"%PDF-1.4 /Root 1 0 R", "application/pdf"
+    rows = [
+        (1, "C:\\tmp\\Mon Rapport?.pdf", kind, 9, good), (2, "///", kind, 9, good), (3, "x.txt", kind, 9, good), (4, "e.pdf", kind, 0, b""), (5, "h.pdf", kind, 9, b"hello"),
+        (6, "c.pdf", kind, 9, good + b"/Encrypt"), (7, "s.pdf", kind, 9, b"%PDF-1.4"), (8, "t.pdf", "text/plain", 9, good), (9, "b.pdf", kind, 10 * 1024 * 1024 + 1, good), (10, "a" * 300 + ".pdf", kind, 9, good),
+    ]
+    c = F.col
+    out = make([(*r[:4], bytearray(r[4])) for r in rows], "case_id int, f string, t string, s long, b binary")
+    return out.select("case_id", ingest.safe_name(c("f")).alias("name"), ingest.upload_error(c("f"), c("t"), c("s"), c("b")).alias("error"))
+
+
+@golden("src_stored_path", "case_id int, path string", [(1, "documents/user_7/0cc175b9c0f1b6a831c399e269772661.pdf")])
+def _(make):
+    return make([(1, 7, "a")], "case_id int, owner long, name string").select("case_id", ingest.stored_path(F.col("owner"), F.col("name")).alias("path"))
+
+
+_LONG, _PLAIN = "Bonjour le monde entier", "Texte lu par la machine"
+_PAGES = [(1, 1, _LONG, None), (1, 2, "x", _PLAIN), (1, 3, None, " "), (2, 1, _LONG * 5, None), (3, 1, None, None)]
+
+
+@golden(
+    "src_extracted", "doc_id long, status string, error string, page_count int, native_pages int, ocr_pages int, empty_pages int, source string, warnings string, text string",
+    [
+        (1, "completed", None, 3, 1, 2, 1, "mixed", "ocr_returned_no_usable_text", f"{_LONG}\n\n{_PLAIN}"),
+        (2, "failed", "extracted_text_too_large", 1, 1, 0, 0, "native", "", None),
+        (3, "completed", None, 1, 0, 1, 1, "ocr", "no_extractable_text,ocr_returned_no_usable_text", ""),
+    ],
+)
+def _(make):
+    return ingest.extracted(make(_PAGES, "doc_id long, page int, native_text string, ocr_text string"), most_chars=100)
+
+
+@golden(
+    "src_class_cases", "doc_id long, sampled_pages int, usable_pages int, usable_chars long, probable_source string",
+    [(1, 3, 1, 20, "probably_scanned"), (2, 1, 1, 100, "probably_native"), (3, 1, 0, 0, "probably_scanned")],
+)
+def _(make):
+    return ingest.sample_class(make(_PAGES, "doc_id long, page int, native_text string, ocr_text string"))
+
+
+@golden("src_page_bytes", "doc_id long, page int, bytes long, too_large boolean", [(1, 1, 30, False), (1, 2, 6000000, True)])
+def _(make):
+    return ingest.page_bytes(make([(1, 1, 5, 7, 20), (1, 1, 10, None, None), (1, 2, 1, 6000000, None)], "doc_id long, page int, declared long, raw long, decoded long"))
+
+
+@golden("src_raster", "case_id int, width long, height long, too_large boolean", [(1, 1654, 2339, False), (2, 2339, 1654, False), (3, 13889, 13889, True), (4, None, None, None)])
+def _(make):
+    rows = make([(1, 595.28, 841.89, 0), (2, 595.28, 841.89, 90), (3, 5000.0, 5000.0, 0), (4, -1.0, 5.0, 0)], "case_id int, w double, h double, r int")
+    return rows.select("case_id", ingest.raster(F.col("w"), F.col("h"), F.col("r")).alias("x")).select("case_id", "x.*")
+
+
+@golden("src_vectors", "chunk_id long, first double", [(1, 0.5), (2, None)])
+def _(make):
+    rows = make([(1, "completed", "[0.5, 1]"), (2, "failed", "oops")], "chunk_id long, status string, vector string")
+    return ingest.parsed_vectors(rows, 2).select("chunk_id", F.try_element_at("embedding", F.lit(1)).alias("first"))
+
+
+@golden("src_cascade", "kind string, doc_id long", [("chunks", 2), ("nodes", 2)])
+def _(make):
+    tables = {k: make([(1, "a"), (2, "b")], "doc_id long, x string") for k in ("chunks", "nodes")}
+    left = ingest.without(tables, make([(1,)], "doc_id long"))
+    return left["chunks"].select(F.lit("chunks").alias("kind"), "doc_id").union(left["nodes"].select(F.lit("nodes"), "doc_id"))
+
+
+# --- embeddings ----------------------------------------------------------------------------------------------------
+
+
+@golden("emb_batches", "chunk_id long, status string, error string", [(1, "completed", None), (2, "completed", None), (3, "failed", "invalid_embedding_vector"), (4, "failed", "invalid_embedding_vector"), (5, "completed", None)])
+def _(make):
+    def provider(texts):
+        return [[float("nan")] * 4 if t == "bad" else embedding.offline_vector(t, 4) for t in texts]
+
+    rows = make([(1, "a"), (2, "b"), (3, "bad"), (4, "c"), (5, "d")], "chunk_id long, text string").coalesce(1)
+    return embedding.embed(rows, provider, 4, batch=2)
+
+
+@golden("emb_run", "doc_id long, chunks int, reused int, generated int, error string", [(1, 2, 1, 1, None), (2, 3, 0, 3, "too_many_chunks_for_embedding")])
+def _(make):
+    chunks = make([(1, 1, "a"), (1, 2, "b"), (2, 3, "c"), (2, 4, "d"), (2, 5, "e")], "doc_id long, chunk_id long, text string")
+    old = chunks.where("chunk_id in (1, 3)").select("chunk_id", F.array(F.lit(1.0), F.lit(0.0)).alias("embedding"), F.when(F.col("chunk_id") == 1, F.sha2("text", 256)).otherwise("old").alias("chunk_sha256"))
+    return embedding.run_report(chunks, old, 2, most=2)
+
+
+@golden("emb_status", "doc_id long, chunk_count int, embedding_count int, failed_count int", [(1, 3, 1, 1)])
+def _(make):
+    chunks = make([(1, 1), (1, 2), (1, 3)], "doc_id long, chunk_id long")
+    return embedding.status_summary(chunks, make([(1, "completed"), (2, "failed")], "chunk_id long, status string"))
+
+
+# --- hierarchy -----------------------------------------------------------------------------------------------------
+
+
+@golden("rap_factual_scores", "case_id int, score double, matched string, kinds string", [(1, 0.264, "date|depot", "date|time"), (2, 0.0, "date", ""), (3, 0.174, "depot|limite", "date")])
+def _(make):
+    rows = make([(1, "Date de dépôt : 28 septembre 2018 à 17h00"), (2, "Une date sans valeur"), (3, "limites du depots le 3/7/2018")], "case_id int, text string")
+    f = hierarchy.factual_score(F.col("text"), ["date", "limite", "depot"])
+    return rows.select("case_id", f.alias("f")).select("case_id", "f.score", _list("f.matched_tokens").alias("matched"), _list("f.matching_types").alias("kinds"))
+
+
+_NODES = "node_id long, level int, node_index int, similarity double, distance double, selection_score double, reason string"
+_FOUND = [
+    (1, 0, 0, 0.9, 0.1, 0.9, "top_down_child"), (2, 0, 1, 0.5, 0.5, 0.95, "factual_leaf"), (3, 1, 0, 0.8, 0.2, 0.8, "top_down_root"),
+    (4, 2, 0, 0.3, 0.7, 0.3, "top_down_root"), (5, 0, 2, 0.4, 0.6, 0.7, "factual_leaf"), (6, 1, 1, 0.79, 0.21, 0.79, "top_down_child"),
+]
+
+
+@golden("rap_final_selection", "node_id long, tier int, position int", [(2, 0, 1), (1, 2, 2), (3, 0, 3), (5, 1, 4)])
+def _(make):
+    # the best by selection score is node 2 with similarity 0.5: the threshold is 0.375
+    return hierarchy.final_selection(make(_FOUND, _NODES), 4).select("node_id", "tier", "position")
+
+
+@golden("rap_better_of_two", "node_id long, reason string", [(1, "top_down_child"), (2, "factual_leaf")])
+def _(make):
+    old = make([(1, 0, 0, 0.5, 0.5, 0.5, "top_down_child"), (2, 0, 1, 0.5, 0.5, 0.5, "top_down_child")], _NODES)
+    new = make([(1, 0, 0, 0.5, 0.5, 0.5, "factual_leaf"), (2, 0, 1, 0.5, 0.5, 0.6, "factual_leaf")], _NODES)
+    return hierarchy.better_of_two(old, new).select("node_id", "reason")
+
+
+@golden("rap_expand_children", "node_id long, parent long", [(7, 3), (8, 3)])
+def _(make):
+    chosen = hierarchy.final_selection(make(_FOUND[:4], _NODES), 3)
+    nodes = make([(k, 0, k, s, 1 - s, s, "child") for k, s in ((7, 0.9), (8, 0.6), (9, 0.58), (10, 0.1), (1, 0.9))], _NODES)
+    edges = make([(3, k) for k in (7, 8, 9, 10, 1)] + [(4, 7)], "parent long, child long")
+    return hierarchy.expand_children(chosen, edges, nodes)
+
+
+_BY_INTENT = [
+    (1, 10, 0, 0, 0.9, 0.1, 0.9), (1, 11, 0, 1, 0.6, 0.4, 0.6), (2, 10, 0, 0, 0.5, 0.5, 0.5), (2, 12, 1, 0, 0.45, 0.55, 0.45), (3, 13, 0, 3, 0.2, 0.8, 0.2),
+]
+_INTENTS = "intent int, node_id long, level int, node_index int, similarity double, distance double, selection_score double"
+
+
+@golden("rap_merge_intents", "node_id long, intents string, merged_score double", [(10, "1|2", 0.915), (11, "1", 0.6), (12, "2", 0.45), (13, "", 0.2)])
+def _(make):
+    return hierarchy.merge_intents(make(_BY_INTENT, _INTENTS)).withColumn("intents", F.array_join(F.col("intents").cast("array<string>"), "|"))
+
+
+@golden("rap_select_intents", "node_id long, position int", [(10, 1), (11, 2)])
+def _(make):
+    return hierarchy.select_intents(make(_BY_INTENT, _INTENTS), 3, 2)
+
+
+@golden("rap_intent_coverage", "intent int, covered boolean", [(1, True), (2, True), (3, False)])
+def _(make):
+    return hierarchy.intent_coverage(hierarchy.select_intents(make(_BY_INTENT, _INTENTS), 3, 2), 3)
+
+
+@golden("rap_entry_nodes", "node_id long, place int", [(4, 1), (1, 2), (3, 3)])
+def _(make):
+    nodes = make([(1, 1, 0), (2, 0, 0), (3, 0, 1), (4, 2, 0)], "node_id long, level int, node_index int")
+    return hierarchy.entry_nodes(nodes, make([(1, 2)], "parent long, child long")).select("node_id", "place")
+
+
+@golden("rap_level_limit", "top_k int, candidates int", [(1, 3), (6, 12), (15, 20)])
+def _(make):
+    return make([(k, hierarchy.level_limit(k)) for k in (1, 6, 15)], "top_k int, candidates int")
+
+
+@golden("mth_bic", "case_id int, bic double", [(1, 226.96159), (2, 216.918913)])
+def _(make):
+    return make([(k, round(float(clustering.bic(-100.0 + 20 * (k - 1), k, 20, 3)), 6)) for k in (1, 2)], "case_id int, bic double")
+
+
+def _grouped(n: int, groups: int, doc: int = 1) -> list[tuple]:
+    """Chunks whose vectors lie at the corners of a simplex, in turn."""
+    return [(doc, 100 * doc + k, k, f"Fact {k % groups}. More.", [float(10 * (k % groups == j)) + 0.01 * ((7 * k + 3 * j) % 5) for j in range(4)]) for k in range(n)]
+
+
+_LEAVES = "doc_id long, chunk_id long, chunk_index int, text string, embedding array<double>"
+
+
+@golden(
+    "rap_build", "doc_id long, status string, error string, leaf_count int, total_at_least_leaves boolean, levels_at_most_four boolean",
+    [(1, "completed", None, 24, True, True), (2, "completed", None, 1, True, True), (3, "failed", "too_many_chunks_for_raptor", 0, True, True), (4, "failed", "embeddings_not_found", 0, True, True)],
+)
+def _(make):
+    rows = _grouped(24, 3) + _grouped(1, 1, 2) + _grouped(41, 2, 3) + [(4, 400, 0, "x", None)]
+    s = summary_tree.status(summary_tree.build(make(rows, _LEAVES), most_leaves=40))
+    return s.select("doc_id", "status", "error", "leaf_count", (F.col("total_count") >= F.col("leaf_count")).alias("total_at_least_leaves"), (F.col("level_count") <= 4).alias("levels_at_most_four"))
+
+
+@golden("rap_edges", "doc_id long, orphans int", [(1, 0)])
+def _(make):
+    nodes = summary_tree.build(make(_grouped(24, 3), _LEAVES))
+    leaves = nodes.where("level = 0").select("doc_id", F.col("node_index").alias("child_index"))
+    kept = summary_tree.edges(nodes).where("parent_level = 1").select("doc_id", "child_index").distinct()
+    return leaves.join(kept.withColumn("hit", F.lit(1)), ["doc_id", "child_index"], "left").groupBy("doc_id").agg(F.count_if(F.col("hit").isNull()).cast("int").alias("orphans"))
+
+
+# --- evaluation ----------------------------------------------------------------------------------------------------
+
+
+@golden("evl_stages", "question string, vector_rank int, lexical_rank int, rrf_rank int, rerank_rank int, final_rank int", [("q", 2, None, 1, 1, 1), ("r", None, None, None, None, None)])
+def _(make):
+    stages = make([("q", "vector", 1, 5), ("q", "vector", 2, 7), ("q", "lexical", 1, 9), ("q", "rrf", 1, 7), ("q", "rerank", 1, 7), ("q", "final", 1, 7)], "question string, stage string, rank int, item long")
+    return evaluation.stage_ranks(stages, make([("q", 7), ("q", 8), ("r", 1)], "question string, item long"))
+
+
+@golden(
+    "evl_aggregate", "dataset string, cases int, successes int, failures int, avg_recall double, avg_reciprocal_rank double",
+    [("large", 1, 0, 1, 0.0, 0.0), ("small", 2, 2, 0, 1.0, 0.75), (None, 3, 2, 1, 0.5, 0.5)],
+)
+def _(make):
+    return evaluation.aggregated(make([("small", True, 1.0, 1.0), ("small", True, None, 0.5), ("large", False, 0.0, 0.0)], "dataset string, success boolean, recall double, reciprocal_rank double"))
+
+
+@golden("evl_fidelity", "node_id long, fact_id string, preserved boolean", [(3, "date", True), (3, "amount", False), (4, "date", False), (4, "amount", False)])
+def _(make):
+    nodes = make([(1, 0, "17 mars 2029"), (2, 0, "12 400 MAD"), (3, 1, "le 17 mars 2029"), (4, 2, "rien")], "node_id long, level int, text string")
+    edges = make([(3, 1), (3, 2), (4, 3)], "parent long, child long")
+    facts = make([("date", "17 mars 2029"), ("amount", "12 400 MAD"), ("other", "absent")], "fact_id string, value string")
+    return evaluation.summary_fidelity(nodes.where("level > 0"), hierarchy.descendant_leaves(nodes, edges), nodes.select("node_id", "text"), facts)
+
+
+@golden(
+    "evl_improvement", "case_id int, rag_context_budget string, tree_top_down string, tree_summary_guard string, prompt_above_window string",
+    [(1, "JUSTIFIEE PAR LES TESTS", "NON JUSTIFIEE", "JUSTIFIEE PAR LES TESTS", "STRUCTURAL LIMIT"), (2, "NON JUSTIFIEE", "A INVESTIGUER", "NON JUSTIFIEE", "NON JUSTIFIEE")],
+)
+def _(make):
+    c = F.col
+    return make([(1, 2, 0, 0.5, 1), (2, 0, 1, None, 0)], "case_id int, r int, t int, f double, o int").select("case_id", *evaluation.improvement(c("r"), c("t"), c("f"), c("o")))
+

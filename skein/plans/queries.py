@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.functions import claims, questions, signals
 from skein.functions import text as tx
 from skein.functions import vectors as vx
-from skein.operators import answers, chunking, evaluation, fuzzy, hierarchy, retrieval
+from skein.operators import answers, chunking, contexts, evaluation, fuzzy, hierarchy, retrieval
+from skein.plans import search_plan
 from skein.shipping import ship
-from skein.sources import table
+from skein.sources import ingest, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -29,7 +31,9 @@ def query(name: str, sql: str | None = None):
     def add(f):
         def run(spark, sf_dir: str) -> DataFrame:
             ship(spark)
-            return f(lambda t: table(spark, sf_dir, t))
+            t = lambda name: table(spark, sf_dir, name)
+            t.spark = spark
+            return f(t)
 
         QUERIES[name] = run
         if sql:
@@ -86,7 +90,21 @@ def _(t):
     return t("documents").select("doc_id", tx.estimated_tokens(F.col("text")).alias("estimated"))
 
 
-@query("rgx_value_types", f"SELECT doc_id, array_to_string(list_filter([{', '.join(f'CASE WHEN regexp_matches(text, {chr(39)}(?i){tx.VALUE_PATTERNS[k]}{chr(39)}) THEN {chr(39)}{k}{chr(39)} END' for k in sorted(tx.VALUE_PATTERNS))}], lambda x: x IS NOT NULL), ',') AS types FROM documents")
+_EDGE, _END = r"(?:^|[^\p{L}\p{N}_])", r"(?:[^\p{L}\p{N}_]|$)"
+_SQL_VALUES = {
+    "amount": rf"(?i){_EDGE}(?:[0-9][0-9\s.,]*(?:mad|dh|dhs|dirhams?|eur|euros?)|(?:mad|dh|dhs|eur)\s*[0-9][0-9\s.,]*[0-9]?){_END}",
+    "date": rf"(?i){_EDGE}(?:[0-9]{{1,2}}[/-][0-9]{{1,2}}[/-][0-9]{{2,4}}|[0-9]{{1,2}}\s+(?:janvier|f[eé]vrier|mars|avril|mai|juin|juillet|ao[uû]t"
+    rf"|septembre|octobre|novembre|d[eé]cembre)\s+[0-9]{{4}}){_END}",
+    "duration": rf"(?i){_EDGE}[0-9]+(?:[,.][0-9]+)?\s*(?:jours?|mois|ans?|ann[eé]es?|heures?){_END}",
+    "market_reference": rf"(?i){_EDGE}[A-Z0-9]{{2,}}(?:[/-][A-Z0-9]{{2,}}){{2,}}{_END}",
+    "percentage": rf"{_EDGE}[0-9]+(?:[,.][0-9]+)?\s*%(?:\s|$|[.,;:])",
+    "quantity": rf"(?i){_EDGE}[0-9]+(?:[,.][0-9]+)?\s*(?:unit[eé]s?|pages?|lots?|exemplaires?|pi[eè]ces?){_END}",
+    "time": rf"(?i){_EDGE}(?:[0-9]{{1,2}}\s*(?:h|heures?)(?:\s*[0-9]{{2}})?|[0-9]{{1,2}}:[0-9]{{2}}){_END}",
+}
+_TYPES_SQL = ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{k}' END" for k, p in _SQL_VALUES.items())
+
+
+@query("rgx_value_types", f"SELECT doc_id, array_to_string(list_filter([{_TYPES_SQL}], lambda x: x IS NOT NULL), ',') AS types FROM documents")
 def _(t):
     return t("documents").select("doc_id", F.concat_ws(",", tx.value_types(F.col("text"))).alias("types"))
 
@@ -101,12 +119,12 @@ def _(t):
     return chunking.chunks(t("documents").select("doc_id", tx.clean_text(F.col("text")).alias("text")))
 
 
-@query("pe_prefix_context", "SELECT doc_id, rtrim(left(text, 600)) AS context, length(text) > 600 AS truncated FROM documents")
+@query("pe_prefix_context", "SELECT doc_id, md5(rtrim(left(text, 60000))) AS context, length(text) > 60000 AS truncated FROM documents")
 def _(t):
-    return t("documents").select("doc_id", tx.prefix_context(F.col("text"), 600).alias("context"), (F.length("text") > 600).alias("truncated"))
+    return t("documents").select("doc_id", F.md5(tx.prefix_context(F.col("text"), 60_000)).alias("context"), (F.length("text") > 60_000).alias("truncated"))
 
 
-@query("win_terms_in_window", f"SELECT doc_id, coalesce(list_max(list_transform(range(1, len(tk) + 1), lambda i: len(list_intersect(list_distinct(tk[i:i + 11]), {_ALL_TERMS})))), 0)::INT AS most FROM (SELECT doc_id, {_TOKENS}[1:160] AS tk FROM documents)")
+@query("win_terms_in_window", f"SELECT doc_id, coalesce(list_max(list_transform(range(1, len(tk) + 1), lambda i: len(list_intersect(list_distinct(tk[i:i + 11]), {_ALL_TERMS})))), 0)::INT AS most FROM (SELECT doc_id, {_TOKENS} AS tk FROM documents)")
 def _(t):
     terms = F.array(*[F.lit(x) for x in _ALL_TERMS])
     return t("documents").select("doc_id", tx.terms_in_window(tx.tokens(F.col("text")), terms, 12).alias("most"))
@@ -144,10 +162,10 @@ def _(t):
     return retrieval.stale_embeddings(chunk_table(t), known, DIMENSION)
 
 
-@query("src_upsert", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN toxic + 10 ELSE toxic END AS toxic FROM labels UNION ALL SELECT doc_id, 99 FROM documents WHERE doc_id % 3 = 0 AND doc_id NOT IN (SELECT doc_id FROM labels)")
+@query("src_upsert", "SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM documents) THEN toxic + 10 ELSE toxic END AS toxic FROM labels UNION ALL SELECT doc_id, 99 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def _(t):
     old = t("labels").select("doc_id", "toxic")
-    new = t("documents").where("doc_id % 3 = 0").select("doc_id").join(old, "doc_id", "left").select("doc_id", F.coalesce(F.col("toxic") + 10, F.lit(99)).alias("toxic"))
+    new = t("documents").select("doc_id").join(old, "doc_id", "left").select("doc_id", F.coalesce(F.col("toxic") + 10, F.lit(99)).alias("toxic"))
     return retrieval.upsert(old, new, "doc_id", ["toxic"])
 
 
@@ -230,7 +248,7 @@ def _(t):
 def _(t):
     d, e = t("documents").select("doc_id"), t("embeddings").select(F.col("vec_id").alias("doc_id"))
     n = lambda kind, x: x.agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "n")
-    return n("both", d.intersect(e)).union(n("either", d.union(e).distinct())).union(n("only", d.exceptAll(e)))
+    return n("both", d.intersect(e)).union(n("either", d.union(e).distinct())).union(n("only", d.exceptAll(e).distinct()))
 
 
 @query("evl_recall", "WITH r AS (SELECT source AS question, doc_id AS item, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents), x AS (SELECT source AS question, doc_id AS item FROM documents JOIN labels USING (doc_id) WHERE quality = 1) SELECT x.question, round(count(*) FILTER (r.rank <= 5)::DOUBLE / count(*), 4) AS recall, round(coalesce(1.0::DOUBLE / min(r.rank), 0), 4) AS reciprocal_rank FROM x LEFT JOIN (SELECT * FROM r WHERE rank <= 20) r USING (question, item) GROUP BY x.question")
@@ -247,14 +265,7 @@ def _(t):
 
 
 _CONTROL = r"regexp_replace(text, '[\x00-\x08\x0b-\x1f]', '', 'g')"
-_CLAIM_SQL = {
-    "percentage": "replace(regexp_extract(m, '{p}', 1), ',', '.')",
-    "time": "lpad(regexp_extract(m, '{p}', 1), 2, '0') || ':' || regexp_extract(m, '{p}', 2)",
-    "date": "CASE WHEN length(regexp_extract(m, '{p}', 3)) = 2 THEN '20' ELSE '' END || regexp_extract(m, '{p}', 3) || '-' || lpad(regexp_extract(m, '{p}', 2), 2, '0') || '-' || lpad(regexp_extract(m, '{p}', 1), 2, '0')",
-    "duration": "regexp_extract(m, '{p}', 1) || ':' || CASE WHEN regexp_extract(m, '{p}', 2) IN ('jour', 'day') THEN 'day' WHEN regexp_extract(m, '{p}', 2) IN ('semaine', 'week') THEN 'week' ELSE 'month' END",
-}
-_CLAIMS = " || ".join(f"list_transform(regexp_extract_all(text, '{tx.CLAIM_PATTERNS[k]}'), lambda m: '{k}=' || {v.replace('{p}', tx.CLAIM_PATTERNS[k])})" for k, v in _CLAIM_SQL.items())
-_CLOSE = "(CASE WHEN coalesce(list_max(list_transform(range(1, len(tk) + 1), lambda i: len(list_intersect(list_distinct(tk[i:i + 9]), {terms})))), 0) >= 3 THEN 0.012 ELSE 0 END)".replace("{terms}", str(_ALL_TERMS))
+_CLOSE = "(CASE WHEN coalesce(list_max(list_transform(range(1, len(tk) + 1), lambda i: len(list_intersect(list_distinct(tk[i:i + 9]), {terms})))), 0) >= 3 THEN 0.012 ELSE 0 END)"
 _QUERY_RANKS = " UNION ALL ".join(f"(SELECT {q} AS query, vec_id AS chunk_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = {q})::DOUBLE[]), 6) AS score FROM embeddings ORDER BY score DESC, chunk_id LIMIT 20)" for q in range(3))
 _NODES = "SELECT vec_id, label, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = 0)::DOUBLE[]), 6) AS similarity FROM embeddings"
 
@@ -269,14 +280,22 @@ def _(t):
     return t("documents").select("doc_id", F.md5(tx.clean_document(F.col("text"))).alias("document"))
 
 
-@query("rag_fragments", rf"SELECT item_id, array_to_string(list_filter(list_transform(string_split_regex(regexp_replace(text, '^[^:]*:', ''), '{tx.FRAGMENT_ENDS}'), lambda x: trim(x)), lambda x: length(x) >= 3), '|') AS fragments FROM benchmark")
+_FRAGMENTS_SQL = r"string_split_regex(regexp_replace(text, '^[^:]*:', ''), '(?i)\s*(?:[,;]|\bet\b|\band\b)\s*')"
+_CLEAN_FRAGMENT = r"lambda x: regexp_replace(trim(regexp_replace(x, '\s+', ' ', 'g')), '^[ .:;,\-?¿!¡]+|[ .:;,\-?¿!¡]+$', '', 'g')"
+
+
+@query(
+    "rag_fragments",
+    f"SELECT item_id, array_to_string(list_filter(list_transform({_FRAGMENTS_SQL}, {_CLEAN_FRAGMENT}), lambda x: length(x) >= 3), '|') AS fragments "
+    "FROM benchmark",
+)
 def _(t):
-    return t("benchmark").select("item_id", F.concat_ws("|", tx.question_fragments(F.col("text"))).alias("fragments"))
+    return t("benchmark").select("item_id", F.concat_ws("|", questions.fragments(F.col("text"))).alias("fragments"))
 
 
-@query("clm_claims", f"SELECT doc_id, array_to_string(list_sort(list_distinct({_CLAIMS})), ',') AS claims FROM documents")
+@query("clm_claims_documents")
 def _(t):
-    return t("documents").select("doc_id", F.concat_ws(",", F.array_sort(tx.claims(F.col("text")))).alias("claims"))
+    return t("documents").select("doc_id", F.concat_ws(",", claims.claims(F.col("text"))).alias("claims"))
 
 
 @query("pe_token_estimate", "SELECT doc_id, ceil((100 + length(text)) / 3.0)::BIGINT AS n_tokens FROM documents")
@@ -286,8 +305,7 @@ def _(t):
 
 @query("ctx_fold")
 def _(t):
-    turns = t("conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("blocks"))
-    return turns.select("conv_id", tx.bounded_fold(F.col("blocks"), 600).alias("context"))
+    return contexts.folded(t("conversations"), "conv_id", "turn", "text", 6000)
 
 
 @query("ret_fuzzy")
@@ -295,9 +313,23 @@ def _(t):
     return fuzzy.fuzzy_scores(chunk_table(t), ["eshaing", "anderning", "thtionel"])
 
 
-@query("rrk_scores", f"SELECT doc_id, round(len(list_intersect(list_distinct(tk), {_ALL_TERMS})) * 0.004 + regexp_matches(text, '(?i){tx.VALUE_PATTERNS['date']}')::INT * 0.018 + regexp_matches(text, '(?i){tx.VALUE_PATTERNS['time']}')::INT * 0.018 + {_CLOSE}, 6)::DOUBLE AS score FROM (SELECT doc_id, text, {_TOKENS} AS tk FROM documents)")
+_WORDS = "oument ouelle retion aiment"
+_WORDS_SQL = str(_WORDS.split())
+_MARKER_SQL = (
+    rf"(?i){_EDGE}(?:is|clause|article|section|numero|numéro|n[°o]|ref|réf|reference|référence)\s*[-.:/]?\s*[A-Z0-9]+(?:[./-][A-Z0-9]+)*{_END}"
+)
+
+
+@query(
+    "rrk_scores",
+    f"SELECT doc_id, round(len(list_intersect(list_distinct(tk), {_WORDS_SQL})) * 0.004 "
+    f"+ least(1, len(list_filter([{_TYPES_SQL}], lambda x: x IS NOT NULL))) * 0.018 "
+    f"+ {_CLOSE.replace('{terms}', _WORDS_SQL)} + CASE WHEN regexp_matches(text, '{_MARKER_SQL}') THEN 0.006 ELSE 0 END, 6)::DOUBLE AS score "
+    f"FROM (SELECT doc_id, text, {_TOKENS} AS tk FROM documents)",
+)
 def _(t):
-    return t("documents").select("doc_id", answers.rerank_score(F.col("text"), _ALL_TERMS, ["date", "time"]).alias("score"))
+    plan = search_plan.plan(_WORDS)
+    return t("documents").select("doc_id", signals.score(signals.signals(F.col("text"), plan)).alias("score"))
 
 
 def query_results(t) -> DataFrame:
@@ -345,14 +377,27 @@ def _(t):
     return hierarchy.roots(n, edges).select("node_id")
 
 
-@query("src_sample_class", "SELECT source, sum(solid)::BIGINT AS total, sum(solid) >= 100 OR avg(solid) >= 30 AS is_text FROM (SELECT source, length(regexp_replace(text, '\\s', '', 'g')) AS solid, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page FROM documents) WHERE page <= 5 GROUP BY source")
+@query(
+    "src_sample_class",
+    "SELECT source AS doc_id, count(*)::INT AS sampled_pages, count(*) FILTER (usable)::INT AS usable_pages, coalesce(sum(solid) FILTER (usable), 0)::BIGINT AS usable_chars, "
+    "CASE WHEN coalesce(sum(solid) FILTER (usable), 0) >= 100 OR coalesce(sum(solid) FILTER (usable), 0) / count(*) >= 30 THEN 'probably_native' ELSE 'probably_scanned' END AS probable_source "
+    "FROM (SELECT source, page, solid, solid >= 12 AND alnum >= 8 AS usable FROM (SELECT source, length(regexp_replace(text, '\\s', '', 'g')) AS solid, "
+    "length(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g')) AS alnum, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page FROM documents)) WHERE page <= 5 GROUP BY source",
+)
 def _(t):
-    pages = retrieval.best_per_key(t("documents").select("source", "doc_id", "text"), "source", [F.col("doc_id")], 5, "page")
-    solid = tx.usability(F.col("text"))["solid"]
-    return pages.groupBy("source").agg(F.sum(solid).alias("total"), ((F.sum(solid) >= 100) | (F.avg(solid) >= 30)).alias("is_text"))
+    pages = retrieval.best_per_key(t("documents").select("source", "doc_id", "text"), "source", [F.col("doc_id")], 6, "page")
+    return ingest.sample_class(pages.select(F.col("source").alias("doc_id"), "page", F.col("text").alias("native_text")))
 
 
-@query("evl_inclusion", "SELECT source, count(*) FILTER (toxic = 0) = count(*) AS complete FROM documents JOIN labels USING (doc_id) WHERE quality = 1 GROUP BY source")
+@query(
+    "evl_inclusion",
+    "WITH r AS (SELECT source AS question, doc_id AS item FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r FROM documents) WHERE r <= 30), "
+    "x AS (SELECT source AS question, doc_id AS item FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents JOIN labels USING (doc_id) WHERE quality = 1) WHERE r <= 1) "
+    "SELECT q.question, coalesce(bool_and(r.item IS NOT NULL) FILTER (x.item IS NOT NULL), true) AS success FROM (SELECT DISTINCT source AS question FROM documents) q "
+    "LEFT JOIN x USING (question) LEFT JOIN r ON r.question = x.question AND r.item = x.item GROUP BY q.question",
+)
 def _(t):
-    expected = t("documents").join(t("labels").where("quality = 1"), "doc_id")
-    return expected.groupBy("source").agg(F.bool_and(F.col("toxic") == 0).alias("complete"))
+    d = t("documents").select(F.col("source").alias("question"), F.col("doc_id").alias("item"), "n_chars")
+    shown = retrieval.best_per_key(d, "question", [F.desc("n_chars"), F.col("item")], 30)
+    good = d.join(t("labels").where("quality = 1").select(F.col("doc_id").alias("item")), "item")
+    return evaluation.inclusion(d.select("question").distinct(), retrieval.best_per_key(good, "question", [F.col("item")], 1), shown)
