@@ -21,8 +21,9 @@ _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit numbers (the finaliser of splitmix64)."""
     x = np.asarray(x, np.uint64)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
@@ -41,6 +42,24 @@ def _power_tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
+def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
+    """A hash of the bytes from each start to its end; starts ascend."""
+    out, done = np.empty(len(start), np.uint64), 0
+    while done < len(start):
+        origin = int(start[done])
+        upto = max(done + 1, int(np.searchsorted(end, origin + WINDOW, "right")))
+        s, e = start[done:upto] - origin, end[done:upto] - origin
+        last = int(e.max(initial=0))
+        power, inverse = _power_tables(last + 1)
+        with np.errstate(over="ignore"):
+            total = np.zeros(last + 1, np.uint64)
+            np.cumsum((data[origin : origin + last].astype(np.uint64) + np.uint64(1)) * power[:last], out=total[1:])
+            h = (total[e] - total[s]) * inverse[s]
+            out[done:upto] = mix(h ^ mix((e - s).astype(np.uint64) + np.uint64(salt * 1_000_003)))
+        done = upto
+    return out
+
+
 class Words:
     """The words of some texts: `doc` has each word's text, `start` and `end` its bytes in `raw`."""
 
@@ -59,21 +78,7 @@ class Words:
 
     def hashes(self, start: np.ndarray | None = None, end: np.ndarray | None = None, salt: int = 0) -> np.ndarray:
         """A hash of the bytes from each start to its end (by default of each word)."""
-        start, end = (self.start if start is None else start), (self.end if end is None else end)
-        out, done = np.empty(len(start), np.uint64), 0
-        while done < len(start):
-            origin = int(start[done])
-            upto = max(done + 1, int(np.searchsorted(self.end, origin + WINDOW, "right")))
-            s, e = start[done:upto] - origin, end[done:upto] - origin
-            last = int(e.max(initial=0))
-            power, inverse = _power_tables(last + 1)
-            with np.errstate(over="ignore"):
-                total = np.zeros(last + 1, np.uint64)
-                np.cumsum((self.bytes[origin : origin + last].astype(np.uint64) + np.uint64(1)) * power[:last], out=total[1:])
-                h = (total[e] - total[s]) * inverse[s]
-                out[done:upto] = mix(h ^ mix((e - s).astype(np.uint64) + np.uint64(salt * 1_000_003)))
-            done = upto
-        return out
+        return hash_spans(self.bytes, self.start if start is None else start, self.end if end is None else end, salt)
 
     def slices(self):
         """(from, to) of each text's words."""

@@ -1,16 +1,17 @@
 """Operator 9: token ids in files, as ranks by frequency in a byte-aligned variable-length code with separate control bytes.
 
-1. Texts are sorted by range of doc_id and tokenised; each task leaves its ids, compressed, in the shared folder, and
-   counts ids. 2. The counts of all documents give each id a rank, the most frequent 0 (a table of the vocabulary's
-   size). 3. Each of those files is coded anew: two bits of a control byte say how many bytes (1 to 4) a rank takes, the
+1. Texts are sorted by range of doc_id, one range for each FILE_BYTES of text, and tokenised; each task leaves its ids,
+   compressed, in the shared folder, and counts ids. 2. The counts of all documents give each id a rank, the most frequent 0 (a table of the vocabulary's
+   size). 3. Each of those files is coded anew, one in a task: two bits of a control byte say how many bytes (1 to 4) a rank takes, the
    ranks' bytes follow the block's control bytes. 4. The files are read back: a table lookup from control bytes to
    lengths gives all places at once.
 
 A file is MAGIC and blocks; a block is a header (numbers of documents, ids and data bytes), doc_ids, null flags, lengths,
-control bytes, data bytes. Files are written under a task's own name and then renamed, so a repeated task does no harm.
+control bytes, data bytes. Files are written under a task's own name and then renamed, so a repeated task does no harm;
+the first files are removed once the second ones are complete.
 
 Defined results: a null or empty text has only the end id; repeated doc_ids follow each other; a null doc_id comes first;
-an empty table gives no rows; further columns play no part.
+an empty table gives no rows; further columns play no part; special tokens in a text are what the library makes of them.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from skein.llm import common
 
 MAGIC = b"RANKVB01"
 END_ID = 0
+#: Bytes of text in a file.
+FILE_BYTES = 16 << 20
 _FIELDS = "part int, path string, n_docs long, n_tokens long, id long, count long"
 
 #: Control byte to the lengths of its four ranks, and to their sum.
@@ -96,9 +99,17 @@ def _open(uri: str):
     return fs.open_input_stream(path)
 
 
-def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, text: str = "text", end_id: int = END_ID) -> tuple[DataFrame, np.ndarray]:
+def _one_a_task(spark, rows: list, schema: str) -> DataFrame:
+    """Few rows (one for each file), each in a task of its own."""
+    return spark.createDataFrame(rows, schema).repartitionByRange(max(1, len(rows)), "part")
+
+
+def write_token_files(
+    docs: DataFrame, tokenizer_path: str, folder: str, text: str = "text", end_id: int = END_ID, file_bytes: int = FILE_BYTES
+) -> tuple[DataFrame, np.ndarray]:
     """Writes the files; returns a table of them (part, path, n_docs, n_tokens) and the id of each rank."""
     spark = docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
     common.tidy_shuffles(spark)
     common.bound_batches(spark)
 
@@ -119,12 +130,15 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, text: s
                 docs_seen, tokens_seen = docs_seen + b - a, tokens_seen + len(flat)
         if writer:
             used = np.flatnonzero(counts)
-            col = lambda v, t: pa.array([v] * len(used), t)
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([writer.close()]), pa.array([docs_seen]), pa.array([tokens_seen]), pa.array([None], pa.int64()), pa.array([None], pa.int64())], names)
-            yield pa.RecordBatch.from_arrays([col(part, pa.int32()), col(None, pa.string()), col(None, pa.int64()), col(None, pa.int64()), pa.array(used), pa.array(counts[used])], names)
+            col = lambda v, t, n=len(used): pa.array([v] * n, t)
+            none = [col(None, pa.int64(), 1), col(None, pa.int64(), 1)]
+            file = [pa.array([part], pa.int32()), pa.array([writer.close()]), pa.array([docs_seen]), pa.array([tokens_seen]), *none]
+            yield pa.RecordBatch.from_arrays(file, names)
+            same = [col(part, pa.int32()), col(None, pa.string()), col(None, pa.int64()), col(None, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*same, pa.array(used), pa.array(counts[used])], names)
 
     names = [x.split()[0] for x in _FIELDS.split(", ")]
-    ordered = docs.select(F.col("doc_id").cast("long"), F.col(text)).repartitionByRange("doc_id").sortWithinPartitions("doc_id", text)
+    ordered = docs.select(F.col("doc_id").cast("long"), F.col(text)).repartitionByRange(max(1, -(-size // file_bytes)), "doc_id").sortWithinPartitions("doc_id", text)
     said = common.written(ordered.mapInArrow(tokenised, _FIELDS), "token-counts")
     ranked = said.where("id is not null").groupBy("id").agg(F.sum("count").alias("n")).orderBy(F.desc("n"), "id").collect()  # a vocabulary at most
     id_of_rank = np.array([r["id"] for r in ranked], np.uint32)
@@ -145,8 +159,11 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, text: s
                 paths.append(writer.close())
             yield pa.RecordBatch.from_arrays([batch.column("part"), pa.array(paths, pa.string()), batch.column("n_docs"), batch.column("n_tokens")], ["part", "path", "n_docs", "n_tokens"])
 
-    files = said.where("path is not null").select("part", "path", "n_docs", "n_tokens").repartitionByRange("part")
-    return common.written(files.mapInArrow(recoded, "part int, path string, n_docs long, n_tokens long"), "token-files"), id_of_rank
+    schema = "part int, path string, n_docs long, n_tokens long"
+    files = said.where("path is not null").select("part", "path", "n_docs", "n_tokens").collect()  # a row for each file
+    made = common.written(_one_a_task(spark, files, schema).mapInArrow(recoded, schema), "token-files")
+    common.remove(spark, f"{folder}/raw")
+    return made, id_of_rank
 
 
 def read_token_files(files: DataFrame, id_of_rank: np.ndarray) -> DataFrame:
@@ -173,7 +190,7 @@ def read_token_files(files: DataFrame, id_of_rank: np.ndarray) -> DataFrame:
                         )
                         start += tokens
 
-    rows = spark.createDataFrame(begins, "part int, path string, start long").repartitionByRange("part")
+    rows = _one_a_task(spark, begins, "part int, path string, start long")
     return rows.mapInArrow(decoded, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
