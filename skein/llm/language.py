@@ -11,8 +11,6 @@ without labelled rows everything is `und`; equal texts have equal results; other
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,35 +22,36 @@ from skein.llm.hashing import mix
 BUCKETS = 1 << 15
 #: At most so many labelled rows of each language are counted, those with the smallest hash of their id, and no text
 #: longer than SAMPLE_CHARS, which bounds the sample's bytes.
-SAMPLE_ROWS = 1000
+SAMPLE_ROWS = 1500
 SAMPLE_CHARS = 50_000
 SMOOTHING = 0.1
 #: Trigrams overlap, so a third of their number counts; each further language costs this times the log of that.
 PENALTY = 3.0
 STEPS = 40
-_LETTER = re.compile(r"[^\W\d_]")
 _FORMER, _LATTER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def trigrams(texts) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(distinct buckets, counts) of each text's letter trigrams; a run of other characters counts as one space."""
+    """(distinct buckets, counts) of each text's letter trigrams; a run of other characters counts as one space, and so do a
+    text's ends. So any text with a letter has a trigram, and a text's trigrams don't depend on the texts around it."""
     low = [(t or "").lower() for t in texts]
-    code = np.frombuffer((" ".join(low) + "  ").encode("utf-32-le", "surrogatepass"), "<u4")
-    begin = np.cumsum([0, *(len(t) + 1 for t in low)])
+    code = np.frombuffer((" " + "  ".join(low) + " ").encode("utf-32-le", "surrogatepass"), "<u4")
+    begin = np.cumsum([0, *(len(t) + 2 for t in low)])
     known = np.unique(code)
     letter = np.zeros(int(known[-1]) + 1, bool)
     letter[known] = [chr(c).isalpha() if not 0xD800 <= c < 0xE000 else False for c in known.tolist()]
     is_letter = letter[code]
     keep = is_letter.copy()
     keep[1:] |= is_letter[:-1]  # one separator after each run of letters
+    keep[begin[:-1][begin[:-1] < len(code)]] = True
     place = np.flatnonzero(keep)
     c = np.where(is_letter[place], code[place], 32).astype(np.uint64)
     with np.errstate(over="ignore"):
-        h = (mix(c[:-2] * _FORMER + c[1:-1]) * _LATTER + c[2:] if len(c) > 2 else np.empty(0, np.uint64))
+        h = mix(c[:-2] * _FORMER + c[1:-1]) * _LATTER + c[2:] if len(c) > 2 else np.empty(0, np.uint64)
         bucket = (mix(h) >> np.uint64(49)).astype(np.int64)
-    first = np.searchsorted(place[: len(bucket)], begin)
+    first = np.searchsorted(place, begin)
     out = []
-    for a, b in zip(first[:-1], first[1:], strict=True):
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         n = np.bincount(bucket[a : max(a, b - 2)], minlength=1)
         ids = np.flatnonzero(n)
         out.append((ids, n[ids].astype(float)))
@@ -107,8 +106,8 @@ class Model:
 
     def predict(self, texts) -> list[tuple[str, float, list[float]]]:
         out = []
-        for text, (ids, n) in zip(texts, trigrams(texts), strict=True):
-            if not self.names or not len(ids) or text is None or not _LETTER.search(text):
+        for ids, n in trigrams(texts):
+            if not self.names or not len(ids):
                 out.append(("und", 0.0, [0.0] * len(self.names)))
                 continue
             pi = choose(self.likelihood[ids], n)
@@ -133,7 +132,8 @@ def labelled_sample(docs: DataFrame, text: str, lang: str, rows: int = SAMPLE_RO
     last = steps.select("lang", "step", before.alias("before")).where(F.col("before") < rows).groupBy("lang").agg(F.max("step").alias("last"))
     thin = known.join(F.broadcast(last), "lang").where(F.col("step") <= F.col("last"))
     order = Window.partitionBy("lang").orderBy("h", "doc_id", "text")
-    return [(r["lang"], r["text"]) for r in thin.withColumn("k", F.row_number().over(order)).where(F.col("k") <= rows).select("lang", "text").collect()]
+    chosen = thin.withColumn("k", F.row_number().over(order)).where(F.col("k") <= rows)
+    return [(r["lang"], r["text"]) for r in chosen.select("lang", "text").collect()]
 
 
 def identify_languages(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

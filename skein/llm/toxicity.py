@@ -2,13 +2,14 @@
 
 Training. A bounded sample of documents labelled toxic or not gives token labels: a token of a toxic document is toxic if
 one of its features (hash of the word or of its first letters) is, over the sample, found in toxic documents almost
-only. The field is fitted to these tokens, and the sum of a document's marginals is calibrated to its label.
+only. The field is fitted to these tokens, and the sum of a document's largest marginals is calibrated to its label.
 
 Scoring. Forward-backward recursions over all tokens of a text (many texts at once, step by step) give each token's
-probability of being toxic; a text's score is the calibrated sum, and runs of tokens with a marginal of at least 0.5
-are its offending spans (offsets in code points).
+probability of being toxic; a text's score is the calibrated sum of the largest ones, and runs of tokens with
+a marginal of at least 0.5 are its offending spans (offsets in code points).
 
-Defined results: a null or empty text is scored as one without toxic tokens; without labelled rows every score is 0;
+Defined results: a null or empty text is scored as one without toxic tokens; without labelled rows, or with no
+toxic ones among them, every score is below 1e-20; a document with several labels counts as toxic if one of them is;
 equal texts have equal scores; other columns are kept; an empty table stays empty.
 """
 
@@ -32,8 +33,8 @@ SAMPLE_CHARS = 20_000
 #: (groups of copies of one document make its words look telling).
 LEAST_SHARE, CHANCE, LEAST_PART = 0.95, 0.01, 0.025
 CHAIN = 64
-#: Smaller marginals of tokens don't add to a document's sum.
-FLOOR = 0.25
+#: So many marginals of a document count for its score.
+LARGEST = 8
 #: Features of fewer documents have no weight, so that rare and unseen words look alike to the field.
 LEAST_DOCS = 5
 PREFIXES = (3, 4, 5, 6)
@@ -53,15 +54,20 @@ def _softplus(x):
 class Field:
     """Two labels; a token's emission is the sum of its features' weights plus a bias, transitions are 2 x 2 scores."""
 
-    def __init__(self, weights: np.ndarray, bias: float, move: np.ndarray, slope: float = 2.0):
-        self.weights, self.bias, self.move, self.slope = weights, bias, move, slope
+    def __init__(self, weights: np.ndarray, bias: float, move: np.ndarray, calibration=(-60.0, 0.0)):
+        self.weights, self.bias, self.move, self.calibration = weights, bias, move, np.asarray(calibration, float)
 
     def emissions(self, features: np.ndarray) -> np.ndarray:
         return self.weights[features].sum(axis=1) + self.bias
 
     def marginals(self, emission: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """P(toxic) of each token; `counts` has the tokens of each chain. The ratio of both labels' messages runs forwards
-        and backwards, one step of all chains that are long enough at a time."""
+        """P(toxic) of each token; `counts` has the tokens of each chain."""
+        ahead, back = self.messages(emission, counts)
+        return 1 / (1 + np.exp(-np.clip(ahead + back, -60, 60)))
+
+    def messages(self, emission: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The log ratio of both labels' messages, forwards (with the token's emission) and backwards, one step of all chains
+        that are long enough at a time."""
         (m00, m01), (m10, m11) = self.move
         order = np.argsort(-counts, kind="stable")
         begin = (np.cumsum(counts) - counts)[order]
@@ -82,15 +88,57 @@ class Field:
             after = last[:k] - t + 1
             x = emission[after] + back[after]
             back[after - 1] = np.logaddexp(m10, x + m11) - np.logaddexp(m00, x + m01)
-        return 1 / (1 + np.exp(-np.clip(ahead + back, -60, 60)))
+        return ahead, back
+
+    def neighbours(self, ahead: np.ndarray, emission: np.ndarray, back: np.ndarray, inner: np.ndarray) -> np.ndarray:
+        """2 x 2 expected numbers of the labels of a token before `inner` and the one at it."""
+        one, two = ahead[inner - 1], emission[inner] + back[inner]
+        logs = np.stack([self.move[a, b] + a * one + b * two for a in (0, 1) for b in (0, 1)])
+        w = np.exp(logs - logs.max(axis=0))
+        return (w / w.sum(axis=0)).sum(axis=1).reshape(2, 2)
+
+    def gradient(self, features: np.ndarray, label: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
+        """Of the log likelihood of the labels, by weights, bias and moves; and the marginals."""
+        emission = self.emissions(features)
+        ahead, back = self.messages(emission, counts)
+        p = 1 / (1 + np.exp(-np.clip(ahead + back, -60, 60)))
+        off = label - p
+        inner = np.ones(len(label), bool)
+        inner[(np.cumsum(counts) - counts)[counts > 0]] = False
+        inner = np.flatnonzero(inner)
+        seen = np.zeros((2, 2))
+        np.add.at(seen, (label[inner - 1].astype(int), label[inner].astype(int)), 1)
+        g = np.bincount(features.ravel(), np.repeat(off, features.shape[1]), minlength=len(self.weights))
+        return g, float(off.sum()), seen - self.neighbours(ahead, emission, back, inner), p
 
     def document_scores(self, p: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        doc = np.repeat(np.arange(len(counts)), counts)
-        return self.calibrated(np.bincount(doc, np.where(p >= FLOOR, p, 0), minlength=len(counts)))
+        return self.calibrated(_sums(p, counts))
 
     def calibrated(self, total: np.ndarray) -> np.ndarray:
-        """0.5 where the marginals add up to 0.7 tokens."""
-        return 1 / (1 + np.exp(-np.clip(self.slope * np.log((total + 0.1) / 0.8), -60, 60)))
+        """P(a document is toxic) from the sum of the squares of its largest marginals."""
+        return 1 / (1 + np.exp(-np.clip(_document_features(total) @ self.calibration, -60, 60)))
+
+
+def _sums(p: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The sum of the squares of the LARGEST largest marginals of each document; small ones would else add up in long texts."""
+    ends = np.cumsum(counts).tolist()
+    each = (p[b - n : b] ** 2 for n, b in zip(counts.tolist(), ends, strict=True))
+    return np.array([float((np.partition(x, -LARGEST)[-LARGEST:] if len(x) > LARGEST else x).sum()) for x in each])
+
+
+def _document_features(total: np.ndarray) -> np.ndarray:
+    return np.stack([np.ones(len(total)), np.log(total + 0.1)], axis=1)
+
+
+def _calibrate(x: np.ndarray, y: np.ndarray, steps: int = 25, l2: float = 1e-3) -> np.ndarray:
+    """Logistic regression by Newton steps."""
+    c, weight = np.zeros(x.shape[1]), 1 / len(y)
+    for _ in range(steps):
+        q = 1 / (1 + np.exp(-np.clip(x @ c, -30, 30)))
+        g = x.T @ (weight * (y - q)) - l2 * c
+        h = (x * (weight * q * (1 - q))[:, None]).T @ x + l2 * np.eye(len(c))
+        c = c + np.clip(np.linalg.solve(h, g), -2, 2)
+    return c
 
 
 def _labelled_tokens(features: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,6 +157,8 @@ def _labelled_tokens(features: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -
 
 def fit(texts: list[str], toxic: list[int], epochs: int = 20, rate: float = 0.6) -> Field:
     """A field fitted by gradient steps (scaled by the root of past squares) on the log likelihood of token labels."""
+    if not any(toxic):
+        return Field(np.zeros(BUCKETS, np.float32), -30.0, np.zeros((2, 2)))
     words, y = Words(texts, LOWER_WORDS), np.array(toxic, float)
     features = token_features(words)
     label, common_ones = _labelled_tokens(features, words.doc, y)
@@ -120,44 +170,32 @@ def fit(texts: list[str], toxic: list[int], epochs: int = 20, rate: float = 0.6)
     # chains of at most CHAIN tokens, none over a text's end
     cut = np.flatnonzero(np.concatenate(([True], (words.doc[1:] != words.doc[:-1]) | ((np.arange(1, n) - (np.cumsum(words.counts) - words.counts)[words.doc[1:]]) % CHAIN == 0))))
     counts = np.diff(np.append(cut, n))
-    inner = np.ones(n, bool)
-    inner[cut] = False
-    inner = np.flatnonzero(inner)
     seen_w, seen_m = np.full(BUCKETS, 1e-8), np.full((2, 2), 1e-8)
     truth = label.astype(float)
     for _ in range(epochs):
-        p = field.marginals(field.emissions(features), counts)
-        off = truth - p
-        g = np.bincount(features.ravel(), np.repeat(off, features.shape[1]), minlength=BUCKETS) - 1e-3 * field.weights
-        g *= common_ones
+        g, off, gm, p = field.gradient(features, truth, counts)
+        g = (g - 1e-3 * field.weights) * common_ones
         seen_w += g * g
         field.weights = field.weights + rate * g / np.sqrt(seen_w)
-        field.bias += float(np.clip(off.sum() / max(1e-9, (p * (1 - p)).sum()), -1, 1))
-        a, b = label[inner - 1], label[inner]
-        pa, pb = p[inner - 1], p[inner]
-        wanted = np.array([[(~a & ~b).sum(), (~a & b).sum()], [(a & ~b).sum(), (a & b).sum()]], float)
-        # expected pairs: the two marginals with the field's own odds between neighbours
-        odds = np.exp(field.move)
-        w = np.stack([np.stack([(1 - pa) * (1 - pb) * odds[0, 0], (1 - pa) * pb * odds[0, 1]]), np.stack([pa * (1 - pb) * odds[1, 0], pa * pb * odds[1, 1]])])
-        gm = wanted - (w / w.sum(axis=(0, 1))).sum(axis=2)
+        field.bias += float(np.clip(off / max(1e-9, (p * (1 - p)).sum()), -1, 1))
         seen_m += gm * gm
         field.move = np.clip(field.move + 0.2 * rate * gm / np.sqrt(seen_m), -4, 4)
     p = field.marginals(field.emissions(features), words.counts)
-    total = np.bincount(words.doc, np.where(p >= FLOOR, p, 0), minlength=len(texts))
-    x, slope = np.log((total + 0.1) / 0.8), 2.0
-    weight = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
-    for _ in range(300):
-        slope = min(12.0, max(0.5, slope + 0.5 * float((weight * (y - 1 / (1 + np.exp(-np.clip(slope * x, -60, 60))))) @ x)))
-    return Field(field.weights.astype(np.float32), field.bias, field.move, slope)
+    calibration = _calibrate(_document_features(_sums(p, words.counts)), y)
+    return Field(field.weights.astype(np.float32), field.bias, field.move, calibration)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int = SAMPLE_ROWS) -> tuple[list[str], list[int]]:
     """Texts and labels of at most `rows` documents of each label; the ids are chosen first, so few texts are moved."""
-    chosen = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "toxic", F.xxhash64(F.lit(6), "doc_id").alias("h"))
+    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    chosen = known.select("doc_id", "toxic", F.xxhash64(F.lit(6), "doc_id").alias("h"))
     parts = [chosen.where(F.col("toxic") == k).orderBy("h", "doc_id").limit(rows) for k in (0, 1)]
     ids = F.broadcast(parts[0].unionByName(parts[1]))  # at most 2 * rows rows
-    found = docs.where(F.length(text) <= SAMPLE_CHARS).select("doc_id", F.col(text).alias("text")).join(ids, "doc_id").orderBy("h", "doc_id").select("text", "toxic").collect()
-    once = {r["text"]: r["toxic"] for r in found}  # copies teach nothing new
+    texts = docs.where(F.length(text) <= SAMPLE_CHARS).select("doc_id", F.col(text).alias("text"))
+    found = texts.join(ids, "doc_id").orderBy("h", "doc_id", "text").select("text", "toxic").collect()
+    once: dict[str, int] = {}  # copies teach nothing new
+    for r in found:
+        once[r["text"]] = max(r["toxic"], once.get(r["text"], 0))
     return list(once), list(once.values())
 
 

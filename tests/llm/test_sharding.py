@@ -37,3 +37,19 @@ def test_large_hypergeometric_matches_the_mean_and_spread():
     rng = np.random.default_rng(1)
     x = np.array([sharding.draw_hypergeometric(rng, 2 * 10**9, 10**10, 12_000) for _ in range(3000)])
     assert abs(x.mean() - 2000) < 5 and abs(x.std() - np.sqrt(12_000 * (1 / 6) * (5 / 6))) < 2
+
+
+def test_shuffles_are_uniform(spark):
+    """Over many seeds, each row comes to each shard and slot about equally often, and neighbours are no likelier to stay together."""
+    df, n, shards, runs = spark.range(12).withColumnRenamed("id", "doc_id").coalesce(1), 12, 3, 40
+    seen, together = np.zeros((n, shards * 4)), 0
+    for seed in range(runs):
+        rows = sharding.hypergeometric_shards(df, shards, seed=seed * 11).collect()
+        where = {r.doc_id: r.shard for r in rows}
+        together += sum(where[k] == where[k + 1] for k in range(n - 1))
+        for r in rows:
+            seen[r.doc_id, r.shard * 4 + r.slot] += 1
+    expected = runs / (shards * 4)
+    chi = ((seen - expected) ** 2 / expected).sum()
+    assert chi < 121 + 5 * np.sqrt(2 * 121)  # 11 * 11 degrees of freedom
+    assert abs(together / runs / (n - 1) - 3 / 11) < 0.05

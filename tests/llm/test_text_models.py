@@ -1,5 +1,6 @@
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -26,6 +27,38 @@ def test_language_mixture_and_awkward_texts(spark):
     assert language.trained(spark.createDataFrame([], COLUMNS)).names == []
 
 
+def brute_trigrams(text):
+    """Numbers of the trigrams of a text whose runs of other characters, and ends, are single spaces."""
+    low = "".join(c if c.isalpha() else " " for c in (text or "").lower())
+    words = " ".join(low.split())
+    return Counter(f" {words} "[i : i + 3] for i in range(len(words))) if words else Counter()
+
+
+def test_trigrams_against_brute_force_and_in_any_batch():
+    texts = ["abc", "a", "I", "née", "", None, "1 2", "  the thing. ", "the", "q!", "ab-cd", "the the the", "x" * 50]
+    for k, t in enumerate(texts):
+        (alone,) = language.trigrams([t])
+        for batch, at in ((texts, k), (texts[k:], 0), (texts[: k + 1], k), ([t, t], 1)):
+            ids, n = language.trigrams(batch)[at]
+            assert ids.tolist() == alone[0].tolist() and n.tolist() == alone[1].tolist()
+        assert sorted(alone[1].tolist()) == sorted(brute_trigrams(t).values())
+    model = language.Model([("en", "the thing and other"), ("fr", "une chose et autre")])
+    assert [p[0] == "und" for p in model.predict(texts)] == [not any(c.isalpha() for c in t or "") for t in texts]
+
+
+def test_chosen_languages_against_all_sets():
+    """The greedy choice reaches the best penalised likelihood of all sets of at most two languages."""
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        like, counts = rng.random((60, 3)) ** 3 + 1e-3, rng.integers(1, 6, 60).astype(float)
+        like /= like.max(axis=1, keepdims=True)
+        cost = language.PENALTY * 3 * np.log(max(2.0, counts.sum() / 3))
+        sets = [[0], [1], [2], [0, 1], [0, 2], [1, 2], [0, 1, 2]]
+        score = lambda c: language.proportions(like, counts, c)[1] - cost * (len(c) - 1)
+        got = np.flatnonzero(language.choose(like, counts)).tolist()
+        assert score(got) >= max(map(score, sets)) - cost
+
+
 def test_sample_keeps_rare_languages_and_the_smallest_hashes(spark):
     """A hot language doesn't thin the others: 60,000 rows of one, 30 and 3 of two more, some without an id."""
     lang = F.when(F.col("id") < 60_000, "hot").when(F.col("id") < 60_030, "rare").otherwise("rarest")
@@ -65,6 +98,48 @@ def test_marginals_against_enumeration():
         at += n
 
 
+def likelihood(field, features, label, counts):
+    """Log likelihood of the labels by enumeration of all labellings of each chain."""
+    e, at, total = field.emissions(features), 0, 0.0
+    for n in counts.tolist():
+        value = lambda y, a=at: sum(e[a + i] * y[i] for i in range(len(y))) + sum(field.move[u, v] for u, v in zip(y, y[1:], strict=False))
+        every = [value([(code >> i) & 1 for i in range(n)]) for code in range(2**n)]
+        total += value(label[at : at + n].astype(int).tolist()) - np.logaddexp.reduce(every)
+        at += n
+    return total
+
+
+def test_gradient_against_finite_differences():
+    rng = np.random.default_rng(3)
+    features, label, counts = rng.integers(0, 6, (9, 2)), rng.integers(0, 2, 9).astype(float), np.array([4, 2, 3])
+    field = toxicity.Field(rng.normal(size=6), 0.3, rng.normal(size=(2, 2)))
+    g, gb, gm, _ = field.gradient(features, label, counts)
+    d = 1e-5
+    for k in range(6):
+        ends = [toxicity.Field(field.weights + s * d * (np.arange(6) == k), 0.3, field.move) for s in (1, -1)]
+        assert abs((likelihood(ends[0], features, label, counts) - likelihood(ends[1], features, label, counts)) / (2 * d) - g[k]) < 1e-5
+    ends = [toxicity.Field(field.weights, 0.3 + s * d, field.move) for s in (1, -1)]
+    assert abs((likelihood(ends[0], features, label, counts) - likelihood(ends[1], features, label, counts)) / (2 * d) - gb) < 1e-5
+    for a in (0, 1):
+        for b in (0, 1):
+            step = np.zeros((2, 2))
+            step[a, b] = d
+            ends = [toxicity.Field(field.weights, 0.3, field.move + s * step) for s in (1, -1)]
+            assert abs((likelihood(ends[0], features, label, counts) - likelihood(ends[1], features, label, counts)) / (2 * d) - gm[a, b]) < 1e-5
+
+
+def test_toxicity_held_out_and_empty_tables(spark):
+    docs_, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    held = labels.where(toxicity.held_out())
+    rows = toxicity.score_toxicity(docs_.join(held, "doc_id"), toxicity.trained(docs_, labels)).select("toxic", "predicted").collect()
+    hits = sum(r.toxic and r.predicted for r in rows)
+    assert hits >= 0.8 * sum(r.toxic for r in rows) and hits >= 0.9 * sum(r.predicted for r in rows)  # a tenth of the labels are wrong
+    empty = spark.createDataFrame([], COLUMNS)
+    assert toxicity.score_toxicity(empty, toxicity.trained(empty, labels)).count() == 0
+    twice = spark.createDataFrame([(0, 1, 0), (0, 1, 1), (1, 1, 0), (1, 1, None)], "doc_id long, quality int, toxic int")
+    assert sorted(toxicity.labelled_sample(docs(spark, ["a", "b"]), twice)[1]) == [0, 1]
+
+
 def test_toxic_spans_and_awkward_texts(spark):
     rng = random.Random(1)
     words = [f"w{k}x{rng.randrange(99)}" for k in range(60)]
@@ -81,7 +156,7 @@ def test_toxic_spans_and_awkward_texts(spark):
     rows = sorted(toxicity.score_toxicity(df, field).collect(), key=lambda r: r.doc_id)
     assert [r.predicted for r in rows] == [1] + [0] * 10 and all(0 <= r.score <= 1 for r in rows)
     assert [(s["from"], s["to"]) for s in rows[0].spans] == [(7, 14)] and rows[7].score == rows[8].score
-    assert toxicity.fit([], []).calibrated(np.zeros(1))[0] < 0.5
+    assert toxicity.fit([], []).calibrated(np.zeros(1))[0] < 1e-20
     assert toxicity.trained(docs(spark, ["x"]), spark.createDataFrame([], "doc_id long, quality int, toxic int")).bias < -10
 
 
