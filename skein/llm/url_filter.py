@@ -1,7 +1,7 @@
 """Operator 2: judges urls by rules and, where none fits, by logistic regression on hashed character n-grams.
 
 Host and path come from the url by SQL functions; the rule that fits and has the longest text decides, else the
-probability of the model, which is trained on the driver from a small labelled table (LABELLED, some hundred rows).
+probability of the model, which is trained on the driver from a small labelled table (url_table).
 
 Defined results: a null url, or one without ://, has an empty host and path and is judged by the model (which allows
 it); equal urls are judged alike; further columns are kept; an empty table stays empty.
@@ -9,7 +9,6 @@ it); equal urls are judged alike; further columns are kept; an empty table stays
 
 from __future__ import annotations
 
-import zlib
 from functools import lru_cache
 
 import numpy as np
@@ -19,43 +18,66 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skein.llm import common
+from skein.llm.hashing import mix
+from skein.llm.url_table import OTHERS, UNWANTED
 
 RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
-FEATURES = 1 << 14
+FEATURES = 1 << 16
 SIZES = (3, 4, 5)
+#: The share of urls that are taken to be unwanted.
+PRIOR = 0.25
 
-# The small labelled table: host words and path words seen on unwanted (1) and wanted (0) pages.
-_BAD = "casino poker porn xxx bet viagra pills torrent warez crack escort loan slots jackpot lottery adult".split()
-_GOOD = "news docs library university recipes science museum history garden weather health travel school music example wiki".split()
-LABELLED = [(f"{sub}{w}.{tld}", path.format(w), label) for label, words in ((1, _BAD), (0, _GOOD)) for w in words for sub, tld, path in (("www.", "com", "/{0}/index.html"), ("", "net", "/en/{0}/1024"), ("m.", "org", "/2024/05/{0}?id=7"))]
 
+def _halves(url: str) -> tuple[str, str]:
+    host, slash, rest = url.partition("/")
+    return host, (slash + rest).partition("?")[0]
 
-def grams(host: str, path: str) -> list[int]:
-    out = []
-    for salt, part in ((1, f"^{host}$"), (2, f"{path}$")):
-        raw = common.utf8(part)
-        out += [zlib.crc32(raw[i : i + n], salt) % FEATURES for n in SIZES for i in range(len(raw) - n + 1)]
-    return out
+
+#: (host, path, label) of the labelled table.
+LABELLED = tuple((*_halves(u), label) for label, urls in ((1, UNWANTED), (0, OTHERS)) for u in urls)
 
 
-def features(host: str, path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams, each of weight 1 over the root of their number."""
-    ids = np.unique(np.array(grams(host, path), np.int64))
-    return ids, np.full(len(ids), 1 / np.sqrt(max(1, len(ids))))
+def features(hosts, paths) -> tuple[np.ndarray, np.ndarray]:
+    """(row, feature) of the distinct n-grams of all rows: of the host with its ends marked, and of the path with its end marked."""
+    out = []
+    for part, texts in ((0, [f"^{h}$\n" for h in hosts]), (1, [f"{p}$\n" for p in paths])):
+        raw = [common.utf8(t) for t in texts]
+        data = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64)
+        row = np.repeat(np.arange(len(raw)), [len(x) for x in raw])
+        code = np.zeros(len(data), np.uint64)
+        last = np.append(np.flatnonzero((np.diff(row) > 0)), len(data) - 1) if len(data) else np.zeros(0, int)
+        room = np.repeat(last, np.bincount(row, minlength=len(raw))[np.bincount(row, minlength=len(raw)) > 0]) - np.arange(len(data))
+        for k in range(max(SIZES)):
+            code[: max(0, len(data) - k)] |= data[k:] << np.uint64(8 * k)
+            if k + 1 in SIZES:
+                whole = room > k  # the line's end isn't part of a gram
+                h = mix(code[whole] ^ mix(np.uint64(10 * part + k + 1)))
+                out.append(row[whole] * FEATURES + (h % np.uint64(FEATURES)).astype(np.int64))
+    both = np.unique(np.concatenate(out))
+    return both // FEATURES, both % FEATURES
+
+
+def probabilities(hosts, paths, model: tuple[np.ndarray, float]) -> np.ndarray:
+    """P(block) of each row. Each n-gram weighs 1 over the root of their number."""
+    (w, b), (row, feature) = model, features(hosts, paths)
+    n = np.bincount(row, minlength=len(hosts))
+    total = np.bincount(row, w[feature], minlength=len(hosts)) / np.sqrt(np.maximum(n, 1))
+    return 1 / (1 + np.exp(-np.clip(total + b, -60, 60)))
 
 
 @lru_cache(maxsize=4)
-def fit(labelled: tuple = tuple(LABELLED), steps: int = 400, rate: float = 8.0, l2: float = 1e-3) -> tuple[np.ndarray, float]:
-    rows = [features(h, p) for h, p, _ in labelled]
-    x, y = np.zeros((len(rows), FEATURES)), np.array([label for *_, label in labelled], float)
-    for k, (ids, values) in enumerate(rows):
-        x[k, ids] = values
-    w, b = np.zeros(FEATURES), 0.0
+def fit(labelled: tuple = LABELLED, steps: int = 400, rate: float = 20.0, l2: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Logistic regression by gradient steps over all rows of the table. The intercept stays at PRIOR, which urls get whose
+    n-grams say nothing: half of the table is unwanted, of the web it is less."""
+    row, feature = features([h for h, *_ in labelled], [p for _, p, _ in labelled])
+    y = np.array([label for *_, label in labelled], float)
+    value = 1 / np.sqrt(np.bincount(row, minlength=len(y)))[row]
+    w, b = np.zeros(FEATURES), float(np.log(PRIOR / (1 - PRIOR)))
     for _ in range(steps):
-        g = 1 / (1 + np.exp(-(x @ w + b))) - y
-        w -= rate * (x.T @ g / len(y) + l2 * w)
-        b -= rate * g.mean()
-    return w, float(b)
+        total = np.bincount(row, w[feature] * value, minlength=len(y)) + b
+        g = (1 / (1 + np.exp(-np.clip(total, -60, 60))) - y) / max(1, len(y))
+        w -= rate * (np.bincount(feature, g[row] * value, minlength=FEATURES) + l2 * w)
+    return w, b
 
 
 def split_url(url):
@@ -68,16 +90,15 @@ def split_url(url):
 
 def judge_urls(pages: DataFrame, url: str = "url", rules: dict[str, str] = RULES, labelled=LABELLED) -> DataFrame:
     """pages with host, path, rule, verdict and score (the model's probability of block)."""
-    w, b = fit(tuple(labelled))
+    model = fit(tuple(labelled))  # FEATURES numbers
     common.bound_batches(pages.sparkSession)
 
     @F.pandas_udf(T.DoubleType())
     def score(hosts: pd.Series, paths: pd.Series) -> pd.Series:
-        out = np.empty(len(hosts))
-        for k, (h, p) in enumerate(zip(hosts, paths, strict=True)):
-            ids, values = features(h, p)
-            out[k] = 1 / (1 + np.exp(-(values @ w[ids] + b)))
-        return pd.Series(out)
+        hosts, paths, out = hosts.tolist(), paths.tolist(), [np.empty(0)]
+        for a, b in common.batches_of_bytes([h + p for h, p in zip(hosts, paths, strict=True)]):
+            out.append(probabilities(hosts[a:b], paths[a:b], model))
+        return pd.Series(np.concatenate(out))
 
     host, path = split_url(F.col(url))
     fits = []
