@@ -1,24 +1,26 @@
 """Operator 7: all links of Jaccard similarity 0.8 or more between sets of five-word shingles, and their components.
 
-Documents with equal sets form a class; everything below handles one member of each class, its representative.
+Documents with equal sets form a class; everything below handles one member of each class, its representative, under a
+64-bit number. Pairs are always confirmed on whole sets.
 
 1. Screening. A set of n that links with another misses at most e = n // 5 of its shingles there. Of the e + l shingles
-   with the smallest hashes, two linked sets share l. Only representatives that share so many with others stay; this
-   moves some third of the shingles of each text and drops most texts.
-2. Signatures of the rest, from whole texts. Shingles are ordered by document frequency, rare ones first. A rare
-   shingle (in at most RARE sets) is a signature of its own. Frequent ones fall into classes by hash, and only pairs of
-   one class are signatures. An adversary who removes e shingles must not remove all signatures, so the prefix is
-   extended: it goes on until (rare) + sum over classes of (frequent - 1) exceeds e. The number of classes grows with
-   n, so a set has some 2.5 e pairs and not e * e; sets near a step of that number emit both.
-   If x and y link, the one whose prefix ends first has a signature within both prefixes.
-3. Verification. In each group of equal signatures a centre is verified against the members that are not yet known to
-   be in its component; components are updated and the next round takes other centres, in groups that still hold
-   several components. Once a round finds few new links, the pairs that are left (members of different components) are
-   verified one by one, unless their sketches prove that they don't link: bit b of a sketch is the parity of the number
-   of shingles that fall on b, so two sketches differ in at most as many bits as the sets differ in shingles, and linked
-   sets of n and m differ in at most (n + m) / 9. A pair comes up in every signature that it shares; where the smallest
-   signatures of both have some in common, it is taken in the smallest of these only. So no link between components is
-   lost, and large groups of copies cost a few rounds.
+   with the smallest hashes, two linked sets share l. Only documents that have so many of these in common with others
+   stay; this moves some third of the shingles of each text once and drops most texts.
+2. Quick links. Each set that is left has BANDS combinations of the QUICK shingles that come first in an order of their
+   own; a set with equal combinations is compared with the shortest one of the group only. This links most near copies.
+3. Signatures of what is left, from whole texts. Only shingles that sets of different components have count, and a set
+   without enough of these is done. They are ordered by document frequency, rare ones first. A rare shingle (in at most
+   RARE sets) is a signature of its own. Frequent ones fall into classes by hash, and only pairs of one class are
+   signatures. An adversary who removes e shingles must not remove all signatures, so the prefix is extended: it goes on
+   until (rare) + sum over classes of (frequent - 1) exceeds e. The number of classes grows with n, so a set has some
+   2.5 e pairs and not e * e; sets near a step of that number emit both. If x and y link, the one whose prefix ends
+   first has a signature within both prefixes.
+4. Rounds. In each group of equal signatures a centre is compared with the members that are not yet in its component;
+   components are updated and the next round takes other centres, in groups that still hold several components. Once a
+   round finds few new links, the members of different components are compared by blocks of PART members. A pair comes
+   out of a block only if sketches don't rule it out: bit b of a sketch is the parity of the number of shingles that
+   fall on b, so two sketches differ in at most as many bits as the sets differ in shingles, and linked sets of n and m
+   differ in at most (n + m) / 9. So no link between components is lost, and no group emits all its pairs.
 
 Defined results: documents without words (null, empty, white space) have n_shingles 0 and are their own component; fewer
 than five words are one shingle; an empty table stays empty; further columns play no part. Rows are told apart by a
@@ -40,22 +42,26 @@ from skein.llm.hashing import mix, shingle_sets
 WORDS = 5
 #: A shingle of at most so many sets is rare.
 RARE = 8
-#: Sets of a block in verification.
-BLOCK = 512
+#: Combinations for quick links, and shingles in each.
+BANDS, QUICK = 6, 3
+#: Shingles that one block of pairs holds in verification, on average, and pairs of one centre in it.
+BLOCK_SHINGLES, BLOCK_PAIRS = 1 << 20, 256
+#: Members of one signature in a block of the last comparison; small groups share a block of so many rows.
+PART, BUNDLE = 512, 20_000
 #: Bits of a set's sketch.
 SKETCH = 1024
-#: A set carries so many of its smallest signatures.
-LOWEST = 16
 #: Rounds of centres end once one finds less than this share of the links that the best one found.
-FEW = 0.1
+FEW = 0.02
+#: Rows of up to so many addresses (some 40 bytes each) are sent to all executors; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
-def misses(n: int) -> int:
+def misses(n):
     """Shingles of a set of n that a linked set may lack: n - ceil(0.8 n)."""
     return n // 5
 
 
-def extra(n: int) -> int:
+def extra(n):
     """How many shingles of the screening prefix two linked sets share at least, by the size of the smaller one."""
     return misses(n) // 2 + 1
 
@@ -65,21 +71,10 @@ def classes(n: int) -> int:
     return 1 << max(0, (max(1, misses(n) // 4)).bit_length() - 1)
 
 
-def set_key(s: np.ndarray) -> bytes:
-    """16 bytes that name a set: two sums of scrambled hashes."""
+def set_key(s: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit numbers that name a set: sums of scrambled hashes."""
     with np.errstate(over="ignore"):
-        sums = [mix(s ^ np.uint64(k)).sum(dtype=np.uint64) for k in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
-    return np.array([*sums], "<u8").tobytes() + np.uint32(len(s)).tobytes()
-
-
-def _screened(texts: pd.Series) -> pd.DataFrame:
-    n, keys, prefixes, texts = [], [], [], texts.tolist()
-    for a, b in common.batches_of_bytes(texts):
-        for s in shingle_sets(texts[a:b], WORDS):
-            n.append(len(s))
-            keys.append(set_key(s))
-            prefixes.append(s[: misses(len(s)) + extra(len(s))].view(np.int64))
-    return pd.DataFrame({"n": n, "key": keys, "prefix": prefixes})
+        return tuple(int(mix(s ^ np.uint64(k)).sum(dtype=np.uint64).view(np.int64)) for k in (0x5851F42D4C957F2D, 0x14057B7EF767814F))
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
@@ -88,14 +83,48 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits(ones.astype(np.uint8)).view(np.int64)
 
 
-def _whole(texts: pd.Series) -> pd.DataFrame:
-    keys, sets, sketches, texts = [], [], [], texts.tolist()
-    for a, b in common.batches_of_bytes(texts):
-        for s in shingle_sets(texts[a:b], WORDS):
-            keys.append(set_key(s))
-            sets.append(s.view(np.int64))
-            sketches.append(sketch(s))
-    return pd.DataFrame({"key": keys, "shingles": sets, "sketch": sketches})
+def combinations(s: np.ndarray) -> np.ndarray:
+    """One number for each of the BANDS orders: a hash of the QUICK shingles that come first in it."""
+    out = np.empty(BANDS, np.uint64)
+    for k in range(BANDS):
+        h = mix(s ^ mix(np.uint64(k + 1)))
+        first = np.sort(np.partition(h, QUICK - 1)[:QUICK] if len(h) > QUICK else h)
+        one = np.uint64(k)
+        with np.errstate(over="ignore"):
+            for x in first:
+                one = mix(one * np.uint64(5) + x)
+        out[k] = one
+    return out.view(np.int64)
+
+
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    """Arrays of 64-bit numbers as one column."""
+    ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    flat = np.concatenate(rows) if rows else np.empty(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
+
+
+def _sets_of(batches):
+    """The batches, cut into runs of bounded size, and the sets of their texts."""
+    for batch in batches:
+        texts = batch.column("text").to_pylist()
+        for a, b in common.batches_of_bytes(texts):
+            yield batch.slice(a, b - a), shingle_sets(texts[a:b], WORDS)
+
+
+def _screened(batches):
+    for batch, sets in _sets_of(batches):
+        keys = np.array([set_key(s) for s in sets], np.int64).reshape(-1, 2)
+        prefixes = [s[: misses(len(s)) + extra(len(s))] for s in sets]
+        made = [pa.array([len(s) for s in sets], pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), _lists(prefixes)]
+        kept = ["doc_id", "at", "at2", "row"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *made], [*kept, "n", "k1", "k2", "prefix"])
+
+
+def _whole(batches):
+    for batch, sets in _sets_of(batches):
+        made = [_lists(sets), _lists([sketch(s) for s in sets]), _lists([combinations(s) for s in sets])]
+        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("n"), *made], ["key", "n", "shingles", "sketch", "bands"])
 
 
 def signatures(n: int, counts: np.ndarray, shingles: np.ndarray, rare: int = RARE) -> np.ndarray:
@@ -124,54 +153,113 @@ def signatures(n: int, counts: np.ndarray, shingles: np.ndarray, rare: int = RAR
     return np.unique(np.concatenate(out)).view(np.int64) if out else np.empty(0, np.int64)
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, tables: common.Tables) -> DataFrame:
     """key, label of every key in links (a, b): the smallest key that is reachable. Labels spread and jump until at rest."""
-    both = common.written(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = common.written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "key"), "labels")
+    both = tables.write(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
+    start = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "key")
+    labels = tables.write(start, "labels")
     while True:
         near = both.join(labels.withColumnRenamed("key", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        spread = labels.join(near.withColumnRenamed("a", "key"), "key").select("key", F.least("label", "near").alias("label"), F.col("label").alias("old"))
+        spread = labels.join(near.withColumnRenamed("a", "key"), "key")
+        spread = spread.select("key", F.least("label", "near").alias("label"), F.col("label").alias("old"))
         target = labels.select(F.col("key").alias("label"), F.col("label").alias("further"))
-        new = common.written(spread.join(target, "label").select("key", F.least("label", "further").alias("label"), "old"), "labels")
-        if new.where("label <> old").isEmpty():
-            return new.select("key", "label")
+        new = spread.join(target, "label").select("key", F.least("label", "further").alias("label"), "old")
+        new = tables.write(new, "labels")
+        at_rest = new.where("label <> old").isEmpty()
+        tables.drop(labels)
         labels = new.select("key", "label")
-
-
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) that link. sets: key, n, shared (the shingles that some other set has, too).
-
-    Keys fall into blocks by hash; the pairs of two blocks are verified together, so a set moves once for each block that
-    its partners lie in, not once for each partner."""
-    blocks = max(1, -(-sets.count() // BLOCK))
-    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
-    dealt = common.written(pairs.select("a", "b", F.least(block("a"), block("b")).alias("p"), F.greatest(block("a"), block("b")).alias("q")), "pairs")
-    needed = dealt.select("p", "q", F.col("a").alias("key")).union(dealt.select("p", "q", F.col("b").alias("key"))).distinct()
-    needed = needed.join(sets, "key").select(F.col("p").alias("u"), F.col("q").alias("v"), "key", "n", "shared")
-
-    def verify(pairs_: pa.Table, sets_: pa.Table) -> pa.Table:
-        place = {k: i for i, k in enumerate(sets_["key"].to_pylist())}
-        one, two = (np.array([place[k] for k in pairs_[c].to_pylist()], np.int64) for c in "ab")
-        n, shared = sets_["n"].to_numpy(), sets_["shared"].combine_chunks()
-        size = shared.value_lengths().to_numpy().astype(np.int64)
-        _, tokens = np.unique(shared.flatten().to_numpy(), return_inverse=True)
-        begin, mark, linked = np.cumsum(size) - size, np.zeros(int(tokens.max(initial=0)) + 1, bool), np.zeros(len(one), bool)
-        order = np.argsort(one, kind="stable")
-        for run in np.split(order, np.flatnonzero(np.diff(one[order])) + 1):
-            a = one[run[0]]
-            mine = tokens[begin[a] : begin[a] + size[a]]
-            mark[mine] = True
-            for some in np.array_split(run, max(1, int(size[two[run]].sum()) >> 22)):
-                b = two[some]
-                ends = np.cumsum(size[b])
-                at = np.arange(ends[-1]) + np.repeat(begin[b] - ends + size[b], size[b])
-                inside = np.concatenate(([0], np.cumsum(mark[tokens[at]])))
-                i = inside[ends] - inside[ends - size[b]]
-                linked[some] = i * 100 >= (n[a] + n[b] - i) * 80
-            mark[mine] = False
-        return pairs_.select(["a", "b"]).filter(pa.array(linked))
-
-    return dealt.groupBy("p", "q").cogroup(needed.groupBy("u", "v")).applyInArrow(verify, "a binary, b binary")
+        tables.follow(labels, new)
+        if at_rest:
+            tables.drop(both)
+            return labels
+
+
+def _verify(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+    """Those of the pairs (a, b) whose sets (key, n, shingles) link."""
+    place = {k: i for i, k in enumerate(sets["key"].to_pylist())}
+    one, two = (np.array([place[k] for k in pairs[c].to_pylist()], np.int64) for c in "ab")
+    shingles = sets["shingles"].combine_chunks()
+    n = shingles.value_lengths().to_numpy().astype(np.int64)
+    ends, flat = np.cumsum(n), shingles.flatten().to_numpy()
+    linked = np.zeros(len(one), bool)
+    order = np.argsort(two, kind="stable")
+    for run in np.split(order, np.flatnonzero(np.diff(two[order])) + 1):
+        b = two[run[0]] if len(run) else 0
+        centre = np.sort(flat[ends[b] - n[b] : ends[b]]) if len(run) else flat[:0]
+        for p in run:
+            a = one[p]
+            mine = flat[ends[a] - n[a] : ends[a]]
+            at = np.searchsorted(centre, mine)
+            at[at == len(centre)] = 0
+            i = int((centre[at] == mine).sum())
+            linked[p] = i * 100 >= (n[a] + n[b] - i) * 80
+    return pairs.select(["a", "b"]).filter(pa.array(linked))
+
+
+def verified(pairs: DataFrame, whole: DataFrame, tables: common.Tables) -> DataFrame:
+    """Those of the pairs (a, b) that link, where b is a centre that may have many partners.
+
+    Pairs are dealt to blocks by their centre, those of a frequent centre to several, so a set moves once for each centre
+    that it is compared with, and a block holds a bounded number of shingles."""
+    size = whole.select("key", "n")
+    pairs = pairs.join(size.toDF("a", "n_a"), "a").join(size.toDF("b", "n_b"), "b")
+    many = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / BLOCK_PAIRS).alias("salts"))
+    total = pairs.agg(F.sum(F.col("n_a") + F.col("n_b")).alias("n")).first()["n"] or 0
+    blocks = max(1, -(-total // BLOCK_SHINGLES))
+    salt = F.pmod(F.xxhash64(F.lit(1), "a"), F.col("salts"))
+    dealt = pairs.join(many, "b").select("a", "b", F.pmod(F.xxhash64("b", salt), F.lit(blocks)).cast("int").alias("block"))
+    dealt = tables.write(dealt, "pairs")
+    needed = dealt.select(F.col("block").alias("cell"), F.col("a").alias("key")).union(dealt.select("block", "b")).distinct()
+    needed = needed.join(whole.select("key", "shingles"), "key")
+    found = dealt.groupBy("block").cogroup(needed.groupBy("cell")).applyInArrow(_verify, "a long, b long")
+    found = tables.write(found, "found")
+    tables.drop(dealt)
+    return found
+
+
+def _near(n, m):
+    return F.least(n, m) * 5 >= F.greatest(n, m) * 4
+
+
+def _possible(pairs: DataFrame, whole: DataFrame) -> DataFrame:
+    """The pairs (a, b) that neither their sizes nor their sketches rule out."""
+    known = whole.select("key", "n", "sketch")
+    both = pairs.join(known.toDF("a", "n", "s"), "a").join(known.toDF("b", "m", "t"), "b")
+    apart = sum(F.bit_count(F.col("s")[i].bitwiseXOR(F.col("t")[i])) for i in range(SKETCH // 64))
+    return both.where(_near(F.col("n"), F.col("m")) & (apart * 9 <= F.col("n") + F.col("m"))).select("a", "b")
+
+
+def _close_pairs(table: pa.Table) -> pa.Table:
+    """Pairs of one signature and different labels that sketches and sizes allow; of blocks i and j < i only those across."""
+    sig, n, label, key, block, i, j = (table[c].to_numpy() for c in ("signature", "n", "label", "key", "part", "i", "j"))
+    bits = table["sketch"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH // 64)
+    order, found = np.argsort(sig, kind="stable"), [np.empty((0, 2), np.int64)]
+    for run in np.split(order, np.flatnonzero(np.diff(sig[order])) + 1):
+        across = len(run) and i[run[0]] != j[run[0]]
+        left, right = (run[block[run] == i[run[0]]], run[block[run] == j[run[0]]]) if across else (run, run)
+        for x in left:
+            ys = right if across else right[key[right] > key[x]]
+            ys = ys[(label[ys] != label[x]) & (5 * np.minimum(n[ys], n[x]) >= 4 * np.maximum(n[ys], n[x]))]
+            size = n[ys] + n[x]
+            ys = ys[np.bitwise_count(bits[ys] ^ bits[x]).sum(axis=1, dtype=np.int64) * 9 <= size]
+            if len(ys):
+                found.append(np.stack([np.minimum(key[ys], key[x]), np.maximum(key[ys], key[x])], axis=1))
+    pairs = np.unique(np.concatenate(found), axis=0)
+    return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+
+def _across_labels(groups: DataFrame, whole: DataFrame) -> DataFrame:
+    """Pairs (a, b) of one group (signature, key, n, label) and different labels, by blocks of PART members."""
+    sizes = groups.groupBy("signature").agg(F.ceil(F.count(F.lit(1)) / PART).alias("parts"))
+    bundles = max(1, groups.count() // BUNDLE)
+    rows = groups.join(sizes, "signature").withColumn("part", F.pmod(F.xxhash64(F.lit(3), "key"), F.col("parts")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    rows = rows.withColumns({"i": F.greatest("part", "other"), "j": F.least("part", "other")})
+    cell = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("signature"), F.lit(bundles))).otherwise(F.xxhash64("signature", "i", "j"))
+    rows = rows.join(whole.select("key", "sketch"), "key")
+    rows = rows.select(cell.alias("cell"), "signature", "key", "n", "label", "part", "i", "j", "sketch")
+    found = rows.groupBy("cell").applyInArrow(_close_pairs, "a long, b long")
+    return found.distinct()
 
 
 def _addressed(docs: DataFrame, text: str, *names: str) -> DataFrame:
@@ -185,113 +273,147 @@ def _one_each(docs: DataFrame, *names: str) -> DataFrame:
     return docs.withColumn(k, F.row_number().over(Window.partitionBy(*names).orderBy(names[0]))).where(F.col(k) == 1).drop(k)
 
 
+def _light(rows: DataFrame) -> DataFrame:
+    """rows, marked for sending to all executors if they are few enough; otherwise they are joined by a shuffle."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
+
+
 def jaccard_components(docs: DataFrame, text: str = "text", rare: int = RARE) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     first, heads = _components(docs, text, rare)
-    found = first.select("doc_id", F.col("n").alias("n_shingles"), "key").join(heads, "key", "left")
+    found = first.select("doc_id", F.col("n").alias("n_shingles"), "k1", "k2").join(heads, ["k1", "k2"], "left")
     return found.select("doc_id", "n_shingles", F.coalesce("head.doc_id", "doc_id").alias("component_id"))
 
 
+def _survivors(first: DataFrame, reps: DataFrame, tables: common.Tables) -> DataFrame:
+    """key, n, at, at2 of the representatives with enough prefix shingles that other documents have, too."""
+    tokens = first.where("n > 0").select("row", "n", F.explode("prefix").alias("token"))
+    shared = tables.write(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token"), "shared")
+    smaller = F.ceil(F.col("n") * F.lit(4) / F.lit(5))
+    enough = F.floor(F.floor(smaller / 5) / 2) + 1
+    hits = tokens.join(shared, "token").groupBy("row", "n").agg(F.count(F.lit(1)).alias("hits")).where(F.col("hits") >= enough)
+    left = tables.write(hits.join(reps.select(F.col("key").alias("row"), "rep.at", "rep.at2"), "row"), "left")
+    tables.drop(shared)
+    return left.select(F.col("row").alias("key"), "n", "at", "at2")
+
+
 def _components(docs: DataFrame, text: str, rare: int = RARE) -> tuple[DataFrame, DataFrame]:
-    """The rows (doc_id, at, at2, n, key) and, for each key, the head of its component: the row of the smallest id."""
+    """The rows (doc_id, at, at2, row, n, k1, k2) and, for each set (k1, k2), its component's head: the row of the smallest id."""
 
     def signed_by(n: pd.Series, counts: pd.Series, shingles: pd.Series) -> pd.Series:
-        return pd.Series([signatures(int(a), np.asarray(b), np.asarray(c), rare) for a, b, c in zip(n, counts, shingles, strict=True)], dtype=object)
+        made = [signatures(int(a), np.asarray(b), np.asarray(c), rare) for a, b, c in zip(n, counts, shingles, strict=True)]
+        return pd.Series(made, dtype=object)
 
-    screened = F.pandas_udf(_screened, "struct<n:bigint,key:binary,prefix:array<bigint>>")
-    whole_sets = F.pandas_udf(_whole, "struct<key:binary,shingles:array<bigint>,sketch:array<bigint>>").asNondeterministic()  # else Spark computes it once more for the filter on its key
     signing = F.pandas_udf(signed_by, "array<bigint>")
-    spark = docs.sparkSession
+    spark, tables = docs.sparkSession, common.Tables(docs.sparkSession)
     common.tidy_shuffles(spark)
     common.bound_batches(spark)
     bare = _addressed(docs.select("doc_id", F.col(text).alias("text")), "text", "at", "at2")
     numbered = bare.withColumn("row", F.monotonically_increasing_id())  # fixed by being written
-    first = common.written(numbered.select("doc_id", "at", "at2", "row", screened("text").alias("s")).select("doc_id", "at", "at2", "row", "s.*"), "screened")
+    kept = f"doc_id {bare.schema['doc_id'].dataType.simpleString()}, at long, at2 long, row long, n long, k1 long, k2 long"
+    full = tables.write(numbered.mapInArrow(_screened, f"{kept}, prefix array<bigint>"), "screened")
+    first = tables.write(full.drop("prefix"), "rows")
     # classes of equal sets; rows without an id come last
-    members = first.where("n > 0").select("key", "n", F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "at", "at2", "row").alias("rep"))
-    reps = common.written(members.groupBy("key", "n").agg(F.min("rep").alias("rep")), "representatives")
-
-    # 1. screening: a shingle counts if two different sets have it in their prefixes
-    tokens = first.where("n > 0").select("key", F.explode("prefix").alias("token"))
-    shared = tokens.groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("token")
-    one = first.where("n > 0").join(reps.select(F.col("rep.row").alias("row")), "row")
-    screen = one.select("key", "n", F.explode("prefix").alias("token"))
-    smaller = F.ceil(F.col("n") * F.lit(4) / F.lit(5))
-    enough = F.floor(F.floor(smaller / 5) / 2) + 1
-    hits = screen.join(shared, "token").groupBy("key", "n").agg(F.count(F.lit(1)).alias("hits")).where(F.col("hits") >= enough)
-    left = common.written(hits.join(reps.select("key", "rep"), "key").select("key", "n", "rep"), "left")
-
-    # 2. whole sets of what is left, document frequencies, signatures
-    wanted = left.select(F.col("key").alias("rep_key"), "n", "rep.at", "rep.at2")
-    texts = _one_each(bare.drop("doc_id"), "at", "at2").join(wanted, ["at", "at2"]).select("rep_key", "n", "text")
-    whole = texts.select("rep_key", "n", whole_sets("text").alias("w")).where("w.key = rep_key").select(F.col("rep_key").alias("key"), "n", "w.shingles", "w.sketch")
-    whole = common.written(whole, "whole")
-    each = whole.select("key", "n", F.explode("shingles").alias("token"))
-    counts = each.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    ordered = each.join(counts, "token").groupBy("key", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("list"))
-    ordered = ordered.where(F.size("list") >= F.col("n") - F.floor(F.col("n") / 5)).select("key", "n", F.col("list.df").alias("counts"), F.col("list.token").alias("shared"))
-    sets = common.written(ordered, "sets")
-    signed = common.written(sets.select("key", "n", F.explode(signing("n", "counts", "shared")).alias("signature")), "signatures")
-    sets = sets.select("key", "n", "shared")
-
-    # 3. rounds of centres; a group of one component stays one, so each round only has the groups that are open
-    near = F.least(F.col("n"), F.col("m")) * 5 >= F.greatest(F.col("n"), F.col("m")) * 4
-    links, labels, round_, most_found = None, None, 0, 0
-    groups = _open_groups(signed.withColumn("label", F.col("key")))
+    members = first.where("n > 0").select("k1", "k2", F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "at", "at2", "row").alias("rep"))
+    reps = members.groupBy("k1", "k2").agg(F.min("rep").alias("rep")).select("k1", "k2", F.col("rep.row").alias("key"), "rep")
+    reps = tables.write(reps, "representatives")
+
+    # 1. screening, then whole sets of what is left
+    left = _survivors(full, reps, tables)
+    tables.drop(full)
+    texts = bare.drop("doc_id").join(_light(left), ["at", "at2"]).dropDuplicates(["key"]).select("key", "n", "text")
+    whole = texts.mapInArrow(_whole, "key long, n long, shingles array<bigint>, sketch array<bigint>, bands array<bigint>")
+    whole = tables.write(whole, "whole")
+
+    # 2. quick links: each set with the shortest one of an equal combination
+    bands = whole.select("key", "n", F.explode("bands").alias("signature"))
+    pairs = _possible(_with_centres(bands.withColumn("label", F.col("key")), 0), whole)
+    links = verified(pairs, whole, tables)
+    labels = components(links, tables)
+
+    # 3. shingles that several components have, document frequencies, signatures
+    each = _labelled(whole.select("key", "n", "shingles"), labels).select("key", "n", "label", F.explode("shingles").alias("token"))
+    counts = each.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    counts = counts.where("lo <> hi").select("token", "df")
+    listed = each.join(counts, "token").groupBy("key", "n", "label").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("list"))
+    listed = listed.where(F.size("list") >= F.col("n") - F.floor(F.col("n") / 5))
+    signed = listed.select("key", "n", "label", F.explode(signing("n", F.col("list.df"), F.col("list.token"))).alias("signature"))
+    groups = _open_groups(tables.write(signed, "signatures"), tables)
+
+    # 4. rounds of centres; a group of one component stays one, so each round only has the groups that are open
+    round_, most_found = 1, 0
     while not groups.isEmpty():
-        centre = groups.groupBy("signature").agg(F.min(F.struct(F.xxhash64(F.lit(round_), "key").alias("h"), "key", "n", "label")).alias("c"))
-        centre = centre.select("signature", F.col("c.key").alias("b"), F.col("c.n").alias("m"), F.col("c.label").alias("centre_label"))
-        pairs = groups.join(centre, "signature").where((F.col("label") != F.col("centre_label")) & near).select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b")).distinct()
-        found = common.written(verified(pairs, sets), "found")
+        found = verified(_possible(_with_centres(groups, round_), whole), whole, tables)
         n_found = found.count()
         if not n_found:
             break
-        most_found = max(most_found, n_found)
-        links = found if links is None else links.union(found)
-        labels = components(links)
-        groups = _open_groups(_labelled(groups.drop("label"), labels))
-        round_ += 1
+        most_found, round_ = max(most_found, n_found), round_ + 1
+        links, labels, groups = _joined(links, found, labels, groups, tables)
         if n_found < FEW * most_found:
             break
-    lowest = groups.select("key").distinct().join(signed, "key").groupBy("key").agg(F.slice(F.array_sort(F.collect_list("signature")), 1, LOWEST).alias("low"))
-    groups = groups.join(whole.select("key", "sketch"), "key").join(lowest, "key")
-    rest = groups.select("signature", F.col("key").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"), F.col("sketch").alias("sketch_b"), F.col("low").alias("low_b"))
-    apart = sum(F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("sketch_b")[i])) for i in range(SKETCH // 64))
-    pairs = groups.join(rest, "signature").where((F.col("key") < F.col("b")) & (F.col("label") != F.col("other")) & near & (apart * 9 <= F.col("n") + F.col("m")) & (F.coalesce(F.array_min(F.array_intersect("low", "low_b")), "signature") == F.col("signature"))).select(F.col("key").alias("a"), "b").distinct()
-    found = common.written(verified(pairs, sets), "found")
-    if not found.isEmpty():
-        labels = components(found if links is None else links.union(found))
+    if not groups.isEmpty():
+        found = verified(_across_labels(groups, whole), whole, tables)
+        if not found.isEmpty():
+            links, labels, groups = _joined(links, found, labels, groups, tables)
 
     # components of classes, then of documents
-    if labels is None:
-        heads = reps.select("key", F.col("rep").alias("head"))
-    else:
-        named = _labelled(reps.select("key", "rep"), labels)
-        heads = named.join(named.groupBy("label").agg(F.min("rep").alias("head")), "label").select("key", "head")
+    named = _labelled(reps.select("k1", "k2", "key", "rep"), labels)
+    heads = named.join(named.groupBy("label").agg(F.min("rep").alias("head")), "label").select("k1", "k2", "head")
+    heads = tables.write(heads, "heads")
+    tables.drop(whole, reps, links, labels, groups)
     return first, heads
 
 
+def _with_centres(groups: DataFrame, round_: int) -> DataFrame:
+    """Pairs (a, b): each member of a group (signature, key, n, label) with its centre b, if their labels differ. The first
+    centres are the shortest sets; later ones are chosen by a hash of set and signature, so that a set meets several."""
+    order = F.col("n") if round_ < 2 else F.xxhash64(F.lit(round_), "signature", "key")
+    centre = groups.groupBy("signature").agg(F.min(F.struct(order.alias("o"), "key", "label")).alias("c"))
+    centre = centre.select("signature", F.col("c.key").alias("b"), F.col("c.label").alias("centre_label"))
+    pairs = groups.join(centre, "signature").where(F.col("label") != F.col("centre_label"))
+    return pairs.select(F.col("key").alias("a"), "b").distinct()
+
+
+def _joined(links: DataFrame, found: DataFrame, labels: DataFrame, groups: DataFrame, tables: common.Tables) -> tuple:
+    """All links, their components, and the groups that are still open."""
+    together = tables.write(links.union(found), "all-links")
+    new = components(together, tables)
+    still = _open_groups(_labelled(groups.drop("label"), new), tables)
+    tables.drop(links, found, labels, groups)
+    return together, new, still
+
+
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """rows with the label of their key; the key itself where it has no link."""
     return rows.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
 
 
-def _open_groups(groups: DataFrame) -> DataFrame:
+def _open_groups(groups: DataFrame, tables: common.Tables) -> DataFrame:
     """The rows of signatures whose members are in several components."""
-    still = groups.groupBy("signature").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("signature")
-    return common.written(groups.join(still, "signature"), "groups")
+    spread = groups.groupBy("signature").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    return tables.write(groups.join(spread.where("lo <> hi").select("signature"), "signature"), "groups")
 
 
 def first_of_each(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row of each component, the one of the smallest id: near duplicates go. Rows without an id stay as long as no
     other row is like them. Of rows without words, those that repeat both an id and its text go."""
     first, heads = _components(docs, text)
-    wordless = first.where("n = 0 and doc_id is not null").select("at", "at2")
-    at, at2 = common.fresh(docs, "at", "at2")
-    wanted = heads.select("head.at", "head.at2").union(wordless).distinct().toDF(at, at2)
     nobody = F.col("doc_id").isNull() & ~F.coalesce(F.col(text).rlike(r"[^ \t-\r]"), F.lit(False))  # each is its own component
-    kept = _one_each(_addressed(docs.where(~nobody), text, at, at2), at, at2).join(wanted, [at, at2], "left_semi")
-    return kept.drop(at, at2).unionAll(docs.where(nobody))
+    at, at2 = common.fresh(docs, "at", "at2")
+    kept = heads.select("head.at", "head.at2").distinct()
+    somebody = first.where("not (n = 0 and doc_id is null)")
+    counted = somebody.groupBy("at", "at2").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"))
+    repeated = counted.where("c > 1")
+    once = repeated.where("n > 0").select("at", "at2").join(kept, ["at", "at2"]).union(repeated.where("n = 0").select("at", "at2"))
+    gone = counted.where("n > 0").select("at", "at2").join(kept, ["at", "at2"], "left_anti").union(repeated.select("at", "at2")).distinct()
+    tables = common.Tables(docs.sparkSession)
+    once, gone = (tables.write(t.toDF(at, at2), name) for t, name in ((once, "once"), (gone, "gone")))
+    rows = _addressed(docs.where(~nobody), text, at, at2)
+    alone = rows.join(_light(gone), [at, at2], "left_anti")
+    out = alone.drop(at, at2).unionAll(docs.where(nobody))
+    if once.isEmpty():
+        return out
+    return out.unionAll(_one_each(rows.join(_light(once), [at, at2], "left_semi"), at, at2).drop(at, at2))
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
