@@ -67,7 +67,8 @@ def _ended(c: Column) -> Column:
     return F.regexp_replace(tx.clean_query(c), r"[\s.?!;:,]+$", "")
 
 
-def _asked(c: Column) -> Column:
+def asked(c: Column) -> Column:
+    """A text as a question: no marks at its end, a capital first, a question mark."""
     return F.when(_ended(c) == "", "").otherwise(F.concat(_capital(_ended(c)), F.lit(" ?")))
 
 
@@ -75,7 +76,7 @@ def _listed(c: Column) -> Column:
     """A question for one item of a list."""
     words = tx.bare_words(_ended(c))
     begin = F.when(words.rlike("^(?:les|des) "), "Quelles sont ").when(words.rlike("^(?:le|un|montant|nom|delai) "), "Quel est ").otherwise("Quelle est ")
-    return F.when(_ended(c) == "", "").otherwise(_asked(F.concat(begin, _ended(c))))
+    return F.when(_ended(c) == "", "").otherwise(asked(F.concat(begin, _ended(c))))
 
 
 def sub_intents(question: Column) -> Column:
@@ -83,7 +84,7 @@ def sub_intents(question: Column) -> Column:
     q = tx.clean_query(question)
     filled = lambda parts: F.filter(parts, lambda x: x != "")
     once = lambda parts: F.slice(first_of_each(filled(parts), tx.bare_words), 1, MOST_PARTS)
-    again = once(F.transform(F.split(q, lexicon.TREE_RESTART, -1), _asked))
+    again = once(F.transform(F.split(q, lexicon.TREE_RESTART, -1), asked))
     body = F.regexp_replace(q, lexicon.IMPERATIVE, "")
 
     def items(part: Column) -> Column:

@@ -9,10 +9,10 @@ from skein.functions import claims as cl
 from skein.functions import questions as qs
 from skein.functions import signals as sg
 from skein.functions import text as tx
-from skein.operators import access, clustering, contexts, embedding, evaluation, evidence, fuzzy, hierarchy, retrieval, summary_tree
+from skein.operators import access, asking, clustering, contexts, embedding, evaluation, evidence, fuzzy, hierarchy, retrieval, summary_tree
 from skein.plans import search_plan
 from skein.plans.queries import query
-from skein.sources import ingest
+from skein.sources import ingest, synthetic
 
 _TYPES = {"string": "VARCHAR", "int": "INTEGER", "long": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN"}
 
@@ -658,3 +658,124 @@ def _(make):
     c = F.col
     return make([(1, 2, 0, 0.5, 1), (2, 0, 1, None, 0)], "case_id int, r int, t int, f double, o int").select("case_id", *evaluation.improvement(c("r"), c("t"), c("f"), c("o")))
 
+
+
+# --- answers, corpora, small relational operators ------------------------------------------------------------------
+
+
+@golden("src_synthetic_positions", "dataset string, fact_id string, chunk_index int", [
+    ("small", "atlas_date", 0), ("small", "zephyr_reference", 2), ("small", "delta_percentage", 3), ("small", "boreal_duration", 4), ("small", "ocr_noise", 5), ("small", "cygnus_amount", 6),
+    ("small", "fenix_obligation", 7), ("medium", "atlas_date", 0), ("medium", "zephyr_reference", 2), ("medium", "delta_percentage", 16), ("medium", "boreal_duration", 25), ("medium", "ocr_noise", 26),
+    ("medium", "cygnus_amount", 48), ("medium", "fenix_obligation", 49),
+])
+def _(make):
+    spark = make([(1,)], "x int").sparkSession
+    rows = synthetic.corpus(spark, "small", 8).unionByName(synthetic.corpus(spark, "medium", 50))
+    return rows.where("fact_id is not null").select("dataset", "fact_id", "chunk_index")
+
+
+@golden("evl_synthetic", "question string, recall double, reciprocal_rank double", [(f, 1.0, 1.0) for f, *_ in synthetic.FACTS])
+def _(make):
+    spark = make([(1,)], "x int").sparkSession
+    chunks = synthetic.corpus(spark, "small", 8).withColumn("v", synthetic.vector(F.col("text")))
+    asked = synthetic.questions(spark).withColumn("q", synthetic.vector(F.col("question")))
+    from pyspark.sql import Window
+
+    from skein.functions import vectors as vx
+
+    near = asked.crossJoin(F.broadcast(chunks)).select(F.col("question_id").alias("question"), F.col("chunk_index").alias("item"), F.round(vx.cosine(F.col("q"), F.col("v")), 6).alias("s"))
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("question").orderBy(F.desc("s"), "item"))).where("rank <= 5")
+    expected = asked.select(F.col("question_id").alias("question"), "fact_id").join(chunks.select("fact_id", F.col("chunk_index").alias("item")), "fact_id").drop("fact_id")
+    return evaluation.recall_and_reciprocal_rank(ranked, expected, 5)
+
+
+@golden("rag_answers", "case_id int, answer string, n_sources int, n_evidence int, blocked boolean", [
+    (1, "La caution est de 3 %.", 3, 1, False), (2, evidence.BLOCKED, 3, 0, True),
+])
+def _(make):
+    chunks = make(_TEXTS, _CHUNKS)
+    given = ["La caution est de 3 %.", "Elle dure 99 jours."]
+    out = []
+    for i, said in enumerate(given, 1):
+        r = asking.ask(chunks, "Quelle est la garantie de l'offre ?", lambda _: [1.0, 0.0], lambda q, c, said=said: said, k=3, candidates=3)
+        out.append((i, r["answer"], len(r["sources"]), len(r["evidence"]), r["coverage"]["blocked"]))
+    return make(out, "case_id int, answer string, n_sources int, n_evidence int, blocked boolean")
+
+
+@golden("rag_retrieve_multi", "chunk_id long, position int", [(3, 1), (1, 2)])
+def _(make):
+    chunks = make(_TEXTS, _CHUNKS)
+    return asking.retrieve(chunks, "Quelle est la date limite et quelle garantie est exigee ?", lambda q: [0.0, 1.0] if "date" in q else [1.0, 0.0], k=2, candidates=2)
+
+
+@golden("pe_answers", "case_id int, answer string, strategy string", [(1, "5", None), (2, "8", "token_aware_document_start_truncation"), (3, asking.NOT_FOUND, None)])
+def _(make):
+    spark = make([(1,)], "x int").sparkSession
+    out = []
+    for i, (text, limit) in enumerate((("short", 100), ("x" * 50, 5), ("", 100)), 1):
+        r = asking.ask_document(text, "Combien", lambda q, c: str(len(c)), spark, token_limit=limit)
+        out.append((i, r["answer"], r["strategy"]))
+    return make(out, "case_id int, answer string, strategy string")
+
+
+@golden("rap_retrieve", "node_id long, reason string, position int", [(11, "factual_leaf", 1), (20, "top_down_root", 2), (10, "top_down_child", 3)])
+def _(make):
+    rows = [(10, 0, 0, "rien ici", 0.7), (11, 0, 1, "date limite le 3/7/2018", 0.65), (12, 0, 2, "autre", 0.1), (20, 1, 0, "resume", 0.72)]
+    nodes = make([(n, k, i, t, s, round(1 - s, 6)) for n, k, i, t, s in rows], "node_id long, level int, node_index int, text string, similarity double, distance double")
+    return asking.retrieve_tree(nodes, make([(20, 10), (20, 11), (20, 12)], "parent long, child long"), "Quelle est la date limite ?", 3)
+
+
+@golden("join_loose_prefix", "a string, b string, same boolean", [("depot", "depots", True), ("date", "dates", False), ("limite", "limitee", True), ("limite", "limon", False), ("mois", "mois", True)])
+def _(make):
+    rows = make([("depot", "depots"), ("date", "dates"), ("limite", "limitee"), ("limite", "limon"), ("mois", "mois")], "a string, b string")
+    return rows.withColumn("same", hierarchy.loosely_equal(F.col("a"), F.col("b")))
+
+
+@golden("join_three_way", "node_id long, chunk_id long, first double", [(1, 7, 0.5), (2, 8, 0.25), (3, None, 1.0)])
+def _(make):
+    nodes = make([(1, 0, 7, None), (2, 0, 8, None), (3, 1, None, [1.0])], "node_id long, level int, chunk_id long, own array<double>")
+    chunks, vectors = make([(7, "a"), (8, "b")], "chunk_id long, text string"), make([(7, [0.5]), (8, [0.25])], "chunk_id long, embedding array<double>")
+    leaves = nodes.where("level = 0").join(chunks, "chunk_id").join(vectors, "chunk_id").select("node_id", "chunk_id", "embedding")
+    return leaves.unionByName(nodes.where("level > 0").select("node_id", "chunk_id", F.col("own").alias("embedding"))).withColumn("first", F.col("embedding")[0])
+
+
+@golden("join_zip", "place int, a string, b long", [(0, "x", 1), (1, "y", 2), (2, "z", None)])
+def _(make):
+    rows = make([(["x", "y", "z"], [1, 2])], "a array<string>, b array<long>")
+    return rows.select(F.posexplode(F.arrays_zip("a", "b")).alias("place", "p")).select("place", "p.a", "p.b")
+
+
+@golden("agg_level_sums", "level int, candidates long", [(0, 7), (1, 3)])
+def _(make):
+    return make([(1, 0, 3), (1, 1, 3), (2, 0, 4)], "intent int, level int, n long").groupBy("level").agg(F.sum("n").alias("candidates"))
+
+
+@golden("arr_batches", "chunk_id long, batch long", [(0, 0), (15, 0), (16, 1), (33, 2)])
+def _(make):
+    return make([(k,) for k in (0, 15, 16, 33)], "chunk_id long").withColumn("batch", F.floor(F.col("chunk_id") / embedding.BATCH))
+
+
+@golden("jsn_round_trip", "case_id int, same boolean, broken boolean", [(1, True, False), (2, True, True)])
+def _(make):
+    rows = make([(1, '{"a":1,"b":"x"}'), (2, "{oops")], "case_id int, j string")
+    parsed = F.from_json("j", "a int, b string")
+    broken = F.try_parse_json("j").isNull()
+    return rows.select("case_id", (broken | (F.to_json(parsed) == F.col("j"))).alias("same"), broken.alias("broken"))
+
+
+@golden("set_subset", "case_id int, inside boolean", [(1, True), (2, False), (3, True)])
+def _(make):
+    rows = make([(1, ["a"], ["a", "b"]), (2, ["c"], ["a"]), (3, [], ["a"])], "case_id int, a array<string>, b array<string>")
+    return rows.select("case_id", (F.size(F.array_except("a", "b")) == 0).alias("inside"))
+
+
+case("set_first_of_each", [(1, "Été|ete|Hiver|hiver|été")], [(1, "Été|Hiver")])(lambda c: _list(qs.first_of_each(F.split(c, r"\|"), tx.fold)))
+case("str_questions", [(1, "quelle date ...")], [(1, "Quelle date ?")])(lambda c: qs.asked(c))
+
+
+@golden("sort_default_orders", "node_id long, place int", [(3, 1), (1, 2), (2, 3)])
+def _(make):
+    from pyspark.sql import Window
+
+    rows = make([(1, 1, 0), (2, 1, 1), (3, 0, 9)], "node_id long, level int, node_index int")
+    return rows.select("node_id", F.row_number().over(Window.orderBy("level", "node_index")).alias("place"))
