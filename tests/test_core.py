@@ -8,6 +8,7 @@ from skein.functions import vectors as vx
 from skein.operators import answers, chunking, clustering, contexts, embedding, evaluation, fuzzy, hierarchy, retrieval
 from skein.plans import golden, queries, search_plan
 from skein.sources import ingest
+from skein.streaming import embeddings as streamed
 
 F = tx.F
 
@@ -191,3 +192,23 @@ def test_golden_queries(spark, name):
     got = queries.QUERIES[name](spark, "").select(*found.columns)
     plain = lambda rows: sorted(repr([round(v, 6) if isinstance(v, float) else v for v in r]) for r in rows)
     assert len(GOLDEN) > 60 and golden and plain(got.collect()) == plain(found.fetchall())
+
+
+def test_streamed_embeddings(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def provider(texts):
+        calls.add(len(texts))
+        return [embedding.offline_vector(t, 4) for t in texts]
+
+    source, target, checkpoint = (f"file://{tmp_path}/{x}" for x in ("in", "out", "cp"))
+
+    def arrive(rows):
+        spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.mode("append").parquet(source)
+        streamed.follow(spark, source, target, checkpoint, provider, 4, availableNow=True).awaitTermination(120)
+        return {(r.doc_id, r.chunk_index): r.text for r in streamed.latest(spark, target).collect()}
+
+    long = "\n\n".join("word " * 180 + str(k) for k in range(3))
+    first = arrive([(1, "a"), (2, long), (3, None)])
+    assert first[1, 0] == "a" and len(first) == 4 and calls.value == 4
+    assert arrive([(1, "a"), (2, "short")]) == {(1, 0): "a", (2, 0): "short"} and calls.value == 5
