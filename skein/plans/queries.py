@@ -23,8 +23,17 @@ _GROUP_SQL = " AND ".join(f"list_has_any(tokens, {g})" for g in GROUPS)
 _ALL_TERMS = [x for g in GROUPS for x in g]
 _VECTOR = "(SELECT embedding FROM embeddings WHERE vec_id = 0)"
 _COSINE = f"round(list_cosine_similarity(embedding::DOUBLE[], {_VECTOR}::DOUBLE[]), 6)"
-_VECTOR_TOP = f"SELECT *, row_number() OVER (ORDER BY similarity DESC, chunk_id) AS vector_rank FROM (SELECT vec_id AS chunk_id, {_COSINE} AS similarity FROM embeddings) ORDER BY similarity DESC, chunk_id LIMIT 20"
-_LEXICAL_TOP = f"SELECT chunk_id, hits, row_number() OVER (ORDER BY hits DESC, chunk_id) AS lexical_rank FROM (SELECT chunk_id, len(list_filter(tokens, lambda x: list_contains({_ALL_TERMS}, x))) AS hits FROM (SELECT doc_id AS chunk_id, {_TOKENS} AS tokens FROM documents) WHERE {_GROUP_SQL}) ORDER BY hits DESC, chunk_id LIMIT 20"
+_VECTOR_TOP = (
+    f"SELECT *, row_number() OVER (ORDER BY similarity DESC, chunk_id) AS vector_rank FROM (SELECT vec_id "
+    f"AS chunk_id, {_COSINE} AS similarity FROM embeddings) ORDER BY similarity DESC, chunk_id LIMIT "
+    f"20"
+)
+_LEXICAL_TOP = (
+    f"SELECT chunk_id, hits, row_number() OVER (ORDER BY hits DESC, chunk_id) AS lexical_rank FROM (SELECT "
+    f"chunk_id, len(list_filter(tokens, lambda x: list_contains({_ALL_TERMS}, x))) AS hits FROM (SELECT "
+    f"doc_id AS chunk_id, {_TOKENS} AS tokens FROM documents) WHERE {_GROUP_SQL}) ORDER BY hits DESC, "
+    f"chunk_id LIMIT 20"
+)
 
 
 def query(name: str, sql: str | None = None):
@@ -55,7 +64,11 @@ def query_vector(t) -> list[float]:
     return t("embeddings").where("vec_id = 0").first()["embedding"]
 
 
-@query("src_usability", "SELECT doc_id, length(regexp_replace(text, '\\s', '', 'g'))::INT AS solid, length(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g'))::INT AS alnum, length(regexp_replace(text, '\\s', '', 'g')) >= 12 AND length(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g')) >= 8 AS usable FROM documents")
+@query("src_usability", (
+    "SELECT doc_id, length(regexp_replace(text, '\\s', '', 'g'))::INT AS solid, length(regexp_replace(text, "
+    "'[^\\p{L}\\p{N}]', '', 'g'))::INT AS alnum, length(regexp_replace(text, '\\s', '', 'g')) >= 12 "
+    "AND length(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g')) >= 8 AS usable FROM documents"
+))
 def _(t):
     return t("documents").select("doc_id", tx.usability(F.col("text")).alias("u")).select("doc_id", "u.*")
 
@@ -65,7 +78,11 @@ def _(t):
     return t("documents").select("doc_id", F.sha2("text", 256).alias("text_sha256"), F.length("text").alias("text_length"))
 
 
-@query("str_clean_text", r"SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[\x00-\x08\x0b-\x1f]', '', 'g'), '[^\S\n]+(\n|\z)', '\1', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+\z', '', 'g')) AS clean_sha FROM documents")
+@query("str_clean_text", (
+    r"SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, "
+    r"'\r\n?', chr(10), 'g'), '[\x00-\x08\x0b-\x1f]', '', 'g'), '[^\S\n]+(\n|\z)', '\1', 'g'), '\n{3,}', "
+    r"chr(10) || chr(10), 'g'), '^\s+|\s+\z', '', 'g')) AS clean_sha FROM documents"
+))
 def _(t):
     return t("documents").select("doc_id", F.sha2(tx.clean_text(F.col("text")), 256).alias("clean_sha"))
 
@@ -124,7 +141,10 @@ def _(t):
     return t("documents").select("doc_id", F.md5(tx.prefix_context(F.col("text"), 60_000)).alias("context"), (F.length("text") > 60_000).alias("truncated"))
 
 
-@query("win_terms_in_window", f"SELECT doc_id, coalesce(list_max(list_transform(range(1, len(tk) + 1), lambda i: len(list_intersect(list_distinct(tk[i:i + 11]), {_ALL_TERMS})))), 0)::INT AS most FROM (SELECT doc_id, {_TOKENS} AS tk FROM documents)")
+@query("win_terms_in_window", (
+    f"SELECT doc_id, coalesce(list_max(list_transform(range(1, len(tk) + 1), lambda i: len(list_intersect(list_distinct(tk[i:i "
+    f"+ 11]), {_ALL_TERMS})))), 0)::INT AS most FROM (SELECT doc_id, {_TOKENS} AS tk FROM documents)"
+))
 def _(t):
     terms = F.array(*[F.lit(x) for x in _ALL_TERMS])
     return t("documents").select("doc_id", tx.terms_in_window(tx.tokens(F.col("text")), terms, 12).alias("most"))
@@ -151,18 +171,32 @@ def _(t):
     return retrieval.lexical_top(chunk_table(t), GROUPS, 20)
 
 
-@query("ret_hybrid", f"WITH v AS ({_VECTOR_TOP}), l AS ({_LEXICAL_TOP}), f AS (SELECT chunk_id, similarity, vector_rank::INT AS vector_rank, hits::INT AS hits, lexical_rank::INT AS lexical_rank, round(coalesce(1.0::DOUBLE / (60 + vector_rank), 0) + coalesce(1.0::DOUBLE / (60 + lexical_rank), 0), 9) AS hybrid_score FROM v FULL JOIN l USING (chunk_id)) SELECT *, (row_number() OVER (ORDER BY hybrid_score DESC, coalesce(lexical_rank, 1000000), coalesce(vector_rank, 1000000), chunk_id))::INT AS final_rank FROM f ORDER BY final_rank LIMIT 5")
+@query("ret_hybrid", (
+    f"WITH v AS ({_VECTOR_TOP}), l AS ({_LEXICAL_TOP}), f AS (SELECT chunk_id, similarity, vector_rank::INT "
+    f"AS vector_rank, hits::INT AS hits, lexical_rank::INT AS lexical_rank, round(coalesce(1.0::DOUBLE "
+    f"/ (60 + vector_rank), 0) + coalesce(1.0::DOUBLE / (60 + lexical_rank), 0), 9) AS hybrid_score FROM "
+    f"v FULL JOIN l USING (chunk_id)) SELECT *, (row_number() OVER (ORDER BY hybrid_score DESC, coalesce(lexical_rank, "
+    f"1000000), coalesce(vector_rank, 1000000), chunk_id))::INT AS final_rank FROM f ORDER BY final_rank "
+    f"LIMIT 5"
+))
 def _(t):
     return retrieval.hybrid_top(chunk_table(t), vector_table(t), query_vector(t), GROUPS, 5)
 
 
-@query("emb_states", "SELECT d.doc_id AS chunk_id, CASE WHEN e.vec_id IS NULL THEN 'missing' WHEN e.vec_id % 7 <> 0 THEN 'current' ELSE 'stale' END AS state FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id")
+@query("emb_states", (
+    "SELECT d.doc_id AS chunk_id, CASE WHEN e.vec_id IS NULL THEN 'missing' WHEN e.vec_id % 7 <> 0 THEN "
+    "'current' ELSE 'stale' END AS state FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id"
+))
 def _(t):
     known = vector_table(t).join(chunk_table(t), "chunk_id").select("chunk_id", "embedding", F.when(F.col("chunk_id") % 7 == 0, "old").otherwise(F.sha2("text", 256)).alias("chunk_sha256"))
     return retrieval.stale_embeddings(chunk_table(t), known, DIMENSION)
 
 
-@query("src_upsert", "SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM documents) THEN toxic + 10 ELSE toxic END AS toxic FROM labels UNION ALL SELECT doc_id, 99 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+@query("src_upsert", (
+    "SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM documents) THEN toxic + 10 ELSE toxic END "
+    "AS toxic FROM labels UNION ALL SELECT doc_id, 99 FROM documents WHERE doc_id NOT IN (SELECT doc_id "
+    "FROM labels)"
+))
 def _(t):
     old = t("labels").select("doc_id", "toxic")
     new = t("documents").select("doc_id").join(old, "doc_id", "left").select("doc_id", F.coalesce(F.col("toxic") + 10, F.lit(99)).alias("toxic"))
@@ -189,7 +223,12 @@ def _(t):
     return t("documents").select("doc_id", "lang").join(t("labels"), "doc_id", "left_anti")
 
 
-@query("join_closure", "WITH RECURSIVE e AS (SELECT 'n' || n_nationkey AS child, 'r' || n_regionkey AS parent FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer), w AS (SELECT parent AS root, child FROM e WHERE parent LIKE 'r%' UNION ALL SELECT w.root, e.child FROM w JOIN e ON e.parent = w.child) SELECT root, count(*) AS descendants FROM w GROUP BY root")
+@query("join_closure", (
+    "WITH RECURSIVE e AS (SELECT 'n' || n_nationkey AS child, 'r' || n_regionkey AS parent FROM nation "
+    "UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer), w AS (SELECT parent AS root, "
+    "child FROM e WHERE parent LIKE 'r%' UNION ALL SELECT w.root, e.child FROM w JOIN e ON e.parent "
+    "= w.child) SELECT root, count(*) AS descendants FROM w GROUP BY root"
+))
 def _(t):
     edges = t("nation").select(F.concat(F.lit("n"), "n_nationkey").alias("child"), F.concat(F.lit("r"), "n_regionkey").alias("parent"))
     edges = edges.union(t("customer").select(F.concat(F.lit("c"), "c_custkey"), F.concat(F.lit("n"), "c_nationkey")))
@@ -200,7 +239,11 @@ def _(t):
     return found.groupBy("root").agg(F.count(F.lit(1)).alias("descendants"))
 
 
-@query("agg_groups", "SELECT lang, count(*) AS n, count(*) FILTER (n_chars > 1600) AS n_long, round(avg(n_chars), 4) AS mean_chars, bool_or(n_chars > 50000) AS any_huge, bool_and(n_chars > 0) AS all_filled FROM documents GROUP BY lang")
+@query("agg_groups", (
+    "SELECT lang, count(*) AS n, count(*) FILTER (n_chars > 1600) AS n_long, round(avg(n_chars), 4) "
+    "AS mean_chars, bool_or(n_chars > 50000) AS any_huge, bool_and(n_chars > 0) AS all_filled FROM documents "
+    "GROUP BY lang"
+))
 def _(t):
     n = F.col("n_chars")
     return t("documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(n > 1600).alias("n_long"), F.round(F.avg(n), 4).alias("mean_chars"), F.bool_or(n > 50000).alias("any_huge"), F.bool_and(n > 0).alias("all_filled"))
@@ -211,7 +254,10 @@ def _(t):
     return t("documents").rollup("source", "lang").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
 
 
-@query("agg_best_per_key", "SELECT source, doc_id, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r FROM documents) WHERE r = 1")
+@query("agg_best_per_key", (
+    "SELECT source, doc_id, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY "
+    "n_chars DESC, doc_id) AS r FROM documents) WHERE r = 1"
+))
 def _(t):
     return retrieval.best_per_key(t("documents").select("source", "doc_id", "n_chars"), "source", [F.desc("n_chars"), F.col("doc_id")]).drop("rank")
 
@@ -221,7 +267,10 @@ def _(t):
     return t("documents").groupBy("source").agg(F.concat_ws(",", F.sort_array(F.collect_set("lang"))).alias("langs"))
 
 
-@query("agg_maps", "SELECT source, array_to_string(list_sort(list(lang || '=' || n)), ',') AS counts FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL) GROUP BY source")
+@query("agg_maps", (
+    "SELECT source, array_to_string(list_sort(list(lang || '=' || n)), ',') AS counts FROM (SELECT source, "
+    "lang, count(*) AS n FROM documents GROUP BY ALL) GROUP BY source"
+))
 def _(t):
     per = t("documents").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"))
     return per.groupBy("source").agg(F.concat_ws(",", F.sort_array(F.collect_list(F.concat_ws("=", "lang", F.col("n").cast("string"))))).alias("counts"))
@@ -232,26 +281,46 @@ def _(t):
     return t("conversations").groupBy("conv_id").agg(F.expr("listagg(text, '\n\n') within group (order by turn)").alias("transcript"))
 
 
-@query("win_ranks", "SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id)::INT AS rank, lag(n_chars) OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS previous, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) = 1 AS is_first, row_number() OVER (PARTITION BY lang ORDER BY n_chars, doc_id DESC) = 1 AS is_last FROM documents")
+@query("win_ranks", (
+    "SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id)::INT AS rank, "
+    "lag(n_chars) OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS previous, row_number() OVER "
+    "(PARTITION BY lang ORDER BY n_chars DESC, doc_id) = 1 AS is_first, row_number() OVER (PARTITION "
+    "BY lang ORDER BY n_chars, doc_id DESC) = 1 AS is_last FROM documents"
+))
 def _(t):
     w = Window.partitionBy("lang").orderBy(F.desc("n_chars"), "doc_id")
     back = Window.partitionBy("lang").orderBy("n_chars", F.desc("doc_id"))
     return t("documents").select("doc_id", F.row_number().over(w).alias("rank"), F.lag("n_chars").over(w).alias("previous"), (F.row_number().over(w) == 1).alias("is_first"), (F.row_number().over(back) == 1).alias("is_last"))
 
 
-@query("win_top_per_group", "SELECT source, doc_id, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents) WHERE rank <= 4")
+@query("win_top_per_group", (
+    "SELECT source, doc_id, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY source "
+    "ORDER BY n_chars DESC, doc_id) AS rank FROM documents) WHERE rank <= 4"
+))
 def _(t):
     return retrieval.best_per_key(t("documents").select("source", "doc_id", "n_chars"), "source", [F.desc("n_chars"), F.col("doc_id")], 4).drop("n_chars")
 
 
-@query("set_operations", "SELECT 'both' AS kind, count(*) AS n FROM (SELECT doc_id FROM documents INTERSECT SELECT vec_id FROM embeddings) UNION ALL SELECT 'either', count(*) FROM (SELECT doc_id FROM documents UNION SELECT vec_id FROM embeddings) UNION ALL SELECT 'only', count(*) FROM (SELECT doc_id FROM documents EXCEPT SELECT vec_id FROM embeddings)")
+@query("set_operations", (
+    "SELECT 'both' AS kind, count(*) AS n FROM (SELECT doc_id FROM documents INTERSECT SELECT vec_id "
+    "FROM embeddings) UNION ALL SELECT 'either', count(*) FROM (SELECT doc_id FROM documents UNION SELECT "
+    "vec_id FROM embeddings) UNION ALL SELECT 'only', count(*) FROM (SELECT doc_id FROM documents EXCEPT "
+    "SELECT vec_id FROM embeddings)"
+))
 def _(t):
     d, e = t("documents").select("doc_id"), t("embeddings").select(F.col("vec_id").alias("doc_id"))
     n = lambda kind, x: x.agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "n")
     return n("both", d.intersect(e)).union(n("either", d.union(e).distinct())).union(n("only", d.exceptAll(e).distinct()))
 
 
-@query("evl_recall", "WITH r AS (SELECT source AS question, doc_id AS item, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents), x AS (SELECT source AS question, doc_id AS item FROM documents JOIN labels USING (doc_id) WHERE quality = 1) SELECT x.question, round(count(*) FILTER (r.rank <= 5)::DOUBLE / count(*), 4) AS recall, round(coalesce(1.0::DOUBLE / min(r.rank), 0), 4) AS reciprocal_rank FROM x LEFT JOIN (SELECT * FROM r WHERE rank <= 20) r USING (question, item) GROUP BY x.question")
+@query("evl_recall", (
+    "WITH r AS (SELECT source AS question, doc_id AS item, row_number() OVER (PARTITION BY source ORDER "
+    "BY n_chars DESC, doc_id) AS rank FROM documents), x AS (SELECT source AS question, doc_id AS item "
+    "FROM documents JOIN labels USING (doc_id) WHERE quality = 1) SELECT x.question, round(count(*) "
+    "FILTER (r.rank <= 5)::DOUBLE / count(*), 4) AS recall, round(coalesce(1.0::DOUBLE / min(r.rank), "
+    "0), 4) AS reciprocal_rank FROM x LEFT JOIN (SELECT * FROM r WHERE rank <= 20) r USING (question, "
+    "item) GROUP BY x.question"
+))
 def _(t):
     d = t("documents")
     ranking = retrieval.best_per_key(d.select(F.col("source").alias("question"), F.col("doc_id").alias("item"), "n_chars"), "question", [F.desc("n_chars"), F.col("item")], 20).drop("n_chars")
@@ -259,23 +328,42 @@ def _(t):
     return evaluation.recall_and_reciprocal_rank(ranking, expected, 5)
 
 
-@query("fil_status", "SELECT user_id, CASE WHEN bool_or(event_type = 'error') THEN 'failed' WHEN count(*) >= 10 THEN 'ready' ELSE 'preparing' END AS status FROM events GROUP BY user_id")
+@query("fil_status", (
+    "SELECT user_id, CASE WHEN bool_or(event_type = 'error') THEN 'failed' WHEN count(*) >= 10 THEN "
+    "'ready' ELSE 'preparing' END AS status FROM events GROUP BY user_id"
+))
 def _(t):
     return t("events").groupBy("user_id").agg(F.when(F.bool_or(F.col("event_type") == "error"), "failed").when(F.count(F.lit(1)) >= 10, "ready").otherwise("preparing").alias("status"))
 
 
 _CONTROL = r"regexp_replace(text, '[\x00-\x08\x0b-\x1f]', '', 'g')"
-_CLOSE = "(CASE WHEN coalesce(list_max(list_transform(range(1, len(tk) + 1), lambda i: len(list_intersect(list_distinct(tk[i:i + 9]), {terms})))), 0) >= 3 THEN 0.012 ELSE 0 END)"
-_QUERY_RANKS = " UNION ALL ".join(f"(SELECT {q} AS query, vec_id AS chunk_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = {q})::DOUBLE[]), 6) AS score FROM embeddings ORDER BY score DESC, chunk_id LIMIT 20)" for q in range(3))
-_NODES = "SELECT vec_id, label, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = 0)::DOUBLE[]), 6) AS similarity FROM embeddings"
+_CLOSE = (
+    "(CASE WHEN coalesce(list_max(list_transform(range(1, len(tk) + 1), lambda i: len(list_intersect(list_distinct(tk[i:i "
+    "+ 9]), {terms})))), 0) >= 3 THEN 0.012 ELSE 0 END)"
+)
+_QUERY_RANKS = " UNION ALL ".join((
+    f"(SELECT {q} AS query, vec_id AS chunk_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT "
+    f"embedding FROM embeddings WHERE vec_id = {q})::DOUBLE[]), 6) AS score FROM embeddings ORDER BY "
+    f"score DESC, chunk_id LIMIT 20)"
+) for q in range(3))
+_NODES = (
+    "SELECT vec_id, label, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding FROM "
+    "embeddings WHERE vec_id = 0)::DOUBLE[]), 6) AS similarity FROM embeddings"
+)
 
 
-@query("str_context", rf"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace({_CONTROL}, '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+\z', '', 'g')) AS context FROM documents")
+@query("str_context", (
+    rf"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace({_CONTROL}, '[ \t]+', ' ', 'g'), "
+    rf"'\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+\z', '', 'g')) AS context FROM documents"
+))
 def _(t):
     return t("documents").select("doc_id", F.md5(tx.clean_context(F.col("text"))).alias("context"))
 
 
-@query("str_document", rf"SELECT doc_id, md5(regexp_replace(regexp_replace({_CONTROL}, '\n{{4,}}', repeat(chr(10), 3), 'g'), '^\s+|\s+\z', '', 'g')) AS document FROM documents")
+@query("str_document", (
+    rf"SELECT doc_id, md5(regexp_replace(regexp_replace({_CONTROL}, '\n{{4,}}', repeat(chr(10), 3), 'g'), "
+    rf"'^\s+|\s+\z', '', 'g')) AS document FROM documents"
+))
 def _(t):
     return t("documents").select("doc_id", F.md5(tx.clean_document(F.col("text"))).alias("document"))
 
@@ -338,7 +426,11 @@ def query_results(t) -> DataFrame:
     return each[0].union(each[1]).union(each[2])
 
 
-@query("rag_merge", f"SELECT chunk_id, count(DISTINCT query)::INT AS n_matched, max(score) AS best_score, round(max(score) + 0.006 * (count(DISTINCT query) - 1), 6)::DOUBLE AS merged_score FROM ({_QUERY_RANKS}) GROUP BY chunk_id")
+@query("rag_merge", (
+    f"SELECT chunk_id, count(DISTINCT query)::INT AS n_matched, max(score) AS best_score, round(max(score) "
+    f"+ 0.006 * (count(DISTINCT query) - 1), 6)::DOUBLE AS merged_score FROM ({_QUERY_RANKS}) GROUP BY "
+    f"chunk_id"
+))
 def _(t):
     return answers.merge_queries(query_results(t))
 
@@ -348,7 +440,10 @@ def _(t):
     return answers.select_merged(query_results(t), 8, 3)
 
 
-@query("rap_level_top", f"SELECT label AS level, vec_id AS node_id, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY similarity DESC, vec_id) AS rank FROM ({_NODES})) WHERE rank <= 4")
+@query("rap_level_top", (
+    f"SELECT label AS level, vec_id AS node_id, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION "
+    f"BY label ORDER BY similarity DESC, vec_id) AS rank FROM ({_NODES})) WHERE rank <= 4"
+))
 def _(t):
     return retrieval.best_per_key(node_table(t), "level", [F.desc("similarity"), F.col("node_id")], 4).select("level", "node_id", "rank")
 
@@ -358,7 +453,11 @@ def node_table(t) -> DataFrame:
     return t("embeddings").select(F.col("label").alias("level"), F.col("vec_id").alias("node_id"), F.round(vx.cosine(F.col("embedding"), q), 6).alias("similarity"))
 
 
-@query("rap_diverse", f"WITH n AS ({_NODES}), h AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY similarity DESC, vec_id) AS r, max(similarity) OVER () AS best FROM n) SELECT label AS level, vec_id AS node_id, similarity FROM h WHERE r = 1 AND similarity >= greatest(0.05, best * 0.75, best - 0.25)")
+@query("rap_diverse", (
+    f"WITH n AS ({_NODES}), h AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY similarity "
+    f"DESC, vec_id) AS r, max(similarity) OVER () AS best FROM n) SELECT label AS level, vec_id AS node_id, "
+    f"similarity FROM h WHERE r = 1 AND similarity >= greatest(0.05, best * 0.75, best - 0.25)"
+))
 def _(t):
     return hierarchy.diverse(node_table(t))
 
