@@ -2,7 +2,8 @@
 
 Each source has a mean repetition rate (its share of the wanted rows over its rows). A document's number of copies is
 the inverse of the Poisson distribution with that mean at a uniform number that a hash of seed and doc_id gives; the
-row is exploded by that number, and the copies are put in the order of a second hash, a global shuffle. A mean above
+row is exploded by that number, and the copies are put in the order of a second hash, a global shuffle: the hash is
+uniform, so equal ranges of it are the partitions, and no sampling draws the copies twice. A mean above
 MOST_MEAN is split into equal parts that are drawn one by one and added, which gives the same law with short tables.
 
 Defined results: null sources are a source of their own; a null doc_id hashes as the word null; repeated doc_ids get
@@ -24,6 +25,8 @@ STEPS = 60
 #: Rates of up to so many sources are broadcast (some 500 bytes each); beyond, they are joined by a shuffle.
 BROADCAST_SOURCES = 4096
 SEED = 20
+#: Rows of a partition of the result, on average, if there are more than spark.sql.shuffle.partitions of them.
+PART_ROWS = 200_000
 
 
 def uniform(*parts):
@@ -33,13 +36,17 @@ def uniform(*parts):
 
 def cumulative(mean):
     """P(X <= k), k = 0, 1, ..., STEPS - 1, of the Poisson distribution, as an array."""
-    step = lambda acc, k: F.struct((acc["p"] * mean / k).alias("p"), (acc["c"] + acc["p"] * mean / k).alias("c"), F.concat(acc["all"], F.array(acc["c"] + acc["p"] * mean / k)).alias("all"))
+    def step(acc, k):
+        p = acc["p"] * mean / k
+        c = acc["c"] + p
+        return F.struct(p.alias("p"), c.alias("c"), F.concat(acc["all"], F.array(c)).alias("all"))
+
     first = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("c"), F.array(F.exp(-mean)).alias("all"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(STEPS - 1)), first, step, lambda acc: acc["all"])
 
 
 def source_rates(docs: DataFrame, weights: dict[str | None, float] | None = None, rows: float | None = None) -> DataFrame:
-    """source, mean rate; by default weights go with the square root of a source's rows and as many rows as there are."""
+    """source, its rows n, mean rate; by default weights go with the square root of a source's rows and as many rows as there are."""
     spark = docs.sparkSession
     counts = docs.groupBy("source").agg(F.count(F.lit(1)).cast("double").alias("n"))
     if weights is None:
@@ -49,14 +56,21 @@ def source_rates(docs: DataFrame, weights: dict[str | None, float] | None = None
         counts = counts.alias("c").join(given.alias("g"), F.col("c.source").eqNullSafe(F.col("g.source"))).select("c.source", "n", "w")
     sums = counts.agg(F.sum("w").alias("w"), F.sum("n").alias("n")).first()
     wanted = float(rows) if rows is not None else sums["n"] or 0.0
-    return counts.where(F.col("w") > 0).select("source", (F.col("w") / F.lit(sums["w"] or 1.0) * F.lit(wanted) / F.col("n")).alias("rate"))
+    rate = F.col("w") / F.lit(sums["w"] or 1.0) * F.lit(wanted) / F.col("n")
+    return counts.where(F.col("w") > 0).select("source", "n", rate.alias("rate"))
 
 
-def poisson_mixture(docs: DataFrame, weights: dict[str | None, float] | None = None, rows: float | None = None, seed: int = SEED) -> DataFrame:
+def poisson_mixture(
+    docs: DataFrame, weights: dict[str | None, float] | None = None, rows: float | None = None, seed: int = SEED
+) -> DataFrame:
     """The rows of docs with `replica` (0, 1, ...) and `shuffle_key`, in the order of that key."""
-    rate, copies, table, pieces = common.fresh(docs, "rate", "copies", "cumulative", "pieces")
-    common.tidy_shuffles(docs.sparkSession)
-    rates = common.written(source_rates(docs, weights, rows), "rates").withColumn(pieces, F.greatest(F.ceil(F.col("rate") / MOST_MEAN), F.lit(1)).cast("int"))
+    copies, table, pieces = common.fresh(docs, "copies", "cumulative", "pieces")
+    spark = docs.sparkSession
+    common.tidy_shuffles(spark)
+    rates = common.written(source_rates(docs, weights, rows), "rates")
+    expected = rates.agg(F.sum(F.col("n") * F.col("rate")).alias("x")).first()["x"] or 0.0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(expected / PART_ROWS))
+    rates = rates.withColumn(pieces, F.greatest(F.ceil(F.col("rate") / MOST_MEAN), F.lit(1)).cast("int"))
     rates = rates.withColumn(table, cumulative(F.col("rate") / F.col(pieces))).select(F.col("source").alias("_source"), pieces, table)
     if rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
@@ -73,7 +87,8 @@ def poisson_mixture(docs: DataFrame, weights: dict[str | None, float] | None = N
         .withColumn("replica", F.explode(F.sequence(F.lit(0), F.col(copies) - 1)))
         .withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"{seed}-order"), name, F.col("replica").cast("string"))))
         .select(*docs.columns, "replica", "shuffle_key")
-        .orderBy("shuffle_key")
+        .repartitionById(parts, F.floor(F.conv(F.substring("shuffle_key", 1, 8), 16, 10).cast("long") * parts / (1 << 32)).cast("int"))
+        .sortWithinPartitions("shuffle_key")
     )
 
 
