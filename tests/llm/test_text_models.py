@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -160,23 +161,78 @@ def test_toxic_spans_and_awkward_texts(spark):
     assert toxicity.trained(docs(spark, ["x"]), spark.createDataFrame([], "doc_id long, quality int, toxic int")).bias < -10
 
 
+def brute_terms(text):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    return re.findall(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", low)
+
+
+def mixed(x):
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 % 2**64
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB % 2**64
+    return x ^ (x >> 31)
+
+
+def brute_values(text, lexicon):
+    """Values of all subsets, one term and one subset after the other."""
+    words = set(brute_terms(text))
+    words = words & lexicon or words
+    hashes = [int(imatch.term_sets([w])[0][0]) for w in sorted(words)]
+    out = []
+    for level, rate in enumerate(imatch.RATES):
+        for subset in range(imatch.SUBSETS):
+            salt = 1 + 100 * level + subset // min(rate, imatch.SUBSETS)
+            cell = subset % min(rate, imatch.SUBSETS)
+            us = [mixed(h ^ mixed(salt)) for h in hashes]
+            total = sum(mixed(u) for u in us if (u >> 40) % rate == cell) % 2**64
+            out.append(max(1, mixed(total) >> 48) if total else 0)
+    return out
+
+
+def brute_likeness(a, b):
+    if a == b:
+        return 1.0
+    best = None
+    for k in range(0, len(a), imatch.SUBSETS):
+        pairs = [(x, y) for x, y in zip(a[k : k + imatch.SUBSETS], b[k : k + imatch.SUBSETS], strict=True) if x or y]
+        share = sum(x == y for x, y in pairs) / max(1, len(pairs))
+        bound = share - 1 / np.sqrt(len(pairs) + 1)
+        if best is None or bound > best[0]:
+            best = (bound, share)
+    return best[1]
+
+
 def test_fingerprints_against_brute_force(spark, monkeypatch):
     rng = random.Random(2)
     texts = [*AWKWARD, *(" ".join(f"t{rng.randrange(300)}" for _ in range(80)) for _ in range(30))]
     rows = {r.doc_id: r for r in imatch.fingerprints(docs(spark, texts).repartition(3)).collect()}
+    df = Counter(w for t in texts for w in set(brute_terms(t)))
+    lexicon = {w for w, n in df.items() if 2 <= n <= max(2, imatch.MOST_SHARE * len(texts))}
     assert len(rows) == len(texts)
     for k, text in enumerate(texts):
         text, after = text or "", texts[(k - 1) % len(texts)] or ""
         half = len(text) // 2
         edited = text[: len(text) - half] + after[:half]
         assert (rows[k].n_chars, rows[k].edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
-        assert rows[k].near_next == (1.0 if rows[k].fingerprint == rows[(k - 1) % len(texts)].fingerprint else rows[k].near_next)
+        want, edit = (brute_values(x, lexicon) for x in (text, edited))
+        assert rows[k].fingerprint == "".join(f"{v:04x}" for v in want) and rows[k].edited_fingerprint == "".join(f"{v:04x}" for v in edit)
+        assert rows[k].near_edited == brute_likeness(want, edit) and rows[k].near_next == brute_likeness(want, brute_values(after, lexicon))
     assert rows[5].fingerprint == rows[6].fingerprint != rows[4].fingerprint
     made = [rows[k] for k in range(len(AWKWARD), len(texts))]
     assert np.mean([r.near_edited for r in made]) > np.mean([r.near_next for r in made]) + 0.1
     assert imatch.fingerprints(spark.createDataFrame([], COLUMNS)).count() == 0
     parts, n = imatch.next_documents(docs(spark, texts), rows_per_part=5)
-    assert n > 3 and parts.where("guest = 1").count() == n
+    assert n > 3 and parts.where("guest = 1").count() == parts.select("part").distinct().count() <= n
+    some = [(3, "a b"), (3, "a b"), (3, "c d"), (2, "e f"), (None, "g h"), (None, None)] * 3  # repeated ids at the borders of parts
+    table = spark.createDataFrame([(i, t, "en", "s", 1, "r", "k") for i, t in some], COLUMNS)
+    monkeypatch.setattr(imatch.next_documents, "__defaults__", ("text", 2))
+    got = sorted((r.doc_id or 0, r.n_chars, r.edited_sha256) for r in imatch.fingerprints(table).collect())
+    ordered = sorted(some, key=lambda r: (-(r[0] or -1), r[1] is not None, r[1] or ""))
+    want = []
+    for (i, t), (_, u) in zip(ordered, ordered[1:] + ordered[:1], strict=True):
+        t, u = t or "", u or ""
+        half = len(t) // 2
+        want.append((i or 0, len(t), hashlib.sha256((t[: len(t) - half] + u[:half]).encode()).hexdigest()))
+    assert got == sorted(want)
 
 
 def test_pipeline(spark):
@@ -189,3 +245,28 @@ def test_pipeline(spark):
     kept = {r.doc_id for r in docs_.select("doc_id").collect()}
     rows = corpus_pipeline.run(spark, SF)
     assert {r.doc_id for r in rows.collect()} <= kept
+
+
+def test_stages_with_awkward_rows_and_clashing_columns(spark):
+    """Nulls in all columns, repeated rows and ids, empty and long texts, and columns with the operators' own names."""
+    clash = ["score", "predicted", "spans", "lang_pred", "proportions", "replica", "shuffle_key", "n", "key", "row", "at", "k1", "label"]
+    rng = random.Random(4)
+    say = lambda n: " ".join(rng.choice("the and thing when other there with house tree".split()) for _ in range(n))
+    long, near = say(30_000), say(60)
+    texts = [(1, near), (1, near), (2, near + " end"), (3, None), (None, None), (None, near), (None, say(40)), (4, ""), (5, long), (6, say(30)), (6, say(35)), (7, "12 34")]
+    rows = [(i, t, None if k % 3 else "en", None if k % 4 else "s", None, *[f"v{k}"] * len(clash)) for k, (i, t) in enumerate(texts)]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in clash)
+    table = spark.createDataFrame(rows, kind).repartition(2)
+    values = {(r.doc_id, r.text): r.score for r in table.collect()}
+    for name, stage in corpus_pipeline.STAGES:
+        out = corpus_pipeline.common.written(stage(spark, table, SF), "awkward")
+        got = out.collect()
+        if name != "packing":
+            assert out.columns == table.columns
+            assert all((r.doc_id, r.text) in values and r.score == r.label == r.replica and r.score.startswith("v") for r in got)
+        if name == "language":
+            assert not [r for r in got if not any(c.isalpha() for c in r.text or "")] and len(got) == 8
+        if name == "near_duplicates":
+            assert sorted((r.doc_id or 0, (r.text or "")[:5]) for r in got if r.text and len(r.text) < 500 and near[:20] in r.text) == [(1, near[:5])]
+            assert len(got) == 9
+        assert stage(spark, table.limit(0), SF).count() == 0
