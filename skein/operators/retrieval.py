@@ -20,11 +20,17 @@ RRF_CONSTANT = 60
 
 def vector_top(embeddings: DataFrame, query: list[float], k: int) -> DataFrame:
     """chunk_id, similarity, vector_rank of the k nearest; ties by id. Top k per task first, then of those."""
-    q = F.array(*[F.lit(float(x)) for x in query])
-    near = embeddings.select("chunk_id", F.round(vx.cosine(F.col("embedding"), q), 6).alias("similarity"))
+    near = embeddings.select("chunk_id", F.round(vx.cosine_to(F.col("embedding"), query), 6).alias("similarity"))
     return _ranked(near, [F.desc("similarity"), F.col("chunk_id")], k, "vector_rank")
 
 
+def vector_top_of_each(embeddings: DataFrame, queries: dict[int, list[float]], k: int) -> DataFrame:
+    """query, chunk_id, similarity, rank of the k nearest of each of a few queries, in one scan; a task keeps k rows of each."""
+    each = F.array(*[F.struct(F.lit(q).alias("query"), F.round(vx.cosine_to(F.col("embedding"), v), 6).alias("similarity")) for q, v in sorted(queries.items())])
+    near = embeddings.select("chunk_id", F.explode(each).alias("x")).select("x.query", "chunk_id", "x.similarity")
+    return best_per_key(near, "query", [F.desc("similarity"), F.col("chunk_id")], k)
+
+
 def tokenised(chunks: DataFrame) -> DataFrame:
     """chunks with `tokens`. The generator keeps filters and counts from computing them again."""
     return chunks.select("*", F.explode(F.array(tx.tokens(F.col("text")))).alias("tokens"))
@@ -108,8 +114,8 @@ def hybrid_search(chunks: DataFrame, plan: SearchPlan, query: list[float], k: in
         .select("chunk_id", F.col("fuzzy_score").alias("lexical_score"), (F.col("fuzzy_rank") + F.col("before")).alias("lexical_rank"))
     )
     fused = reciprocal_rank_fusion(vector.drop("similarity"), ranked)
-    q = F.array(*[F.lit(float(x)) for x in query])
-    rows = chunks.join(F.broadcast(fused), "chunk_id").select("*", F.round(vx.cosine(F.col("embedding"), q), 6).alias("similarity")).drop("embedding")
+    similarity = F.round(vx.cosine_to(F.col("embedding"), query), 6)
+    rows = chunks.join(F.broadcast(fused), "chunk_id").withColumn("similarity", similarity).drop("embedding")
     rows = rows.withColumn("signals", sg.signals(F.col("text"), plan)).withColumn("rerank_score", sg.score(F.col("signals"), rerank))
     rows = rows.withColumn("final_score", F.round(F.col("hybrid_score") + F.col("rerank_score"), 9))
     order = [F.desc("final_score"), F.desc("hybrid_score"), F.coalesce("lexical_rank", F.lit(10**6)), F.coalesce("vector_rank", F.lit(10**6)), F.col("chunk_index"), F.col("chunk_id")]

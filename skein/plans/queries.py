@@ -422,8 +422,7 @@ def _(t):
 
 def query_results(t) -> DataFrame:
     vectors = {r["vec_id"]: r["embedding"] for r in t("embeddings").where("vec_id < 3").collect()}
-    each = [retrieval.vector_top(vector_table(t), v, 20).select(F.lit(q).alias("query"), "chunk_id", F.col("vector_rank").alias("rank"), F.col("similarity").alias("score")) for q, v in sorted(vectors.items())]
-    return each[0].union(each[1]).union(each[2])
+    return retrieval.vector_top_of_each(vector_table(t), vectors, 20).withColumnRenamed("similarity", "score")
 
 
 @query("rag_merge", (
