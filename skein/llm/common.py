@@ -74,7 +74,8 @@ class Tables:
 
 
 def tidy_shuffles(spark: SparkSession) -> None:
-    """Lets Spark remove a query's shuffle files when the query ends, so that many-step jobs don't pile them up."""
+    """Lets Spark remove a query's shuffle files when the query ends, so that many-step jobs don't pile them up. The setting stays in
+    the session."""
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
@@ -102,7 +103,7 @@ def utf8(text: str | None) -> bytes:
 # --- tokenizer -----------------------------------------------------------------------------------------------------
 
 #: Pieces of texts whose ids a worker remembers, and their bytes and ids; when full, it starts anew (results don't depend on it).
-MEMORY_PIECES, MEMORY_IDS, LONGEST_PIECE = 2_000_000, 1 << 24, 64
+MEMORY_PIECES, MEMORY_IDS, LONGEST_PIECE = 400_000, 1 << 22, 64
 
 
 def _bytes_of(*spans: tuple[int, int]) -> np.ndarray:
@@ -237,7 +238,7 @@ def tokenizer(path: str) -> CachedTokenizer:
     return CachedTokenizer(path)
 
 
-def batches_of_bytes(texts, most: int = 2 << 20):
+def batches_of_bytes(texts, most: int = 1 << 20):
     """Cuts a list of texts into runs of about `most` characters; yields (from, to)."""
     start, size = 0, 0
     for i, text in enumerate(texts):
@@ -256,8 +257,10 @@ def byte_bpe() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def bound_batches(spark: SparkSession, size: str = "16m") -> None:
-    """Bounds the bytes of texts that a Python worker gets at once, so that very long texts don't pile up."""
+def bound_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Bounds the bytes of texts that a Python worker gets at once, and the rows that a Parquet reader holds, so that very long texts
+    and arrays don't pile up. These settings stay in the session."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "512")

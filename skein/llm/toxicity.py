@@ -43,8 +43,11 @@ PREFIXES = (3, 4, 5, 6)
 def token_features(words: Words) -> np.ndarray:
     """Buckets of each word: its own, and those of its first 3, 4, 5 and 6 bytes (of its own if it is shorter)."""
     length = words.end - words.start
-    columns = [words.hashes(salt=1), *(words.hashes(words.start, words.start + np.minimum(length, n), salt=n) for n in PREFIXES)]
-    return np.stack([(h >> np.uint64(44)).astype(np.int32) for h in columns], axis=1)
+    out = np.empty((len(PREFIXES) + 1, len(length)), np.int32)
+    out[0] = words.hashes(salt=1) >> np.uint64(44)
+    for k, n in enumerate(PREFIXES, 1):
+        out[k] = words.hashes(words.start, words.start + np.minimum(length, n), salt=n) >> np.uint64(44)
+    return out.T
 
 
 def _softplus(x):
@@ -58,7 +61,10 @@ class Field:
         self.weights, self.bias, self.move, self.calibration = weights, bias, move, np.asarray(calibration, float)
 
     def emissions(self, features: np.ndarray) -> np.ndarray:
-        return self.weights[features].sum(axis=1) + self.bias
+        out = np.full(len(features), self.bias, np.float64)
+        for column in features.T:  # one at a time: memory for one number a token
+            out += self.weights[column]
+        return out
 
     def marginals(self, emission: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """P(toxic) of each token; `counts` has the tokens of each chain."""
@@ -108,7 +114,9 @@ class Field:
         inner = np.flatnonzero(inner)
         seen = np.zeros((2, 2))
         np.add.at(seen, (label[inner - 1].astype(int), label[inner].astype(int)), 1)
-        g = np.bincount(features.ravel(), np.repeat(off, features.shape[1]), minlength=len(self.weights))
+        g = np.zeros(len(self.weights))
+        for column in features.T:
+            g += np.bincount(column, off, minlength=len(self.weights))
         return g, float(off.sum()), seen - self.neighbours(ahead, emission, back, inner), p
 
     def document_scores(self, p: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -168,7 +176,8 @@ def fit(texts: list[str], toxic: list[int], epochs: int = 20, rate: float = 0.6)
     if not n or not label.any():
         return Field(field.weights, -30.0, field.move)
     # chains of at most CHAIN tokens, none over a text's end
-    cut = np.flatnonzero(np.concatenate(([True], (words.doc[1:] != words.doc[:-1]) | ((np.arange(1, n) - (np.cumsum(words.counts) - words.counts)[words.doc[1:]]) % CHAIN == 0))))
+    place = np.arange(n) - (np.cumsum(words.counts) - words.counts)[words.doc]
+    cut = np.flatnonzero(place % CHAIN == 0)
     counts = np.diff(np.append(cut, n))
     seen_w, seen_m = np.full(BUCKETS, 1e-8), np.full((2, 2), 1e-8)
     truth = label.astype(float)
@@ -225,7 +234,8 @@ def score_toxicity(docs: DataFrame, field: Field, text: str = "text") -> DataFra
         return pd.DataFrame({"score": scores, "spans": spans})
 
     kept = [f"`{c}`" for c in docs.columns if c.lower() not in ("score", "predicted", "spans")]
-    return docs.withColumn(column, tag(F.col(text))).selectExpr(*kept, f"`{column}`.score AS score", f"CAST(`{column}`.score >= 0.5 AS int) AS predicted", f"`{column}`.spans AS spans")
+    made = [f"`{column}`.score AS score", f"CAST(`{column}`.score >= 0.5 AS int) AS predicted", f"`{column}`.spans AS spans"]
+    return docs.withColumn(column, tag(F.col(text))).selectExpr(*kept, *made)
 
 
 def held_out():
