@@ -92,7 +92,8 @@ def unit(v: np.ndarray) -> np.ndarray:
 
 def usable(vectors: DataFrame, vector: str, dim: int | None = None) -> DataFrame:
     v = F.col(vector)
-    good = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    good = finite & F.exists(v, lambda x: x != 0)
     return vectors.where(v.isNotNull() & good & ((F.size(v) == dim) if dim else F.lit(True)))
 
 
@@ -113,7 +114,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, share: float = SH
     def assign(batches):
         for batch in batches:
             v = unit(matrix(batch.column("vector")))
-            yield pa.RecordBatch.from_arrays([batch.column("ids"), batch.column("vector"), pa.array(nearest(v[:, :half], one), pa.int32()), pa.array(nearest(v[:, half:], two), pa.int32())], ["ids", "vector", "c1", "c2"])
+            cells = [pa.array(nearest(x, c), pa.int32()) for x, c in ((v[:, :half], one), (v[:, half:], two))]
+            yield pa.RecordBatch.from_arrays([batch.column("ids"), batch.column("vector"), *cells], ["ids", "vector", "c1", "c2"])
 
     entries = common.written(distinct.mapInArrow(assign, "ids array<bigint>, vector array<double>, c1 int, c2 int"), "entries")
     sizes = np.zeros((len(one), len(two)), np.int64)
@@ -126,7 +128,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, share: float = SH
     def traverse(batches):
         for batch in batches:
             v = unit(matrix(batch.column("vector")))
-            d1, d2, ids, c1s, masks, rows = distances(v[:, :half], one), distances(v[:, half:], two), batch.column("id").to_pylist(), [], [], []
+            d1, d2, ids = distances(v[:, :half], one), distances(v[:, half:], two), batch.column("id").to_pylist()
+            c1s, masks, rows = [], [], []
             for q in range(len(v)):
                 cells: dict[int, list[int]] = {}
                 for i, j in visit(d1[q], d2[q], sizes, min(total, max(share * total, k + 1))):
@@ -135,13 +138,17 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, share: float = SH
                 c1s += cells.keys()
                 masks += cells.values()
             take = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()).take(take), batch.column("vector").take(take), pa.array(c1s, pa.int32()), pa.array(masks, pa.list_(pa.int32()))], ["id", "vector", "c1", "cells"])
+            columns = [pa.array(ids, pa.int64()).take(take), batch.column("vector").take(take)]
+            columns += [pa.array(c1s, pa.int32()), pa.array(masks, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "vector", "c1", "cells"])
 
     n_blocks = F.element_at(F.array(*[F.lit(b) for b in blocks]), F.col("c1") + 1)
     q_block = F.pmod(F.xxhash64("id"), F.lit(query_blocks)).cast("int")
-    asked = queries.select("id", F.col("vector").cast("array<double>").alias("vector")).mapInArrow(traverse, "id long, vector array<double>, c1 int, cells array<int>")
+    vector = F.col("vector").cast("array<double>").alias("vector")
+    asked = queries.select("id", vector).mapInArrow(traverse, "id long, vector array<double>, c1 int, cells array<int>")
     asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), n_blocks - 1))).withColumn("q", q_block)
-    held = entries.withColumn("block", F.pmod(F.xxhash64(F.col("ids")[0]), n_blocks).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+    held = entries.withColumn("block", F.pmod(F.xxhash64(F.col("ids")[0]), n_blocks).cast("int"))
+    held = held.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
 
     def rerank(queries_: pa.Table, entries_: pa.Table) -> pa.Table:
         found: list[list] = [[], [], []]
@@ -163,7 +170,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, share: float = SH
                     found[0] += [own[a + q]] * len(pairs)
                     found[1] += [i for _, i in pairs]
                     found[2] += [-s for s, _ in pairs]
-        return pa.table([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], ["query_id", "vec_id", "score"])
+        kinds = [pa.int64(), pa.int64(), pa.float64()]
+        return pa.table([pa.array(x, t) for x, t in zip(found, kinds, strict=True)], ["query_id", "vec_id", "score"])
 
     key = ["c1", "block", "q"]
     near = asked.groupBy(*key).cogroup(held.groupBy(*key)).applyInArrow(rerank, "query_id long, vec_id long, score double")
@@ -175,5 +183,6 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, share: float = SH
 def op4(spark, sf_dir: str) -> DataFrame:
     table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     common_length = table.where(F.size("embedding") > 0).groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    rows = usable(table, "embedding", common_length["n"] if common_length else None).where("vec_id is not null").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("vector"))
+    good = usable(table, "embedding", common_length["n"] if common_length else None).where("vec_id is not null")
+    rows = good.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("vector"))
     return search(rows, rows.where(F.col("id") % 50 == 0))

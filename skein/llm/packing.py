@@ -70,10 +70,12 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, text: str = "text", capacity
 
     common.bound_batches(docs.sparkSession)
     first = (F.col("c.n") - 1) % capacity + 1
+    start = F.when(F.col("piece") == 0, 0).otherwise(F.col("first") + (F.col("piece") - 1) * capacity)
+    length = F.when(F.col("piece") == 0, F.col("first")).otherwise(capacity)
     return (
         docs.select("doc_id", cut(F.col(text)).alias("c"))
         .select("doc_id", first.alias("first"), F.posexplode("c.crcs").alias("piece", "ids_crc32"))
-        .select("doc_id", "piece", F.when(F.col("piece") == 0, 0).otherwise(F.col("first") + (F.col("piece") - 1) * capacity).cast("long").alias("start"), F.when(F.col("piece") == 0, F.col("first")).otherwise(capacity).cast("long").alias("length"), "ids_crc32")
+        .select("doc_id", "piece", start.cast("long").alias("start"), length.cast("long").alias("length"), "ids_crc32")
     )
 
 

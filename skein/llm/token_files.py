@@ -73,7 +73,8 @@ def read_blocks(stream):
     assert stream.read(len(MAGIC)) == MAGIC, "not a token file"
     while head := stream.read(12):
         n, tokens, size = np.frombuffer(head, "<u4").tolist()
-        yield np.frombuffer(stream.read(8 * n), "<i8"), np.frombuffer(stream.read(n), bool), np.frombuffer(stream.read(4 * n), "<u4"), tokens, stream.read(size)
+        doc_ids, nulls, lengths = (np.frombuffer(stream.read(w * n), t) for w, t in ((8, "<i8"), (1, bool), (4, "<u4")))
+        yield doc_ids, nulls, lengths, tokens, stream.read(size)
 
 
 class _Writer:
@@ -116,7 +117,8 @@ def write_token_files(
     def tokenised(batches):
         part, tok = TaskContext.get().partitionId(), common.tokenizer(tokenizer_path)
         kind = tok.dtype.itemsize
-        counts, docs_seen, tokens_seen, writer = np.zeros(max(tok.tokenizer.get_vocab_size(), end_id + 1), np.int64), 0, 0, None
+        counts = np.zeros(max(tok.tokenizer.get_vocab_size(), end_id + 1), np.int64)
+        docs_seen, tokens_seen, writer = 0, 0, None
         for batch in batches:
             texts, ids = batch.column(1).to_pylist(), batch.column(0)
             for a, b in common.batches_of_bytes(texts):
@@ -126,7 +128,8 @@ def write_token_files(
                 counts += np.bincount(flat, minlength=len(counts))
                 some = ids.slice(a, b - a)
                 body = pa.compress(flat.astype(f"<u{kind}").tobytes(), "zstd", asbytes=True)
-                writer.out.write(pack_block(some.fill_null(0).to_numpy(), np.array(some.is_null()), np.array([len(x) for x in found]), [bytes([kind]), body]))
+                lengths = np.array([len(x) for x in found])
+                writer.out.write(pack_block(some.fill_null(0).to_numpy(), np.array(some.is_null()), lengths, [bytes([kind]), body]))
                 docs_seen, tokens_seen = docs_seen + b - a, tokens_seen + len(flat)
         if writer:
             used = np.flatnonzero(counts)
@@ -157,7 +160,8 @@ def write_token_files(
                         ids = np.frombuffer(pa.decompress(body[1:], tokens * kind, "zstd", asbytes=True), f"<u{kind}")
                         writer.out.write(pack_block(doc_ids, nulls, lengths, list(encode(table.value[ids]))))
                 paths.append(writer.close())
-            yield pa.RecordBatch.from_arrays([batch.column("part"), pa.array(paths, pa.string()), batch.column("n_docs"), batch.column("n_tokens")], ["part", "path", "n_docs", "n_tokens"])
+            same = {c: batch.column(c) for c in ("part", "n_docs", "n_tokens")}
+            yield pa.RecordBatch.from_pydict({"part": same["part"], "path": pa.array(paths, pa.string()), **same})
 
     schema = "part int, path string, n_docs long, n_tokens long"
     files = said.where("path is not null").select("part", "path", "n_docs", "n_tokens").collect()  # a row for each file
@@ -184,10 +188,9 @@ def read_token_files(files: DataFrame, id_of_rank: np.ndarray) -> DataFrame:
                         ids = np.ascontiguousarray(table.value[decode(body[:control], body[control:], tokens)], "<u4")
                         ends = np.cumsum(lengths)
                         each = [ids[e - n : e].tobytes() for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(doc_ids, mask=nulls), pa.array(start + ends - lengths), pa.array(lengths), pa.array([zlib.crc32(x) for x in each], pa.int64()), pa.array(each, pa.binary())],
-                            ["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
-                        )
+                        columns = [pa.array(doc_ids, mask=nulls), pa.array(start + ends - lengths), pa.array(lengths)]
+                        columns += [pa.array([zlib.crc32(x) for x in each], pa.int64()), pa.array(each, pa.binary())]
+                        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
                         start += tokens
 
     rows = _one_a_task(spark, begins, "part int, path string, start long")

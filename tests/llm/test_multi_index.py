@@ -56,3 +56,16 @@ def test_pairs_come_by_increasing_sum():
     pairs = list(multi_index.visit(one, two, np.ones((7, 5), int), 35))
     sums = [one[i] + two[j] for i, j in pairs]
     assert len(set(pairs)) == 35 and sums == sorted(sums)
+
+
+def test_hot_vector_ties_and_extra_columns(spark):
+    """A vector that a third of all rows have, in all salts; ties at rank 5 go to the smallest ids; columns of the operator's names."""
+    hot = [(k, [1.0, 2.0, 3.0]) for k in range(0, 300, 3)]
+    ring = [(k, [float(np.cos(k)), float(np.sin(k)), 0.0]) for k in range(1, 300, 3)]
+    tied = [(k, [-1.0, -2.0, 3.0 if k % 2 else 3.5]) for k in range(2, 300, 3)]
+    rows = [(i, v, "x", 1, "y") for i, v in hot + ring + tied]
+    df = spark.createDataFrame(rows, "id long, vector array<double>, h string, salt int, ids string")
+    asked = df.where("id in (0, 1, 2, 3, 5, 150)")
+    got = sorted((r.query_id, r.rank, r.vec_id) for r in multi_index.search(df, asked, share=1.0, centroids=3).collect())
+    want = [w[:3] for w in brute([(i, v) for i, v, *_ in rows], 5) if w[0] in (0, 1, 2, 3, 5, 150)]
+    assert got == sorted(want)

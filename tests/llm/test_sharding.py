@@ -53,3 +53,8 @@ def test_shuffles_are_uniform(spark):
     chi = ((seen - expected) ** 2 / expected).sum()
     assert chi < 121 + 5 * np.sqrt(2 * 121)  # 11 * 11 degrees of freedom
     assert abs(together / runs / (n - 1) - 3 / 11) < 0.05
+
+
+def test_null_ids(spark):
+    df = docs(spark, ["a", "b"]).union(spark.createDataFrame([(None, None, None, None, None, None, None)] * 5, COLUMNS))
+    check(sharding.hypergeometric_shards(df, 3).collect(), 7, 3)

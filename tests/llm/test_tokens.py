@@ -74,3 +74,25 @@ def test_files_against_brute_force(spark, plain, tmp_path):
         at += len(want)
     files, ids = token_files.write_token_files(df.limit(0), common.byte_bpe(), f"file://{tmp_path}/none")
     assert token_files.read_token_files(files, ids).count() == 0
+
+
+def test_repeated_ids_and_many_files(spark, plain, tmp_path):
+    """Many rows of one id and small files: the order of ids holds over all files, whatever their number."""
+    rows = [(5, f"word {k}", "en", "s", 1, "r", "k") for k in range(60)] + [(k, "text " * (k % 7), "en", "s", 1, "r", "k") for k in range(40)]
+    df = spark.createDataFrame(rows, COLUMNS).repartition(5)
+    files, ids = token_files.write_token_files(df, common.byte_bpe(), f"file://{tmp_path}/t", file_bytes=200)
+    assert files.count() > 3 and not (tmp_path / "t" / "raw").exists()
+    got = sorted(token_files.read_token_files(files, ids).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted(i for i, *_ in rows)
+    assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
+    assert sorted(bytes(r.ids) for r in got) == sorted(np.array([*plain(t), 0], "<u4").tobytes() for _, t, *_ in rows)
+
+
+def test_packing_of_very_long_texts(spark, plain):
+    text = "word " * 60_000
+    rows = sorted(packing.best_fit_pack(docs(spark, [text, "short"]), common.byte_bpe()).collect(), key=lambda r: (r.doc_id, r.piece))
+    ids = np.array([*plain(text), 2], "<u4")
+    mine = [r for r in rows if r.doc_id == 0]
+    assert sum(r.length for r in mine) == len(ids) and mine[0].length == (len(ids) - 1) % 1024 + 1
+    assert [r.ids_crc32 for r in mine] == [zlib.crc32(ids[r.start : r.start + r.length].tobytes()) for r in mine]
+    assert len({r.sequence_id for r in mine}) == len(mine)
