@@ -60,50 +60,99 @@ def case(name: str, given: list[tuple[int, str]], expected: list[tuple[int, str]
 
 # --- text ----------------------------------------------------------------------------------------------------------
 
-case("str_fold_forms", [(1, "Élève"), (2, "ﬁn"), (3, "Ａ１²"), (4, "e\u0301te\u0301"), (5, "plain TEXT"), (6, "Ǆ ñ ß ø")], [(1, "eleve"), (2, "fin"), (3, "a12"), (4, "ete"), (5, "plain text"), (6, "ǆ n ß ø")])(tx.fold)
-case("str_tree_tokens", [(1, "Quelle est la durée de la Période ?"), (2, "à de 12 jours"), (3, "")], [(1, "duree|periode"), (2, "jours"), (3, "")])(lambda c: _list(tx.tree_tokens(c)))
-case("str_content_tokens", [(1, "The offer and the offre: durée 60 jours"), (2, "What is it")], [(1, "offer|duree|jours"), (2, "")])(lambda c: _list(tx.content_tokens(c)))
+case(
+    "str_fold_forms",
+    [(1, "Élève"), (2, "ﬁn"), (3, "Ａ１²"), (4, "e\u0301te\u0301"), (5, "plain TEXT"), (6, "Ǆ ñ ß ø")],
+    [(1, "eleve"), (2, "fin"), (3, "a12"), (4, "ete"), (5, "plain text"), (6, "ǆ n ß ø")],
+)(tx.fold)
+case(
+    "str_tree_tokens",
+    [(1, "Quelle est la durée de la Période ?"), (2, "à de 12 jours"), (3, "")],
+    [(1, "duree|periode"), (2, "jours"), (3, "")],
+)(lambda c: _list(tx.tree_tokens(c)))
+case(
+    "str_content_tokens",
+    [(1, "The offer and the offre: durée 60 jours"), (2, "What is it")],
+    [(1, "offer|duree|jours"), (2, "")],
+)(lambda c: _list(tx.content_tokens(c)))
 case("str_concept_text", [(1, "Garantie  d’Offre\n exigée")], [(1, "garantie d'offre exigee")])(tx.concept_text)
 case("str_excerpt", [(1, "short"), (2, "abc " * 200)], [(1, "short"), (2, ("abc " * 200)[:520].rstrip() + "...")])(tx.excerpt)
-case("str_digits", [(1, "6 0 jours"), (2, "12 3"), (3, "1 2 3"), (4, "6 05"), (5, "6 0 5 12")], [(1, "60 jours"), (2, "12 3"), (3, "123"), (4, "6 05"), (5, "605 12")])(cl.compact_digits)
-case("mth_number_words", [(1, "sixty"), (2, "soixante dix"), (3, "007,50"), (4, "of the"), (5, "vingt-deux"), (6, "0")], [(1, "60"), (2, "70"), (3, "7.50"), (4, None), (5, "22"), (6, "0")])(lambda c: cl.number(tx.fold(c)))
+case(
+    "str_digits",
+    [(1, "6 0 jours"), (2, "12 3"), (3, "1 2 3"), (4, "6 05"), (5, "6 0 5 12")],
+    [(1, "60 jours"), (2, "12 3"), (3, "123"), (4, "6 05"), (5, "605 12")],
+)(cl.compact_digits)
+case(
+    "mth_number_words",
+    [(1, "sixty"), (2, "soixante dix"), (3, "007,50"), (4, "of the"), (5, "vingt-deux"), (6, "0")],
+    [(1, "60"), (2, "70"), (3, "7.50"), (4, None), (5, "22"), (6, "0")],
+)(lambda c: cl.number(tx.fold(c)))
 case(
     "clm_claims",
     [
-        (1, "The validity period is 60 days."), (2, "La periode de validite est de 60 jours."), (3, "La validite est de 6 0  jours."), (4, "three percent"),
-        (5, "3 %"), (6, "September 28, 2027 at 17:00"), (7, "28 septembre 2027 a 17h00"), (8, "le 3/7/18 à 9h"), (9, "31/02/20"),
-        (10, "12 400 MAD puis 5 euros"), (11, "REF-904/AB12 et af-12/x"), (12, "douze mois, 2 semaines, 12H30 et 3 Jours"), (13, "soixante pour cent"), (14, ""), (15, "7,5 % ; 7.5 per cent"),
+        (1, "The validity period is 60 days."), (2, "La periode de validite est de 60 jours."),
+        (3, "La validite est de 6 0  jours."), (4, "three percent"), (5, "3 %"), (6, "September 28, 2027 at 17:00"),
+        (7, "28 septembre 2027 a 17h00"), (8, "le 3/7/18 à 9h"), (9, "31/02/20"), (10, "12 400 MAD puis 5 euros"),
+        (11, "REF-904/AB12 et af-12/x"), (12, "douze mois, 2 semaines, 12H30 et 3 Jours"), (13, "soixante pour cent"),
+        (14, ""), (15, "7,5 % ; 7.5 per cent"),
     ],
     [
-        (1, "duration=60:day"), (2, "duration=60:day"), (3, "duration=60:day"), (4, "percentage=3"), (5, "percentage=3"), (6, "date=2027-09-28|time=17:00"),
-        (7, "date=2027-09-28|time=17:00"), (8, "date=2018-07-03|time=09:00"), (9, "date=2020-02-31"), (10, "amount=12400mad|amount=5euros"),
-        (11, "reference=af-12/x|reference=ref-904/ab12"), (12, "duration=12:month|duration=2:week|duration=3:day|time=12:30"), (13, "percentage=60"), (14, ""), (15, "percentage=7.5"),
+        (1, "duration=60:day"), (2, "duration=60:day"), (3, "duration=60:day"), (4, "percentage=3"), (5, "percentage=3"),
+        (6, "date=2027-09-28|time=17:00"), (7, "date=2027-09-28|time=17:00"), (8, "date=2018-07-03|time=09:00"),
+        (9, "date=2020-02-31"), (10, "amount=12400mad|amount=5euros"), (11, "reference=af-12/x|reference=ref-904/ab12"),
+        (12, "duration=12:month|duration=2:week|duration=3:day|time=12:30"), (13, "percentage=60"), (14, ""),
+        (15, "percentage=7.5"),
     ],
-)(lambda c: _list(cl.claims(c)))
-case("clm_labels", [(1, "duration=60:day"), (2, "percentage=3"), (3, "time=17:00"), (4, "amount=5euros")], [(1, "60 days"), (2, "3%"), (3, "17:00"), (4, "5euros")])(cl.label)
-case("clm_query_text", [(1, "duration=2:week"), (2, "date=2027-09-28")], [(1, "Q ? duration 2 weeks"), (2, "Q ? date 2027-09-28")])(lambda c: cl.query_text(F.lit("Q ?"), c))
+)(lambda c: _list(cl.claims(c)))
+case(
+    "clm_labels",
+    [(1, "duration=60:day"), (2, "percentage=3"), (3, "time=17:00"), (4, "amount=5euros")],
+    [(1, "60 days"), (2, "3%"), (3, "17:00"), (4, "5euros")],
+)(cl.label)
+case(
+    "clm_query_text",
+    [(1, "duration=2:week"), (2, "date=2027-09-28")],
+    [(1, "Q ? duration 2 weeks"), (2, "Q ? date 2027-09-28")],
+)(lambda c: cl.query_text(F.lit("Q ?"), c))
 case(
     "clm_no_answer",
-    [(1, "Information not found in the provided document."), (2, "The text does not specify it"), (3, "Non indiqué"), (4, "60 days"), (5, "La date n'est pas précisée")],
+    [
+        (1, "Information not found in the provided document."), (2, "The text does not specify it"), (3, "Non indiqué"),
+        (4, "60 days"), (5, "La date n'est pas précisée"),
+    ],
     [(1, "true"), (2, "true"), (3, "true"), (4, "false"), (5, "true")],
 )(lambda c: cl.gives_no_answer(c).cast("string"))
 case(
     "rgx_values",
     [
-        (1, "le 28 Septembre 2018, a 17 heures precises."), (2, "Numero du Marche : AFCHPR/PTS/2018/199."), (3, "3 % est requise"), (4, "100 EUR"), (5, "100 €"),
-        (6, "12 FÉVRIER 2020"), (7, "5 pages et 3 pièces"), (8, "garantie de 12 mois"), (9, "12:30 ou 14h"), (10, "rien"), (11, "3%x"),
+        (1, "le 28 Septembre 2018, a 17 heures precises."), (2, "Numero du Marche : AFCHPR/PTS/2018/199."),
+        (3, "3 % est requise"), (4, "100 EUR"), (5, "100 €"), (6, "12 FÉVRIER 2020"), (7, "5 pages et 3 pièces"),
+        (8, "garantie de 12 mois"), (9, "12:30 ou 14h"), (10, "rien"), (11, "3%x"),
+    ],
+    [
+        (1, "date|duration|time"), (2, "market_reference"), (3, "percentage"), (4, "amount"), (5, ""), (6, "date"),
+        (7, "quantity"), (8, "duration"), (9, "time"), (10, ""), (11, ""),
     ],
-    [(1, "date|duration|time"), (2, "market_reference"), (3, "percentage"), (4, "amount"), (5, ""), (6, "date"), (7, "quantity"), (8, "duration"), (9, "time"), (10, ""), (11, "")],
-)(lambda c: _list(tx.value_types(c)))
-case("rgx_marker", [(1, "IS 15.1 Une"), (2, "Article 3"), (3, "n° 12"), (4, "this one"), (5, "ce texte"), (6, "Réf: A/12")], [(1, "true"), (2, "true"), (3, "true"), (4, "false"), (5, "false"), (6, "true")])(lambda c: sg.has_marker(c).cast("string"))
+)(lambda c: _list(tx.value_types(c)))
+case(
+    "rgx_marker",
+    [(1, "IS 15.1 Une"), (2, "Article 3"), (3, "n° 12"), (4, "this one"), (5, "ce texte"), (6, "Réf: A/12")],
+    [(1, "true"), (2, "true"), (3, "true"), (4, "false"), (5, "false"), (6, "true")],
+)(lambda c: sg.has_marker(c).cast("string"))
 case(
     "rgx_deadline",
-    [(1, "date limite de depot des offres"), (2, "depot des offres avant la date limite"), (3, "date limite"), (4, "delai limite " + "x" * 90 + " depot des offres")],
+    [
+        (1, "date limite de depot des offres"), (2, "depot des offres avant la date limite"), (3, "date limite"),
+        (4, "delai limite " + "x" * 90 + " depot des offres"),
+    ],
     [(1, "true"), (2, "true"), (3, "false"), (4, "false")],
 )(lambda c: sg.names_deadline(c).cast("string"))
 case(
     "rgx_concepts",
-    [(1, "Une garantie d'offre équivalant à 3 %"), (2, "garantie de bonne exécution"), (3, "période de garantie des fournitures"), (4, "assurance et caution de soumission"), (5, "rien")],
+    [
+        (1, "Une garantie d'offre équivalant à 3 %"), (2, "garantie de bonne exécution"),
+        (3, "période de garantie des fournitures"), (4, "assurance et caution de soumission"), (5, "rien"),
+    ],
     [(1, "bid_guarantee"), (2, "performance_guarantee"), (3, "technical_warranty"), (4, "bid_guarantee|insurance"), (5, "")],
 )(lambda c: _list(sg.concepts(c)))
 
@@ -163,19 +212,25 @@ case(
 case("fil_question", [(1, " a \n b "), (2, " \t"), (3, "x" * 1001)], [(1, "a b:ok"), (2, ":empty_query"), (3, "x" * 1001 + ":query_too_long")])(
     lambda c: tx.bound(qs.checked(c), lambda s: F.concat_ws(":", s["text"], F.coalesce(s["error"], F.lit("ok"))))
 )
-case("fil_top_k", [(1, None), (2, ""), (3, "7"), (4, "0"), (5, "21"), (6, "x"), (7, "20"), (8, "-3")], [(1, "5"), (2, "5"), (3, "7"), (4, "invalid_top_k"), (5, "invalid_top_k"), (6, "invalid_top_k"), (7, "20"), (8, "invalid_top_k")])(
-    lambda c: tx.bound(qs.checked_top_k(c), lambda s: F.coalesce(s["error"], s["top_k"].cast("string")))
-)
+case(
+    "fil_top_k",
+    [(1, None), (2, ""), (3, "7"), (4, "0"), (5, "21"), (6, "x"), (7, "20"), (8, "-3")],
+    [
+        (1, "5"), (2, "5"), (3, "7"), (4, "invalid_top_k"), (5, "invalid_top_k"), (6, "invalid_top_k"), (7, "20"),
+        (8, "invalid_top_k"),
+    ],
+)(lambda c: tx.bound(qs.checked_top_k(c), lambda s: F.coalesce(s["error"], s["top_k"].cast("string"))))
 
 
 @golden(
-    "ret_plan", "question string, base string, terms string, groups string, fuzzy string, intents string, concept string",
+    "ret_plan",
+    "question string, base string, terms string, groups string, fuzzy string, intents string, concept string",
     [
         ("Quelle est la durée de validité ?", "duree validite", "duree validite periode delai", "duree,durée,periode,période,delai,délai validite,validité", "duree validite", "duration", None),
         ("Quelle est la garantie de l'offre ?", "garantie offre", "garantie offre caution soumission", "garantie,caution,offre offre,soumission", "garantie offre", "amount", "bid_guarantee"),
         ("What is the", "is", "is", "is", "", "", None),
     ],
-)
+)
 def _(make):
     rows = []
     for q in ("Quelle est la durée de validité ?", "Quelle est la garantie de l'offre ?", "What is the"):
@@ -197,15 +252,15 @@ _CHUNKS = "chunk_id long, chunk_index int, text string, embedding array<double>"
 
 
 @golden(
-    "rrk_signals", "chunk_id long, matched string, counting string, phrase boolean, marker boolean, concepts string, concept_match boolean, concept_mismatch boolean, score double",
+    "rrk_signals",
+    "chunk_id long, matched string, counting string, phrase boolean, marker boolean, concepts string, concept_match boolean, concept_mismatch boolean, score double",
     [
         (1, "garantie|offre", "percentage", True, True, "bid_guarantee", True, False, 0.068),
         (2, "garantie", "", False, False, "performance_guarantee", False, True, -0.01),
-        (3, "", "date", True, False, "", False, False, 0.03),
-        (4, "", "", False, False, "", False, False, 0.0),
+        (3, "", "date", True, False, "", False, False, 0.03), (4, "", "", False, False, "", False, False, 0.0),
         (5, "", "", False, False, "", False, False, 0.0),
     ],
-)
+)
 def _(make):
     s = sg.signals(F.col("text"), search_plan.plan("Quelle est la garantie de l'offre ?"))
     rows = make(_TEXTS, _CHUNKS).withColumn("s", s)
@@ -271,14 +326,25 @@ def _(make):
     return make(rows, "case_id int, v array<double>").select("case_id", access.valid_vector(F.col("v"), 2).alias("valid"))
 
 
-@golden("fil_gates", "case_id int, reason string", [(1, None), (2, "extraction_not_found"), (3, "extraction_not_completed"), (4, "no_text"), (5, "chunks_not_found"), (6, "embeddings_not_found")])
+@golden(
+    "fil_gates",
+    "case_id int, reason string",
+    [
+        (1, None), (2, "extraction_not_found"), (3, "extraction_not_completed"), (4, "no_text"), (5, "chunks_not_found"),
+        (6, "embeddings_not_found"),
+    ],
+)
 def _(make):
     rows = [(1, "completed", True, True, True), (2, None, True, True, True), (3, "processing", True, True, True), (4, "completed", False, True, True), (5, "completed", True, None, True), (6, "completed", True, True, False)]
     c = F.col
     return make(rows, "case_id int, s string, t boolean, k boolean, e boolean").select("case_id", access.gate(c("s"), c("t"), c("k"), c("e")).alias("reason"))
 
 
-@golden("fil_index_gates", "case_id int, reason string", [(1, None), (2, "raptor_index_not_found"), (3, "raptor_index_not_ready"), (4, "raptor_embedding_model_mismatch")])
+@golden(
+    "fil_index_gates",
+    "case_id int, reason string",
+    [(1, None), (2, "raptor_index_not_found"), (3, "raptor_index_not_ready"), (4, "raptor_embedding_model_mismatch")],
+)
 def _(make):
     rows = [(1, "completed", "p", "m", 2), (2, None, None, None, None), (3, "failed", "p", "m", 2), (4, "completed", "p", "m", 3)]
     c = F.col
@@ -336,21 +402,36 @@ _EVIDENCE = "question_id string, question string, answer string, rank int, text
 
 
 @golden(
-    "evd_select", "question_id string, item int, rank int, matched string",
-    [("three", 1, 1, "duration=60:day"), ("three", 2, 3, "date=2027-09-28"), ("three", 3, 0, "percentage=3"), ("one", 1, 1, "duration=60:day|percentage=3"), ("words", 1, 0, ""), ("partly", 1, 0, "duration=60:day")],
+    "evd_select",
+    "question_id string, item int, rank int, matched string",
+    [
+        ("three", 1, 1, "duration=60:day"), ("three", 2, 3, "date=2027-09-28"), ("three", 3, 0, "percentage=3"),
+        ("one", 1, 1, "duration=60:day|percentage=3"), ("words", 1, 0, ""), ("partly", 1, 0, "duration=60:day"),
+    ],
 )
 def _(make):
     return evidence.select_evidence(make(_CANDIDATES, _EVIDENCE)).select("question_id", "item", "rank", _list("matched").alias("matched"))
 
 
-@golden("evd_scores", "question_id string, rank int, support double", [("three", 0, 12.009), ("three", 1, 14.007), ("three", 3, 14.003), ("one", 0, 12.009), ("one", 1, 24.004), ("words", 0, 6.004), ("partly", 0, 14.009)])
+@golden(
+    "evd_scores",
+    "question_id string, rank int, support double",
+    [
+        ("three", 0, 12.009), ("three", 1, 14.007), ("three", 3, 14.003), ("one", 0, 12.009), ("one", 1, 24.004),
+        ("words", 0, 6.004), ("partly", 0, 14.009),
+    ],
+)
 def _(make):
     return evidence.admitted(make(_CANDIDATES, _EVIDENCE))
 
 
 @golden(
-    "evd_invariant", "question_id string, answer_claims int, matched_claims int, coverage double, blocked boolean, unsupported string",
-    [("three", 3, 3, 1.0, False, ""), ("one", 2, 2, 1.0, False, ""), ("words", 0, 0, 1.0, False, ""), ("none", 0, 0, 1.0, False, ""), ("partly", 2, 1, 0.5, True, "duration=90:day")],
+    "evd_invariant",
+    "question_id string, answer_claims int, matched_claims int, coverage double, blocked boolean, unsupported string",
+    [
+        ("three", 3, 3, 1.0, False, ""), ("one", 2, 2, 1.0, False, ""), ("words", 0, 0, 1.0, False, ""),
+        ("none", 0, 0, 1.0, False, ""), ("partly", 2, 1, 0.5, True, "duration=90:day"),
+    ],
 )
 def _(make):
     rows = make(_CANDIDATES, _EVIDENCE)
@@ -365,8 +446,12 @@ def _(make):
 
 
 @golden(
-    "evd_items", "question_id string, item int, support double, reason string, supported string, excerpt string",
-    [("one", 1, 24.004, "matched_answer_values", "3%|60 days", "3 % pendant 60 jours"), ("words", 1, 6.004, "matched_answer_terms", "", "Un rapport mensuel detaille")],
+    "evd_items",
+    "question_id string, item int, support double, reason string, supported string, excerpt string",
+    [
+        ("one", 1, 24.004, "matched_answer_values", "3%|60 days", "3 % pendant 60 jours"),
+        ("words", 1, 6.004, "matched_answer_terms", "", "Un rapport mensuel detaille"),
+    ],
 )
 def _(make):
     chosen = evidence.select_evidence(make([r for r in _CANDIDATES if r[0] in ("one", "words")], _EVIDENCE))
@@ -393,7 +478,14 @@ def _(make):
     return out.select("case_id", contexts.retrieval_context(F.col("r"), 80).alias("c")).select("case_id", "c.*")
 
 
-@golden("ctx_cluster", "case_id int, text string", [(1, "[cluster_item_1; level=0]\nalpha\n\n[cluster_item_3; level=1]\nbeta"), (2, "[cluster_item_1; level=0]\n" + "x" * 94)])
+@golden(
+    "ctx_cluster",
+    "case_id int, text string",
+    [
+        (1, "[cluster_item_1; level=0]\nalpha\n\n[cluster_item_3; level=1]\nbeta"),
+        (2, "[cluster_item_1; level=0]\n" + "x" * 94),
+    ],
+)
 def _(make):
     rows = [(1, [(0, "alpha"), (0, " "), (1, "beta")]), (2, [(0, "x" * 200), (0, "y")])]
     out = make(rows, "case_id int, m array<struct<level:int,text:string>>")
@@ -401,19 +493,27 @@ def _(make):
 
 
 @golden(
-    "ctx_hierarchy", "case_id int, text string, included int, omitted int, truncated boolean",
+    "ctx_hierarchy",
+    "case_id int, text string, included int, omitted int, truncated boolean",
     [
         (1, "[RAPTOR NODE]\nsource: raptor_source_1\nnode_id: 5\nlevel: 0\ntype: leaf\nchunk_id: 9\nchunk_index: 3\nexpanded_from_parent_id: 2\nmatched_subintents: 1, 2\nsimilarity_score: 0.500000\ntext:\nalpha", 1, 0, False),
         (2, "[RAPTOR NODE]\nsource: raptor_source_1\nnode_id: 6\nlevel: 1\ntype: summary\nsimilarity_score: 0.250000\ntext:\nsum", 1, 1, False),
     ],
-)
+)
 def _(make):
     rows = [(1, [(5, 0, 9, 3, 2, [1, 2], 0.5, "alpha")]), (2, [(6, 1, None, None, None, [], 0.25, "sum"), (7, 1, None, None, None, [], 0.1, "")])]
     out = make(rows, "case_id int, r array<struct<node_id:long,level:int,chunk_id:long,chunk_index:int,parent:long,subintents:array<int>,similarity:double,text:string>>")
     return out.select("case_id", contexts.hierarchy_context(F.col("r")).alias("c")).select("case_id", "c.*")
 
 
-@golden("pe_full_context", "case_id int, text string, strategy string, tokens long", [(1, "short", None, 5), (2, "x" * 20, "token_aware_document_start_truncation", 10), (3, "y" * 15, "configured_char_limit_document_start_truncation", 9)])
+@golden(
+    "pe_full_context",
+    "case_id int, text string, strategy string, tokens long",
+    [
+        (1, "short", None, 5), (2, "x" * 20, "token_aware_document_start_truncation", 10),
+        (3, "y" * 15, "configured_char_limit_document_start_truncation", 9),
+    ],
+)
 def _(make):
     rows = make([(1, "short", 0), (2, "x" * 50, 0), (3, "y" * 50, 15)], "case_id int, text string, most int")
     parts = [rows.where(F.col("most") == m).select("case_id", contexts.full_context(F.col("text"), 10, m, 10).alias("c")) for m in (0, 15)]
@@ -429,12 +529,15 @@ def _(make):
 
 
 @golden(
-    "src_upload", "case_id int, name string, error string",
+    "src_upload",
+    "case_id int, name string, error string",
     [
-        (1, "Mon_Rapport.pdf", None), (2, "", "invalid_filename"), (3, "x.txt", "unsupported_extension"), (4, "e.pdf", "empty_file"), (5, "h.pdf", "invalid_pdf_header"),
-        (6, "c.pdf", "encrypted_pdf"), (7, "s.pdf", "invalid_pdf_structure"), (8, "t.pdf", "unsupported_content_type"), (9, "b.pdf", "file_too_large"), (10, "a" * 251 + ".pdf", None),
+        (1, "Mon_Rapport.pdf", None), (2, "", "invalid_filename"), (3, "x.txt", "unsupported_extension"),
+        (4, "e.pdf", "empty_file"), (5, "h.pdf", "invalid_pdf_header"), (6, "c.pdf", "encrypted_pdf"),
+        (7, "s.pdf", "invalid_pdf_structure"), (8, "t.pdf", "unsupported_content_type"), (9, "b.pdf", "file_too_large"),
+        (10, "a" * 251 + ".pdf", None),
     ],
-)
+)
 def _(make):
     good, kind = b"%PDF-1.4 /Root 1 0 R", "application/pdf"
     rows = [
@@ -456,7 +559,8 @@ _PAGES = [(1, 1, _LONG, None), (1, 2, "x", _PLAIN), (1, 3, None, " "), (2, 1, _L
 
 
 @golden(
-    "src_extracted", "doc_id long, status string, error string, page_count int, native_pages int, ocr_pages int, empty_pages int, source string, warnings string, text string",
+    "src_extracted",
+    "doc_id long, status string, error string, page_count int, native_pages int, ocr_pages int, empty_pages int, source string, warnings string, text string",
     [
         (1, "completed", None, 3, 1, 2, 1, "mixed", "ocr_returned_no_usable_text", f"{_LONG}\n\n{_PLAIN}"),
         (2, "failed", "extracted_text_too_large", 1, 1, 0, 0, "native", "", None),
@@ -480,7 +584,11 @@ def _(make):
     return ingest.page_bytes(make([(1, 1, 5, 7, 20), (1, 1, 10, None, None), (1, 2, 1, 6000000, None)], "doc_id long, page int, declared long, raw long, decoded long"))
 
 
-@golden("src_raster", "case_id int, width long, height long, too_large boolean", [(1, 1654, 2339, False), (2, 2339, 1654, False), (3, 13889, 13889, True), (4, None, None, None)])
+@golden(
+    "src_raster",
+    "case_id int, width long, height long, too_large boolean",
+    [(1, 1654, 2339, False), (2, 2339, 1654, False), (3, 13889, 13889, True), (4, None, None, None)],
+)
 def _(make):
     rows = make([(1, 595.28, 841.89, 0), (2, 595.28, 841.89, 90), (3, 5000.0, 5000.0, 0), (4, -1.0, 5.0, 0)], "case_id int, w double, h double, r int")
     return rows.select("case_id", ingest.raster(F.col("w"), F.col("h"), F.col("r")).alias("x")).select("case_id", "x.*")
@@ -502,7 +610,14 @@ def _(make):
 # --- embeddings ----------------------------------------------------------------------------------------------------
 
 
-@golden("emb_batches", "chunk_id long, status string, error string", [(1, "completed", None), (2, "completed", None), (3, "failed", "invalid_embedding_vector"), (4, "failed", "invalid_embedding_vector"), (5, "completed", None)])
+@golden(
+    "emb_batches",
+    "chunk_id long, status string, error string",
+    [
+        (1, "completed", None), (2, "completed", None), (3, "failed", "invalid_embedding_vector"),
+        (4, "failed", "invalid_embedding_vector"), (5, "completed", None),
+    ],
+)
 def _(make):
     def provider(texts):
         return [[float("nan")] * 4 if t == "bad" else embedding.offline_vector(t, 4) for t in texts]
@@ -527,7 +642,11 @@ def _(make):
 # --- hierarchy -----------------------------------------------------------------------------------------------------
 
 
-@golden("rap_factual_scores", "case_id int, score double, matched string, kinds string", [(1, 0.264, "date|depot", "date|time"), (2, 0.0, "date", ""), (3, 0.174, "depot|limite", "date")])
+@golden(
+    "rap_factual_scores",
+    "case_id int, score double, matched string, kinds string",
+    [(1, 0.264, "date|depot", "date|time"), (2, 0.0, "date", ""), (3, 0.174, "depot|limite", "date")],
+)
 def _(make):
     rows = make([(1, "Date de dépôt : 28 septembre 2018 à 17h00"), (2, "Une date sans valeur"), (3, "limites du depots le 3/7/2018")], "case_id int, text string")
     f = hierarchy.factual_score(F.col("text"), ["date", "limite", "depot"])
@@ -608,8 +727,12 @@ _LEAVES = "doc_id long, chunk_id long, chunk_index int, text string, embedding a
 
 
 @golden(
-    "rap_build", "doc_id long, status string, error string, leaf_count int, total_at_least_leaves boolean, levels_at_most_four boolean",
-    [(1, "completed", None, 24, True, True), (2, "completed", None, 1, True, True), (3, "failed", "too_many_chunks_for_raptor", 0, True, True), (4, "failed", "embeddings_not_found", 0, True, True)],
+    "rap_build",
+    "doc_id long, status string, error string, leaf_count int, total_at_least_leaves boolean, levels_at_most_four boolean",
+    [
+        (1, "completed", None, 24, True, True), (2, "completed", None, 1, True, True),
+        (3, "failed", "too_many_chunks_for_raptor", 0, True, True), (4, "failed", "embeddings_not_found", 0, True, True),
+    ],
 )
 def _(make):
     rows = _grouped(24, 3) + _grouped(1, 1, 2) + _grouped(41, 2, 3) + [(4, 400, 0, "x", None)]
@@ -628,7 +751,11 @@ def _(make):
 # --- evaluation ----------------------------------------------------------------------------------------------------
 
 
-@golden("evl_stages", "question string, vector_rank int, lexical_rank int, rrf_rank int, rerank_rank int, final_rank int", [("q", 2, None, 1, 1, 1), ("r", None, None, None, None, None)])
+@golden(
+    "evl_stages",
+    "question string, vector_rank int, lexical_rank int, rrf_rank int, rerank_rank int, final_rank int",
+    [("q", 2, None, 1, 1, 1), ("r", None, None, None, None, None)],
+)
 def _(make):
     stages = make([("q", "vector", 1, 5), ("q", "vector", 2, 7), ("q", "lexical", 1, 9), ("q", "rrf", 1, 7), ("q", "rerank", 1, 7), ("q", "final", 1, 7)], "question string, stage string, rank int, item long")
     return evaluation.stage_ranks(stages, make([("q", 7), ("q", 8), ("r", 1)], "question string, item long"))
@@ -651,8 +778,12 @@ def _(make):
 
 
 @golden(
-    "evl_improvement", "case_id int, rag_context_budget string, tree_top_down string, tree_summary_guard string, prompt_above_window string",
-    [(1, "JUSTIFIEE PAR LES TESTS", "NON JUSTIFIEE", "JUSTIFIEE PAR LES TESTS", "STRUCTURAL LIMIT"), (2, "NON JUSTIFIEE", "A INVESTIGUER", "NON JUSTIFIEE", "NON JUSTIFIEE")],
+    "evl_improvement",
+    "case_id int, rag_context_budget string, tree_top_down string, tree_summary_guard string, prompt_above_window string",
+    [
+        (1, "JUSTIFIEE PAR LES TESTS", "NON JUSTIFIEE", "JUSTIFIEE PAR LES TESTS", "STRUCTURAL LIMIT"),
+        (2, "NON JUSTIFIEE", "A INVESTIGUER", "NON JUSTIFIEE", "NON JUSTIFIEE"),
+    ],
 )
 def _(make):
     c = F.col
@@ -663,11 +794,17 @@ def _(make):
 # --- answers, corpora, small relational operators ------------------------------------------------------------------
 
 
-@golden("src_synthetic_positions", "dataset string, fact_id string, chunk_index int", [
-    ("small", "atlas_date", 0), ("small", "zephyr_reference", 2), ("small", "delta_percentage", 3), ("small", "boreal_duration", 4), ("small", "ocr_noise", 5), ("small", "cygnus_amount", 6),
-    ("small", "fenix_obligation", 7), ("medium", "atlas_date", 0), ("medium", "zephyr_reference", 2), ("medium", "delta_percentage", 16), ("medium", "boreal_duration", 25), ("medium", "ocr_noise", 26),
-    ("medium", "cygnus_amount", 48), ("medium", "fenix_obligation", 49),
-])
+@golden(
+    "src_synthetic_positions",
+    "dataset string, fact_id string, chunk_index int",
+    [
+        ("small", "atlas_date", 0), ("small", "zephyr_reference", 2), ("small", "delta_percentage", 3),
+        ("small", "boreal_duration", 4), ("small", "ocr_noise", 5), ("small", "cygnus_amount", 6),
+        ("small", "fenix_obligation", 7), ("medium", "atlas_date", 0), ("medium", "zephyr_reference", 2),
+        ("medium", "delta_percentage", 16), ("medium", "boreal_duration", 25), ("medium", "ocr_noise", 26),
+        ("medium", "cygnus_amount", 48), ("medium", "fenix_obligation", 49),
+    ],
+)
 def _(make):
     spark = make([(1,)], "x int").sparkSession
     rows = synthetic.corpus(spark, "small", 8).unionByName(synthetic.corpus(spark, "medium", 50))
@@ -708,7 +845,11 @@ def _(make):
     return asking.retrieve(chunks, "Quelle est la date limite et quelle garantie est exigee ?", lambda q: [0.0, 1.0] if "date" in q else [1.0, 0.0], k=2, candidates=2)
 
 
-@golden("pe_answers", "case_id int, answer string, strategy string", [(1, "5", None), (2, "8", "token_aware_document_start_truncation"), (3, asking.NOT_FOUND, None)])
+@golden(
+    "pe_answers",
+    "case_id int, answer string, strategy string",
+    [(1, "5", None), (2, "8", "token_aware_document_start_truncation"), (3, asking.NOT_FOUND, None)],
+)
 def _(make):
     spark = make([(1,)], "x int").sparkSession
     out = []
@@ -725,7 +866,14 @@ def _(make):
     return asking.retrieve_tree(nodes, make([(20, 10), (20, 11), (20, 12)], "parent long, child long"), "Quelle est la date limite ?", 3)
 
 
-@golden("join_loose_prefix", "a string, b string, same boolean", [("depot", "depots", True), ("date", "dates", False), ("limite", "limitee", True), ("limite", "limon", False), ("mois", "mois", True)])
+@golden(
+    "join_loose_prefix",
+    "a string, b string, same boolean",
+    [
+        ("depot", "depots", True), ("date", "dates", False), ("limite", "limitee", True), ("limite", "limon", False),
+        ("mois", "mois", True),
+    ],
+)
 def _(make):
     rows = make([("depot", "depots"), ("date", "dates"), ("limite", "limitee"), ("limite", "limon"), ("mois", "mois")], "a string, b string")
     return rows.withColumn("same", hierarchy.loosely_equal(F.col("a"), F.col("b")))
@@ -781,7 +929,11 @@ def _(make):
     return rows.select("node_id", F.row_number().over(Window.orderBy("level", "node_index")).alias("place"))
 
 
-@golden("rrk_off", "chunk_id long, rerank_score double, final_score double, position int", [(3, 0.0, 0.032266459, 1), (2, 0.0, 0.032002048, 2), (1, 0.0, 0.016393443, 3)])
+@golden(
+    "rrk_off",
+    "chunk_id long, rerank_score double, final_score double, position int",
+    [(3, 0.0, 0.032266459, 1), (2, 0.0, 0.032002048, 2), (1, 0.0, 0.016393443, 3)],
+)
 def _(make):
     plan = search_plan.plan("Quelle est la garantie de l'offre ?")
     return retrieval.hybrid_search(make(_TEXTS, _CHUNKS), plan, [0.0, 1.0], k=3, candidates=3, rerank=False)
@@ -790,7 +942,11 @@ def _(make):
 _SMALL = dict(target=120, most=160, overlap=20, least=40)
 
 
-@golden("chk_offsets", "doc_id long, chunk_index int, character_start int, character_end int, text_length int", [(1, 0, 0, 14, 14), (2, 0, 0, 108, 108), (2, 1, 84, 170, 86), (3, 0, 0, 4, 4)])
+@golden(
+    "chk_offsets",
+    "doc_id long, chunk_index int, character_start int, character_end int, text_length int",
+    [(1, 0, 0, 14, 14), (2, 0, 0, 108, 108), (2, 1, 84, 170, 86), (3, 0, 0, 4, 4)],
+)
 def _(make):
     words = " ".join(["alpha"] * 18) + ".\n\n" + " ".join(["beta"] * 12) + "."
     rows = make([(1, "One. Two three"), (2, words), (3, " a\r\n\r\nb "), (4, "")], "doc_id long, text string")
@@ -798,8 +954,13 @@ def _(make):
 
 
 @golden(
-    "chk_limits", "doc_id long, input_length int, error string, warning string, n_chunks int",
-    [(1, 5, None, None, 1), (2, 0, None, "empty_extracted_text", 0), (3, 463, "too_many_chunks", None, 0), (4, 601, "chunking_input_too_large", None, 0), (5, 0, None, "empty_extracted_text", 0), (6, 182, "chunk_too_large", None, 0)],
+    "chk_limits",
+    "doc_id long, input_length int, error string, warning string, n_chunks int",
+    [
+        (1, 5, None, None, 1), (2, 0, None, "empty_extracted_text", 0), (3, 463, "too_many_chunks", None, 0),
+        (4, 601, "chunking_input_too_large", None, 0), (5, 0, None, "empty_extracted_text", 0),
+        (6, 182, "chunk_too_large", None, 0),
+    ],
 )
 def _(make):
     five = "\n\n".join("word " * 18 + "x" for _ in range(5))
