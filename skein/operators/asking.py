@@ -128,3 +128,27 @@ def retrieve_tree(nodes: DataFrame, edges: DataFrame, question: str, k: int = 6,
     factual = hierarchy.factual_candidates(nodes.where("level = 0"), tokens) if hierarchy.value_intents(tokens) else None
     both = hierarchy.better_of_two(found, factual.select(found.columns)) if factual is not None else found
     return hierarchy.final_selection(both, k)
+
+
+def ask_tree(spark, nodes_for: Callable[[str], DataFrame], edges: DataFrame, question: str, answer: Callable[[str, str], str], k: int = 6, most: int = 6000) -> dict:
+    """answer, nodes (in their order), context and coverage of one question to a hierarchy. `nodes_for` gives the nodes with their
+    similarity to a question; each part of a question is searched for by itself."""
+    parts = sub_questions(spark, understood(spark, question).text)
+    found = [retrieve_tree(nodes_for(q), edges, q, k).withColumn("intent", F.lit(i)) for i, q in enumerate(parts, 1)]
+    names = ["intent", "node_id", "level", "node_index", "text", "similarity", "distance", "selection_score"]
+    if len(parts) > 1:
+        results = found[0].select(names)
+        for f in found[1:]:
+            results = results.unionByName(f.select(names))
+        chosen = hierarchy.select_intents(results.cache(), len(parts), k)  # k rows for each part
+        coverage = {r.intent: r.covered for r in hierarchy.intent_coverage(chosen, len(parts)).collect()}
+    else:
+        chosen = found[0].withColumn("intents", F.array().cast("array<int>"))
+        coverage = {1: not chosen.isEmpty()}
+    rows = chosen.orderBy("position").select("node_id", "level", "node_index", "intents", "similarity", "text").collect()
+    leaf = lambda r, v: v if r.level == 0 else None
+    listed = [(r.node_id, r.level, leaf(r, r.node_id), leaf(r, r.node_index), None, r.intents, r.similarity, r.text) for r in rows]
+    kind = "array<struct<node_id:long,level:int,chunk_id:long,chunk_index:int,parent:long,subintents:array<int>,similarity:double,text:string>>"
+    context = spark.createDataFrame([(listed,)], f"r {kind}").select(contexts.hierarchy_context(F.col("r"), most).alias("c")).select("c.*").first()
+    said = answer(question, context.text) if context.text else NOT_FOUND
+    return {"answer": said, "nodes": [r.node_id for r in rows], "context": context.asDict(), "coverage": coverage}

@@ -993,3 +993,21 @@ def _(make):
 def _(make):
     r = asking.ask(make([], _CHUNKS), "Quelle est la date ?", lambda _: [1.0, 0.0], lambda q, c: "never asked")
     return make([(r["answer"], len(r["sources"]))], "answer string, n_sources int")
+
+
+@golden("rap_answers", "case_id int, nodes string, covered string, included int", [(1, "11,20,10", "True", 3), (2, "11,10,20", "True,True", 3)])
+def _(make):
+    spark = make([(1,)], "x int").sparkSession
+    texts = [(10, 0, 0, "le montant est de 100 EUR"), (11, 0, 1, "date limite le 3/7/2018"), (12, 0, 2, "autre"), (20, 1, 0, "resume")]
+    near = {"montant": [0.75, 0.3, 0.1, 0.5], "date": [0.7, 0.65, 0.1, 0.72]}
+
+    def nodes_for(question):
+        s = near["montant" if "montant" in question else "date"]
+        rows = [(n, k, i, t, v, round(1 - v, 6)) for (n, k, i, t), v in zip(texts, s, strict=True)]
+        return make(rows, "node_id long, level int, node_index int, text string, similarity double, distance double")
+
+    edges, out = make([(20, 10), (20, 11), (20, 12)], "parent long, child long"), []
+    for case_id, q in ((1, "Quelle est la date limite ?"), (2, "Quelle est la date limite et quel est le montant ?")):
+        r = asking.ask_tree(spark, nodes_for, edges, q, lambda q, c: c[:5], k=3)
+        out.append((case_id, ",".join(map(str, r["nodes"])), ",".join(str(v) for v in r["coverage"].values()), r["context"]["included"]))
+    return make(out, "case_id int, nodes string, covered string, included int")
