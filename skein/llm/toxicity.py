@@ -98,10 +98,14 @@ class Field:
 
     def neighbours(self, ahead: np.ndarray, emission: np.ndarray, back: np.ndarray, inner: np.ndarray) -> np.ndarray:
         """2 x 2 expected numbers of the labels of a token before `inner` and the one at it."""
-        one, two = ahead[inner - 1], emission[inner] + back[inner]
-        logs = np.stack([self.move[a, b] + a * one + b * two for a in (0, 1) for b in (0, 1)])
-        w = np.exp(logs - logs.max(axis=0))
-        return (w / w.sum(axis=0)).sum(axis=1).reshape(2, 2)
+        out = np.zeros(4)
+        for k in range(0, len(inner), 1 << 16):  # few at a time: four numbers for each
+            some = inner[k : k + (1 << 16)]
+            one, two = ahead[some - 1], emission[some] + back[some]
+            logs = np.stack([self.move[a, b] + a * one + b * two for a in (0, 1) for b in (0, 1)])
+            w = np.exp(logs - logs.max(axis=0))
+            out += (w / w.sum(axis=0)).sum(axis=1)
+        return out.reshape(2, 2)
 
     def gradient(self, features: np.ndarray, label: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
         """Of the log likelihood of the labels, by weights, bias and moves; and the marginals."""
@@ -112,8 +116,7 @@ class Field:
         inner = np.ones(len(label), bool)
         inner[(np.cumsum(counts) - counts)[counts > 0]] = False
         inner = np.flatnonzero(inner)
-        seen = np.zeros((2, 2))
-        np.add.at(seen, (label[inner - 1].astype(int), label[inner].astype(int)), 1)
+        seen = np.bincount((2 * label[inner - 1] + label[inner]).astype(np.int8), minlength=4).reshape(2, 2)
         g = np.zeros(len(self.weights))
         for column in features.T:
             g += np.bincount(column, off, minlength=len(self.weights))
