@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skein.llm import imatch, jaccard_join, language, mixing, multi_index, packing, sharding, token_files, toxicity, url_filter
+from skein.llm import fill_middle, imatch, jaccard_join, language, mixing, multi_index, packing, sharding, token_files, toxicity, url_filter
 
 
 def pipeline(spark, sf_dir: str):
@@ -22,6 +22,10 @@ QUERIES = {
     "op8_imatch": imatch.op8,
     "op9_token_files": token_files.op9,
     "op10_hypergeometric_shards": sharding.op10,
+    "op11_fill_in_middle": fill_middle.op11,
     "pipeline": pipeline,
 }
-ORACLES = {"op5_poisson_mixture": mixing.ORACLE}
+ORACLES = {
+    "op5_poisson_mixture": mixing.ORACLE,
+    "op11_fill_in_middle": fill_middle.ORACLE,
+}
