@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skein.llm import elkan, fill_middle, imatch, jaccard_join, language, mixing, multi_index, packing, sharding, token_files, toxicity, url_filter
+from skein.llm import elkan, fill_middle, flat_graph, imatch, jaccard_join, language, mixing, multi_index, packing, sharding, token_files, toxicity, url_filter
 
 
 def pipeline(spark, sf_dir: str):
@@ -24,10 +24,12 @@ QUERIES = {
     "op10_hypergeometric_shards": sharding.op10,
     "op11_fill_in_middle": fill_middle.op11,
     "op12_elkan_clusters": elkan.op12,
+    "op13_flat_graph": flat_graph.op13,
     "pipeline": pipeline,
 }
 ORACLES = {
     "op5_poisson_mixture": mixing.ORACLE,
     "op11_fill_in_middle": fill_middle.ORACLE,
     "op12_elkan_clusters": elkan.ORACLE,
+    "op13_flat_graph": flat_graph.ORACLE,
 }
