@@ -1,7 +1,7 @@
 """Operator 1: language proportions of each document by expectation-maximisation over n-gram likelihoods.
 
 The model has, for each language, smoothed probabilities of hashed character trigrams, counted over a bounded sample of
-labelled rows. A document is a mixture: expectation-maximisation finds the proportions of the languages that make its
+labelled rows, by one task a language; only the counts reach the driver. A document is a mixture: expectation-maximisation finds the proportions of the languages that make its
 trigrams likeliest. The language set is chosen by penalised likelihood: languages join one by one while the gain in log
 likelihood is larger than PENALTY times log(number of trigrams). The largest proportion names the document.
 
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,10 +21,12 @@ from skein.llm import common
 from skein.llm.hashing import mix
 
 BUCKETS = 1 << 15
-#: At most so many labelled rows of each language are counted, those with the smallest hash of their id, and no text
-#: longer than SAMPLE_CHARS, which bounds the sample's bytes.
+#: Of each language so many labelled rows are counted at most, those with the smallest hash of their id, and of these, in the same
+#: order, as many as have SAMPLE_BYTES together, but one at least. Texts are taken whole, long ones too.
 SAMPLE_ROWS = 1500
-SAMPLE_CHARS = 50_000
+SAMPLE_BYTES = 16 << 20
+#: The languages with the most labelled rows are learned, at most so many.
+MOST_LANGUAGES = 512
 SMOOTHING = 0.1
 #: Trigrams overlap, so a third of their number counts; each further language costs this times the log of that.
 PENALTY = 3.0
@@ -93,14 +96,14 @@ def choose(likelihood: np.ndarray, counts: np.ndarray, penalty: float = PENALTY)
 class Model:
     """Languages by name and, for each bucket, the likelihood of its trigrams under each language, scaled to at most 1."""
 
-    def __init__(self, labelled: list[tuple[str, str]]):
-        self.names = sorted({lang for lang, _ in labelled})
+    def __init__(self, labelled: list[tuple[str, str]] = (), counted: dict[str, np.ndarray] | None = None):
+        """From labelled texts, or from the counts of each language's trigrams."""
+        if counted is None:
+            counted = {name: bucket_counts([t for lang, t in labelled if lang == name]) for name in {lang for lang, _ in labelled}}
+        self.names = sorted(counted)
         counts = np.full((BUCKETS, max(1, len(self.names))), SMOOTHING)
         for j, name in enumerate(self.names):
-            texts = [t for lang, t in labelled if lang == name]
-            for a, b in common.batches_of_bytes(texts):
-                for ids, n in trigrams(texts[a:b]):
-                    counts[ids, j] += n
+            counts[:, j] += counted[name]
         p = counts / counts.sum(axis=0)
         self.likelihood = np.maximum(p / p.max(axis=1, keepdims=True), 1e-4)
 
@@ -116,24 +119,46 @@ class Model:
         return out
 
 
-def labelled_sample(docs: DataFrame, text: str, lang: str, rows: int = SAMPLE_ROWS) -> list[tuple[str, str]]:
-    """At most `rows` labelled texts of each language, those with the smallest hashes; languages are few.
+def sampled(docs: DataFrame, text: str, lang: str, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """lang, text: the labelled texts that are learned from.
 
     A histogram of the hashes, finer towards small ones, tells how far each language's rows are needed, so the window that
     ranks them gets little more than `rows` of each language, whatever the table's size, and no language loses any."""
     from pyspark.sql import Window
 
-    known = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & (F.length(text) <= SAMPLE_CHARS))
+    known = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
     h = F.xxhash64(F.lit(5), F.coalesce(F.col("doc_id").cast("string"), F.col(text)))
     known = known.select("doc_id", F.col(lang).alias("lang"), h.alias("h"), F.col(text).alias("text"))
     known = known.withColumn("step", F.floor(4 * F.log2(F.col("h").cast("double") + F.lit(2.0**63 + 1))))
     steps = known.groupBy("lang", "step").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("lang").orderBy("step")) - F.col("n")
-    last = steps.select("lang", "step", before.alias("before")).where(F.col("before") < rows).groupBy("lang").agg(F.max("step").alias("last"))
-    thin = known.join(F.broadcast(last), "lang").where(F.col("step") <= F.col("last"))
+    last = steps.select("lang", "step", "n", before.alias("before")).groupBy("lang")
+    last = last.agg(F.max(F.when(F.col("before") < rows, F.col("step"))).alias("last"), F.sum("n").alias("n"))
+    last = last.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).select("lang", "last")
+    thin = known.join(F.broadcast(last), "lang").where(F.col("step") <= F.col("last"))  # MOST_LANGUAGES rows at most
     order = Window.partitionBy("lang").orderBy("h", "doc_id", "text")
-    chosen = thin.withColumn("k", F.row_number().over(order)).where(F.col("k") <= rows)
-    return [(r["lang"], r["text"]) for r in chosen.select("lang", "text").collect()]
+    ranked = thin.withColumn("k", F.row_number().over(order)).where(F.col("k") <= rows)
+    sizes = ranked.withColumn("bytes", F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return sizes.where((F.col("bytes") <= most_bytes) | (F.col("k") == 1)).select("lang", "text")
+
+
+def labelled_sample(docs: DataFrame, text: str, lang: str, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> list[tuple[str, str]]:
+    """The sample itself, to look at; training leaves it in Spark."""
+    return [(r["lang"], r["text"]) for r in sampled(docs, text, lang, rows, most_bytes).collect()]
+
+
+def bucket_counts(texts: list[str]) -> np.ndarray:
+    """How often the trigrams of each bucket occur."""
+    counts = np.zeros(BUCKETS)
+    for a, b in common.batches_of_bytes(texts):
+        for ids, n in trigrams(texts[a:b]):
+            counts[ids] += n
+    return counts
+
+
+def _counted(rows: pa.Table) -> pa.Table:
+    counts = bucket_counts(rows["text"].to_pylist())
+    return pa.table([rows["lang"].slice(0, 1), pa.array([counts.tolist()])], ["lang", "counts"])
 
 
 def identify_languages(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -158,7 +183,10 @@ def held_out():
 
 
 def trained(docs: DataFrame) -> Model:
-    return Model(labelled_sample(docs.where(~held_out()), "text", "lang"))
+    """The model of the labelled rows that aren't held out; at most MOST_LANGUAGES times BUCKETS numbers come to the driver."""
+    common.bound_batches(docs.sparkSession)
+    counted = sampled(docs.where(~held_out()), "text", "lang").groupBy("lang").applyInArrow(_counted, "lang string, counts array<double>").toArrow()
+    return Model(counted={k: np.array(v.as_py()) for k, v in zip(counted["lang"].to_pylist(), counted["counts"], strict=True)})
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Operator 6: a linear-chain conditional random field tags toxic spans; its marginals give document scores.
 
-Training. A bounded sample of documents labelled toxic or not gives token labels: a token of a toxic document is toxic if
+Training. One task fits the field to a bounded sample of documents labelled toxic or not. It gives token labels: a token of a toxic document is toxic if
 one of its features (hash of the word or of its first letters) is, over the sample, found in toxic documents almost
 only. The field is fitted to these tokens, and the sum of a document's largest marginals is calibrated to its label.
 
@@ -9,25 +9,29 @@ probability of being toxic; a text's score is the calibrated sum of the largest
 a marginal of at least 0.5 are its offending spans (offsets in code points).
 
 Defined results: a null or empty text is scored as one without toxic tokens; without labelled rows, or with no
-toxic ones among them, every score is below 1e-20; a document with several labels counts as toxic if one of them is;
+toxic ones among them, every score is below 1e-20; a document with several labels counts as toxic if one of them is; of
+several texts of one labelled id the one with the smallest hash is learned from;
 equal texts have equal scores; other columns are kept; an empty table stays empty.
 """
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.llm import common
 from skein.llm.hashing import LOWER_WORDS, Words
 
 BUCKETS = 1 << 20
-#: At most so many labelled documents of each label are learned from (those with the smallest hash of their id), none
-#: longer than SAMPLE_CHARS.
+#: Of each label so many labelled documents are learned from at most, those with the smallest hash of their id, and of these, in the
+#: same order, as many as have SAMPLE_BYTES together, but one at least. Texts are taken whole, long ones too.
 SAMPLE_ROWS = 1500
-SAMPLE_CHARS = 20_000
+SAMPLE_BYTES = 12 << 20
 #: A feature tells a toxic token if so large a share of the sample's documents that have it are toxic, and if they are so
 #: many that the chance of any feature doing so by luck is below CHANCE, and at least LEAST_PART of the toxic documents
 #: (groups of copies of one document make its words look telling).
@@ -197,20 +201,37 @@ def fit(texts: list[str], toxic: list[int], epochs: int = 20, rate: float = 0.6)
     return Field(field.weights.astype(np.float32), field.bias, field.move, calibration)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int = SAMPLE_ROWS) -> tuple[list[str], list[int]]:
-    """Texts and labels of at most `rows` documents of each label; the ids are chosen first, so few texts are moved."""
+def sampled(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """text, toxic, h, doc_id of at most `rows` documents of each label; the ids are chosen first, so few texts are moved."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.select("doc_id", "toxic", F.xxhash64(F.lit(6), "doc_id").alias("h"))
     parts = [chosen.where(F.col("toxic") == k).orderBy("h", "doc_id").limit(rows) for k in (0, 1)]
     ids = F.broadcast(parts[0].unionByName(parts[1]))  # at most 2 * rows rows
-    texts = docs.where(F.length(text) <= SAMPLE_CHARS).select("doc_id", F.col(text).alias("text"))
-    found = texts.join(ids, "doc_id").orderBy("h", "doc_id", "text").select("text", "toxic").collect()
-    once: dict[str, int] = {}  # copies teach nothing new
-    for r in found:
+    found = docs.select("doc_id", F.col(text).alias("text")).where(F.col("text").isNotNull()).join(ids, "doc_id")
+    one = found.groupBy("doc_id", "toxic", "h").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    order = Window.partitionBy("toxic").orderBy("h", "doc_id")
+    size = F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    sizes = one.withColumns({"bytes": size, "k": F.row_number().over(order)})
+    return sizes.where((F.col("bytes") <= most_bytes) | (F.col("k") == 1)).select("text", "toxic", "h", "doc_id")
+
+
+def _once(table: pa.Table) -> tuple[list[str], list[int]]:
+    """Distinct texts, as copies teach nothing new, in the order of the hashes."""
+    once: dict[str, int] = {}
+    for r in table.sort_by([("h", "ascending"), ("doc_id", "ascending")]).to_pylist():
         once[r["text"]] = max(r["toxic"], once.get(r["text"], 0))
     return list(once), list(once.values())
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int = SAMPLE_ROWS) -> tuple[list[str], list[int]]:
+    """The sample itself, to look at; training leaves it in Spark."""
+    return _once(sampled(docs, labels, text, rows).toArrow())
+
+
+def _fitted(rows: pa.Table) -> pa.Table:
+    return pa.table([pa.array([pickle.dumps(fit(*_once(rows)))], pa.binary())], ["field"])
+
+
 def score_toxicity(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
     """docs with score, predicted (1 if score >= 0.5) and spans (array of from, to and mean marginal)."""
     (column,) = common.fresh(docs, "toxicity")
@@ -246,7 +267,11 @@ def held_out():
 
 
 def trained(docs: DataFrame, labels: DataFrame) -> Field:
-    return fit(*labelled_sample(docs, labels.where(~held_out())))
+    """The field, fitted by one task to at most 2 * SAMPLE_ROWS texts; only the field comes to the driver."""
+    common.bound_batches(docs.sparkSession)
+    sample = sampled(docs, labels.where(~held_out())).withColumn("all", F.lit(1))
+    found = sample.groupBy("all").applyInArrow(_fitted, "field binary").collect()
+    return pickle.loads(found[0]["field"]) if found else fit([], [])
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

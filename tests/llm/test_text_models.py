@@ -71,6 +71,75 @@ def test_sample_keeps_rare_languages_and_the_smallest_hashes(spark):
         assert sorted(t for x, t in got if x == name) == sorted([t for _, t, x in hashes if x == name][:n]) and len([x for x, _ in got if x == name]) == n
 
 
+def test_long_texts_teach_a_language_and_bytes_are_bounded(spark):
+    long = [(k, "ein zwei drei vier " * 6_000, "long") for k in range(3)] + [(k, f"one two three {k}", "short") for k in range(3, 40)]
+    table = spark.createDataFrame(long, "doc_id long, text string, lang string")
+    assert {x for x, _ in language.labelled_sample(table, "text", "lang")} == {"long", "short"}
+    got = language.labelled_sample(table, "text", "lang", most_bytes=300_000)
+    assert sorted(len(t) for x, t in got if x == "long") == [114_000] * 2 and sum(x == "short" for x, _ in got) == 37
+    assert len([1 for x, _ in language.labelled_sample(table, "text", "lang", most_bytes=10) if x == "long"]) == 1
+    model = language.trained(table)
+    assert model.names == ["long", "short"]
+    assert (model.likelihood == language.Model([(r.lang, r.text) for r in table.where(~language.held_out()).collect()]).likelihood).all()
+
+
+def test_many_languages(spark):
+    names = [f"l{k:03}" for k in range(200)]
+    table = spark.createDataFrame([(4 * k + j, f"{chr(0x4E00 + 3 * k)}{chr(0x4E01 + 3 * k)}{chr(0x4E02 + 3 * k)} " * 9, n) for k, n in enumerate(names) for j in range(4)], "doc_id long, text string, lang string")
+    assert language.trained(table).names == names
+
+
+def brute_language(texts, labelled):
+    """Languages and shares of texts by plain dictionaries: trigram shares, all sets grown one by one."""
+    names = sorted({lang for lang, _ in labelled})
+    seen = {n: np.zeros(language.BUCKETS) for n in names}
+    for n, t in labelled:
+        for bucket, c in zip(*language.trigrams([t])[0], strict=True):
+            seen[n][bucket] += c
+    share = {n: (c + language.SMOOTHING) / (c + language.SMOOTHING).sum() for n, c in seen.items()}
+    out = []
+    for t in texts:
+        ids, counts = language.trigrams([t])[0]
+        if not len(ids):
+            out.append(("und", 0.0))
+            continue
+        like = np.array([[share[n][b] for n in names] for b in ids])
+        like = np.maximum(like / np.array([max(share[n][b] for n in names) for b in ids])[:, None], 1e-4)
+
+        def best(chosen):
+            pi, before = [1 / len(chosen)] * len(chosen), -np.inf
+            for _ in range(language.STEPS):
+                mixed = [sum(p * row[j] for p, j in zip(pi, chosen, strict=True)) for row in like]
+                value = sum(c * np.log(m) for c, m in zip(counts, mixed, strict=True))
+                if value - before < 1e-6 * counts.sum():
+                    break
+                before = value
+                pi = [p * sum(c * row[j] / m for c, row, m in zip(counts, like, mixed, strict=True)) / counts.sum() for p, j in zip(pi, chosen, strict=True)]
+            return value, pi
+
+        cost = language.PENALTY * 3 * np.log(max(2.0, counts.sum() / 3))
+        chosen = [max(range(len(names)), key=lambda j: (best([j])[0], -j))]
+        value, pi = best(chosen)
+        while len(chosen) < len(names):
+            j = max((j for j in range(len(names)) if j not in chosen), key=lambda j: (best([*chosen, j])[0], -j))
+            more, shares = best([*chosen, j])
+            if more - value <= cost:
+                break
+            chosen, value, pi = [*chosen, j], more, shares
+        k = max(range(len(chosen)), key=lambda i: (pi[i], -chosen[i]))
+        out.append((names[chosen[k]], pi[k]))
+    return out
+
+
+def test_languages_of_a_whole_table_against_brute_force(spark):
+    table = spark.read.parquet(f"{SF}/documents.parquet").where("n_chars < 2500")
+    rows = sorted(language.identify_languages(table, language.trained(table)).collect(), key=lambda r: r.doc_id)
+    labelled = [(r.lang, r.text) for r in table.where(~language.held_out()).collect() if r.lang is not None and r.text is not None]
+    want = brute_language([r.text for r in rows], labelled)
+    assert len(rows) > 50 and [r.lang_pred for r in rows] == [n for n, _ in want]
+    assert np.allclose([r.score for r in rows], [s for _, s in want], atol=1e-6)
+
+
 def test_expectation_maximisation_finds_the_likeliest_mixture():
     rng = np.random.default_rng(0)
     like, counts = rng.random((40, 2)) + 0.05, rng.integers(1, 9, 40).astype(float)
@@ -141,6 +210,40 @@ def test_toxicity_held_out_and_empty_tables(spark):
     assert sorted(toxicity.labelled_sample(docs(spark, ["a", "b"]), twice)[1]) == [0, 1]
 
 
+def brute_toxicity(field, text):
+    """The calibrated score of a text by sums over both labels of each token, step by step."""
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else (c if ord(c) > 127 or c.isalnum() else " ") for c in text or "")
+    words = toxicity.Words([low], toxicity.LOWER_WORDS)
+    e = [field.bias + sum(float(field.weights[b]) for b in row) for row in toxicity.token_features(words)]
+    n, p = len(e), []
+    if n:
+        ahead, back = [(0.0, e[0])], [(0.0, 0.0)]
+        for x in e[1:]:
+            ahead.append(tuple((0.0, x)[b] + np.logaddexp(ahead[-1][0] + field.move[0][b], ahead[-1][1] + field.move[1][b]) for b in (0, 1)))
+        for x in e[:0:-1]:
+            back.append(tuple(np.logaddexp(field.move[a][0] + back[-1][0], field.move[a][1] + x + back[-1][1]) for a in (0, 1)))
+        p = [1 / (1 + np.exp(a[0] + b[0] - a[1] - b[1])) for a, b in zip(ahead, reversed(back), strict=True)]
+    total = sum(x * x for x in sorted(p)[-toxicity.LARGEST :])
+    return 1 / (1 + np.exp(-(field.calibration[0] + field.calibration[1] * np.log(total + 0.1))))
+
+
+def test_toxicity_of_a_whole_table_against_brute_force(spark):
+    docs_, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    field = toxicity.trained(docs_, labels)
+    rows = toxicity.score_toxicity(docs_.where("n_chars < 3000"), field).collect()
+    assert len(rows) > 500 and sum(r.predicted for r in rows) > 5
+    assert np.allclose([r.score for r in rows], [brute_toxicity(field, r.text) for r in rows], atol=1e-6)
+
+
+def test_one_labelled_id_on_many_rows_and_long_texts(spark):
+    rows = spark.range(5000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    rows = rows.union(spark.createDataFrame([(8, "long " * 30_000), (9, "other")], "doc_id long, text string"))
+    labels = spark.createDataFrame([(7, 0, 1), (8, 0, 0), (9, 0, 0)], "doc_id long, quality int, toxic int")
+    texts, toxic = toxicity.labelled_sample(rows, labels)
+    assert sorted(toxic) == [0, 0, 1] and "long " * 30_000 in texts
+    assert [len(t) for t in toxicity._once(toxicity.sampled(rows, labels, most_bytes=10).toArrow())[0]].count(150_000) <= 1
+
+
 def test_toxic_spans_and_awkward_texts(spark):
     rng = random.Random(1)
     words = [f"w{k}x{rng.randrange(99)}" for k in range(60)]
