@@ -45,7 +45,7 @@ def drop_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix_sources(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Copies by Poisson replication towards weights that go with the root of each source's rows; a null source is one, too. As many
     rows are expected as there were, in an order by hash."""
-    return mixing.poisson_mixture(_wrapped(docs, "doc_id", "source")).select("_row.*")
+    return mixing.poisson_mixture(_wrapped(docs, "doc_id", "text", "source")).select("_row.*")
 
 
 def pack_sequences(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

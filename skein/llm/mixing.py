@@ -1,13 +1,18 @@
 """Operator 5: mixes sources to target weights by Poisson replication.
 
 Each source has a mean repetition rate (its share of the wanted rows over its rows). A document's number of copies is
-the inverse of the Poisson distribution with that mean at a uniform number that a hash of seed and doc_id gives; the
-row is exploded by that number, and the copies are put in the order of a second hash, a global shuffle: the hash is
+the inverse of the Poisson distribution with that mean at a uniform number that a hash of seed, doc_id, text and a number
+among equal rows gives; the row is exploded by that number, and the copies are put in the order of a second hash, a global shuffle: the hash is
 uniform, so equal ranges of it are the partitions, and no sampling draws the copies twice. A mean above
 MOST_MEAN is split into equal parts that are drawn one by one and added, which gives the same law with short tables.
 
-Defined results: null sources are a source of their own; a null doc_id hashes as the word null; repeated doc_ids get
-equal counts; sources without a weight (or of weight 0) vanish; an empty table stays empty; other columns are kept.
+Rows that are equal in all columns are told apart by numbers from 0, so each has a draw of its own. A count of hashes of
+rows finds those that occur more than once; one row of each such group is spread by its numbers, in blocks that are dealt to
+tasks before they are spread, so a group that holds a third of all rows is no one task's work.
+
+Defined results: null sources are a source of their own; a null doc_id hashes as the word null, a null text as an empty one; rows
+of one doc_id have draws of their own unless id and text are equal and another column isn't; sources without a weight (or of
+weight 0) vanish; an empty table stays empty; other columns are kept.
 """
 
 from __future__ import annotations
@@ -25,6 +30,8 @@ STEPS = 60
 #: Rates of up to so many sources are broadcast (some 500 bytes each); beyond, they are joined by a shuffle.
 BROADCAST_SOURCES = 4096
 SEED = 20
+#: Equal rows of a block.
+BLOCK = 10_000
 #: Rows of a partition of the result, on average, if there are more than spark.sql.shuffle.partitions of them.
 PART_ROWS = 200_000
 
@@ -60,32 +67,52 @@ def source_rates(docs: DataFrame, weights: dict[str | None, float] | None = None
     return counts.where(F.col("w") > 0).select("source", "n", rate.alias("rate"))
 
 
+def numbered(docs: DataFrame, number: str) -> DataFrame:
+    """docs with a number among equal rows. Only rows that have an equal one move."""
+    one, two, times, block = common.fresh(docs, "hash_one", "hash_two", "times", "block")
+    keyed = docs.select("*", F.xxhash64(F.lit(1), *docs.columns).alias(one), F.xxhash64(F.lit(2), *docs.columns).alias(two))
+    counts = keyed.groupBy(one, two).agg(F.count(F.lit(1)).alias(times)).where(F.col(times) > 1)
+    counts = common.written(counts, "repeated")
+    if counts.isEmpty():
+        return docs.withColumn(number, F.lit(0).cast("long"))
+    once = keyed.join(counts.select(one, two), [one, two], "left_anti").drop(one, two).withColumn(number, F.lit(0).cast("long"))
+    every = keyed.join(counts.select(one, two), [one, two], "left_semi").select(one, two, F.struct(*docs.columns).alias("row"))
+    kept = every.groupBy(one, two).agg(F.any_value("row").alias("row")).join(counts, [one, two])
+    blocks = kept.select("row", one, times, F.explode(F.sequence(F.lit(0).cast("long"), F.col(times) - 1, F.lit(BLOCK).cast("long"))).alias(block))
+    dealt = blocks.repartition(F.col(one), F.col(block))
+    last = F.least(F.col(times), F.col(block) + BLOCK) - 1
+    return once.unionByName(dealt.select("row.*", F.explode(F.sequence(F.col(block), last)).alias(number)))
+
+
 def poisson_mixture(
     docs: DataFrame, weights: dict[str | None, float] | None = None, rows: float | None = None, seed: int = SEED
 ) -> DataFrame:
     """The rows of docs with `replica` (0, 1, ...) and `shuffle_key`, in the order of that key."""
-    copies, table, pieces = common.fresh(docs, "copies", "cumulative", "pieces")
+    copies, table, pieces, name, number, given = common.fresh(docs, "copies", "cumulative", "pieces", "name", "number", "given_source")
     spark = docs.sparkSession
     common.tidy_shuffles(spark)
     rates = common.written(source_rates(docs, weights, rows), "rates")
     expected = rates.agg(F.sum(F.col("n") * F.col("rate")).alias("x")).first()["x"] or 0.0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(expected / PART_ROWS))
     rates = rates.withColumn(pieces, F.greatest(F.ceil(F.col("rate") / MOST_MEAN), F.lit(1)).cast("int"))
-    rates = rates.withColumn(table, cumulative(F.col("rate") / F.col(pieces))).select(F.col("source").alias("_source"), pieces, table)
+    rates = rates.withColumn(table, cumulative(F.col("rate") / F.col(pieces))).select(F.col("source").alias(given), pieces, table)
     if rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     drawn = F.aggregate(
         F.sequence(F.lit(1), F.col(pieces)),
         F.lit(0),
-        lambda acc, k: acc + F.size(F.filter(table, lambda c: c <= uniform(F.lit(str(seed)), name, k.cast("string")))),
+        lambda acc, k: acc + F.size(F.filter(table, lambda c: c <= uniform(F.lit(str(seed)), F.col(name), k.cast("string")))),
     )
+    digest = F.md5(F.coalesce(F.col("text"), F.lit("")))
+    named = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), digest, F.col(number).cast("string"))
     return (
-        docs.join(rates, F.col("source").eqNullSafe(F.col("_source")))
+        numbered(docs, number)
+        .withColumn(name, named)
+        .join(rates, F.col("source").eqNullSafe(F.col(given)))
         .withColumn(copies, drawn)
         .where(F.col(copies) > 0)
         .withColumn("replica", F.explode(F.sequence(F.lit(0), F.col(copies) - 1)))
-        .withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"{seed}-order"), name, F.col("replica").cast("string"))))
+        .withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"{seed}-order"), F.col(name), F.col("replica").cast("string"))))
         .select(*docs.columns, "replica", "shuffle_key")
         .repartitionById(parts, F.floor(F.conv(F.substring("shuffle_key", 1, 8), 16, 10).cast("long") * parts / (1 << 32)).cast("int"))
         .sortWithinPartitions("shuffle_key")
@@ -105,10 +132,12 @@ poisson AS (
   UNION ALL
   SELECT source, pieces, mean, k + 1, p * mean / (k + 1), c + p * mean / (k + 1) FROM poisson WHERE k + 1 < {STEPS}),
 tables AS (SELECT source, any_value(pieces) AS pieces, list(c) AS cs FROM poisson GROUP BY source),
+named AS (SELECT *, coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, '')) || ':' ||
+    (row_number() OVER (PARTITION BY doc_id, text, lang, source, n_chars) - 1) AS name FROM documents),
 draws AS (
-  SELECT d.*, (SELECT sum(len(list_filter(t.cs, lambda x: x <= ('0x' || substr(md5('{SEED}:' || d.doc_id || ':' || k), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0)))
+  SELECT d.*, (SELECT sum(len(list_filter(t.cs, lambda x: x <= ('0x' || substr(md5('{SEED}:' || d.name || ':' || k), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0)))
                FROM range(1, t.pieces + 1) r(k)) AS copies
-  FROM documents d JOIN tables t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, text, lang, source, n_chars, replica::INT AS replica, md5('{SEED}-order:' || doc_id || ':' || replica) AS shuffle_key
+  FROM named d JOIN tables t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, text, lang, source, n_chars, replica::INT AS replica, md5('{SEED}-order:' || name || ':' || replica) AS shuffle_key
 FROM (SELECT *, unnest(range(0, copies::INT)) AS replica FROM draws WHERE copies > 0)
 """
