@@ -34,11 +34,11 @@ from pyspark.sql import functions as F
 
 from skein.llm import common
 from skein.llm.jaccard_join import components
-from skein.llm.multi_index import fit_centroids, matrix, unit, usable
+from skein.llm.multi_index import distances, fit_centroids, matrix, unit, usable
 
 THRESHOLD = 0.98
 #: Members of a shard at most, members that its centroids are fitted on, centroids at most.
-CAPACITY, FIT, FANOUT = 4096, 1000, 32
+CAPACITY, FIT, FANOUT = 1024, 1000, 32
 #: Edges of a node to nodes out of range and in range, the pruning factor, queries that are searched together.
 DEGREE, NEAR, ALPHA, BLOCK = 24, 12, 1.2, 256
 #: Medoids of a shard, and how many of them, the nearest, a search begins at.
@@ -49,7 +49,8 @@ STEP = 1 << 20
 #: (guests, beam) of each attempt.
 ATTEMPTS = ((1, 64), (2, 128), (4, 256))
 AUDITED, WANTED, LEAST = 64, 0.99, 0.9
-MOST_LEVELS = 60
+#: From this level of splitting on no guests are made, so that shards surely shrink.
+NO_GUESTS, MOST_LEVELS = 10, 60
 
 
 def near_first(sims: np.ndarray, k: int) -> np.ndarray:
@@ -241,7 +242,7 @@ def _shards(nodes: DataFrame, tables: common.Tables, guests: int, capacity: int)
     def fitted(rows: pa.Table) -> pa.Table:
         x = unit(matrix(rows["vector"]))
         k = int(min(FANOUT, max(4, -(-4 * rows["members"][0].as_py() // capacity))))
-        c = fit_centroids(x, k)
+        c = fit_centroids(x, k, seed=level)
         return pa.table([rows["shard"].slice(0, 1), pa.array([c.ravel().tolist()])], ["shard", "centroids"])
 
     def dealt(key, rows: pa.Table, fits: pa.Table) -> pa.Table:
@@ -250,7 +251,7 @@ def _shards(nodes: DataFrame, tables: common.Tables, guests: int, capacity: int)
             return rows.select(names).slice(0, 0)
         x = unit(matrix(rows["vector"]))
         c = np.array(fits["centroids"][0].as_py()).reshape(-1, x.shape[1])
-        order = near_first(x @ c.T, guests + 1)
+        order = near_first(-distances(x, c), (guests if level < NO_GUESTS else 0) + 1)
         home = rows["home"].to_numpy(zero_copy_only=False)
         out = []
         for k in range(order.shape[1]):
@@ -262,7 +263,7 @@ def _shards(nodes: DataFrame, tables: common.Tables, guests: int, capacity: int)
 
     kind = "node long, n long, vector array<double>, shard string, home boolean"
     placed = nodes.select("node", "n", "vector", F.concat_ws("/", F.col("label").cast("string"), F.size("vector")).alias("shard"), F.lit(True).alias("home"))
-    done, made = [], []
+    done = []
     for level in range(MOST_LEVELS):
         sizes = placed.groupBy("shard").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > capacity)
         big = tables.write(sizes, "large")
