@@ -5,7 +5,6 @@ Chunks have chunk_id, text; embeddings have chunk_id, embedding.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,40 +63,40 @@ def lexical_top(chunks: DataFrame, groups: list[list[str]], k: int) -> DataFrame
 POSITION_WEIGHT = 0.1
 
 
-def cover_rank(tokens: list[str], groups: list[set[str]]) -> float:
-    """Cover density: each shortest run of tokens that has a term of every group adds a weight that falls with the number of
-    other tokens in it."""
-    places = [(i, {k for k, g in enumerate(groups) if t in g}) for i, t in enumerate(tokens)]
-    places = [(i, ks) for i, ks in places if ks]
-    total, begin = 0.0, 0
-    while begin < len(places):
-        open_, end = set(range(len(groups))), begin
-        while end < len(places) and open_:
-            open_ -= places[end][1]
-            end += 1
-        if open_:
-            break
-        seen, first = set(), end
-        while len(seen) < len(groups):  # back from the end: the latest place to begin at
-            first -= 1
-            seen |= places[first][1]
-        noise = (places[end - 1][0] - places[first][0]) - (end - 1 - first)
-        total += POSITION_WEIGHT / (1 + noise)
-        begin = first + 1
-    return total
+def cover_density(places, n_groups, weight: float = POSITION_WEIGHT):
+    """Rank by covers: each shortest run of tokens that has a term of every group adds a weight that falls with the number of
+    other tokens in it. Places are (position, groups) of tokens that are terms, in order. The state is the last place of each
+    group; whenever the earliest of these moves on, a shortest run leads from there to here."""
+    nowhere = F.struct(F.lit(-1).alias("k"), F.lit(-1).alias("p"))
+    start = F.struct(F.array_repeat(nowhere, n_groups).alias("last"), F.lit(0).alias("k"), F.lit(-1).alias("before"), F.lit(0.0).alias("total"))
+
+    def step(state, place):
+        here = F.struct(state["k"].alias("k"), place["position"].alias("p"))
+        last = F.transform(state["last"], lambda x, g: F.when(F.array_contains(place["groups"], g), here).otherwise(x))
+
+        def follow(last):
+            first = F.array_min(last)
+            noise = (place["position"] - first["p"]) - (state["k"] - first["k"])
+            add = F.when(first["k"] > state["before"], F.lit(weight) / (1 + noise)).otherwise(0.0)
+            return F.struct(last.alias("last"), (state["k"] + 1).alias("k"), F.greatest(state["before"], first["k"]).alias("before"), (state["total"] + add).alias("total"))
+
+        return tx.bound(last, follow)
+
+    return F.aggregate(places, start, step, lambda s: s["total"])
+
+
+def places_of(tokens, groups: list[list[str]]):
+    """(position, groups) of the tokens that are terms of some groups."""
+    of = lambda t: F.array_compact(F.array(*[F.when(F.array_contains(_strings(g), t), F.lit(k)) for k, g in enumerate(groups)]))
+    return F.filter(F.transform(tokens, lambda t, i: F.struct(i.alias("position"), of(t).alias("groups"))), lambda x: F.size(x["groups"]) > 0)
 
 
 def lexical_candidates(chunks: DataFrame, plan: SearchPlan, k: int = 20) -> DataFrame:
     """chunk_id, chunk_index, base_score, lexical_score, lexical_rank of chunks with a term of every group of the plan. Both
     scores are cover densities; that of the base terms, any of which will do, is the weight of each of their places."""
-    groups = [set(g) for g in plan.groups]
-
-    def ranks(tokens: pd.Series) -> pd.Series:
-        return pd.Series([cover_rank(list(t), groups) for t in tokens], dtype=float)
-
-    rank = F.pandas_udf(ranks, "double")
+    rank = cover_density(places_of(F.col("tokens"), plan.groups), F.lit(len(plan.groups))) if plan.groups else F.lit(0.0)
     found = matching(chunks.select("chunk_id", "chunk_index", "text"), plan.groups)
-    scored = found.select("chunk_id", "chunk_index", F.round(hits(plan.base) * POSITION_WEIGHT, 6).alias("base_score"), F.round(rank("tokens"), 6).alias("lexical_score"))
+    scored = found.select("chunk_id", "chunk_index", F.round(hits(plan.base) * POSITION_WEIGHT, 6).alias("base_score"), F.round(rank, 6).alias("lexical_score"))
     return _ranked(scored, [F.desc("base_score"), F.desc("lexical_score"), F.col("chunk_index"), F.col("chunk_id")], k, "lexical_rank")
 
 

@@ -6,9 +6,10 @@ import pytest
 from skein.functions import text as tx
 from skein.functions import vectors as vx
 from skein.operators import answers, chunking, clustering, contexts, embedding, evaluation, fuzzy, hierarchy, retrieval
-from skein.plans import golden, queries, search_plan
+from skein.plans import queries, search_plan
 from skein.sources import ingest
 from skein.streaming import embeddings as streamed
+from tests import golden
 
 F = tx.F
 
@@ -181,17 +182,17 @@ def test_hierarchy(spark):
     assert sorted(r.node_id for r in hierarchy.diverse(nodes).collect()) == [1, 3]
 
 
-GOLDEN = sorted(k for k, f in queries.ORACLES.items() if " v(" in f)
+GOLDEN = sorted(golden.CASES)
 
 
 @pytest.mark.parametrize("name", GOLDEN)
 def test_golden_queries(spark, name):
     """The rows that a query's SQL states are those that come out."""
     duckdb = pytest.importorskip("duckdb")
-    found = duckdb.sql(queries.ORACLES[name])
-    got = queries.QUERIES[name](spark, "").select(*found.columns)
+    found = duckdb.sql(golden.EXPECTED[name])
+    got = golden.CASES[name](spark).select(*found.columns)
     plain = lambda rows: sorted(repr([round(v, 6) if isinstance(v, float) else v for v in r]) for r in rows)
-    assert len(GOLDEN) > 60 and golden and plain(got.collect()) == plain(found.fetchall())
+    assert len(GOLDEN) > 60 and plain(got.collect()) == plain(found.fetchall())
 
 
 def test_streamed_embeddings(spark, tmp_path):
