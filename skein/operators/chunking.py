@@ -88,7 +88,7 @@ def chunk_spans(text: str, limits: Limits = Limits()) -> list[tuple[int, int]]:
 
 def chunked(docs: DataFrame, text: str = "text", limits: Limits = Limits()) -> DataFrame:
     """doc_id, input_length, error (chunking_input_too_large, too_many_chunks, chunk_too_large or null), warning and chunks, an
-    array of (start, end, text) with offsets in the clean text."""
+    array of (start, end, text) with offsets in the clean text. The generators keep each text from being cleaned or split twice."""
 
     def split(texts: pd.Series) -> pd.DataFrame:
         rows = []
@@ -104,8 +104,8 @@ def chunked(docs: DataFrame, text: str = "text", limits: Limits = Limits()) -> D
         return pd.DataFrame(rows, columns=["error", "chunks"])
 
     made = F.pandas_udf(split, "struct<error:string,chunks:array<struct<character_start:int,character_end:int,text:string>>>")
-    clean = docs.select("doc_id", tx.clean_text(F.coalesce(F.col(text), F.lit(""))).alias("clean"))
-    found = clean.select("doc_id", F.length("clean").alias("input_length"), made("clean").alias("m"))
+    clean = docs.select("doc_id", F.explode(F.array(tx.clean_text(F.coalesce(F.col(text), F.lit(""))))).alias("clean"))
+    found = clean.select("doc_id", F.length("clean").alias("input_length"), F.explode(F.array(made("clean"))).alias("m"))
     warning = F.when(F.col("input_length") == 0, "empty_extracted_text")
     return found.select("doc_id", "input_length", "m.error", warning.alias("warning"), "m.chunks")
 

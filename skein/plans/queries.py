@@ -131,9 +131,44 @@ def _(t):
     return t("documents").select("doc_id", F.size(tx.sentences(F.col("text"))).alias("n_sentences"))
 
 
-@query("chk_chunks")
-def _(t):
-    return chunking.chunks(t("documents").select("doc_id", tx.clean_text(F.col("text")).alias("text")))
+_CLEAN = (
+    r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), "
+    r"'[\x00-\x08\x0b-\x1f]', '', 'g'), '[^\S\n]+(\n|\z)', '\1', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+\z', '', 'g')"
+)
+_TRIM_SQL = r"regexp_replace({0}, '^\s+|\s+\z', '', 'g')"
+_LEAD_SQL = r"length(regexp_extract({0}, '^\s*'))"
+#: Spans as pieces of pieces with running offsets; blanks are cut by a recursion over the rest; packing is one over the spans.
+_CHUNKS_SQL = rf"""WITH RECURSIVE c AS (SELECT doc_id, {_CLEAN} AS t FROM documents),
+paragraphs AS (SELECT doc_id, i, p, sum(length(p) + 2) OVER (PARTITION BY doc_id ORDER BY i) - length(p) - 2 AS o FROM
+  (SELECT doc_id, unnest(x) AS p, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, string_split(t, chr(10) || chr(10)) AS x FROM c))),
+trimmed AS (SELECT doc_id, o + {_LEAD_SQL.format('p')} AS o, {_TRIM_SQL.format('p')} AS p FROM paragraphs),
+sentences AS (SELECT doc_id, o + sum(length(s)) OVER (PARTITION BY doc_id, o ORDER BY i) - length(s) AS o, s FROM
+  (SELECT doc_id, o, unnest(x) AS s, generate_subscripts(x, 1) AS i FROM
+    (SELECT doc_id, o, CASE WHEN length(p) <= 1400 THEN [p] ELSE regexp_extract_all(p, '(?s).*?[.!?]\s+|.+') END AS x FROM trimmed WHERE p <> ''))),
+cuts AS (SELECT doc_id, o + {_LEAD_SQL.format('s')} AS o, {_TRIM_SQL.format('s')} AS rest, NULL::VARCHAR AS piece, NULL::BIGINT AS place FROM sentences
+  UNION ALL
+  SELECT doc_id, o + k + {_LEAD_SQL.format('substr(rest, k + 1)')}, {_TRIM_SQL.format('substr(rest, k + 1)')}, {_TRIM_SQL.format('left(rest, k)')}, o FROM
+    (SELECT *, CASE WHEN length(rest) <= 1400 THEN length(rest) WHEN regexp_matches(left(rest, 1400), '(?s)^.+[ \n\t]')
+      THEN length(regexp_extract(left(rest, 1400), '(?s)^.+[ \n\t]')) - 1 ELSE 1400 END AS k FROM cuts WHERE rest <> '')),
+spans AS (SELECT doc_id, place AS a, place + length(piece) AS b, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS i FROM cuts WHERE piece IS NOT NULL AND piece <> ''),
+packed AS (SELECT doc_id, i, a, b, 0 AS n FROM spans WHERE i = 1
+  UNION ALL
+  SELECT s.doc_id, s.i, CASE WHEN joins THEN p.a ELSE s.a END, s.b, p.n + (NOT joins)::INT FROM packed p JOIN spans s ON s.doc_id = p.doc_id AND s.i = p.i + 1,
+    LATERAL (SELECT s.b - p.a <= 1200 OR (p.b - p.a < 100 AND s.b - p.a <= 1400) AS joins)),
+bases AS (SELECT doc_id, n, min(a) AS a, max(b) AS b FROM packed GROUP BY ALL),
+before AS (SELECT *, lag(a) OVER w AS first, greatest(lag(b) OVER w - 200, lag(a) OVER w) AS start FROM bases WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
+made AS (SELECT doc_id, n, b, CASE WHEN first IS NULL THEN a ELSE least(a, first + length(regexp_extract(substr(t, first + 1, start - first), '(?s)^.*\s'))) END AS a, t FROM before JOIN c USING (doc_id)),
+texts AS (SELECT *, {_TRIM_SQL.format('substr(t, a + 1, b - a)')} AS chunk_text, max(n) OVER (PARTITION BY doc_id) AS last FROM made),
+fine AS (SELECT *, max(length(chunk_text)) OVER (PARTITION BY doc_id) AS longest FROM texts)
+SELECT doc_id, n::INT AS chunk_index, a::INT AS character_start, b::INT AS character_end, chunk_text, length(chunk_text)::INT AS text_length, sha256(chunk_text) AS text_sha256,
+  1 AS chunking_version, CASE WHEN chunk_text = '' THEN 0 ELSE greatest(1, round_even(length(chunk_text) / 4, 0))::INT END AS estimated_tokens,
+  CASE WHEN n = 0 THEN 0 ELSE 200 END AS overlap_chars, n = 0 AS is_first_chunk, n = last AS is_last_chunk
+FROM fine WHERE length(t) <= 1000000 AND last < 1000 AND longest <= 1600"""
+
+
+@query("chk_chunks", _CHUNKS_SQL)
+def _(t):
+    return chunking.chunks(t("documents").select("doc_id", "text")).select("*", "metadata.*").drop("metadata")
 
 
 @query("pe_prefix_context", "SELECT doc_id, md5(rtrim(left(text, 60000))) AS context, length(text) > 60000 AS truncated FROM documents")
