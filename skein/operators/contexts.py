@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -120,24 +120,28 @@ def full_context(text: Column, prompt_chars: int, most_chars: int = 0, token_lim
 
 def folded(rows: DataFrame, key: str, order: str, text: str, most: int, least: int = 20) -> DataFrame:
     """key, context: the texts of each key in their order, joined by empty lines within a budget of characters. A text that doesn't
-    fit is cut if more than `least` characters are left, else left out; later ones may still fit. Rows stream through sorted
-    partitions; a task holds one context at a time, however many rows a key has."""
-    def fold(frames):
-        held = None  # (key, context)
-        for frame in frames:
+    fit is cut if more than `least` characters are left, else left out; later ones may still fit. Null texts don't count; rows
+    without a key are one context. Rows stream through sorted partitions; a task holds one context at a time, however many rows a key
+    has, and keys go through Arrow as they are."""
+    def fold(batches):
+        held = None  # [key, context]
+        for batch in batches:
             out = []
-            for k, t in zip(frame["key"].tolist(), frame["text"].tolist(), strict=True):
+            for k, t in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 if held is None or held[0] != k:
                     out += [held] if held else []
-                    held = (k, "")
+                    held = [k, ""]
                 gap = "\n\n" if held[1] else ""
                 room = most - len(held[1]) - len(gap)
                 part = t if t is None or len(t) <= room else (t[:room].rstrip(" ") if room > least else None)
-                held = (k, held[1] + gap + part) if part is not None else held
-            yield pd.DataFrame(out, columns=["key", "context"])
+                held[1] += "" if part is None else gap + part
+            yield made(out, batch.schema.field("key").type)
         if held is not None:
-            yield pd.DataFrame([held], columns=["key", "context"])
+            yield made([held], batch.schema.field("key").type)
+
+    def made(rows, kind):
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], kind), pa.array([c for _, c in rows], pa.string())], ["key", "context"])
 
     kind = rows.schema[key].dataType.simpleString()
     sorted_ = rows.select(F.col(key).alias("key"), F.col(order).alias("order"), F.col(text).alias("text")).repartition("key").sortWithinPartitions("key", "order", "text")
-    return sorted_.select("key", "text").mapInPandas(fold, f"key {kind}, context string").withColumnRenamed("key", key)
+    return sorted_.select("key", "text").mapInArrow(fold, f"key {kind}, context string").withColumnRenamed("key", key)

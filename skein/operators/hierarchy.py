@@ -7,8 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein import storage
 from skein.functions import lexicon
 from skein.functions import text as tx
+from skein.functions import vectors as vx
+from skein.operators import postings, retrieval
 
 # Thresholds and bonuses.
 VALUE_BONUS, WORD_BONUS, MOST_WORD_BONUS, NEAR_BONUS, NEAR_WORDS = 0.09, 0.012, 0.072, 0.06, 6
@@ -32,17 +35,41 @@ def entry_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def beam_search(nodes: DataFrame, edges: DataFrame, beam: int = 3, children: int = 4, depth: int = 4) -> DataFrame:
     """node_id, depth of the nodes visited from the roots: at each depth the `beam` best, and the best children of each of these.
 
-    A node reached twice keeps its smallest depth. The frontier has at most beam * children rows; nodes stay distributed."""
-    order = [F.desc("similarity"), F.col("node_id")]
+    A node reached twice keeps its smallest depth. nodes have the similarity to the one question."""
     scored = nodes.select("node_id", "similarity")
-    frontier = roots(nodes, edges).select("node_id", "similarity").orderBy(*order).limit(beam)
-    seen = frontier.select("node_id", F.lit(0).alias("depth"))
+    first = roots(nodes, edges).select(F.lit(0).alias("question_id"), "node_id", "similarity")
+    found = _descended(first, edges, lambda below: below.join(scored, "node_id"), beam, children, depth)
+    return found.select("node_id", "depth")
+
+
+def beam_search_many(nodes: DataFrame, edges: DataFrame, questions: DataFrame, beam: int = 3, children: int = 4, depth: int = 4) -> DataFrame:
+    """question_id, node_id, depth for all questions (question_id, embedding) at once; nodes have node_id, embedding.
+
+    Roots are ranked in blocks of questions; below, only children of nodes in a beam are compared."""
+    candidates = roots(nodes, edges).select(F.col("node_id").alias("chunk_id"), "embedding")
+    first = postings.vector_many(candidates, questions, beam).select("question_id", F.col("chunk_id").alias("node_id"), "similarity")
+    vectors, asked = nodes.select("node_id", "embedding"), questions.select("question_id", F.col("embedding").alias("question"))
+    near = F.round(vx.cosine(F.col("embedding"), F.col("question")), 6).alias("similarity")
+
+    def score(below: DataFrame) -> DataFrame:
+        return below.join(vectors, "node_id").join(asked, "question_id").select("question_id", "parent", "node_id", near)
+
+    return _descended(first, edges, score, beam, children, depth)
+
+
+def _descended(first: DataFrame, edges: DataFrame, score, beam: int, children: int, depth: int) -> DataFrame:
+    """Each depth's frontier is a table of its own, so that the plan of a depth doesn't contain those before it."""
+    order = [F.desc("similarity"), F.col("node_id")]
+    best = lambda rows: storage.written(retrieval.best_per_key(rows, "question_id", order, beam).drop("rank"), "frontier")
+    frontier = best(first)
+    seen = [frontier.select("question_id", "node_id", F.lit(0).alias("depth"))]
     for d in range(1, depth):
-        below = edges.join(frontier.select(F.col("node_id").alias("parent")), "parent").select("parent", F.col("child").alias("node_id")).join(scored, "node_id")
-        best = below.withColumn("r", F.row_number().over(Window.partitionBy("parent").orderBy(*order))).where(F.col("r") <= children)
-        frontier = best.select("node_id", "similarity").distinct().orderBy(*order).limit(beam)
-        seen = seen.union(best.select("node_id", F.lit(d).alias("depth")))
-    return seen.groupBy("node_id").agg(F.min("depth").alias("depth"))
+        below = edges.select("parent", F.col("child").alias("node_id")).join(frontier.select("question_id", F.col("node_id").alias("parent")), "parent").distinct()
+        ranked = score(below).withColumn("r", F.row_number().over(Window.partitionBy("question_id", "parent").orderBy(*order))).where(F.col("r") <= children)
+        reached = storage.written(ranked.select("question_id", "node_id", "similarity").distinct(), "reached")
+        seen.append(reached.select("question_id", "node_id", F.lit(d).alias("depth")))
+        frontier = best(reached)
+    return reduce(DataFrame.unionByName, seen).groupBy("question_id", "node_id").agg(F.min("depth").alias("depth"))
 
 
 def diverse(candidates: DataFrame, floor: float = 0.05, share: float = 0.75, margin: float = 0.25) -> DataFrame:
@@ -163,11 +190,21 @@ def intent_coverage(selected: DataFrame, n_intents: int) -> DataFrame:
     return every.join(found, "intent", "left").select("intent", F.coalesce("covered", F.lit(False)).alias("covered"))
 
 
-def descendant_leaves(nodes: DataFrame, edges: DataFrame, levels: int = 4) -> DataFrame:
-    """ancestor, leaf of every summary node; a leaf reached by two ways is one."""
-    step = edges.select(F.col("parent").alias("ancestor"), F.col("child").alias("at"))
-    reached = [step]
-    for _ in range(levels - 1):
-        reached.append(reached[-1].join(edges, F.col("at") == F.col("parent")).select("ancestor", F.col("child").alias("at")).distinct())
-    leaves = nodes.where("level = 0").select(F.col("node_id").alias("leaf"))
-    return reduce(DataFrame.unionByName, reached).distinct().join(leaves, F.col("at") == F.col("leaf")).select("ancestor", "leaf")
+def closure(edges: DataFrame) -> DataFrame:
+    """ancestor, node of all pairs of edges (parent, child) that a path of any length joins. Each round follows only the pairs
+    that the round before has found; pairs known already are left out, so shared children count once and cycles end."""
+    steps = storage.written(edges.select("parent", "child").distinct(), "edges")
+    new = steps.select(F.col("parent").alias("ancestor"), F.col("child").alias("node"))
+    known = [new]
+    while True:
+        further = new.join(steps, F.col("node") == F.col("parent")).select("ancestor", F.col("child").alias("node")).distinct()
+        new = storage.written(further.join(reduce(DataFrame.unionByName, known), ["ancestor", "node"], "left_anti"), "pairs")
+        if new.isEmpty():
+            return reduce(DataFrame.unionByName, known)
+        known.append(new)
+
+
+def descendant_leaves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """ancestor, leaf of every summary node, whatever the depth; a leaf reached by two ways is one."""
+    leaves = nodes.where("level = 0").select(F.col("node_id").alias("node"))
+    return closure(edges).join(leaves, "node").select("ancestor", F.col("node").alias("leaf"))

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from skein import storage
 from skein.functions import lexicon
-from skein.operators import postings, retrieval
+from skein.functions import text as tx
+from skein.operators import fuzzy, hierarchy, postings, retrieval
+from skein.plans import search_plan
 from skein.plans.queries import _ALL_TERMS, _FOLD, _TOKENS, GROUPS, chunk_table, query, vector_table
+from skein.sources import buckets
 
 _WORDS = f"list_filter(regexp_extract_all({_FOLD}, '[0-9a-z]+'), lambda x: length(x) > 1 AND NOT list_contains({lexicon.SEARCH_STOP_WORDS}, x))"
 _SYNONYMS = ", ".join(f"('{t}', '{s}')" for t, others in lexicon.SYNONYMS.items() for s in others)
@@ -89,3 +94,73 @@ def _(t):
 def _(t):
     index = postings.build(chunk_table(t).select("chunk_id", "text"), config="french")
     return postings.lexical_many(index, postings.wanted_terms(questions(t), "french"))
+
+
+def tree(t, *arity: int):
+    """Edges of a tree over each label's vectors: number k in order of ids lies below number (k - 1) // arity; of a graph with shared
+    children for several arities."""
+    order = Window.partitionBy("label").orderBy("vec_id")
+    rows = t("embeddings").select("vec_id", "label", (F.row_number().over(order) - 1).alias("k"))
+    parents = rows.select(F.col("vec_id").alias("parent"), "label", F.col("k").alias("at"))
+    ups = F.array_distinct(F.array(*[F.floor((F.col("k") - 1) / n).cast("int") for n in arity]))
+    below = rows.where("k > 0").select("label", F.col("vec_id").alias("child"), F.explode(ups).alias("at"))
+    return below.join(parents, ["label", "at"]).select("parent", "child")
+
+
+def _tree_sql(*arity: int) -> str:
+    rows = "(SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS k FROM embeddings)"
+    return " UNION ".join(f"SELECT p.vec_id AS parent, c.vec_id AS child FROM {rows} c JOIN {rows} p ON p.label = c.label AND c.k > 0 AND p.k = (c.k - 1) // {n}" for n in arity)
+
+
+def _beam_sql(beam: int = 3, children: int = 4, depth: int = 4) -> str:
+    near = "round(list_cosine_similarity(e.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6)"
+    best = "SELECT question_id, node_id FROM {0} QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY s DESC, node_id) <= " + str(beam)
+    parts = [
+        f"edges AS MATERIALIZED ({_tree_sql(4)})",
+        "asked AS (SELECT item_id AS question_id, embedding FROM benchmark JOIN embeddings ON vec_id = item_id)",
+        f"r0 AS (SELECT question_id, e.vec_id AS node_id, {near} AS s FROM asked v, embeddings e WHERE e.vec_id NOT IN (SELECT child FROM edges))",
+        f"f0 AS MATERIALIZED ({best.format('r0')})",
+    ]
+    for d in range(1, depth):
+        below = f"SELECT question_id, parent, child AS node_id, {near} AS s FROM f{d - 1} JOIN edges ON parent = node_id JOIN asked v USING (question_id) JOIN embeddings e ON e.vec_id = child"
+        parts.append(f"r{d} AS MATERIALIZED (SELECT DISTINCT question_id, node_id, s FROM ({below}) QUALIFY row_number() OVER (PARTITION BY question_id, parent ORDER BY s DESC, node_id) <= {children})")
+        parts.append(f"f{d} AS MATERIALIZED ({best.format(f'r{d}')})")
+    seen = " UNION ALL ".join(f"SELECT question_id, node_id, {d} AS depth FROM {'r' if d else 'f'}{d}" for d in range(depth))
+    return f"WITH {', '.join(parts)} SELECT question_id, node_id, min(depth) AS depth FROM ({seen}) GROUP BY ALL"
+
+
+@query("rap_beam", _beam_sql())
+def _(t):
+    nodes = t("embeddings").select(F.col("vec_id").alias("node_id"), "embedding")
+    asked = questions(t).where("embedding is not null").select("question_id", "embedding")
+    return hierarchy.beam_search_many(nodes, tree(t, 4), asked)
+
+
+@query("join_closure_graph", (
+    f"WITH RECURSIVE edges AS ({_tree_sql(4, 3)}), w AS (SELECT parent AS ancestor, child AS node FROM edges UNION SELECT w.ancestor, e.child FROM w JOIN edges e ON e.parent = w.node) "
+    "SELECT ancestor, count(*) AS descendants, min(node) AS first, max(node) AS last FROM w GROUP BY ancestor"
+))
+def _(t):
+    pairs = hierarchy.closure(tree(t, 4, 3))
+    return pairs.groupBy("ancestor").agg(F.count(F.lit(1)).alias("descendants"), F.min("node").alias("first"), F.max("node").alias("last"))
+
+
+@query("src_replace_by_key", (
+    "SELECT doc_id, lang, CASE WHEN doc_id % 5 = 0 THEN n_chars + 1 ELSE n_chars END AS n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) "
+    "UNION ALL SELECT -doc_id - 1, lang, n_chars FROM documents WHERE doc_id % 7 = 0"
+))
+def _(t):
+    docs = t("documents").select("doc_id", "lang", "n_chars")
+    kept = buckets.Table(t.spark, storage.new_path(t.spark, "keyed"))
+    kept.create(docs, "doc_id")
+    changed = docs.where("doc_id % 5 = 0").withColumn("n_chars", F.col("n_chars") + 1)
+    kept.upsert(changed.union(docs.where("doc_id % 7 = 0").withColumn("doc_id", -F.col("doc_id") - 1)))
+    kept.delete(t("labels").where("toxic = 1"))
+    return kept.read()
+
+
+@query("ret_fuzzy_vocabulary")
+def _(t):
+    words = lambda name: t(name).select(F.explode(tx.tokens(F.col("text"))).alias("w")).distinct()
+    asked = words("benchmark").where(F.length("w") >= search_plan.FUZZY_LENGTH).select(F.col("w").alias("term"))
+    return fuzzy.likely_pairs(asked, words("documents").select(F.col("w").alias("token")))

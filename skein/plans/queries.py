@@ -267,11 +267,8 @@ def _(t):
 def _(t):
     edges = t("nation").select(F.concat(F.lit("n"), "n_nationkey").alias("child"), F.concat(F.lit("r"), "n_regionkey").alias("parent"))
     edges = edges.union(t("customer").select(F.concat(F.lit("c"), "c_custkey"), F.concat(F.lit("n"), "c_nationkey")))
-    level = found = edges.where("parent like 'r%'").select(F.col("parent").alias("root"), F.col("child").alias("at"))
-    for _ in range(3):  # the hierarchy has at most four levels
-        level = level.join(edges, level["at"] == edges["parent"]).select("root", F.col("child").alias("at"))
-        found = found.unionAll(level)
-    return found.groupBy("root").agg(F.count(F.lit(1)).alias("descendants"))
+    pairs = hierarchy.closure(edges).where("ancestor like 'r%'")
+    return pairs.groupBy(F.col("ancestor").alias("root")).agg(F.count(F.lit(1)).alias("descendants"))
 
 
 @query("agg_groups", (
@@ -426,7 +423,13 @@ def _(t):
     return t("documents").select("doc_id", F.ceil((F.length("text") + 100) / F.lit(3.0)).alias("n_tokens"))
 
 
-@query("ctx_fold")
+@query("ctx_fold", r"""WITH RECURSIVE r AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS i FROM conversations),
+f AS (SELECT conv_id, 0::BIGINT AS i, '' AS context FROM r WHERE i = 1
+  UNION ALL
+  SELECT f.conv_id, r.i, coalesce(context || gap || CASE WHEN length(text) <= room THEN text WHEN room > 20 THEN rtrim(left(text, room), ' ') END, context)
+  FROM f JOIN r ON r.conv_id = f.conv_id AND r.i = f.i + 1, LATERAL (SELECT CASE WHEN context = '' THEN '' ELSE chr(10) || chr(10) END AS gap),
+    LATERAL (SELECT 6000 - length(context) - length(gap) AS room))
+SELECT conv_id, context FROM f QUALIFY i = max(i) OVER (PARTITION BY conv_id)""")
 def _(t):
     return contexts.folded(t("conversations"), "conv_id", "turn", "text", 6000)
 
@@ -496,13 +499,6 @@ def _(t):
     return hierarchy.diverse(node_table(t))
 
 
-@query("rap_beam")
-def _(t):
-    n = node_table(t)  # each label's vectors lie below the one with the smallest id
-    edges = n.groupBy("level").agg(F.min("node_id").alias("parent")).join(n.select("level", F.col("node_id").alias("child")), "level").where("parent <> child").select("parent", "child")
-    return hierarchy.beam_search(n, edges)
-
-
 @query("rap_roots", "SELECT vec_id AS node_id FROM embeddings WHERE vec_id IN (SELECT min(vec_id) FROM embeddings GROUP BY label)")
 def _(t):
     n = node_table(t)
