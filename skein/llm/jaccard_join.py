@@ -154,24 +154,27 @@ def signatures(n: int, counts: np.ndarray, shingles: np.ndarray, rare: int = RAR
 
 
 def components(links: DataFrame, tables: common.Tables) -> DataFrame:
-    """key, label of every key in links (a, b): the smallest key that is reachable. Labels spread and jump until at rest."""
-    both = tables.write(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
-    start = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "key")
-    labels = tables.write(start, "labels")
-    while True:
-        near = both.join(labels.withColumnRenamed("key", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        spread = labels.join(near.withColumnRenamed("a", "key"), "key")
-        spread = spread.select("key", F.least("label", "near").alias("label"), F.col("label").alias("old"))
-        target = labels.select(F.col("key").alias("label"), F.col("label").alias("further"))
-        new = spread.join(target, "label").select("key", F.least("label", "further").alias("label"), "old")
+    """key, label of every key in links (a, b): the smallest key that is reachable.
+
+    In each round a key goes to its smallest neighbour's smallest neighbour (or stays, if it is smaller), links move with their
+    keys, and those that have become loops go. So links get fewer at every round, and a group's links are followed once."""
+    keys = links.select(F.col("a").alias("key")).union(links.select("b")).distinct()
+    labels = tables.write(keys.withColumn("label", F.col("key")), "labels")
+    edges = tables.write(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    while not edges.isEmpty():
+        both = edges.union(edges.select("b", "a"))
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "key")
+        further = low.select(F.col("key").alias("label"), F.col("label").alias("further"))
+        moves = tables.write(low.join(further, "label").select("key", F.col("further").alias("to")), "moves")
+        one, two = moves.toDF("a", "x"), moves.toDF("b", "y")
+        moved = edges.join(one, "a").join(two, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        new_edges = tables.write(moved, "links")
+        new = labels.join(moves.toDF("label", "to"), "label", "left").select("key", F.coalesce("to", "label").alias("label"))
         new = tables.write(new, "labels")
-        at_rest = new.where("label <> old").isEmpty()
-        tables.drop(labels)
-        labels = new.select("key", "label")
-        tables.follow(labels, new)
-        if at_rest:
-            tables.drop(both)
-            return labels
+        tables.drop(edges, labels, moves)
+        edges, labels = new_edges, new
+    tables.drop(edges)
+    return labels
 
 
 def _verify(pairs: pa.Table, sets: pa.Table) -> pa.Table:
@@ -330,6 +333,7 @@ def _components(docs: DataFrame, text: str, rare: int = RARE) -> tuple[DataFrame
     pairs = _possible(_with_centres(bands.withColumn("label", F.col("key")), 0), whole)
     links = verified(pairs, whole, tables)
     labels = components(links, tables)
+    tables.drop(links)
 
     # 3. shingles that several components have, document frequencies, signatures
     each = _labelled(whole.select("key", "n", "shingles"), labels).select("key", "n", "label", F.explode("shingles").alias("token"))
@@ -348,19 +352,19 @@ def _components(docs: DataFrame, text: str, rare: int = RARE) -> tuple[DataFrame
         if not n_found:
             break
         most_found, round_ = max(most_found, n_found), round_ + 1
-        links, labels, groups = _joined(links, found, labels, groups, tables)
+        labels, groups = _joined(found, labels, groups, tables)
         if n_found < FEW * most_found:
             break
     if not groups.isEmpty():
         found = verified(_across_labels(groups, whole), whole, tables)
         if not found.isEmpty():
-            links, labels, groups = _joined(links, found, labels, groups, tables)
+            labels, groups = _joined(found, labels, groups, tables)
 
     # components of classes, then of documents
     named = _labelled(reps.select("k1", "k2", "key", "rep"), labels)
     heads = named.join(named.groupBy("label").agg(F.min("rep").alias("head")), "label").select("k1", "k2", "head")
     heads = tables.write(heads, "heads")
-    tables.drop(whole, reps, links, labels, groups)
+    tables.drop(whole, reps, labels, groups)
     return first, heads
 
 
@@ -374,13 +378,17 @@ def _with_centres(groups: DataFrame, round_: int) -> DataFrame:
     return pairs.select(F.col("key").alias("a"), "b").distinct()
 
 
-def _joined(links: DataFrame, found: DataFrame, labels: DataFrame, groups: DataFrame, tables: common.Tables) -> tuple:
-    """All links, their components, and the groups that are still open."""
-    together = tables.write(links.union(found), "all-links")
-    new = components(together, tables)
+def _joined(found: DataFrame, labels: DataFrame, groups: DataFrame, tables: common.Tables) -> tuple:
+    """The labels with the links found since, which only join components that are known already, and the groups still open."""
+    ends = found.join(labels.toDF("a", "x"), "a", "left").join(labels.toDF("b", "y"), "b", "left")
+    ends = ends.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
+    ends = tables.write(ends.distinct(), "ends")
+    merged = components(ends, tables)
+    keys = labels.select("key", "label").union(found.select("a", "a")).union(found.select("b", "b")).groupBy("key").agg(F.min("label").alias("label"))
+    new = tables.write(keys.join(merged.toDF("label", "to"), "label", "left").select("key", F.coalesce("to", "label").alias("label")), "labels")
     still = _open_groups(_labelled(groups.drop("label"), new), tables)
-    tables.drop(links, found, labels, groups)
-    return together, new, still
+    tables.drop(found, labels, groups, ends, merged)
+    return new, still
 
 
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
