@@ -36,19 +36,24 @@ def _strings(values: list[str]) -> Column:
 
 def signals(text: Column, plan: SearchPlan) -> Column:
     """struct: matched terms, the most terms close together, value kinds that count, phrase, marker, concepts."""
-    wanted, expected = _strings(plan.base), F.lit(plan.concept).cast("string")
     asked = sorted({*plan.intents, *(["time"] if "date" in plan.intents else [])})
+    return signals_for(text, _strings(plan.base), F.lit(plan.concept).cast("string"), _strings(asked))
+
+
+def signals_for(text: Column, wanted: Column, expected: Column, asked: Column) -> Column:
+    """The same for a question whose own terms, expected concept and wanted kinds of values are columns."""
+    least = F.least(F.lit(3), F.size(wanted))
 
     def of(s: Column) -> Column:
         match = F.coalesce(F.array_contains(s["concepts"], expected), F.lit(False))
         other = expected.isNotNull() & (F.size(s["concepts"]) > 0) & ~match
-        fitting = F.array_intersect(s["values"], _strings(asked))
+        fitting = F.array_intersect(s["values"], asked)
         fitting = F.when(other, F.array_remove(fitting, "percentage")).otherwise(fitting)
         counting = F.when((F.size(fitting) == 0) & ~other, F.slice(s["values"], 1, 1)).otherwise(fitting)
-        near = tx.terms_in_window(s["tokens"], wanted, 10) >= min(3, len(plan.base)) if plan.base else F.lit(False)
+        near = (F.size(wanted) > 0) & (tx.terms_in_window(s["tokens"], wanted, 10) >= least)
         return F.struct(
             F.array_sort(F.array_intersect(F.array_distinct(s["tokens"]), wanted)).alias("matched_terms"),
-            (tx.terms_in_window(s["tokens"], wanted, 12) if plan.base else F.lit(0)).alias("close_terms"),
+            tx.terms_in_window(s["tokens"], wanted, 12).alias("close_terms"),
             s["values"].alias("value_types"),
             counting.alias("counting_types"),
             (names_deadline(s["folded"]) | near).alias("phrase_match"),
@@ -68,7 +73,11 @@ def score(s: Column, enabled: bool = True) -> Column:
     if not enabled:
         return F.lit(0.0)
     flag = lambda c, w: F.when(c, F.lit(w)).otherwise(0.0)
-    terms = F.size(s["matched_terms"]) * F.lit(WEIGHTS["term"])
-    values = F.least(F.size(s["counting_types"]), F.lit(2)) * F.lit(WEIGHTS["value"])
     rest = [("phrase_match", "phrase"), ("structured_marker", "marker"), ("concept_match", "concept"), ("concept_mismatch", "other_concept")]
-    return F.round(terms + values + sum((flag(s[c], WEIGHTS[w]) for c, w in rest), F.lit(0.0)), 6)
+
+    def of(x: Column) -> Column:
+        terms = F.size(x["matched_terms"]) * F.lit(WEIGHTS["term"])
+        values = F.least(F.size(x["counting_types"]), F.lit(2)) * F.lit(WEIGHTS["value"])
+        return F.round(terms + values + sum((flag(x[c], WEIGHTS[w]) for c, w in rest), F.lit(0.0)), 6)
+
+    return tx.bound(s, of)

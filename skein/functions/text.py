@@ -85,12 +85,19 @@ def value_types(c: Column) -> Column:
 
 
 def terms_in_window(tokens_: Column, terms: Column, size: int) -> Column:
-    """The most distinct terms within so many consecutive tokens."""
+    """The most distinct terms within so many consecutive tokens; 0 for none. Only windows that begin at a term are looked at, and only
+    at the terms in them."""
     def most(t: Column) -> Column:
-        places = F.sequence(F.lit(1), F.greatest(F.size(t), F.lit(1)))
-        return F.array_max(F.transform(places, lambda i: F.size(F.array_intersect(F.array_distinct(F.slice(t, i, size)), terms))))
+        found = F.filter(F.transform(t, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda p: F.array_contains(terms, p["x"]))
+
+        def windows(hits: Column) -> Column:
+            reach = lambda k: F.filter(F.slice(hits, k + 1, size), lambda p: p["i"] < F.get(hits, k)["i"] + size)
+            return F.array_max(F.transform(hits, lambda _, k: F.size(F.array_distinct(F.transform(reach(k), lambda p: p["x"])))))
+
+        return F.coalesce(bound(found, windows), F.lit(0))
+
+    return F.when(tokens_.isNotNull(), bound(tokens_, most))
 
-    return bound(tokens_, most)
 
 def sentences(c: Column) -> Column:
     """Parts between an end mark with white space after it."""

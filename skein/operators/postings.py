@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from skein import storage
 from skein.functions import french
+from skein.functions import signals as sg
 from skein.functions import text as tx
 from skein.operators import retrieval
 from skein.plans import search_plan
@@ -171,6 +172,24 @@ def hybrid_many(index: Index, embeddings: DataFrame, questions: DataFrame, k: in
     return fused_many(vector.withColumnRenamed("rank", "vector_rank"), lexical.withColumnRenamed("rank", "lexical_rank"), k)
 
 
+def reranked_many(fused: DataFrame, questions: DataFrame, chunks: DataFrame, k: int = 5, expand: bool = True) -> DataFrame:
+    """The k best of fused candidates (question_id, chunk_id, hybrid_score, both ranks) by their scores and the signals of their texts
+    for each question, with rerank_score, final_score and position. chunks: chunk_id, text; questions: question_id, text."""
+
+    def plan(texts: pd.Series) -> pd.DataFrame:
+        plans = [search_plan.plan(t or "", expand) for t in texts]
+        asked = [sorted({*p.intents, *(["time"] if "date" in p.intents else [])}) for p in plans]
+        return pd.DataFrame({"base": [p.base for p in plans], "concept": [p.concept for p in plans], "asked": asked})
+
+    planned = F.pandas_udf(plan, "struct<base:array<string>,concept:string,asked:array<string>>")
+    wanted = storage.written(questions.select("question_id", planned(F.col("text")).alias("plan")), "plans")
+    rows = fused.join(wanted, "question_id").join(chunks.select("chunk_id", "text"), "chunk_id")
+    signals = sg.signals_for(F.col("text"), F.col("plan.base"), F.col("plan.concept"), F.col("plan.asked"))
+    rows = rows.withColumn("rerank_score", sg.score(signals)).withColumn("final_score", F.round(F.col("hybrid_score") + F.col("rerank_score"), 9))
+    order = [F.desc("final_score"), F.desc("hybrid_score"), F.coalesce("lexical_rank", F.lit(10**6)), F.coalesce("vector_rank", F.lit(10**6)), F.col("chunk_id")]
+    return retrieval.best_per_key(rows.drop("plan", "text"), "question_id", order, k, "position")
+
+
 def fused_many(vector: DataFrame, lexical: DataFrame, k: int) -> DataFrame:
     part = lambda c: F.coalesce(F.lit(1.0) / (F.lit(retrieval.RRF_CONSTANT) + F.col(c)), F.lit(0.0))
     both = vector.join(lexical, ["question_id", "chunk_id"], "full_outer")

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from skein import storage
 from skein.functions import lexicon
 from skein.functions import text as tx
-from skein.operators import fuzzy, hierarchy, postings, retrieval
+from skein.functions import vectors as vx
+from skein.operators import contexts, evidence, fuzzy, hierarchy, mixtures, postings, retrieval
+from skein.operators.clustering import bic
 from skein.plans import search_plan
-from skein.plans.queries import _ALL_TERMS, _FOLD, _TOKENS, GROUPS, chunk_table, query, vector_table
+from skein.plans.queries import _ALL_TERMS, _FOLD, _MARKER_SQL, _TOKENS, _TYPES_SQL, GROUPS, chunk_table, query, vector_table
 from skein.sources import buckets
 
 _WORDS = f"list_filter(regexp_extract_all({_FOLD}, '[0-9a-z]+'), lambda x: length(x) > 1 AND NOT list_contains({lexicon.SEARCH_STOP_WORDS}, x))"
@@ -77,6 +79,94 @@ def _(t):
     return postings.hybrid_many(index, vector_table(t), questions(t))
 
 
+_VECTOR = """vector AS (SELECT * FROM (SELECT item_id AS question_id, e.vec_id AS chunk_id,
+  round(list_cosine_similarity(e.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS similarity,
+  row_number() OVER (PARTITION BY item_id ORDER BY round(list_cosine_similarity(e.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) DESC, e.vec_id)::INT AS rank
+  FROM benchmark JOIN embeddings v ON v.vec_id = item_id, embeddings e) WHERE rank <= 20)"""
+#: Every candidate of each question. No item names a concept or a deadline, so these signals are left out.
+_FUSED = f"""{_LEXICAL}, {_VECTOR},
+fused AS (SELECT question_id, chunk_id, v.rank AS vector_rank, l.rank AS lexical_rank,
+  round(coalesce(1.0::DOUBLE / (60 + v.rank), 0) + coalesce(1.0::DOUBLE / (60 + l.rank), 0), 9) AS hybrid_score FROM vector v FULL JOIN lexical l USING (question_id, chunk_id)),
+near AS (SELECT f.*, w.base, d.text, (SELECT tk FROM (SELECT {_TOKENS} AS tk)) AS tk FROM fused f JOIN words w ON w.item_id = question_id JOIN documents d ON d.doc_id = chunk_id),
+signed AS (SELECT *, round(len(list_intersect(list_distinct(tk), base)) * 0.004 + least(1, len(list_filter([{_TYPES_SQL}], lambda x: x IS NOT NULL))) * 0.018
+  + CASE WHEN coalesce(list_max(list_transform(range(1, len(tk) + 1), lambda i: len(list_intersect(list_distinct(tk[i:i + 9]), base)))), 0) >= least(3, len(base)) THEN 0.012 ELSE 0 END
+  + CASE WHEN regexp_matches(text, '{_MARKER_SQL}') THEN 0.006 ELSE 0 END, 6)::DOUBLE AS rerank_score FROM near),
+final AS (SELECT question_id, chunk_id, vector_rank, lexical_rank, hybrid_score, rerank_score, round(hybrid_score + rerank_score, 9) AS final_score, text FROM signed),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY final_score DESC, hybrid_score DESC, coalesce(lexical_rank, 1000000), coalesce(vector_rank, 1000000), chunk_id)::INT AS position
+  FROM final QUALIFY position <= 5)"""
+
+
+def searched(t):
+    """Every question's five best documents, reranked: question_id, chunk_id, ranks, scores, position."""
+    asked, chunks = questions(t), chunk_table(t).select("chunk_id", "text")
+    index = postings.build(chunks)
+    lexical = postings.lexical_many(index, postings.wanted_terms(asked))
+    vector = postings.vector_many(vector_table(t), asked)
+    both = postings.fused_many(vector.withColumnRenamed("rank", "vector_rank"), lexical.withColumnRenamed("rank", "lexical_rank"), 1000)
+    wanted = both.select("question_id", "chunk_id", "vector_rank", "lexical_rank", "hybrid_score")
+    return storage.written(postings.reranked_many(wanted, asked.select("question_id", "text"), chunks), "searched")
+
+
+@query("ret_reranked_many", f"WITH {_FUSED} SELECT * EXCLUDE (text) FROM ranked")
+def _(t):
+    return searched(t)
+
+
+#: The context of a question's results, block by block.
+_CONTEXT_CLEAN = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[\x00-\x08\x0b-\x1f]', '', 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+\z', '', 'g')"
+
+
+@query("ctx_results", f"""WITH RECURSIVE {_FUSED}, blocks AS (SELECT question_id, position AS i, chunk_id, {_CONTEXT_CLEAN} AS t FROM ranked),
+f AS (SELECT question_id, 0 AS i, '' AS context, 0 AS included, 0 AS omitted, false AS truncated FROM blocks WHERE i = 1
+  UNION ALL
+  SELECT question_id, i, CASE WHEN skip THEN context ELSE joined END, included + (NOT skip)::INT, omitted + skip::INT, truncated OR (narrow AND t <> '') OR (NOT skip AND (length(t) > two OR length(joined) >= 6000))
+  FROM (SELECT *, CASE WHEN included > 0 THEN context || chr(10) || chr(10) || head || kept ELSE head || kept END AS joined, t = '' OR narrow AS skip FROM
+    (SELECT *, one <= 20 OR (length(cut) > two AND two <= 20) AS narrow, CASE WHEN length(cut) > two THEN rtrim(left(cut, greatest(two, 0)), ' ') ELSE cut END AS kept FROM
+      (SELECT *, CASE WHEN length(t) > one THEN rtrim(left(t, greatest(one, 0)), ' ') ELSE t END AS cut, one - CASE WHEN included > 0 THEN 2 ELSE 0 END AS two FROM
+        (SELECT *, 6000 - length(context) - length(head) AS one FROM
+          (SELECT f.question_id, b.i, b.t, f.context, f.included, f.omitted, f.truncated, '[source_' || (f.included + 1) || '; chunk_index=' || b.chunk_id || ']' || chr(10) AS head
+           FROM f JOIN blocks b ON b.question_id = f.question_id AND b.i = f.i + 1))))))
+SELECT question_id, md5(context) AS context, included, omitted, truncated FROM f QUALIFY i = max(i) OVER (PARTITION BY question_id)""")
+def _(t):
+    rows = searched(t).join(chunk_table(t).select("chunk_id", "text"), "chunk_id")
+    listed = rows.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("position", F.col("chunk_id").alias("chunk_index"), "text"))).alias("rows"))  # five each
+    made = contexts.retrieval_context(F.transform("rows", lambda r: F.struct(r["chunk_index"], r["text"])))
+    folded = listed.select("question_id", F.explode(F.array(made)).alias("c"))
+    return folded.select("question_id", F.md5("c.text").alias("context"), "c.included", "c.omitted", "c.truncated")
+
+
+_CONTENT = "list_filter(list_distinct(regexp_extract_all(lower(strip_accents({0})), '[a-z0-9]{{3,}}')), lambda x: NOT list_contains(" + str(lexicon.CONTENT_STOP_WORDS) + ", x))"
+
+
+@query("evd_documents", f"""WITH {_FUSED}, c AS (SELECT r.question_id, position - 1 AS rank, final_score AS similarity, {_CONTENT.format('r.text')} AS tk, {_CONTENT.format('b.text')} AS own
+  FROM ranked r JOIN benchmark b ON b.item_id = question_id),
+s AS (SELECT question_id, rank, len(list_intersect(own, tk)) AS n, similarity FROM c),
+v AS (SELECT question_id, rank, n::INT AS n_answer, round(2 * n + n + 0.01 * greatest(similarity, 0) - 0.001 * rank, 6)::DOUBLE AS support FROM s WHERE n >= 2)
+SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY support DESC, rank)::INT AS item FROM v QUALIFY item <= 4""")
+def _(t):
+    """Evidence among each item's results for the item as its own answer. No item has claims, so words decide."""
+    asked = t("benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"), F.col("text").alias("answer"))
+    found = searched(t).select("question_id", "chunk_id", (F.col("position") - 1).alias("rank"), F.col("final_score").alias("similarity"))
+    candidates = found.join(chunk_table(t).select("chunk_id", "text"), "chunk_id").join(asked, "question_id")
+    return evidence.select_evidence(candidates).select("question_id", "rank", "n_answer", "support", "item")
+
+
+@query("rap_mixtures")
+def _(t):
+    """The criterion of each number of components over all vectors."""
+    vectors = mixtures.usable(t("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")))
+    fits, n = mixtures.fit(storage.written(mixtures.reduced(vectors), "points"), 8)
+    rows = [(k, float(m.log_likelihood), float(bic(m.log_likelihood, k, n, m.means.shape[1])), k == mixtures.best(fits, n)) for k, m in fits.items()]
+    return t.spark.createDataFrame(rows, "components int, log_likelihood double, criterion double, best boolean")
+
+
+@query("rap_tree_vectors")
+def _(t):
+    nodes, edges = mixtures.tree(t("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), 8)
+    below = edges.groupBy("level", F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("children"))
+    return nodes.join(below, ["level", "node"], "left").select("level", "node", "children", F.round(F.sqrt(vx.dot(F.col("vector"), F.col("vector"))), 6).alias("norm"))
+
+
 _FIXED = "VALUES " + ", ".join(f"(0, '{x}', {k}, {len(GROUPS)}, true)" for k, g in enumerate(GROUPS) for x in g)
 
 

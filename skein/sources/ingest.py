@@ -101,11 +101,13 @@ def extracted(pages: DataFrame, most_pages: int = MOST_PAGES, most_chars: int =
     rows = chosen.groupBy("doc_id").agg(
         F.count(F.lit(1)).cast("int").alias("page_count"), count("native").alias("native_pages"), F.count_if(F.col("from") != "native").cast("int").alias("ocr_pages"),
         count("none").alias("empty_pages"), F.coalesce(F.sum(F.length("chosen")), F.lit(0)).alias("n"),
-        F.expr("listagg(chosen, '\n\n') within group (order by page)").alias("joined"),
     )
     error = F.when(F.col("page_count") > most_pages, "too_many_pages").when((F.col("ocr_pages") > 0) & (F.col("page_count") > most_ocr), "too_many_ocr_pages")
     error = error.when(F.col("n") > most_chars, "extracted_text_too_large")
-    rows = rows.withColumn("error", error).withColumn("text", F.when(F.col("error").isNull(), tx.clean_text(F.coalesce("joined", F.lit("")))))
+    rows = rows.withColumn("error", error)
+    fine = chosen.join(rows.where("error is null").select("doc_id"), "doc_id", "left_semi")  # only bounded texts are joined
+    joined = fine.groupBy("doc_id").agg(F.expr("listagg(chosen, '\n\n') within group (order by page)").alias("joined"))
+    rows = rows.join(joined, "doc_id", "left").withColumn("text", F.when(F.col("error").isNull(), tx.clean_text(F.coalesce("joined", F.lit("")))))
     source = F.when((F.col("native_pages") > 0) & (F.col("ocr_pages") > 0), "mixed").when(F.col("ocr_pages") > 0, "ocr").otherwise("native")
     warnings = F.concat_ws(",", F.when(F.col("text") == "", "no_extractable_text"), F.when(F.col("empty_pages") > 0, "ocr_returned_no_usable_text"))
     return rows.select(
