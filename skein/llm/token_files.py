@@ -141,7 +141,11 @@ def write_token_files(
             yield pa.RecordBatch.from_arrays([*same, pa.array(used), pa.array(counts[used])], names)
 
     names = [x.split()[0] for x in _FIELDS.split(", ")]
-    ordered = docs.select(F.col("doc_id").cast("long"), F.col(text)).repartitionByRange(max(1, -(-size // file_bytes)), "doc_id").sortWithinPartitions("doc_id", text)
+    # rows of one id are dealt by hash of the text and row, so that they fill as many files as they need
+    hashed, row = F.xxhash64(text).alias("hashed"), F.monotonically_increasing_id().alias("row")
+    order = ["doc_id", "hashed", "row"]
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text), hashed, row).repartitionByRange(max(1, -(-size // file_bytes)), *order).sortWithinPartitions(*order)
+    ordered = ordered.select("doc_id", text)
     said = common.written(ordered.mapInArrow(tokenised, _FIELDS), "token-counts")
     ranked = said.where("id is not null").groupBy("id").agg(F.sum("count").alias("n")).orderBy(F.desc("n"), "id").collect()  # a vocabulary at most
     id_of_rank = np.array([r["id"] for r in ranked], np.uint32)

@@ -45,6 +45,25 @@ def test_against_brute_force(spark, rare):
     assert got == brute(texts)
 
 
+def test_signatures_alone_find_the_same_components(spark, monkeypatch):
+    """Without quick links, which only spare work, the prefixes of token combinations reach every component."""
+    with_centres, quick = j._with_centres, []
+
+    def none_at_first(groups, round_):
+        pairs = with_centres(groups, round_)
+        quick.append(round_ == 0)
+        return pairs.limit(0) if round_ == 0 else pairs
+
+    monkeypatch.setattr(j, "_with_centres", none_at_first)
+    rng = random.Random(8)
+    texts = []
+    for g in range(10):
+        base = [f"v{rng.randrange(300)}" for _ in range(rng.choice([8, 30, 120, 300]))]
+        texts += [" ".join(edited(rng, base, rng.randrange(0, max(2, len(base) // 25)))) for _ in range(10)]
+    got = sorted(tuple(r) for r in j.jaccard_components(docs(spark, texts)).collect())
+    assert got == brute(texts) and True in quick and len({c for *_, c in got}) < 60
+
+
 def test_awkward_tables(spark):
     assert j.jaccard_components(spark.createDataFrame([], COLUMNS)).count() == 0
     df = docs(spark, ["a b c d e f"] * 3 + ["q"])

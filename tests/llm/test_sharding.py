@@ -1,4 +1,6 @@
 import numpy as np
+import pytest
+import xxhash
 
 from skein.llm import sharding
 from tests.llm.docs import COLUMNS, docs
@@ -58,3 +60,30 @@ def test_shuffles_are_uniform(spark):
 def test_null_ids(spark):
     df = docs(spark, ["a", "b"]).union(spark.createDataFrame([(None, None, None, None, None, None, None)] * 5, COLUMNS))
     check(sharding.hypergeometric_shards(df, 3).collect(), 7, 3)
+
+
+def spark_hash(salt, row):
+    """xxhash64 of an int and a long, as Spark chains them."""
+    first = xxhash.xxh64(int(salt).to_bytes(4, "little", signed=True), seed=42).intdigest()
+    h = xxhash.xxh64(int(row).to_bytes(8, "little", signed=True), seed=first).intdigest()
+    return h - (1 << 64) if h >> 63 else h
+
+
+@pytest.mark.parametrize("n, shards, per", [(57, 4, 1000), (230, 3, 20), (2, 5, 1000)])
+def test_equals_the_shuffle_row_by_row(spark, monkeypatch, n, shards, per):
+    monkeypatch.setattr(sharding, "ROWS_PER_BLOCK", per)
+    seed, blocks = 42, max(64, -(-n // per))
+    of = [[r for r in range(n) if spark_hash(seed, r) % blocks == b] for b in range(blocks)]
+    sizes = [n // shards + (s < n % shards) for s in range(shards)]
+    matrix = sharding.communication_matrix([len(x) for x in of], sizes, seed)
+    sent = {}
+    for b in range(blocks):
+        rows = iter(sorted(of[b], key=lambda r: (spark_hash(seed + 1, r), r)))
+        for s in range(shards):
+            sent.setdefault(s, []).extend(next(rows) for _ in range(matrix[b, s]))
+    parts, want = max(1, -(-n // shards // per)) if n % shards == 0 else max(1, int(np.ceil(n / shards / per))), []
+    for s, rows in sent.items():
+        rows.sort(key=lambda r: (spark_hash(seed + 2, r) % parts, spark_hash(seed + 3, r), r))
+        want += [(r, s, k) for k, r in enumerate(rows)]
+    got = sharding.hypergeometric_shards(spark.range(n).coalesce(1).withColumnRenamed("id", "doc_id"), shards, seed).collect()
+    assert sorted((r.doc_id, r.shard, r.slot) for r in got) == sorted(want)
