@@ -87,8 +87,8 @@ def node_type(level: Column) -> Column:
 
 # The fields of a search result; vectors never leave.
 RESULT_FIELDS = (
-    "chunk_id doc_id chunk_index text character_start character_end text_length text_sha256 cosine_distance similarity "
-    "vector_rank lexical_rank lexical_score hybrid_score rerank_score final_score signals"
+    "chunk_id doc_id extraction_result_id embedding_id chunk_index text character_start character_end text_length text_sha256 chunk_metadata "
+    "cosine_distance similarity vector_rank lexical_rank lexical_score hybrid_score rerank_score final_score signals"
 ).split()
 
 
@@ -96,9 +96,9 @@ def result(rows: DataFrame) -> DataFrame:
     return rows.select(*[c for c in RESULT_FIELDS if c in rows.columns])
 
 
-def source_payload(rows: DataFrame) -> DataFrame:
-    """source (source_1, ... by position), chunk_id, chunk_index, similarity of ranked rows."""
-    return rows.select(F.concat(F.lit("source_"), F.col("position").cast("string")).alias("source"), "chunk_id", "chunk_index", "similarity")
+def source_payload(rows: DataFrame, *keys: str) -> DataFrame:
+    """source (source_1, ... by position), chunk_id, chunk_index, similarity of ranked rows, and their keys."""
+    return rows.select(*keys, F.concat(F.lit("source_"), F.col("position").cast("string")).alias("source"), "chunk_id", "chunk_index", "similarity")
 
 
 def valid_vector(v: Column, dimension: int) -> Column:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein import storage
 from skein.functions import lexicon
 from skein.functions import text as tx
 from skein.functions import vectors as vx
-from skein.operators import contexts, evidence, fuzzy, hierarchy, mixtures, postings, retrieval
+from skein.operators import contexts, evaluation, evidence, fuzzy, hierarchy, mixtures, postings, retrieval
 from skein.operators.clustering import bic
 from skein.plans import search_plan
 from skein.plans.queries import _ALL_TERMS, _FOLD, _MARKER_SQL, _TOKENS, _TYPES_SQL, GROUPS, chunk_table, query, vector_table
@@ -112,6 +114,34 @@ def _(t):
     return searched(t)
 
 
+_EXPECTED = "SELECT item_id AS question, doc_id AS item FROM benchmark b JOIN documents d ON contains(d.text, b.text)"
+
+
+@query("evl_stages_documents", f"""WITH {_FUSED}, x AS ({_EXPECTED}),
+s AS (SELECT question_id AS question, chunk_id AS item, vector_rank AS rank, 'vector' AS stage FROM fused WHERE vector_rank IS NOT NULL
+  UNION ALL SELECT question_id, chunk_id, lexical_rank, 'lexical' FROM fused WHERE lexical_rank IS NOT NULL
+  UNION ALL SELECT question_id, chunk_id, row_number() OVER (PARTITION BY question_id ORDER BY hybrid_score DESC, coalesce(lexical_rank, 1000000), coalesce(vector_rank, 1000000), chunk_id)::INT, 'rrf' FROM fused
+  UNION ALL SELECT question_id, chunk_id, position, 'final' FROM ranked)
+SELECT x.question, min(rank) FILTER (stage = 'vector') AS vector_rank, min(rank) FILTER (stage = 'lexical') AS lexical_rank, min(rank) FILTER (stage = 'rrf') AS rrf_rank,
+  min(rank) FILTER (stage = 'rerank') AS rerank_rank, min(rank) FILTER (stage = 'final') AS final_rank FROM x LEFT JOIN s USING (question, item) GROUP BY x.question""")
+def _(t):
+    """At which rank each stage of the search has a document that holds the item's whole text. Such a document has all of its words,
+    so the index finds them all, and only these are looked through."""
+    asked, chunks = questions(t), chunk_table(t).select("chunk_id", "text")
+    index = postings.build(chunks)
+    every = storage.written(postings.lexical_many(index, postings.wanted_terms(asked, expand=False), 1 << 30), "matches")
+    texts = asked.select("question_id", F.col("text").alias("asked"))
+    held = every.join(chunks, "chunk_id").join(texts, "question_id").where(F.contains("text", "asked"))
+    expected = held.select(F.col("question_id").alias("question"), F.col("chunk_id").alias("item"))
+    lexical = postings.lexical_many(index, postings.wanted_terms(asked)).withColumnRenamed("rank", "lexical_rank")
+    vector = postings.vector_many(vector_table(t), asked).withColumnRenamed("rank", "vector_rank")
+    fused = storage.written(postings.fused_many(vector, lexical, 1 << 30), "fused")
+    final = postings.reranked_many(fused, asked.select("question_id", "text"), chunks)
+    stage = lambda rows, name, rank: rows.where(f"{rank} is not null").select(F.col("question_id").alias("question"), F.col("chunk_id").alias("item"), F.lit(name).alias("stage"), F.col(rank).alias("rank"))
+    parts = [stage(fused, "vector", "vector_rank"), stage(fused, "lexical", "lexical_rank"), stage(fused, "rrf", "final_rank"), stage(final, "final", "position")]
+    return evaluation.stage_ranks(reduce(DataFrame.unionByName, parts), expected)
+
+
 #: The context of a question's results, block by block.
 _CONTEXT_CLEAN = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[\x00-\x08\x0b-\x1f]', '', 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+\z', '', 'g')"
 
