@@ -113,21 +113,21 @@ def lexical_many(index: Index, wanted: DataFrame, k: int = 20) -> DataFrame:
     return retrieval.best_per_key(scored, "question_id", [F.desc("base_score"), F.desc("lexical_score"), F.col("chunk_id")], k)
 
 
-def vector_many(embeddings: DataFrame, questions: DataFrame, k: int = 20) -> DataFrame:
+def vector_many(embeddings: DataFrame, questions: DataFrame, k: int = 20, digits: int = 6) -> DataFrame:
     """question_id, chunk_id, similarity, rank of the k nearest of embeddings (chunk_id, embedding) for each of questions (question_id,
-    embedding), all of one length. A task keeps k rows of each question over all its batches, before anything is shuffled."""
+    embedding), all of one length, with similarities of so many digits. A task keeps k rows of each question over all its batches, before anything is shuffled."""
     known = questions.where(F.col("embedding").isNotNull()).select("question_id", F.col("embedding").cast("array<double>").alias("embedding"))
     known = storage.written(known, "questions")
     size = known.agg(F.sum(F.size("embedding") * F.lit(8)).alias("bytes")).first()["bytes"] or 0
     slices = max(1, -(-int(size) // VECTOR_BYTES))
-    parts = [_nearest(embeddings, known.where(F.pmod(F.xxhash64("question_id"), F.lit(slices)) == i), k) for i in range(slices)]
+    parts = [_nearest(embeddings, known.where(F.pmod(F.xxhash64("question_id"), F.lit(slices)) == i), k, digits) for i in range(slices)]
     near = parts[0]
     for p in parts[1:]:
         near = near.unionByName(p)
     return retrieval.best_per_key(near, "question_id", [F.desc("similarity"), F.col("chunk_id")], k)
 
 
-def _nearest(embeddings: DataFrame, questions: DataFrame, k: int) -> DataFrame:
+def _nearest(embeddings: DataFrame, questions: DataFrame, k: int, digits: int) -> DataFrame:
     table = questions.toArrow()  # at most VECTOR_BYTES of vectors, on average
     ids = table["question_id"].to_numpy()
     q = _unit(_rows(table["embedding"].combine_chunks()))
@@ -137,7 +137,7 @@ def _nearest(embeddings: DataFrame, questions: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             x, chunk = _unit(_rows(batch.column("embedding"))), batch.column("chunk_id").to_numpy(zero_copy_only=False)
             for a in range(0, len(ids) if len(x) else 0, BLOCK):
-                s = np.round(q[a : a + BLOCK] @ x.T, 6)
+                s = np.round(q[a : a + BLOCK] @ x.T, digits)
                 for i in range(len(s)):
                     chunks, scores = np.concatenate((best[a + i][0], chunk)), np.concatenate((best[a + i][1], s[i]))
                     if len(scores) > 4 * k:  # all that tie with the k-th stay for the moment

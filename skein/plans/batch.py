@@ -11,7 +11,7 @@ from skein import storage
 from skein.functions import lexicon
 from skein.functions import text as tx
 from skein.functions import vectors as vx
-from skein.operators import contexts, evaluation, evidence, fuzzy, hierarchy, mixtures, postings, retrieval
+from skein.operators import contexts, evaluation, evidence, fuzzy, hierarchy, layout, mixtures, postings, retrieval
 from skein.operators.clustering import bic
 from skein.plans import search_plan
 from skein.plans.queries import _ALL_TERMS, _FOLD, _MARKER_SQL, _TOKENS, _TYPES_SQL, GROUPS, chunk_table, query, vector_table
@@ -190,6 +190,12 @@ def _(t):
     return t.spark.createDataFrame(rows, "components int, log_likelihood double, criterion double, best boolean")
 
 
+@query("rap_layout")
+def _(t):
+    vectors = t("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return layout.laid_out(vectors, steps=10).select("id", *[F.get("point", F.lit(j)).alias(f"x{j}") for j in range(5)])
+
+
 @query("rap_tree_vectors")
 def _(t):
     nodes, edges = mixtures.tree(t("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), 8)
