@@ -5,6 +5,7 @@ Documents are built side by side, each by one task; a document has at most MOST_
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -25,6 +26,24 @@ def extract(texts: list[str], most: int = SUMMARY_CHARS) -> str:
     return " ".join(dict.fromkeys(f for f in firsts if f))[:most].rstrip()
 
 
+def within_context(texts: list[str], level: int, most: int = CONTEXT_CHARS, least: int = 20) -> list[str]:
+    """The texts of a cluster, without control characters and spare blanks, as far as they fit under their headers into the context of one
+    summary; the last one is cut, and none follows once hardly any room is left."""
+    out, used = [], 0
+    for i, text in enumerate(texts, 1):
+        clean = re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", re.sub(r"[\x00-\x08\x0b-\x1f]", "", text))).strip()
+        if not clean:
+            continue
+        room = most - used - (2 if out else 0) - len(f"[cluster_item_{i}; level={level}]\n")
+        if room <= least:
+            break
+        out.append(clean if len(clean) <= room else clean[:room].rstrip(" "))
+        used = most - room + len(out[-1])
+        if used >= most:
+            break
+    return out
+
+
 def _levels(doc: pd.DataFrame, summarise, embed, levels: int, most_nodes: int):
     """Rows (level, node_index, chunk_id, text, vector, children) of one document."""
     items = [(t, np.asarray(v, float)) for t, v in zip(doc["text"], doc["embedding"], strict=True)]
@@ -35,11 +54,7 @@ def _levels(doc: pd.DataFrame, summarise, embed, levels: int, most_nodes: int):
         clusters, level = soft_clusters(np.array([v for _, v in items])), level + 1
         made = []
         for k, members in enumerate(clusters):
-            room, texts = CONTEXT_CHARS, []
-            for m in members:
-                texts.append(items[m][0][:room])
-                room -= len(texts[-1])
-            text = summarise(texts)[:SUMMARY_CHARS].rstrip()
+            text = summarise(within_context([items[m][0] for m in members], level - 1))[:SUMMARY_CHARS].rstrip()
             vector = embed(text, np.array([items[m][1] for m in members]))
             made.append((text, vector))
             yield level, k, None, text, vector, members

@@ -1,7 +1,8 @@
 """Keeps a table of chunk embeddings up to date with a folder into which documents are written.
 
-The table is a folder of Parquet files, one part for each batch of the stream; the latest row of a chunk counts. A batch that runs
-twice writes the same part again, so a restart does no harm.
+The table is keyed by chunk and changes as a whole with each batch of the stream, in the buckets that the batch touches. A batch that
+runs twice finds its chunks there already and changes nothing. Of several versions of a document in one batch the one in the file
+that was written last counts; of several in one file, the last by SHA-256.
 """
 
 from __future__ import annotations
@@ -12,16 +13,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from skein import storage
 from skein.operators import chunking, embedding
+from skein.sources.buckets import Table
 
+#: Versions of the table that readers may still be at.
+KEPT_VERSIONS = 3
 SCHEMA = "doc_id long, chunk_index int, chunk_id long, text string, embedding array<double>, status string, error string, chunk_sha256 string"
 
 
 def latest(spark: SparkSession, target: str) -> DataFrame:
-    """The newest row of each chunk; chunks that a document has no longer (they were written without a text) are left out."""
-    rows = spark.read.schema(f"{SCHEMA}, batch long").parquet(target)
-    w = Window.partitionBy("chunk_id").orderBy(F.desc("batch"))
-    return rows.withColumn("r", F.row_number().over(w)).where("r = 1 and text is not null").drop("r")
+    """The chunks as they are now."""
+    return Table(spark, target).read()
 
 
 def changed(docs: DataFrame, known: DataFrame | None, provider: Callable, dimension: int) -> DataFrame:
@@ -46,11 +49,16 @@ def follow(spark: SparkSession, source: str, target: str, checkpoint: str, provi
     """Starts the stream. trigger: arguments of Spark's trigger, for example availableNow=True to end when all that is there is done."""
     def merge(docs: DataFrame, batch: int) -> None:
         session = docs.sparkSession
-        place = session._jvm.org.apache.hadoop.fs.Path(target)
-        there = place.getFileSystem(session._jsc.hadoopConfiguration()).exists(place)
-        known = latest(session, target).where(F.col("batch") < batch) if there else None
-        newest = docs.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.sha2("text", 256)))).where("r = 1").drop("r")
-        changed(newest, known, provider, dimension).write.mode("overwrite").parquet(f"{target}/batch={batch}")
+        table = Table(session, target)
+        there = bool(table.versions())
+        order = Window.partitionBy("doc_id").orderBy(F.desc("_written"), F.desc("_file"), F.desc(F.sha2("text", 256)))
+        newest = docs.withColumn("r", F.row_number().over(order)).where("r = 1").drop("r", "_written", "_file")
+        rows = storage.written(changed(newest, table.read() if there else None, provider, dimension), "changed")  # the provider is asked once
+        if there:
+            table.replace(rows.select("chunk_id"), rows.where("text is not null"))
+            table.vacuum(KEPT_VERSIONS)
+        else:
+            table.create(rows, "chunk_id")
 
-    stream = spark.readStream.schema(schema).parquet(source)
+    stream = spark.readStream.schema(schema).parquet(source).select("*", F.col("_metadata.file_modification_time").alias("_written"), F.col("_metadata.file_path").alias("_file"))
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -1,6 +1,6 @@
 import numpy as np
 
-from skein.operators import clustering, mixtures
+from skein.operators import clustering, contexts, mixtures, summary_tree
 
 F = mixtures.F
 
@@ -56,3 +56,13 @@ def test_awkward_vectors(spark):
     assert nodes.count() == 0 and edges.count() == 0
     same = spark.createDataFrame([(k, [1.0, 2.0, 3.0, 4.0]) for k in range(20)], "id long, vector array<double>")
     assert mixtures.tree(same)[0].where("level = 0").count() == 20
+
+
+def test_contexts_of_clusters_equal_the_column_version(spark):
+    texts = ["a  b\tc", "", "x" * 60, "y" * 50 + " z", "tail of some words", "more"]
+    for most in (60, 110, 130, 170, 210, 300, 400):
+        rows = spark.createDataFrame([(1, [(0, t) for t in texts])], "id int, m array<struct<level:int,text:string>>")
+        want = rows.select(contexts.cluster_context(F.col("m"), most).alias("t")).first().t
+        parts = summary_tree.within_context(texts, 0, most)
+        found = [b.split("\n", 1)[1] for b in want.split("\n\n")] if want else []
+        assert parts == found, most

@@ -1,11 +1,13 @@
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from skein import storage
-from skein.operators import chunking, contexts, hierarchy
+from skein.operators import chunking, contexts, embedding, hierarchy
 from skein.sources.buckets import Conflict, Table
+from skein.streaming import embeddings as streamed
 
 KV = "k long, v string"
 
@@ -99,3 +101,17 @@ def test_contexts_of_null_and_large_keys(spark):
     df = spark.createDataFrame(data, "k long, turn int, text string").repartition(3)
     got = {r.k: r.context for r in contexts.folded(df, "k", "turn", "text", 20, 3).collect()}
     assert got == {None: "a\n\nb", 2**53 + 1: "c", 2**53: "d", 5: "e" * 20}
+
+
+def test_the_newest_file_of_a_batch_counts(spark, tmp_path):
+    source, target, checkpoint = (f"file://{tmp_path}/{x}" for x in ("in", "out", "check"))
+    seen = set()
+    for k, text in enumerate(("first words", "second words", "third words")):
+        spark.createDataFrame([(1, text), (10 + k, text)], "doc_id long, text string").coalesce(1).write.mode("append").parquet(source)
+        for path in set((tmp_path / "in").glob("part-*")) - seen:
+            os.utime(path, (1_700_000_000 + k, 1_700_000_000 + k))
+            seen.add(path)
+    for _ in range(2):
+        streamed.follow(spark, source, target, checkpoint, embedding.offline(4), 4, availableNow=True).awaitTermination(120)
+        got = {r.doc_id: r.text for r in streamed.latest(spark, target).collect()}
+        assert got == {1: "third words", 10: "first words", 11: "second words", 12: "third words"}
