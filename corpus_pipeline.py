@@ -64,9 +64,9 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = common.written(docs, f"stage-{name}")
-    return docs
+    """The last stage's rows. A stage's table goes as soon as the next one is written."""
+    docs, tables = spark.read.parquet(f"{sf_dir}/documents.parquet"), common.Tables(spark)
+    for name, stage in STAGES[:-1]:
+        before, docs = docs, tables.write(stage(spark, docs, sf_dir), f"stage-{name}")
+        tables.drop(before)
+    return STAGES[-1][1](spark, docs, sf_dir)

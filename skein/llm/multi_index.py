@@ -102,7 +102,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, share: float = SH
     spark = vectors.sparkSession
     common.bound_batches(spark)
     common.tidy_shuffles(spark)
-    distinct = common.written(smallest_ids(vectors.select("id", F.col("vector").cast("array<double>").alias("vector")), k + 1), "distinct")
+    tables = common.Tables(spark)
+    distinct = tables.write(smallest_ids(vectors.select("id", F.col("vector").cast("array<double>").alias("vector")), k + 1), "distinct")
     sample = distinct.orderBy(F.xxhash64(F.col("ids")[0]), F.col("ids")[0]).limit(SAMPLE).select("vector").toArrow()
     empty = "query_id long, rank int, vec_id long, score double"
     if not sample.num_rows:
@@ -118,6 +119,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, share: float = SH
             yield pa.RecordBatch.from_arrays([batch.column("ids"), batch.column("vector"), *cells], ["ids", "vector", "c1", "c2"])
 
     entries = common.written(distinct.mapInArrow(assign, "ids array<bigint>, vector array<double>, c1 int, c2 int"), "entries")
+    tables.drop(distinct)
     sizes = np.zeros((len(one), len(two)), np.int64)
     for r in entries.groupBy("c1", "c2").count().collect():  # at most CENTROIDS ** 2 rows
         sizes[r["c1"], r["c2"]] = r["count"]

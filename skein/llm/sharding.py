@@ -65,8 +65,9 @@ def hypergeometric_shards(rows: DataFrame, n_shards: int, seed: int = 42) -> Dat
     """The rows with `shard` (0 to n_shards - 1, sizes at most one apart) and `slot` (0, 1, ... in each shard)."""
     spark, (row, block, place, cuts) = rows.sparkSession, common.fresh(rows, "row", "block", "place", "cuts")
     common.tidy_shuffles(spark)
-    base = common.written(rows.withColumn(row, F.monotonically_increasing_id()), "shard-rows")
-    n = base.count()
+    tables = common.Tables(spark)
+    numbered = tables.write(rows.withColumn(row, F.monotonically_increasing_id()), "shard-rows")
+    base, n = numbered, numbered.count()
     n_blocks = min(MOST_BLOCKS, max(64, math.ceil(n / ROWS_PER_BLOCK)))
     base = base.withColumn(block, F.pmod(F.xxhash64(F.lit(seed), row), F.lit(n_blocks)).cast("int"))
     found = {r[0]: r[1] for r in base.groupBy(block).count().collect()}  # at most MOST_BLOCKS rows
@@ -85,6 +86,7 @@ def hypergeometric_shards(rows: DataFrame, n_shards: int, seed: int = 42) -> Dat
     parts = max(1, math.ceil(n / n_shards / ROWS_PER_BLOCK))
     part, before = common.fresh(rows, "part", "before")
     sent = common.written(sent.withColumn(part, F.pmod(F.xxhash64(F.lit(seed + 2), row), F.lit(parts)).cast("int")), "shard-sent")
+    tables.drop(numbered)
     sizes = sent.groupBy("shard", part).agg(F.count(F.lit(1)).alias("_n"))
     ahead = Window.partitionBy("shard").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("shard", part, F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias(before))

@@ -146,7 +146,8 @@ def write_token_files(
     order = ["doc_id", "hashed", "row"]
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text), hashed, row).repartitionByRange(max(1, -(-size // file_bytes)), *order).sortWithinPartitions(*order)
     ordered = ordered.select("doc_id", text)
-    said = common.written(ordered.mapInArrow(tokenised, _FIELDS), "token-counts")
+    tables = common.Tables(spark)
+    said = tables.write(ordered.mapInArrow(tokenised, _FIELDS), "token-counts")
     ranked = said.where("id is not null").groupBy("id").agg(F.sum("count").alias("n")).orderBy(F.desc("n"), "id").collect()  # a vocabulary at most
     id_of_rank = np.array([r["id"] for r in ranked], np.uint32)
     rank_of_id = np.zeros(int(id_of_rank.max(initial=0)) + 1, np.uint32)
@@ -171,6 +172,7 @@ def write_token_files(
     files = said.where("path is not null").select("part", "path", "n_docs", "n_tokens").collect()  # a row for each file
     made = common.written(_one_a_task(spark, files, schema).mapInArrow(recoded, schema), "token-files")
     common.remove(spark, f"{folder}/raw")
+    tables.drop(said)
     return made, id_of_rank
 
 

@@ -41,14 +41,13 @@ def features(hosts, paths) -> tuple[np.ndarray, np.ndarray]:
     """(row, feature) of the distinct n-grams of all rows: of the host with its ends marked, and of the path with its end marked."""
     out = []
     for part, texts in ((0, [f"^{h}$\n" for h in hosts]), (1, [f"{p}$\n" for p in paths])):
-        raw = [common.utf8(t) for t in texts]
-        data = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64)
-        row = np.repeat(np.arange(len(raw)), [len(x) for x in raw])
+        data = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)  # a number for each character
+        row = np.repeat(np.arange(len(texts)), [len(x) for x in texts])
         code = np.zeros(len(data), np.uint64)
         last = np.append(np.flatnonzero((np.diff(row) > 0)), len(data) - 1) if len(data) else np.zeros(0, int)
-        room = np.repeat(last, np.bincount(row, minlength=len(raw))[np.bincount(row, minlength=len(raw)) > 0]) - np.arange(len(data))
+        room = np.repeat(last, np.bincount(row, minlength=len(texts))[np.bincount(row, minlength=len(texts)) > 0]) - np.arange(len(data))
         for k in range(max(SIZES)):
-            code[: max(0, len(data) - k)] |= data[k:] << np.uint64(8 * k)
+            code[: max(0, len(data) - k)] += data[k:] << np.uint64(8 * k)
             if k + 1 in SIZES:
                 whole = room > k  # the line's end isn't part of a gram
                 h = mix(code[whole] ^ mix(np.uint64(10 * part + k + 1)))

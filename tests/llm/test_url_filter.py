@@ -35,8 +35,7 @@ def brute_features(host, path):
     """(part, n-gram) of one url."""
     grams = set()
     for part, text in ((0, f"^{host}$"), (1, f"{path}$")):
-        raw = text.encode()
-        grams |= {(part, raw[i : i + n]) for n in url_filter.SIZES for i in range(len(raw) - n + 1)}
+        grams |= {(part, text[i : i + n]) for n in url_filter.SIZES for i in range(len(text) - n + 1)}
     return grams
 
 
@@ -50,7 +49,7 @@ def test_features_and_probabilities_against_brute_force():
         grams = brute_features(h, q)
         ids = set()
         for part, g in grams:
-            code = int.from_bytes(g, "little") ^ int(url_filter.mix(np.uint64(10 * part + len(g))))
+            code = sum(ord(c) << 8 * i for i, c in enumerate(g)) ^ int(url_filter.mix(np.uint64(10 * part + len(g))))
             ids.add(int(url_filter.mix(np.uint64(code))) % url_filter.FEATURES)
         assert set(feature[row == k].tolist()) == ids
         z = sum(model[0][i] for i in ids) / max(1, len(ids)) ** 0.5 + model[1]
