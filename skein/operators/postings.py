@@ -196,3 +196,16 @@ def fused_many(vector: DataFrame, lexical: DataFrame, k: int) -> DataFrame:
     both = both.withColumn("hybrid_score", F.round(part("vector_rank") + part("lexical_rank"), 9))
     order = [F.desc("hybrid_score"), F.coalesce("lexical_rank", F.lit(10**6)), F.coalesce("vector_rank", F.lit(10**6)), F.col("chunk_id")]
     return retrieval.best_per_key(both, "question_id", order, k, "final_rank")
+
+
+def search_report(questions: DataFrame, fused: DataFrame, results: DataFrame, k: int = 5, candidates: int = 20) -> DataFrame:
+    """What is said of each question's search beside its results: how many chunks each side found, how many both and either did, how
+    many are returned, the best score, and the limits; zeros for a question that found nothing."""
+    found = fused.groupBy("question_id").agg(
+        F.count("vector_rank").cast("int").alias("vector_candidates"), F.count("lexical_rank").cast("int").alias("lexical_candidates"),
+        F.count_if(F.col("vector_rank").isNotNull() & F.col("lexical_rank").isNotNull()).cast("int").alias("in_both"), F.count(F.lit(1)).cast("int").alias("candidates"),
+    )
+    shown = results.groupBy("question_id").agg(F.count(F.lit(1)).cast("int").alias("returned"), F.max("final_score").alias("best_score"))
+    rows = questions.select("question_id").join(found, "question_id", "left").join(shown, "question_id", "left")
+    numbers = [F.coalesce(c, F.lit(0)).alias(c) for c in ("vector_candidates", "lexical_candidates", "in_both", "candidates", "returned")]
+    return rows.select("question_id", *numbers, "best_score", F.lit(k).alias("top_k"), F.lit(candidates).alias("candidate_limit"))

@@ -114,6 +114,17 @@ def _(t):
     return searched(t)
 
 
+@query("ret_search_reports", f"""WITH {_FUSED} SELECT item_id AS question_id, count(vector_rank)::INT AS vector_candidates, count(lexical_rank)::INT AS lexical_candidates,
+  (count(*) FILTER (vector_rank IS NOT NULL AND lexical_rank IS NOT NULL))::INT AS in_both, count(chunk_id)::INT AS candidates, (SELECT count(*) FROM ranked r WHERE r.question_id = item_id)::INT AS returned,
+  (SELECT max(final_score) FROM ranked r WHERE r.question_id = item_id) AS best_score, 5 AS top_k, 20 AS candidate_limit FROM benchmark LEFT JOIN fused ON question_id = item_id GROUP BY item_id""")
+def _(t):
+    asked, chunks = questions(t), chunk_table(t).select("chunk_id", "text")
+    index = postings.build(chunks)
+    lexical = postings.lexical_many(index, postings.wanted_terms(asked)).withColumnRenamed("rank", "lexical_rank")
+    fused = storage.written(postings.fused_many(postings.vector_many(vector_table(t), asked).withColumnRenamed("rank", "vector_rank"), lexical, 1 << 30), "fused")
+    return postings.search_report(asked, fused, postings.reranked_many(fused, asked.select("question_id", "text"), chunks))
+
+
 _EXPECTED = "SELECT item_id AS question, doc_id AS item FROM benchmark b JOIN documents d ON contains(d.text, b.text)"
 
 
