@@ -47,7 +47,7 @@ SLACK = 1.5
 #: Edges that a spreading search follows at once.
 STEP = 1 << 20
 #: (guests, beam) of each attempt.
-ATTEMPTS = ((1, 64), (2, 128), (4, 256))
+ATTEMPTS = ((1, 32), (2, 64), (4, 256))
 AUDITED, WANTED, LEAST = 64, 0.99, 0.9
 #: From this level of splitting on no guests are made, so that shards surely shrink.
 NO_GUESTS, MOST_LEVELS = 10, 60
