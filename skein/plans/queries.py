@@ -472,7 +472,15 @@ def _(t):
     return answers.merge_queries(query_results(t))
 
 
-@query("rag_select")
+_TURNS = [f"c{q} AS (SELECT chunk_id, {q} AS turn FROM r WHERE query = {q}" + "".join(f" AND chunk_id NOT IN (SELECT chunk_id FROM c{p})" for p in range(q)) + " ORDER BY rank, chunk_id LIMIT 1)" for q in range(3)]
+
+
+@query("rag_select", (
+    f"WITH r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, chunk_id) AS rank FROM ({_QUERY_RANKS})), {', '.join(_TURNS)}, "
+    f"t AS (SELECT * FROM c0 UNION ALL SELECT * FROM c1 UNION ALL SELECT * FROM c2), m AS (SELECT chunk_id, count(DISTINCT query) AS n, "
+    f"round(max(score) + 0.006 * (count(DISTINCT query) - 1), 6)::DOUBLE AS merged_score FROM r GROUP BY chunk_id) SELECT chunk_id, merged_score, "
+    f"(row_number() OVER (ORDER BY coalesce(turn, 3), merged_score DESC, n DESC, chunk_id))::INT AS position FROM m LEFT JOIN t USING (chunk_id) QUALIFY position <= 8"
+))
 def _(t):
     return answers.select_merged(query_results(t), 8, 3)
 
