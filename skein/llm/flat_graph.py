@@ -3,7 +3,9 @@
 1. Equal vectors of a label form one node, so copies cost nothing further; nodes are what is compared.
 2. Overlapping shards. A shard is a label, at first. One with more than CAPACITY members is split by centroids, fitted on
    FIT of its members: a member goes to its nearest centroid's shard, and, as a guest, to that of the next ones; guests are
-   not multiplied again. This is repeated until all shards fit into a task.
+   not multiplied again. This is repeated until all shards fit into a task. Centroids within the threshold of each other are one,
+   so that a group of near copies stays together. A shard in which DENSE of all pairs of a sample are links can't be split by centroids
+   without losing links: its members are dealt into blocks, and each two blocks are a shard. Its work grows with its links.
 3. Graphs. In each shard nodes are inserted in growing batches: a greedy beam search from the nearest medoids over the graph
    so far gives candidates, the nodes that it expanded included. Robust pruning keeps at most DEGREE of them, none of which
    is much nearer to another one that is kept, and edges back are pruned likewise. As a group of near copies would fill a
@@ -44,6 +46,10 @@ DEGREE, NEAR, ALPHA, BLOCK = 24, 12, 1.2, 256
 #: Medoids of a shard, and how many of them, the nearest, a search begins at.
 MEDOIDS, ENTRIES = 64, 8
 SLACK = 1.5
+#: Nodes of a beam that are expanded at once, and pairs whose cosines are taken at once.
+WIDTH, RUN = 4, 4096
+#: Share of linked pairs from which on a shard is dealt into blocks, and members of a block, as a share of the capacity.
+DENSE, PART = 0.25, 0.42
 #: Edges that a spreading search follows at once.
 STEP = 1 << 20
 #: (guests, beam) of each attempt.
@@ -71,28 +77,35 @@ def beam_search(x: np.ndarray, edges: np.ndarray, queries: np.ndarray, entries:
     first = near_first(every, min(ENTRIES, beam))
     ids, sims, done = np.full((q, beam), -1, np.int64), np.full((q, beam), -np.inf), np.zeros((q, beam), bool)
     ids[:, : first.shape[1]], sims[:, : first.shape[1]] = entries[first], np.take_along_axis(every, first, axis=1)
-    seen, path = np.zeros((q, len(x)), bool), []
+    seen, path, width = np.zeros((q, len(x)), bool), [], min(WIDTH, beam)
     seen[np.arange(q)[:, None], entries[first]] = True
+    place = np.zeros((q, len(x)), np.int32)
     while True:
         open_ = np.where(done | (ids < 0), -np.inf, sims)
-        best = open_.argmax(axis=1)
-        rows = np.flatnonzero(open_[np.arange(q), best] > -np.inf)
+        best = np.argpartition(-open_, width - 1, axis=1)[:, :width]
+        go = np.take_along_axis(open_, best, axis=1) > -np.inf
+        rows = np.flatnonzero(go.any(axis=1))
         if not len(rows):
-            return ids, sims, np.stack(path, axis=1) if path else np.empty((q, 0), np.int64)
-        done[rows, best[rows]] = True
-        step = np.full(q, -1, np.int64)
-        step[rows] = ids[rows, best[rows]]
+            return ids, sims, np.concatenate(path, axis=1) if path else np.empty((q, 0), np.int64)
+        r, c = np.nonzero(go)
+        done[r, best[r, c]] = True
+        step = np.where(go, np.take_along_axis(ids, best, axis=1), -1)
         path.append(step)
-        found = edges[step[rows]]
-        found = np.where((found >= 0) & ~seen[rows[:, None], found], found, -1)
-        r, c = np.nonzero(found >= 0)
-        seen[rows[r], found[r, c]] = True
-        all_ids = np.concatenate((ids[rows], found), axis=1)
-        all_sims = np.concatenate((sims[rows], likeness(x, found, queries[rows])), axis=1)
-        all_done = np.concatenate((done[rows], np.zeros(found.shape, bool)), axis=1)
+        found = np.where(step[rows][:, :, None] >= 0, edges[step[rows]], -1).reshape(len(rows), -1)
+        r, c = np.nonzero((found >= 0) & ~seen[rows[:, None], found])
+        node = found[r, c]
+        place[rows[r], node] = c
+        once = place[rows[r], node] == c  # a node that several lists have counts once
+        r, node = r[once], node[once]
+        seen[rows[r], node] = True
+        size = np.bincount(r, minlength=len(rows))
+        at = (r, np.arange(len(r)) - np.repeat(np.cumsum(size) - size, size))
+        new_ids, new_sims = np.full((len(rows), int(size.max(initial=0))), -1, np.int64), np.full((len(rows), int(size.max(initial=0))), -np.inf)
+        new_ids[at], new_sims[at] = node, cosines(queries, x, rows[r], node)
+        all_ids, all_sims = np.concatenate((ids[rows], new_ids), axis=1), np.concatenate((sims[rows], new_sims), axis=1)
+        all_done = np.concatenate((done[rows], np.zeros(new_ids.shape, bool)), axis=1)
         top = near_first(all_sims, beam)
         ids[rows], sims[rows], done[rows] = (np.take_along_axis(t, top, axis=1) for t in (all_ids, all_sims, all_done))
-        ids[rows] = np.where(np.isfinite(sims[rows]), ids[rows], -1)
 
 
 def pruned(x: np.ndarray, nodes: np.ndarray, candidates: np.ndarray, wide: float, alpha: float = ALPHA) -> np.ndarray:
@@ -117,8 +130,9 @@ def pruned(x: np.ndarray, nodes: np.ndarray, candidates: np.ndarray, wide: float
                 pick = alive[rows].argmax(axis=1)
                 chosen = ids[rows, pick]
                 out[a + rows, place + k] = chosen
-                between = 1 - likeness(x, ids[rows], x[chosen])
-                alive[rows] &= alpha * alpha * between > apart[rows]
+                r, c = np.nonzero(alive[rows])
+                between = 1 - cosines(x[chosen], x, r, ids[rows[r], c])
+                alive[rows[r], c] = alpha * alpha * between > apart[rows[r], c]
                 alive[rows, pick] = False
     return out
 
@@ -161,7 +175,7 @@ def built(x: np.ndarray, wide: float, beam: int, seed: int = 0) -> np.ndarray:
 
 def cosines(queries: np.ndarray, x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Of queries[i] and x[j], in runs of bounded size."""
-    return np.concatenate([np.empty(0), *((queries[i[a : a + 65536]] * x[j[a : a + 65536]]).sum(axis=1) for a in range(0, len(i), 65536))])
+    return np.concatenate([np.empty(0), *(np.einsum("ij,ij->i", queries[i[a : a + RUN]], x[j[a : a + RUN]]) for a in range(0, len(i), RUN))])
 
 
 def undirected(edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -236,19 +250,47 @@ def _padded(size: np.ndarray, flat: np.ndarray) -> np.ndarray:
     return out
 
 
-def _shards(nodes: DataFrame, tables: common.Tables, guests: int, capacity: int) -> DataFrame:
-    """node, n, vector, shard: each node in its own shard and those where it is a guest. No shard has more than `capacity` members."""
+def joined(c: np.ndarray, threshold: float) -> np.ndarray:
+    """Centroids of which those within the threshold of each other, also by way of others, are one, their mean; all as they are if only one was left."""
+    u = unit(c)
+    a, b = np.nonzero(u @ u.T >= threshold)
+    root, each = np.unique(local_roots(len(c), a, b), return_inverse=True)
+    if len(root) < 2:
+        return c
+    out = np.zeros((len(root), c.shape[1]))
+    np.add.at(out, each, c)
+    return out / np.bincount(each)[:, None]
+
+
+def _shards(nodes: DataFrame, tables: common.Tables, guests: int, capacity: int, threshold: float = THRESHOLD) -> DataFrame:
+    """node, n, vector, shard: each node in its own shard and those where it is a guest. No shard that centroids made has more than
+    `capacity` members, those of two blocks have that many or fewer on average."""
 
     def fitted(rows: pa.Table) -> pa.Table:
-        x = unit(matrix(rows["vector"]))
-        k = int(min(FANOUT, max(4, -(-4 * rows["members"][0].as_py() // capacity))))
-        c = fit_centroids(x, k, seed=level)
-        return pa.table([rows["shard"].slice(0, 1), pa.array([c.ravel().tolist()])], ["shard", "centroids"])
+        x, members = unit(matrix(rows["vector"])), rows["members"][0].as_py()
+        blocks = 0
+        if ((x @ x.T >= threshold).sum() - len(x)) >= DENSE * len(x) * (len(x) - 1):
+            blocks = max(3, math.ceil(members / (PART * capacity)))
+        c = joined(fit_centroids(x, int(min(FANOUT, max(4, -(-4 * members // capacity)))), seed=level), threshold)
+        return pa.table([rows["shard"].slice(0, 1), pa.array([c.ravel().tolist()]), pa.array([blocks], pa.int32())], ["shard", "centroids", "blocks"])
+
+    def blocked(shard: str, rows: pa.Table, blocks: int) -> pa.Table:
+        """Each member in the shards that its block, by hash, makes with every other one."""
+        mine = rows["part_of"].to_numpy() % blocks
+        others = np.arange(blocks - 1)[None, :]
+        others = (others + (others >= mine[:, None])).ravel()
+        mine = np.repeat(mine, blocks - 1)
+        names = [f"{shard}/{a}+{b}" for a, b in zip(np.minimum(mine, others).tolist(), np.maximum(mine, others).tolist(), strict=True)]
+        part = rows.select(["node", "n", "vector"]).take(pa.array(np.repeat(np.arange(rows.num_rows), blocks - 1)))
+        flags = [pa.array(np.full(part.num_rows, v)) for v in (False, True)]
+        return part.append_column("shard", pa.array(names, pa.string())).append_column("home", flags[0]).append_column("whole", flags[1])
 
     def dealt(key, rows: pa.Table, fits: pa.Table) -> pa.Table:
-        names = ["node", "n", "vector", "shard", "home"]
+        names = ["node", "n", "vector", "shard", "home", "whole"]
         if not rows.num_rows or not fits.num_rows:
             return rows.select(names).slice(0, 0)
+        if fits["blocks"][0].as_py():
+            return blocked(key[0].as_py(), rows, fits["blocks"][0].as_py())
         x = unit(matrix(rows["vector"]))
         c = np.array(fits["centroids"][0].as_py()).reshape(-1, x.shape[1])
         order = near_first(-distances(x, c), (guests if level < NO_GUESTS else 0) + 1)
@@ -258,25 +300,26 @@ def _shards(nodes: DataFrame, tables: common.Tables, guests: int, capacity: int)
             take = np.arange(len(x)) if k == 0 else np.flatnonzero(home)
             part = rows.select(["node", "n", "vector"]).take(pa.array(take))
             child = pa.array([f"{key[0].as_py()}/{j}" for j in order[take, k].tolist()], pa.string())
-            out.append(part.append_column("shard", child).append_column("home", pa.array(home[take] & (k == 0))))
+            out.append(part.append_column("shard", child).append_column("home", pa.array(home[take] & (k == 0))).append_column("whole", pa.array(np.zeros(len(take), bool))))
         return pa.concat_tables(out)
 
-    kind = "node long, n long, vector array<double>, shard string, home boolean"
-    placed = nodes.select("node", "n", "vector", F.concat_ws("/", F.col("label").cast("string"), F.size("vector")).alias("shard"), F.lit(True).alias("home"))
+    kind = "node long, n long, vector array<double>, shard string, home boolean, whole boolean"
+    placed = nodes.select("node", "n", "vector", F.concat_ws("/", F.col("label").cast("string"), F.size("vector")).alias("shard"), F.lit(True).alias("home"), F.lit(False).alias("whole"))
     done = []
     for level in range(MOST_LEVELS):
-        sizes = placed.groupBy("shard").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > capacity)
+        sizes = placed.where(~F.col("whole")).groupBy("shard").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > capacity)
         big = tables.write(sizes, "large")
         if big.isEmpty():
-            return reduce(DataFrame.unionByName, [*done, placed]).drop("home")
+            return reduce(DataFrame.unionByName, [*done, placed]).drop("home", "whole")
         if level == MOST_LEVELS - 1:
             raise RuntimeError("shards of vectors could not be split further")
         open_ = placed.join(big, "shard")
         some = open_.withColumn("k", F.row_number().over(Window.partitionBy("shard").orderBy(F.xxhash64("node")))).where(F.col("k") <= FIT)
-        fits = tables.write(some.groupBy("shard").applyInArrow(fitted, "shard string, centroids array<double>"), "centroids")
+        fits = tables.write(some.groupBy("shard").applyInArrow(fitted, "shard string, centroids array<double>, blocks int"), "centroids")
         parts = F.ceil(F.col("members") / capacity).cast("int")
         rows = open_.withColumn("part", F.pmod(F.xxhash64(F.lit(level), "node"), parts).cast("int")).drop("members")
-        copies = fits.join(big, "shard").select("shard", "centroids", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+        rows = rows.withColumn("part_of", F.pmod(F.xxhash64(F.lit("block"), "node"), F.lit(1 << 40)))
+        copies = fits.join(big, "shard").select("shard", "centroids", "blocks", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
         split = tables.write(rows.groupBy("shard", "part").cogroup(copies.groupBy("shard", "part")).applyInArrow(dealt, kind), "placed")
         done.append(placed.join(big.select("shard"), "shard", "left_anti"))
         placed = split
@@ -312,8 +355,12 @@ def _found(members: DataFrame, united: DataFrame, threshold: float, beam: int) -
         here, shards = rows["shard"][0].as_py(), rows["shards"].to_pylist()
         alone = np.array([len(s) == 1 for s in shards])
         own = alone[a] | alone[b]
-        for k in np.flatnonzero(~own).tolist():
-            own[k] = min(set(shards[a[k]]) & set(shards[b[k]])) == here
+        kinds: dict = {}
+        kind = np.array([kinds.setdefault(tuple(sorted(s)), len(kinds)) for s in shards])
+        lists, both = [set(s) for s in kinds], np.flatnonzero(~own)
+        codes, which = np.unique(kind[a[both]] * len(lists) + kind[b[both]], return_inverse=True)
+        first = [min(lists[p] & lists[q]) == here for p, q in zip(*(v.tolist() for v in np.divmod(codes, len(lists))), strict=True)]
+        own[both] = np.array(first, bool)[which]
         near, links = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
         for p, q in ((a[own], b[own]), (b[own], a[own])):
             np.add.at(near, p, 1)
@@ -368,7 +415,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, attempts=A
     same = linkable.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"), F.any_value("label").alias("label"), F.any_value("vector").alias("vector"))
     nodes = tables.write(same.withColumn("node", F.monotonically_increasing_id()), "nodes")
     for k, (guests, beam) in enumerate(attempts):
-        members = tables.write(_shards(nodes, tables, guests, capacity), "members")
+        members = tables.write(_shards(nodes, tables, guests, capacity, threshold), "members")
         graph = tables.write(_graph(members, threshold, beam), "graph")
         united = graph.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("neighbours"))).alias("neighbours"), F.collect_list("shard").alias("shards"))
         found = tables.write(_found(members, united, threshold, beam), "found")

@@ -94,3 +94,12 @@ def test_awkward_vectors(spark):
     rows += [(30, [1e-200, 1e-200], "c"), (31, [1e200, 1e200], "c")]
     assert got(spark.createDataFrame(rows, SCHEMA)) == brute(rows)
     assert got(spark.createDataFrame([], SCHEMA)) == []
+
+
+def test_large_group_of_near_copies_keeps_all_links(spark):
+    """A group beyond a shard's capacity: parts of it by centroids would lose the links between them."""
+    rng = np.random.default_rng(8)
+    x = groups(rng, 900, 32, [400])
+    x[:400] = x[0] + 0.05 * rng.normal(size=(400, 32))
+    rows = [(k, v.tolist(), "a") for k, v in enumerate(x)]
+    assert got(spark.createDataFrame(rows, SCHEMA), capacity=100, attempts=((1, 32),)) == brute(rows)
