@@ -57,9 +57,13 @@ def bound(value: Column, f) -> Column:
     return F.transform(F.array(value), f)[0]
 
 
+#: A token of a folded text.
+TOKEN = r"[0-9a-z]+"
+
+
 def tokens(c: Column) -> Column:
     """Runs of digits and letters a to z of the folded text."""
-    return F.regexp_extract_all(fold(c), F.lit(r"[0-9a-z]+"), 0)
+    return F.regexp_extract_all(fold(c), F.lit(TOKEN), 0)
 
 
 def estimated_tokens(c: Column) -> Column:

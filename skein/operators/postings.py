@@ -3,6 +3,7 @@
 The index is a table of postings (term, chunk_id, positions) under a folder, partitioned by a hash of the term. Positions are
 sorted, and Parquet's second writer version stores them, like the ids, as differences. A term that fills more than one file's worth is
 split over several files of its partition, by Spark's rebalancing on write. A search reads the partitions of the terms it is after.
+A chunk's words are put together where its text is read, so that a posting moves once; only those of repeated chunk_ids meet again.
 
 Defined results: a null or empty text has no postings; a chunk_id that occurs twice is one chunk whose postings are those of all its
 rows together; a question without terms finds nothing; ties go to the smaller chunk_id.
@@ -10,9 +11,13 @@ rows together; a question without terms finds nothing; ties go to the smaller ch
 
 from __future__ import annotations
 
+import re
+from itertools import chain
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +31,8 @@ from skein.plans import search_plan
 PARTITIONS = 64
 #: Bytes of questions' vectors that go to all executors at once; more questions take several scans.
 VECTOR_BYTES = 64 << 20
+#: Bytes of texts whose words a task lists at once; a longer text is taken whole.
+CHARS = 2 << 20
 #: Questions that meet a batch of vectors at once.
 BLOCK = 512
 
@@ -57,9 +64,15 @@ def build(chunks: DataFrame, path: str | None = None, config: str = "simple") ->
     """Writes the index of chunks (chunk_id, text) and opens it."""
     spark = chunks.sparkSession
     path = f"{path or storage.new_path(spark, 'postings')}-{configuration(config)}"
-    words = chunks.select("chunk_id", F.posexplode(terms_of(F.col("text"), config)).alias("position", "term")).where("term is not null")
-    lists = words.groupBy("term", "chunk_id").agg(F.sort_array(F.collect_list("position")).alias("positions"))
-    placed = lists.select(bucket(F.col("term")).alias("bucket"), "term", "chunk_id", "positions").hint("rebalance", "bucket")
+    ids = storage.written(chunks.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("chunk_id"), "repeated")
+    packed = _packed(chunks, configuration(config))
+    if ids.isEmpty():
+        placed = packed.withColumn("bucket", bucket(F.col("term"))).hint("rebalance", "bucket").select("bucket", "term", _unpacked())
+    else:
+        lists = packed.select("term", _unpacked())
+        again = lists.join(ids, "chunk_id").groupBy("term", "chunk_id").agg(F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
+        lists = lists.join(ids, "chunk_id", "left_anti").unionByName(again)
+        placed = lists.select(bucket(F.col("term")).alias("bucket"), "term", "chunk_id", "positions").hint("rebalance", "bucket")
     out = placed.sortWithinPartitions("bucket", "term", "chunk_id").write.partitionBy("bucket").option("parquet.writer.version", "PARQUET_2_0")
     out.parquet(f"{path}/postings")
     counted = spark.read.schema("term string, bucket int").parquet(f"{path}/postings").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -67,6 +80,59 @@ def build(chunks: DataFrame, path: str | None = None, config: str = "simple") ->
     return Index(spark, path)
 
 
+def _unpacked() -> Column:
+    """chunk_id, positions of packed rows."""
+    one = lambda c, i: F.struct(c.alias("chunk_id"), F.slice("places", F.get("starts", i) + 1, F.get("starts", i + 1) - F.get("starts", i)).alias("positions"))
+    return F.inline(F.transform("ids", one))
+
+
+def _packed(chunks: DataFrame, config: str) -> DataFrame:
+    """term, ids (of chunks), starts, places of chunks (chunk_id, text), a row for each term of some texts together: what moves. The positions in
+    chunk ids[i] are places[starts[i]] to places[starts[i + 1] - 1]."""
+    french_ = config == "french"
+    find = re.compile(french.WORD if french_ else tx.TOKEN).findall
+
+    def run(batches):
+        for batch in batches:
+            ids, texts = batch.column("chunk_id"), batch.column("text")
+            ends = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, int(ends[-1]) if len(ends) else 0, CHARS)), len(texts)))
+            for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True):
+                if b > a:
+                    yield listed(ids.slice(a, b - a), texts.slice(a, b - a).to_pylist())
+
+    def listed(ids, texts: list) -> pa.RecordBatch:
+        words = [find(t) if t else [] for t in texts]
+        size = np.array([len(w) for w in words], np.int64)
+        coded = pa.array(chain.from_iterable(words), pa.string()).dictionary_encode()
+        terms, code = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        row, place = np.repeat(np.arange(len(size)), size), np.arange(len(code)) - np.repeat(np.cumsum(size) - size, size)
+        if french_:  # words with an equal stem are one term, stop words none
+            stems = pa.array([french.indexed(w) for w in terms.to_pylist()], pa.string()).dictionary_encode()
+            terms, of = stems.dictionary, pa.compute.fill_null(stems.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            code = of[code]
+            row, place, code = row[code >= 0], place[code >= 0], code[code >= 0]
+        key = code * max(1, len(texts)) + row
+        order = np.argsort(key, kind="stable")
+        first = np.flatnonzero(np.diff(key[order], prepend=-1))  # of each posting in `order`
+        of = code[order[first]]
+        begin = np.flatnonzero(np.diff(of, prepend=-1))  # of each term among the postings
+        end, start = np.append(begin, len(first)), np.append(first, len(order))
+        size = np.diff(end)
+        inner = np.repeat(start[begin], size + 1)
+        starts = start[np.arange(len(first) + len(begin)) - np.repeat(np.arange(len(begin)), size + 1)] - inner
+        as_list = lambda cuts, values: pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), values)
+        columns = [
+            terms.take(pa.array(of[begin])), as_list(end, ids.take(pa.array(row[order[first]]))),
+            as_list(end + np.arange(len(end)), pa.array(starts.astype(np.int32))), as_list(start[end], pa.array(place[order].astype(np.int32))),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["term", "ids", "starts", "places"])
+
+    text = F.lower("text") if french_ else tx.fold(F.col("text"))
+    kind = chunks.schema["chunk_id"].dataType.simpleString()
+    return chunks.select("chunk_id", text.alias("text")).mapInArrow(run, f"term string, ids array<{kind}>, starts array<int>, places array<int>")
+
+
 def wanted_terms(questions: DataFrame, config: str = "simple", expand: bool = True) -> DataFrame:
     """question_id, term, groups (numbers of the groups that the term stands in), base (whether it is one of the question's own words),
     n_groups, of questions (question_id, text)."""

@@ -97,3 +97,27 @@ def test_hybrid_equals_one_question_at_a_time(spark, table):
         want = sorted((-r.hybrid_score, r.lexical_rank or 10**6, r.vector_rank or 10**6, r.chunk_id) for r in both.collect())[:5]
         assert [x[3] for x in want] == [r.chunk_id for r in sorted((r for r in got if r.question_id == q), key=lambda r: r.final_rank)]
     assert {r.vector_rank for r in got if r.question_id == 3} == {None}
+
+
+@pytest.mark.parametrize("config", ["simple", "french"])
+def test_build_lists_words_where_texts_are_read(spark, table, monkeypatch, config):
+    """A posting moves once, whatever the size of the slices; rows of one chunk_id are one chunk."""
+    monkeypatch.setattr(postings, "CHARS", 300)
+    texts = [*table[0], "Les garanties continuaient à l'été"]
+    rows = [(k % 180, t) for k, t in enumerate(texts)] + [(500, t) for t in texts[:3]]
+    for some in (rows, rows[:180]):
+        index = postings.build(spark.createDataFrame(some, "chunk_id long, text string").repartition(3), config=config)
+        words = spark.createDataFrame(some, "chunk_id long, text string").select("chunk_id", F.posexplode(postings.terms_of(F.col("text"), config)).alias("p", "term")).collect()
+        want = {}
+        for r in words:
+            want.setdefault((r.term, r.chunk_id), []).append(r.p) if r.term is not None else None
+        assert {(r.term, r.chunk_id): r.positions for r in index.postings.collect()} == {k: sorted(v) for k, v in want.items()}
+        assert index.postings.count() == len(want) and {r.term: r.df for r in index.terms.collect()} == {w: sum(1 for x, _ in want if x == w) for w in {x for x, _ in want}}
+
+
+def test_words_of_a_text_do_not_move_one_by_one(spark, table):
+    """Without repeated chunk_ids only packed postings are shuffled: one exchange before the write, none of single words."""
+    packed = postings._packed(table[1], "simple")
+    assert "Exchange" not in packed._jdf.queryExecution().executedPlan().toString()
+    words = sum(len(search_plan.re.findall("[0-9a-z]+", search_plan.fold(t or ""))) for t in table[0])
+    assert packed.count() < words / 10
