@@ -78,3 +78,17 @@ def test_long_pages_take_linear_time():
 def test_other_columns_are_kept(spark):
     df = spark.createDataFrame([(1, "<p>x", "mine"), (2, None, "t")], "page_id long, html string, TITLE string")
     assert sorted(tuple(r) for r in html.page_texts(df).collect()) == [(1, "", "x"), (2, "", "")]
+
+
+def test_workers_get_and_give_pages_by_bytes(spark, monkeypatch):
+    """However many rows a batch could have, a worker holds few pages at once, and every one is read."""
+    monkeypatch.setattr(html, "BATCH", 4000)
+    monkeypatch.setattr(html, "BYTES", 1000)
+    page = "<title>t</title><p>" + "x" * 180
+    real = html.pa.RecordBatch.from_arrays
+    df = spark.createDataFrame([(k, page + str(k)) for k in range(400)] + [(400, None), (401, "<p>" + "y" * 9000)], "page_id long, html string").coalesce(1)
+    got = {r.page_id: r.native_text for r in html.page_texts(df).collect()}
+    assert got == {k: "x" * 180 + str(k) for k in range(400)} | {400: "", 401: "y" * 9000}
+    sizes = df.mapInArrow(lambda batches: (real([html.pa.array([b.num_rows])], ["n"]) for b in batches), "n long").collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    assert max(r.n for r in sizes) < 100 and sum(r.n for r in sizes) == 402
