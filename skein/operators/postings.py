@@ -30,11 +30,11 @@ from skein.plans import search_plan
 
 PARTITIONS = 64
 #: Bytes of questions' vectors that go to all executors at once; more questions take several scans.
-VECTOR_BYTES = 64 << 20
+VECTOR_BYTES = 16 << 20
 #: Bytes of texts whose words a task lists at once; a longer text is taken whole.
 CHARS = 2 << 20
-#: Questions that meet a batch of vectors at once.
-BLOCK = 512
+#: Questions and vectors that meet at once.
+BLOCK, ROWS = 512, 2048
 
 
 def configuration(name: str | None) -> str:
@@ -199,22 +199,30 @@ def _nearest(embeddings: DataFrame, questions: DataFrame, k: int, digits: int) -
     q = _unit(_rows(table["embedding"].combine_chunks()))
 
     def search(batches):
-        best: list = [[np.empty(0, np.int64), np.empty(0)] for _ in ids]
+        held, kth = np.zeros(len(ids), np.int64), np.full(len(ids), -np.inf)  # a question's rows so far, and its k-th score once it has k
+        scores, chunks = np.empty((len(ids), k)), None
         for batch in batches:
-            x, chunk = _unit(_rows(batch.column("embedding"))), batch.column("chunk_id").to_numpy(zero_copy_only=False)
-            for a in range(0, len(ids) if len(x) else 0, BLOCK):
-                s = np.round(q[a : a + BLOCK] @ x.T, digits)
-                for i in range(len(s)):
-                    chunks, scores = np.concatenate((best[a + i][0], chunk)), np.concatenate((best[a + i][1], s[i]))
-                    if len(scores) > 4 * k:  # all that tie with the k-th stay for the moment
-                        at = scores >= -np.partition(-scores, k - 1)[k - 1]
-                        chunks, scores = chunks[at], scores[at]
-                    order = np.lexsort((chunks, -scores))[:k]
-                    best[a + i] = [chunks[order], scores[order]]
-        size = [len(b[0]) for b in best]
-        if sum(size):
-            columns = [np.repeat(ids, size), np.concatenate([b[0] for b in best]), np.concatenate([b[1] for b in best])]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["question_id", "chunk_id", "similarity"])
+            chunk = batch.column("chunk_id").to_numpy(zero_copy_only=False)
+            chunks = np.empty((len(ids), k), chunk.dtype) if chunks is None else chunks
+            for at in range(0, len(chunk), ROWS):
+                x, own = _unit(_rows(batch.column("embedding").slice(at, ROWS))), chunk[at : at + ROWS]
+                for a in range(0, len(ids), BLOCK):
+                    s = np.round(q[a : a + BLOCK] @ x.T, digits)
+                    better = ~(s < kth[a : a + BLOCK, None])
+                    for i in np.flatnonzero(better.any(axis=1)).tolist():
+                        j, n = np.flatnonzero(better[i]), held[a + i]
+                        if len(j) > 4 * k:  # all that tie with the k-th stay for the moment
+                            j = j[s[i, j] >= -np.partition(-s[i, j], k - 1)[k - 1]]
+                        c, v = np.concatenate((chunks[a + i, :n], own[j])), np.concatenate((scores[a + i, :n], s[i, j]))
+                        order = np.lexsort((c, -v))[:k]
+                        n = held[a + i] = len(order)
+                        chunks[a + i, :n], scores[a + i, :n] = c[order], v[order]
+                        kth[a + i] = scores[a + i, k - 1] if n == k else -np.inf
+        for a in range(0, len(ids), ROWS):
+            some = np.arange(k) < held[a : a + ROWS, None]
+            if some.any():
+                columns = [np.repeat(ids[a : a + ROWS], held[a : a + ROWS]), chunks[a : a + ROWS][some], scores[a : a + ROWS][some]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["question_id", "chunk_id", "similarity"])
 
     kind = embeddings.schema["chunk_id"].dataType.simpleString()
     rows = embeddings.where(F.size("embedding") == (q.shape[1] if len(q) else -1)).select("chunk_id", "embedding")

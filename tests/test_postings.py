@@ -121,3 +121,18 @@ def test_words_of_a_text_do_not_move_one_by_one(spark, table):
     assert "Exchange" not in packed._jdf.queryExecution().executedPlan().toString()
     words = sum(len(search_plan.re.findall("[0-9a-z]+", search_plan.fold(t or ""))) for t in table[0])
     assert packed.count() < words / 10
+
+
+@pytest.mark.parametrize("k", [1, 6, 40])
+def test_vectors_by_small_parts_with_many_ties(spark, monkeypatch, k):
+    """Vectors meet the questions in parts of bounded size, and each question holds k rows at most meanwhile."""
+    monkeypatch.setattr(postings, "ROWS", 7)
+    monkeypatch.setattr(postings, "BLOCK", 5)
+    rng = random.Random(6)
+    rows = [(k, [float(rng.choice([-1, 1])) for _ in range(3)]) for k in range(160)]
+    df = spark.createDataFrame(rows, "chunk_id long, embedding array<double>").coalesce(2)
+    asked = spark.createDataFrame(rows[:30], "question_id long, embedding array<double>")
+    got = postings.vector_many(df, asked, k).collect()
+    for q, v in rows[:30]:
+        each = sorted((-round(sum(a * b for a, b in zip(v, w, strict=True)) / 3, 6), c) for c, w in rows)[:k]
+        assert [(-r.similarity, r.chunk_id) for r in sorted((r for r in got if r.question_id == q), key=lambda r: r.rank)] == each
