@@ -34,13 +34,14 @@ def _strings(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]).cast("array<string>")
 
 
-def signals(text: Column, plan: SearchPlan) -> Column:
-    """struct: matched terms, the most terms close together, value kinds that count, phrase, marker, concepts."""
+def signals(text: Column, plan: SearchPlan, full: bool = True) -> Column:
+    """struct: matched terms, the most terms close together, value kinds that count, phrase, marker, concepts; if not `full`, only what
+    the score needs: concepts where one is expected, and no `close_terms`."""
     asked = sorted({*plan.intents, *(["time"] if "date" in plan.intents else [])})
-    return signals_for(text, _strings(plan.base), F.lit(plan.concept).cast("string"), _strings(asked))
+    return signals_for(text, _strings(plan.base), F.lit(plan.concept).cast("string"), _strings(asked), full)
 
 
-def signals_for(text: Column, wanted: Column, expected: Column, asked: Column) -> Column:
+def signals_for(text: Column, wanted: Column, expected: Column, asked: Column, full: bool = True) -> Column:
     """The same for a question whose own terms, expected concept and wanted kinds of values are columns."""
     least = F.least(F.lit(3), F.size(wanted))
 
@@ -53,7 +54,7 @@ def signals_for(text: Column, wanted: Column, expected: Column, asked: Column) -
         near = (F.size(wanted) > 0) & (tx.terms_in_window(s["tokens"], wanted, 10) >= least)
         return F.struct(
             F.array_sort(F.array_intersect(F.array_distinct(s["tokens"]), wanted)).alias("matched_terms"),
-            tx.terms_in_window(s["tokens"], wanted, 12).alias("close_terms"),
+            *([tx.terms_in_window(s["tokens"], wanted, 12).alias("close_terms")] if full else []),
             s["values"].alias("value_types"),
             counting.alias("counting_types"),
             (names_deadline(s["folded"]) | near).alias("phrase_match"),
@@ -64,8 +65,9 @@ def signals_for(text: Column, wanted: Column, expected: Column, asked: Column) -
             other.alias("concept_mismatch"),
         )
 
-    parts = F.struct(tx.fold(text).alias("folded"), tx.tokens(text).alias("tokens"), tx.value_types(text).alias("values"), concepts(text).alias("concepts"))
-    return tx.bound(parts, of)
+    named = concepts(text) if full else F.when(expected.isNotNull(), concepts(text)).otherwise(F.array().cast("array<string>"))
+    parts = lambda folded: F.struct(folded.alias("folded"), F.regexp_extract_all(folded, F.lit(tx.TOKEN), 0).alias("tokens"), tx.value_types(text).alias("values"), named.alias("concepts"))
+    return tx.bound(tx.fold(text), lambda folded: tx.bound(parts(folded), of))
 
 
 def score(s: Column, enabled: bool = True) -> Column:

@@ -258,7 +258,7 @@ def reranked_many(fused: DataFrame, questions: DataFrame, chunks: DataFrame, k:
     planned = F.pandas_udf(plan, "struct<base:array<string>,concept:string,asked:array<string>>")
     wanted = storage.written(questions.select("question_id", planned(F.col("text")).alias("plan")), "plans")
     rows = fused.join(wanted, "question_id").join(chunks.select("chunk_id", "text"), "chunk_id")
-    signals = sg.signals_for(F.col("text"), F.col("plan.base"), F.col("plan.concept"), F.col("plan.asked"))
+    signals = sg.signals_for(F.col("text"), F.col("plan.base"), F.col("plan.concept"), F.col("plan.asked"), full=False)
     rows = rows.withColumn("rerank_score", sg.score(signals)).withColumn("final_score", F.round(F.col("hybrid_score") + F.col("rerank_score"), 9))
     order = [F.desc("final_score"), F.desc("hybrid_score"), F.coalesce("lexical_rank", F.lit(10**6)), F.coalesce("vector_rank", F.lit(10**6)), F.col("chunk_id")]
     return retrieval.best_per_key(rows.drop("plan", "text"), "question_id", order, k, "position")

@@ -455,7 +455,7 @@ _MARKER_SQL = (
 )
 def _(t):
     plan = search_plan.plan(_WORDS)
-    return t("documents").select("doc_id", signals.score(signals.signals(F.col("text"), plan)).alias("score"))
+    return t("documents").select("doc_id", signals.score(signals.signals(F.col("text"), plan, full=False)).alias("score"))
 
 
 def query_results(t) -> DataFrame:

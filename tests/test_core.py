@@ -213,3 +213,30 @@ def test_streamed_embeddings(spark, tmp_path):
     first = arrive([(1, "a"), (2, long), (3, None)])
     assert first[1, 0] == "a" and len(first) == 4 and calls.value == 4
     assert arrive([(1, "a"), (2, "short")]) == {(1, 0): "a", (2, 0): "short"} and calls.value == 5
+
+
+def test_score_needs_no_concepts_where_none_is_expected(spark):
+    """The signals that only the score needs give the same score, without looking for concepts or wider windows that nobody asks for."""
+    from pyspark.sql import functions as F
+
+    from skein.functions import signals
+    from skein.plans import search_plan
+
+    texts = ["garantie provisoire 10 % article 4", "Les offres, montant 5 000 DH sous 30 jours", "", None, "délai de garantie: 12 mois"]
+    df = spark.createDataFrame([(x,) for x in texts], "text string")
+    for asked in ("montant des offres", "garantie provisoire offre", "delai de garantie et assurance"):
+        plan = search_plan.plan(asked)
+        both = df.select(*[signals.score(signals.signals(F.col("text"), plan, full=f)).alias(n) for n, f in (("whole", True), ("lean", False))]).collect()
+        assert all(r.whole == r.lean for r in both)
+    lean = df.select(signals.signals(F.col("text"), search_plan.plan("montant"), full=False).alias("s"))
+    assert "close_terms" not in lean.schema["s"].dataType.names
+
+
+def test_fragments_end_at_whole_words_only(spark):
+    """As in the reference, `et` before an accented letter is no word of its own."""
+    from pyspark.sql import functions as F
+
+    from skein.functions import questions
+
+    df = spark.createDataFrame([("prix au etéèreeau et délai",)], "text string")
+    assert df.select(questions.fragments(F.col("text"))).first()[0] == ["prix au etéèreeau", "délai"]
