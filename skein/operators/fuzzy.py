@@ -14,6 +14,7 @@ import math
 from collections import Counter
 from itertools import combinations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,6 +29,18 @@ def ratio(term: str, token: str, least: float = 0.0) -> float:
     return difflib.SequenceMatcher(None, term, token).ratio()
 
 
+def most_alike(terms: pd.Series, tokens: pd.Series) -> np.ndarray:
+    """A bound on each pair's likeness: by the characters that both have, counted with repeats (in 64 classes, of one character each for a
+    to z and 0 to 9)."""
+    codes, words = pd.factorize(pd.concat((terms, tokens), ignore_index=True))
+    length = np.array([len(w) for w in words], np.int64)
+    chars = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32) % 64
+    counts = np.zeros((len(words), 64), np.int32)
+    np.add.at(counts, (np.repeat(np.arange(len(words)), length), chars), 1)
+    a, b = codes[: len(terms)], codes[len(terms) :]
+    return 2.0 * np.minimum(counts[a], counts[b]).sum(axis=1) / np.maximum(length[a] + length[b], 1)
+
+
 #: Characters from frequent to rare.
 _FREQUENT = "etaoinshrdlcumwfgypbvkjxqz0123456789"
 #: Words of up to LONG characters meet by combinations of THREE characters, longer ones by single ones.
@@ -66,7 +79,8 @@ def likely_pairs(terms: DataFrame, tokens: DataFrame, threshold: float = 0.86) -
     met = left.join(right, "key").where(alike).select("term", "token").distinct()
 
     def compare(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([ratio(x, y, threshold) for x, y in zip(a, b, strict=True)], dtype=float)
+        worth = most_alike(a, b) >= threshold - 1e-9
+        return pd.Series([ratio(x, y, threshold) if w else 0.0 for x, y, w in zip(a, b, worth.tolist(), strict=True)], dtype=float)
 
     compared = met.select("term", "token", F.explode(F.array(F.pandas_udf(compare, "double")("term", "token"))).alias("likeness"))
     return compared.where(F.col("likeness") >= threshold)

@@ -45,3 +45,13 @@ def test_fewer_words_meet_than_all():
     keys = [set(fuzzy.meeting_keys(w, 0.86)) for w in words]
     met = sum(bool(a & b) for i, a in enumerate(keys) for b in keys[:i])
     assert met < 0.1 * 300 * 299 / 2
+
+
+def test_shared_characters_bound_likeness():
+    """Pairs that cannot reach the threshold are ruled out before their blocks are looked for, and no others."""
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdeé9") for _ in range(rng.randrange(0, 12))) for _ in range(80)]
+    pairs = [(a, b) for a in words for b in words]
+    bound = fuzzy.most_alike(*(fuzzy.pd.Series(list(x)) for x in zip(*pairs, strict=True)))
+    assert all(v >= difflib.SequenceMatcher(None, a, b).ratio() - 1e-12 for (a, b), v in zip(pairs, bound, strict=True) if a or b)
+    assert fuzzy.most_alike(fuzzy.pd.Series(["abcdefgh"]), fuzzy.pd.Series(["abcdwxyz"])).tolist() == [0.5]
