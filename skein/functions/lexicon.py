@@ -149,7 +149,8 @@ QUESTION_INTENTS = {
 QUESTION_RESTART = (
     r"(?iu)\s*(?:(?:,\s*)?et|;|,)\s+(?=(?:(?:quel|quelle|quels|quelles)\s+(?:est|sont)\b|combien\b|ou\b|où\b|quand\b))"
 )
-FRAGMENT_SEPARATOR = r"(?iu)\s*(?:[,;]|\bet\b|\band\b)\s*"
+# A word ends where no letter, number or underscore follows, as in the reference; \b would take marks and joiners for parts of it.
+FRAGMENT_SEPARATOR = r"(?iu)\s*(?:[,;]|(?<![\p{L}\p{N}_])(?:et|and)(?![\p{L}\p{N}_]))\s*"
 TREE_RESTART = r"(?iu)\s*(?:[,;]\s*|\bet\s+)(?=(?:quel|quelle|quels|quelles|combien|quand|ou)\b)"
 IMPERATIVE = (
     r"(?iu)^\s*(?:donnez|donne|indiquez|indique|precisez|precise|listez|liste|resumez|resume)(?:\s*:|\s+)"

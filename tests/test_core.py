@@ -240,3 +240,16 @@ def test_fragments_end_at_whole_words_only(spark):
 
     df = spark.createDataFrame([("prix au etéèreeau et délai",)], "text string")
     assert df.select(questions.fragments(F.col("text"))).first()[0] == ["prix au etéèreeau", "délai"]
+
+
+def test_fragments_end_where_the_references_words_end(spark):
+    """A combining mark or a joiner is no part of a word, a superscript digit is."""
+    import re
+
+    from skein.functions import questions
+
+    texts = [f"prix {a}{w}{b} délai" for w in ("et", "AND") for a in ("", "\u0301", "é", "²", "_", "\u200d") for b in ("", "\u0301", "é", "²", "\u2167", "_", "\u200c", "\u203f")]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "k int, text string")
+    got = [r[0] for r in df.orderBy("k").select(questions.fragments(F.col("text"))).collect()]
+    parts = [[p.strip(" .:;,-?¿!¡") for p in re.split(r"\s*(?:[,;]|\bet\b|\band\b)\s*", x, flags=re.IGNORECASE)] for x in texts]
+    assert got == [[p for p in ps if len(p) >= 3] for ps in parts]
